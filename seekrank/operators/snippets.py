@@ -3,9 +3,7 @@
 * T3 runs in-row with higher-order functions (split → score → first maximum);
   no shuffle.
 * T4/T5 count phrases of one short text (the ≤ 500-char paragraph, or a
-  snippet): tokens are exploded into (key, phrase) rows, summed per phrase and
-  the best ``n`` per key collected in order. Rows per key are bounded by the
-  text length, so no group can grow with the corpus.
+  snippet) in-row as well; the text is bounded, so the per-row work is too.
 """
 
 from __future__ import annotations
@@ -38,101 +36,104 @@ def hydrate(results: DataFrame, registry: DataFrame, broadcast_results: bool = T
 
 
 # --------------------------------------------------------------------------- T3
+#
+# The steps below add their intermediate arrays as columns (one projection
+# each) instead of nesting them: an expression referenced twice inside a
+# lambda would otherwise be inlined and evaluated again per element.
 
-def best_paragraph(content, query, cfg: SearchConfig = DEFAULT) -> Column:
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def add_best_paragraph(df: DataFrame, content, query, out: str = "paragraph",
+                       cfg: SearchConfig = DEFAULT) -> DataFrame:
     """The paragraph that best matches the query (≤ 500 chars, trimmed)."""
-    raw = blank(F.col(content) if isinstance(content, str) else content)
-    q = F.col(query) if isinstance(query, str) else query
-    text = strip_tags(raw)
-    nq, ql = norm(q), F.lower(q)
-    words = query_words(nq)
-    paras = F.filter(F.transform(F.split(text, PARA_SPLIT), lambda p: ws_trim(p)),
-                     lambda p: F.length(p) > cfg.min_paragraph)
-    with_forms = F.transform(paras, lambda p: F.struct(p.alias("p"), norm(p).alias("np"),
-                                                      F.lower(p).alias("lp")))
-
-    def score(x):
-        np_, lp, p = x["np"], x["lp"], x["p"]
+    raw = blank(_c(content))
+    s1 = (df.withColumn("_bp_raw", raw)
+            .withColumn("_bp_txt", strip_tags(F.col("_bp_raw")))
+            .withColumn("_bp_nq", norm(_c(query)))
+            .withColumn("_bp_ql", F.lower(_c(query))))
+    s2 = (s1.withColumn("_bp_words", query_words(F.col("_bp_nq")))
+            .withColumn("_bp_paras", F.filter(F.transform(F.split("_bp_txt", PARA_SPLIT), lambda p: ws_trim(p)),
+                                              lambda p: F.length(p) > cfg.min_paragraph)))
+    nq, ql, words = F.col("_bp_nq"), F.col("_bp_ql"), F.col("_bp_words")
+
+    def score(p):
+        np_ = norm(p)
         per_word = F.aggregate(words, F.lit(0), lambda acc, w: acc
                                + F.when(np_.contains(w), F.lit(10)).otherwise(F.lit(0))
                                + F.when(np_.startswith(w), F.lit(5)).otherwise(F.lit(0)))
         n = F.length(p)
         return (F.when(np_.contains(nq), F.lit(100)).otherwise(F.lit(0))
-                + F.when(lp.contains(ql), F.lit(50)).otherwise(F.lit(0))
+                + F.when(F.lower(p).contains(ql), F.lit(50)).otherwise(F.lit(0))
                 + per_word
                 + F.when((n >= 100) & (n <= 500), F.lit(5)).when(n > 500, F.lit(2)).otherwise(F.lit(0)))
 
-    scores = F.transform(with_forms, score)
-    best = F.element_at(paras, F.array_position(scores, F.array_max(scores)).cast("int"))
-    sentences = F.filter(F.split(text, SENTENCE_SPLIT), lambda s: F.length(ws_trim(s)) > cfg.min_paragraph)
-    no_para = F.when(F.size(sentences) > 0, F.substring(F.element_at(sentences, 1), 1, cfg.snippet_chars)) \
-        .otherwise(F.substring(text, 1, cfg.snippet_chars))
-    picked = F.when(F.size(paras) > 0, ws_trim(F.substring(best, 1, cfg.snippet_chars))).otherwise(no_para)
-    return F.when(F.length(ws_trim(raw)) == 0, F.lit("")).otherwise(picked)
+    s3 = s2.withColumn("_bp_scores", F.transform("_bp_paras", score))
+    best = F.try_element_at("_bp_paras", F.array_position("_bp_scores", F.array_max("_bp_scores")).cast("int"))
+    sentences = F.filter(F.split("_bp_txt", SENTENCE_SPLIT), lambda s: F.length(ws_trim(s)) > cfg.min_paragraph)
+    s4 = s3.withColumn("_bp_best", best).withColumn("_bp_sents", sentences)
+    no_para = F.when(F.size("_bp_sents") > 0, F.substring(F.try_element_at("_bp_sents", F.lit(1)), 1, cfg.snippet_chars)) \
+        .otherwise(F.substring("_bp_txt", 1, cfg.snippet_chars))
+    picked = F.when(F.size("_bp_paras") > 0, ws_trim(F.substring("_bp_best", 1, cfg.snippet_chars))).otherwise(no_para)
+    res = F.when(F.length(ws_trim(F.col("_bp_raw"))) == 0, F.lit("")).otherwise(picked)
+    return s4.withColumn(out, res).drop(*[c for c in s4.columns if c.startswith("_bp_")])
 
 
 # --------------------------------------------------------------------------- T4, T5
 
-def _phrase_rows(df: DataFrame, keys: list[str], text_col: str, query_col: str | None) -> DataFrame:
-    toks = phrase_tokens(F.col(text_col))
-    base = df.select(*keys, toks.alias("_t"),
-                     (query_words(norm(F.col(query_col))) if query_col else F.array().cast("array<string>"))
-                     .alias("_qw"))
-    idx = F.sequence(F.lit(0), F.size("_t") - 1)
-    items = F.transform(idx, lambda i: F.struct(
-        i.alias("i"), F.element_at("_t", i + 1).alias("w1"),
-        F.when(i + 1 < F.size("_t"), F.element_at("_t", i + 2)).alias("w2")))
-    ex = (base.filter(F.size("_t") > 0)
-              .select(*keys, "_qw", F.explode(items).alias("x"))
-              .select(*keys, "_qw", "x.i", "x.w1", "x.w2")
-              .filter(~F.col("w1").isin(*STOPWORDS)))
-    in_q1 = F.array_contains("_qw", F.col("w1"))
-    in_q2 = F.array_contains("_qw", F.col("w2"))
-    uni = ex.select(*keys, F.col("w1").alias("phrase"), title_case_word("w1").alias("shown"),
-                    F.when(in_q1, F.lit(3)).otherwise(F.lit(1)).alias("weight"),
-                    (F.col("i") * 2).alias("ord"), in_q1.alias("has_q"))
-    bi = (ex.filter(F.col("w2").isNotNull() & ~F.col("w2").isin(*STOPWORDS))
-            .select(*keys, F.concat_ws(" ", "w1", "w2").alias("phrase"),
-                    F.concat_ws(" ", title_case_word("w1"), title_case_word("w2")).alias("shown"),
-                    F.when(in_q1 | in_q2, F.lit(8)).otherwise(F.lit(2)).alias("weight"),
-                    (F.col("i") * 2 + 1).alias("ord"), (in_q1 | in_q2).alias("has_q")))
-    return uni.unionByName(bi)
-
-
-def _top_phrases(rows: DataFrame, keys: list[str], n: int, require_query: bool) -> DataFrame:
-    per = rows.groupBy(*keys, "phrase").agg(
-        F.sum("weight").alias("score"), F.min("ord").alias("first"),
-        F.first("shown").alias("shown"), F.max("has_q").alias("has_q"))
-    if require_query:
-        per = per.filter("has_q")
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("first").alias("f"),
-                                                  F.col("shown").alias("p"))))
-    return per.groupBy(*keys).agg(F.slice(ranked, 1, n).alias("_top")) \
-              .select(*keys, F.transform("_top", lambda x: x["p"]).alias("phrases"))
-
-
-def query_phrases(df: DataFrame, keys: list[str], para_col: str, query_col: str,
-                  cfg: SearchConfig = DEFAULT) -> DataFrame:
-    """T4: up to ``n`` title-cased 1–2 word phrases of the paragraph that hold a query word."""
-    rows = _phrase_rows(df, keys, para_col, query_col)
-    return _top_phrases(rows, keys, cfg.max_phrases, require_query=True)
-
-
-def text_phrases(df: DataFrame, keys: list[str], text_col: str, cfg: SearchConfig = DEFAULT) -> DataFrame:
-    """T5: the same phrases without a query (unigram 1, bigram 2 per occurrence)."""
-    rows = _phrase_rows(df, keys, text_col, None)
-    return _top_phrases(rows, keys, cfg.max_phrases, require_query=False)
-
-
-def with_phrases(df: DataFrame, keys: list[str], text_col: str, query_col: str | None, out: str,
-                 cfg: SearchConfig = DEFAULT) -> DataFrame:
-    """Attach T4 (with a query) or T5 phrases as ``out`` (empty array when none)."""
-    if query_col:
-        ph = query_phrases(df, keys, text_col, query_col, cfg)
-    else:
-        ph = text_phrases(df, keys, text_col, cfg)
-    j = df.join(ph, keys, "left")
-    return j.withColumn(out, F.coalesce(F.col("phrases"), F.array().cast("array<string>"))).drop("phrases")
+def add_phrases(df: DataFrame, text, query=None, out: str = "phrases", cfg: SearchConfig = DEFAULT) -> DataFrame:
+    """T4 (with ``query``) / T5 (without): up to ``n`` title-cased 1–2 word phrases.
+
+    In-row: the text is one paragraph or snippet (≤ 500 chars), so the phrase
+    list is short. Unigram weight 1 (3 with a query word), bigram 2 (8 with a
+    query word); order score desc, then first occurrence; with a query only
+    phrases holding a query word are kept.
+    """
+    qw = query_words(norm(_c(query))) if query is not None else F.array().cast("array<string>")
+    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    s1 = df.withColumn("_ph_toks", phrase_tokens(blank(_c(text)))).withColumn("_ph_qw", qw)
+    toks, qws = F.col("_ph_toks"), F.col("_ph_qw")
+    n = F.size(toks)
+
+    def pair(i):
+        return F.struct(F.element_at(toks, i + 1).alias("w1"),
+                        F.when(i + 1 < n, F.element_at(toks, i + 2)).alias("w2"))
+
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    s2 = s1.withColumn("_ph_pairs", F.filter(F.transform(idx, pair),
+                                             lambda x: ~F.array_contains(stop, x["w1"])))
+
+    def items(x):
+        w1, w2 = x["w1"], x["w2"]
+        q1, q2 = F.array_contains(qws, w1), F.coalesce(F.array_contains(qws, w2), F.lit(False))
+        uni = F.struct(w1.alias("p"), F.when(q1, F.lit(3)).otherwise(F.lit(1)).alias("w"), q1.alias("q"))
+        bi = F.when(w2.isNotNull() & ~F.array_contains(stop, w2), F.struct(
+            F.concat_ws(" ", w1, w2).alias("p"), F.when(q1 | q2, F.lit(8)).otherwise(F.lit(2)).alias("w"),
+            (q1 | q2).alias("q")))
+        return F.array(uni, bi)
+
+    flat = F.filter(F.flatten(F.transform("_ph_pairs", items)), lambda x: x.isNotNull())
+    if query is not None:
+        flat = F.filter(flat, lambda x: x["q"])
+    s3 = s2.withColumn("_ph_items", flat)
+    s4 = s3.withColumn("_ph_names", F.transform("_ph_items", lambda x: x["p"]))
+    s5 = s4.withColumn("_ph_distinct", F.array_distinct("_ph_names"))  # first-occurrence order
+    names, its = F.col("_ph_names"), F.col("_ph_items")
+
+    def scored(p, idx):
+        w = F.element_at(its, F.array_position(names, p).cast("int"))["w"]
+        cnt = F.size(F.filter(names, lambda x: x == p))
+        return F.struct((-(cnt * w)).alias("k"), idx.alias("o"), p.alias("p"))
+
+    s6 = s5.withColumn("_ph_ranked", F.slice(F.array_sort(F.transform("_ph_distinct", scored)), 1, cfg.max_phrases))
+
+    def shown(x):
+        words = F.split(x["p"], " ")
+        return F.array_join(F.transform(words, lambda w: title_case_word(w)), " ")
+
+    return s6.withColumn(out, F.transform("_ph_ranked", shown)).drop(
+        *[c for c in s6.columns if c.startswith("_ph_")])
 
 
 def snippets_and_highlights(page_rows: DataFrame, registry: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:
@@ -140,18 +141,16 @@ def snippets_and_highlights(page_rows: DataFrame, registry: DataFrame, cfg: Sear
 
     Output adds ``snippet`` (replaced by the paragraph when there is one),
     ``highlights`` (null when the row had no content) and ``phrases``
-    (highlights, else phrases of the snippet).
+    (highlights, else phrases of the snippet). Row-local after the join.
     """
-    keys = ["query_id", "id"]
     h = hydrate(page_rows, registry)
-    h = h.withColumn("_para", F.when(F.col("content") != "", best_paragraph("content", "query", cfg)))
-    h = with_phrases(h, keys, "_para", "query", "_hl", cfg)
-    has_content = F.coalesce(F.col("content"), F.lit("")) != ""
-    use = has_content & ((F.coalesce(F.col("_para"), F.lit("")) != "") | (F.size("_hl") > 0))
+    h = h.withColumn("_has", F.coalesce(F.col("content"), F.lit("")) != "")
+    h = add_best_paragraph(h, F.when(F.col("_has"), F.col("content")), "query", "_para", cfg)
+    h = add_phrases(h, "_para", "query", "_hl", cfg)
+    use = F.col("_has") & ((F.col("_para") != "") | (F.size("_hl") > 0))
     h = (h.withColumn("snippet", F.when(use & (F.col("_para") != ""), F.col("_para")).otherwise(F.col("snippet")))
           .withColumn("highlights", F.when(use, F.col("_hl")))
-          .drop("_para", "_hl", "content"))
-    h = with_phrases(h, keys, "snippet", None, "_tp", cfg)
-    return (h.withColumn("phrases", F.when(F.size(F.coalesce("highlights", F.array())) > 0, F.col("highlights"))
-                                     .otherwise(F.col("_tp")))
-             .drop("_tp"))
+          .drop("_para", "_hl", "content", "_has"))
+    h = add_phrases(h, "snippet", None, "_tp", cfg)
+    return h.withColumn("phrases", F.when(F.size(F.coalesce("highlights", F.array())) > 0, F.col("highlights"))
+                                    .otherwise(F.col("_tp"))).drop("_tp")

@@ -72,3 +72,230 @@ def r15_search_results(spark, sf):
 @register("r14_search_meta", o.with_ctes(o.search_ctes(), "SELECT * FROM meta"))
 def r14_search_meta(spark, sf):
     return fixture_search(spark, sf, snippets=False).meta
+
+
+@register("r16_present", o.with_ctes(o.search_ctes(), """SELECT r.query_id, r.rank, r.id, r.url, r.type,
+  CASE WHEN coalesce(r.title, '') = '' THEN r.url ELSE r.title END AS title_shown,
+  round(r.score * CAST(100.0 AS DOUBLE), 1) AS relevance_pct,
+  round(r.original_score * CAST(100.0 AS DOUBLE), 1) AS semantic_pct,
+  CASE WHEN r.recency_boost > 0 THEN round(r.recency_boost * CAST(100.0 AS DOUBLE), 1) END AS recency_pct,
+  ((m.page - 1) * m.per_page + 1)::BIGINT AS first_shown,
+  ((m.page - 1) * m.per_page + count(*) OVER (PARTITION BY r.query_id))::BIGINT AS last_shown,
+  m.page > 1 AS has_previous,
+  (count(*) OVER (PARTITION BY r.query_id) < m.per_page AND m.total_available > count(*) OVER (PARTITION BY r.query_id)) AS has_next
+FROM results r JOIN meta m USING (query_id)"""))
+def r16_present(spark, sf):
+    from seekrank.operators.ranking import present
+    res = fixture_search(spark, sf)
+    return present(res.results, res.meta)
+
+
+# --------------------------------------------------------------------------- V1, V2, V3/V4
+
+@register("v1_normalise_queries", o.with_ctes(o.base_ctes() + [("qn", o.normalised_queries_sql()), ("qk", o.budget_sql("qn"))],
+          "SELECT query_id, query, array_to_string(types, '|') AS types, per_page, page, type_filter_text, error, k FROM qk"))
+def v1_normalise_queries(spark, sf):
+    from seekrank.operators.retrieval import normalise_queries
+    q = normalise_queries(fx.queries_fx(spark))
+    return q.select("query_id", "query", joined("types").alias("types"), "per_page", "page",
+                    "type_filter_text", "error", "k")
+
+
+V2_SQL = """SELECT page_id, per_page, page,
+  least(1000, greatest(per_page * page * (CASE WHEN page = 1 THEN 5 ELSE 3 END), per_page * 5))::BIGINT AS k
+FROM (SELECT page_id, least(greatest(page_id % 520, 1), 500) AS per_page, greatest(page_id % 9, 1) AS page FROM pages)"""
+
+
+@register("v2_candidate_k", V2_SQL)
+def v2_candidate_k(spark, sf):
+    from seekrank.operators.retrieval import candidate_k
+    from seekrank.sources.tables import load
+    p = load(spark, sf, "pages").select(
+        "page_id", F.least(F.greatest(F.col("page_id") % 520, F.lit(1)), F.lit(500)).alias("per_page"),
+        F.greatest(F.col("page_id") % 9, F.lit(1)).alias("page"))
+    return p.withColumn("k", candidate_k(F.col("per_page"), F.col("page")))
+
+
+def embedding_requests(spark, sf):
+    """Every embedding is also a query: k = 10; even ids restrict to their own label's type."""
+    from seekrank.sources.tables import load
+    e = load(spark, sf, "embeddings")
+    corpus = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"),
+                      F.concat(F.lit("l"), F.col("label").cast("string")).alias("type"),
+                      F.concat(F.lit("vec://"), F.col("vec_id").cast("string")).alias("url"),
+                      F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("snippet"),
+                      F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    queries = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.lit(10).alias("k"),
+                       F.when(F.col("vec_id") % 2 == 0, F.array(F.concat(F.lit("l"), F.col("label").cast("string"))))
+                        .otherwise(F.array().cast("array<string>")).alias("types"))
+    return corpus, queries
+
+
+V4_SQL = f"""WITH c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, 'l' || CAST(label AS VARCHAR) AS type FROM embeddings),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv,
+  CASE WHEN vec_id % 2 = 0 THEN ['l' || CAST(label AS VARCHAR)] ELSE []::VARCHAR[] END AS types FROM embeddings),
+p AS (SELECT q.query_id, c.id, {o.cosine_sql('c.v', 'q.qv')} AS score FROM c JOIN q ON {o.type_ok('q.types', 'c.type')})
+SELECT query_id, id, round(score, 6) AS score, rn AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM p) WHERE rn <= 10"""
+
+
+def _v4(spark, sf, method):
+    from seekrank.operators.retrieval import vector_topk
+    corpus, queries = embedding_requests(spark, sf)
+    top = vector_topk(corpus, queries, method=method, with_meta=False)
+    from pyspark.sql import Window
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+    return top.select("query_id", "id", r6("score").alias("score"), F.row_number().over(w).alias("rank"))
+
+
+@register("v4_vector_topk", V4_SQL)
+def v4_vector_topk(spark, sf):
+    return _v4(spark, sf, "expr")
+
+
+@register("v4_vector_topk_numpy", V4_SQL)
+def v4_vector_topk_numpy(spark, sf):
+    return _v4(spark, sf, "numpy")
+
+
+# --------------------------------------------------------------------------- R1, T2
+
+@register("r1_norm", o.with_ctes(o.base_ctes(), f"SELECT id, {o.norm('title')} AS norm_title, {o.norm('url')} AS norm_url FROM urls_fx"))
+def r1_norm(spark, sf):
+    from seekrank.functions.text import norm
+    u = fx.urls_fx(spark, sf)
+    return u.select("id", norm(F.col("title")).alias("norm_title"), norm(F.col("url")).alias("norm_url"))
+
+
+@register("t2_strip_tags", f"SELECT page_id, {o.strip_tags('html')} AS stripped FROM pages")
+def t2_strip_tags(spark, sf):
+    from seekrank.functions.text import strip_tags
+    from seekrank.sources.tables import load
+    return load(spark, sf, "pages").select("page_id", strip_tags(F.col("html")).alias("stripped"))
+
+
+# --------------------------------------------------------------------------- R2–R13 on matches_fx
+
+def fixture_matches(spark, sf):
+    from seekrank.operators.ranking import rescore
+    from seekrank.operators.retrieval import normalise_queries
+    urls = fx.urls_fx(spark, sf)
+    m = fx.matches_fx(spark, sf, urls)
+    q = normalise_queries(fx.queries_fx(spark)).select("query_id", "query", "per_page", "page", "type_filter_text")
+    return rescore(m.join(q, "query_id"), fx.NOW)
+
+
+def _match_sql(select: str) -> str:
+    return o.with_ctes(o.matches_ctes(), select)
+
+
+@register("r2_match_flags", _match_sql("SELECT query_id, id, title_m, url_m, snip_m, text_m FROM m2"))
+def r2_match_flags(spark, sf):
+    from seekrank.operators.ranking import match_flags
+    from seekrank.operators.retrieval import normalise_queries
+    urls = fx.urls_fx(spark, sf)
+    m = fx.matches_fx(spark, sf, urls)
+    q = normalise_queries(fx.queries_fx(spark)).select("query_id", "query")
+    return match_flags(m.join(q, "query_id")).select("query_id", "id", "title_m", "url_m", "snip_m", "text_m")
+
+
+@register("r3_semantic_gate", _match_sql("SELECT query_id, id, meets, text_m FROM m4"))
+def r3_semantic_gate(spark, sf):
+    return fixture_matches(spark, sf).select("query_id", "id", "meets", "text_m")
+
+
+@register("r4_generic_flag", _match_sql("SELECT query_id, id, generic FROM m4"))
+def r4_generic_flag(spark, sf):
+    return fixture_matches(spark, sf).select("query_id", "id", "generic")
+
+
+@register("r5_penalise", _match_sql("SELECT query_id, id, round(pen, 6) AS penalised FROM m5"))
+def r5_penalise(spark, sf):
+    from seekrank.operators.ranking import penalised
+    return fixture_matches(spark, sf).select("query_id", "id", r6(penalised()).alias("penalised"))
+
+
+@register("r6_boost_flags", _match_sql("SELECT query_id, id, exact_m, (url_m AND path_m) AS url_path_m FROM m5"))
+def r6_boost_flags(spark, sf):
+    from seekrank.operators.ranking import exact_flag, url_path_flag
+    return fixture_matches(spark, sf).select("query_id", "id", exact_flag().alias("exact_m"),
+                                             (F.col("url_m") & url_path_flag()).alias("url_path_m"))
+
+
+@register("r7_recency", _match_sql("SELECT query_id, id, round(recency_boost, 6) AS recency_boost FROM m5"))
+def r7_recency(spark, sf):
+    return fixture_matches(spark, sf).select("query_id", "id", r6("recency_boost").alias("recency_boost"))
+
+
+@register("r8_score", _match_sql("SELECT query_id, id, round(score, 6) AS score, round(original_score, 6) AS original_score FROM scored"))
+def r8_score(spark, sf):
+    return fixture_matches(spark, sf).select("query_id", "id", r6("score").alias("score"),
+                                             r6("original_score").alias("original_score"))
+
+
+@register("r9_rank", _match_sql(f"SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {o.rank_key()}) AS rank FROM scored"))
+def r9_rank(spark, sf):
+    from seekrank.operators.ranking import rank_results
+    return rank_results(fixture_matches(spark, sf)).select("query_id", "id", "rank")
+
+
+@register("r10_dedup_urls", o.with_ctes(o.matches_ctes() + o.rank_ctes("scored"), "SELECT query_id, id, round(score, 6) AS score FROM dd"))
+def r10_dedup_urls(spark, sf):
+    from seekrank.operators.ranking import dedup_urls
+    return dedup_urls(fixture_matches(spark, sf)).select("query_id", "id", r6("score").alias("score"))
+
+
+@register("r11_filter_text", o.with_ctes(o.matches_ctes() + o.rank_ctes("scored"), "SELECT query_id, id FROM ft"))
+def r11_filter_text(spark, sf):
+    from seekrank.operators.ranking import dedup_urls, filter_text
+    return filter_text(dedup_urls(fixture_matches(spark, sf))).select("query_id", "id")
+
+
+@register("r12_paginate", o.with_ctes(o.matches_ctes() + o.rank_ctes("scored"),
+          "SELECT query_id, rank, id, url, round(score, 6) AS score, total_available FROM page_rows"))
+def r12_paginate(spark, sf):
+    from seekrank.operators.ranking import dedup_urls, filter_text, paginate
+    p = paginate(filter_text(dedup_urls(fixture_matches(spark, sf))))
+    return p.select("query_id", "rank", "id", "url", r6("score").alias("score"), "total_available")
+
+
+@register("r13_result_ids", o.with_ctes(o.matches_ctes() + o.rank_ctes("scored"),
+          "SELECT query_id, rank, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY rank) AS rn FROM page_rows) WHERE rn = 1"))
+def r13_result_ids(spark, sf):
+    from seekrank.operators.ranking import rank_pipeline
+    return rank_pipeline(fixture_matches(spark, sf)).select("query_id", "rank", "id")
+
+
+# --------------------------------------------------------------------------- T3–T5
+
+@register("t3_best_paragraph", o.with_ctes(o.paragraphs_ctes() + o.para_ctes("paragraphs_fx", ["doc_id", "query"], "content", "query", "bp"),
+          "SELECT doc_id, query, para AS paragraph FROM bp"))
+def t3_best_paragraph(spark, sf):
+    from seekrank.operators.snippets import add_best_paragraph
+    return add_best_paragraph(fx.paragraphs_fx(spark, sf), "content", "query", "paragraph").select(
+        "doc_id", "query", "paragraph")
+
+
+T4_SQL = o.with_ctes(
+    o.paragraphs_ctes() + o.para_ctes("paragraphs_fx", ["doc_id", "query"], "content", "query", "bp")
+    + o.phrase_ctes("bp", ["doc_id", "query"], "para", "q", "hl"),
+    "SELECT b.doc_id, b.query, coalesce(h.phrases, '') AS phrases FROM bp b LEFT JOIN hl h USING (doc_id, query)")
+
+
+@register("t4_query_phrases", T4_SQL)
+def t4_query_phrases(spark, sf):
+    from seekrank.operators.snippets import add_best_paragraph, add_phrases
+    p = add_best_paragraph(fx.paragraphs_fx(spark, sf), "content", "query", "paragraph")
+    p = add_phrases(p, "paragraph", "query", "ph")
+    return p.select("doc_id", "query", F.concat_ws("|", "ph").alias("phrases"))
+
+
+T5_SQL = o.with_ctes(o.base_ctes() + o.phrase_ctes("urls_fx", ["id"], "content_preview", None, "tp"),
+                     "SELECT u.id, coalesce(t.phrases, '') AS phrases FROM urls_fx u LEFT JOIN tp t USING (id)")
+
+
+@register("t5_text_phrases", T5_SQL)
+def t5_text_phrases(spark, sf):
+    from seekrank.operators.snippets import add_phrases
+    u = fx.urls_fx(spark, sf)
+    return add_phrases(u, "content_preview", None, "ph").select("id", F.concat_ws("|", "ph").alias("phrases"))

@@ -214,7 +214,7 @@ def rescore_ctes(src: str) -> list[tuple[str, str]]:
         ("m2", "SELECT *, (title_m OR url_m OR snip_m) AS text_m FROM m1"),
         ("m3", f"SELECT *, original_score >= CASE WHEN text_m THEN {D(C.min_semantic)} ELSE {D(C.min_semantic_no_text)} END AS meets FROM m2"),
         ("m4", f"SELECT *, {generic} AS generic FROM m3 WHERE meets OR text_m"),
-        ("m5", f"SELECT *, {rb} AS recency_boost FROM m4"),
+        ("m5", f"SELECT *, {rb} AS recency_boost, {pen} AS pen, {exact} AS exact_m, {pathm} AS path_m FROM m4"),
         ("scored", f"SELECT *, least({s3}, {D(1.0)}) AS score FROM m5"),
     ]
 
@@ -327,3 +327,31 @@ FROM hy h LEFT JOIN bp b USING (query_id, id) LEFT JOIN hl l USING (query_id, id
 FROM hy2 h LEFT JOIN tp t USING (query_id, id)"""),
     ]
     return ctes
+
+
+# --------------------------------------------------------------------------- matches_fx, paragraphs_fx
+
+def matches_ctes() -> list[tuple[str, str]]:
+    ctes = base_ctes()
+    ctes += [
+        ("mq", "SELECT * FROM (VALUES (1), (2), (3), (4), (5), (6), (7)) t(query_id)"),
+        ("mm", "SELECT query_id::BIGINT AS query_id, page_id AS id, url, "
+               "CAST(0.5 AS DOUBLE) + ((page_id * 37 + query_id * 11) % 50) / CAST(100.0 AS DOUBLE) AS score "
+               "FROM pages CROSS JOIN mq"),
+        ("mcore", "SELECT query_id, id, url, score FROM mm UNION ALL SELECT query_id, id + 1000000, "
+                  "CASE WHEN url LIKE '%/' THEN upper(url) ELSE concat(upper(url), '/') END, "
+                  "score + CASE WHEN id % 8 = 0 THEN CAST(-0.003 AS DOUBLE) ELSE CAST(0.003 AS DOUBLE) END "
+                  "FROM mm WHERE id % 4 = 0"),
+        ("matches_fx", "SELECT c.query_id, CAST(c.id AS VARCHAR) AS id, c.url, c.score, u.type, u.title, "
+                       "u.content_preview AS snippet, u.updated_at FROM mcore c LEFT JOIN urls_fx u ON u.id = c.id % 1000000"),
+        ("qn", normalised_queries_sql()),
+        ("qk", budget_sql("qn")),
+        ("mc", "SELECT m.*, q.query, q.per_page, q.page, q.type_filter_text FROM matches_fx m JOIN qk q USING (query_id)"),
+    ]
+    return ctes + rescore_ctes("mc")
+
+
+def paragraphs_ctes() -> list[tuple[str, str]]:
+    vals = ", ".join(f"('{q}')" for q in PARAGRAPH_QUERIES)
+    return [("paragraphs_fx", "SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS content, query "
+                              f"FROM documents CROSS JOIN (VALUES {vals}) t(query)")]
