@@ -270,6 +270,8 @@ def vector_records(results: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     registry gives an error row and the job continues.
     """
     with_vec = results.filter(F.col("vector").isNotNull() & (F.size("vector") > 0))
+    if "error" in results.columns:  # a failed row is marked failed, not synced
+        with_vec = with_vec.filter(F.col("error").isNull())
     reg = registry.select("url", "id", F.col("updated_at").alias("_reg_updated_at"))
     j = with_vec.join(reg, "url", "left")
     records = j.filter(F.col("id").isNotNull()).select(

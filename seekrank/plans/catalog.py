@@ -19,9 +19,23 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def _wide_types(df: DataFrame) -> DataFrame:
+    """Integers as BIGINT and floats as DOUBLE, so schemas line up with the SQL twins."""
+    out = []
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        if t in ("int", "smallint", "tinyint"):
+            out.append(F.col(f.name).cast("bigint").alias(f.name))
+        elif t == "float":
+            out.append(F.col(f.name).cast("double").alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        SPARK[name] = fn
+        SPARK[name] = lambda spark, sf: _wide_types(fn(spark, sf))
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -299,3 +313,263 @@ def t5_text_phrases(spark, sf):
     from seekrank.operators.snippets import add_phrases
     u = fx.urls_fx(spark, sf)
     return add_phrases(u, "content_preview", None, "ph").select("id", F.concat_ws("|", "ph").alias("phrases"))
+
+
+
+# --------------------------------------------------------------------------- L1–L4
+
+def _lex(spark, sf):
+    from seekrank.operators.lexical import text_search
+    return text_search(fx.urls_fx(spark, sf), fx.queries_fx(spark), fx.NOW)
+
+
+def _lex_sql(select):
+    return o.with_ctes(o.lexical_ctes(), select)
+
+
+@register("l1_text_filter", _lex_sql("SELECT query_id, id FROM lm"))
+def l1_text_filter(spark, sf):
+    from seekrank.operators.lexical import text_filter
+    from seekrank.operators.retrieval import normalise_queries
+    return text_filter(fx.urls_fx(spark, sf), normalise_queries(fx.queries_fx(spark))).select("query_id", "id")
+
+
+@register("l2_status_first_cap", _lex_sql("SELECT query_id, id FROM lc"))
+def l2_status_first_cap(spark, sf):
+    from seekrank.operators.lexical import status_first_cap, text_filter
+    from seekrank.operators.retrieval import normalise_queries
+    m = text_filter(fx.urls_fx(spark, sf), normalise_queries(fx.queries_fx(spark)))
+    return status_first_cap(m).select("query_id", "id")
+
+
+@register("l3_text_score", _lex_sql("SELECT query_id, id, title, round(score, 6) AS score, "
+                                    "round(original_score, 6) AS original_score, round(recency_boost, 6) AS recency_boost FROM lsc"))
+def l3_text_score(spark, sf):
+    from seekrank.operators.lexical import status_first_cap, text_filter, text_score
+    from seekrank.operators.retrieval import normalise_queries
+    m = text_filter(fx.urls_fx(spark, sf), normalise_queries(fx.queries_fx(spark)))
+    s = text_score(status_first_cap(m), fx.NOW)
+    return s.select("query_id", "id", "title", r6("score").alias("score"), r6("original_score").alias("original_score"),
+                    r6("recency_boost").alias("recency_boost"))
+
+
+@register("l4_text_search", _lex_sql("SELECT query_id, rank, id, url, type, title, snippet, round(score, 6) AS score, "
+                                     "round(original_score, 6) AS original_score, total_available FROM lpage"))
+def l4_text_search(spark, sf):
+    page, _ = _lex(spark, sf)
+    return page.select("query_id", "rank", "id", "url", "type", "title", "snippet", r6("score").alias("score"),
+                       r6("original_score").alias("original_score"), "total_available")
+
+
+@register("l4_text_search_meta", _lex_sql("SELECT * FROM lmeta"))
+def l4_text_search_meta(spark, sf):
+    return _lex(spark, sf)[1]
+
+
+# --------------------------------------------------------------------------- A1–A5
+
+def _base_sql(select, extra=()):
+    return o.with_ctes(o.base_ctes() + list(extra), select)
+
+
+@register("a1_status_counts", _base_sql("SELECT count(*) FILTER (WHERE status = 'pending') AS pending, "
+                                        "count(*) FILTER (WHERE status = 'completed') AS completed, "
+                                        "count(*) FILTER (WHERE status = 'failed') AS failed, count(*) AS total FROM urls_fx"))
+def a1_status_counts(spark, sf):
+    from seekrank.operators.facets import status_counts
+    return status_counts(fx.urls_fx(spark, sf))
+
+
+@register("a2_distinct_types", _base_sql("SELECT DISTINCT type FROM urls_fx"))
+def a2_distinct_types(spark, sf):
+    from seekrank.operators.facets import distinct_types
+    return distinct_types(fx.urls_fx(spark, sf))
+
+
+@register("a3_suggest_types", _base_sql(
+    "SELECT text, type, position FROM (SELECT t.text, d.type, row_number() OVER (PARTITION BY t.text ORDER BY d.type) AS position "
+    "FROM (SELECT DISTINCT substr(type, 1, 1) AS text FROM urls_fx) t JOIN (SELECT DISTINCT type FROM urls_fx) d "
+    "ON contains(lower(d.type), lower(t.text))) WHERE position <= 20"))
+def a3_suggest_types(spark, sf):
+    from seekrank.operators.facets import distinct_types, suggest_types
+    types = distinct_types(fx.urls_fx(spark, sf))
+    texts = types.select(F.substring("type", 1, 1).alias("text")).distinct().withColumn("text_id", F.col("text"))
+    return suggest_types(types, texts).select("text", "type", "position")
+
+
+@register("a4_recent_urls", _base_sql(f"SELECT id, url, title, type, {o.ts_text('updated_at')} AS updated_at FROM urls_fx "
+                                      "WHERE status = 'completed' ORDER BY created_at DESC NULLS LAST, id LIMIT 10"))
+def a4_recent_urls(spark, sf):
+    from seekrank.operators.facets import recent_urls
+    r = recent_urls(fx.urls_fx(spark, sf))
+    return r.withColumn("updated_at", ts_text("updated_at"))
+
+
+@register("a5_ingest_progress", _base_sql("""SELECT v.upload_id, v.uploaded, s.completed, s.failed, s.pending,
+  round(CASE WHEN v.uploaded > 0 THEN least(CAST(100.0 AS DOUBLE), s.completed::DOUBLE / v.uploaded * CAST(100.0 AS DOUBLE)) ELSE CAST(0.0 AS DOUBLE) END, 6) AS percent,
+  s.pending = 0 AS done
+FROM (SELECT upload_id, count(*) AS uploaded FROM valid GROUP BY upload_id) v
+JOIN (SELECT d.upload_id, count(*) FILTER (WHERE u.status = 'completed') AS completed,
+  count(*) FILTER (WHERE u.status = 'failed') AS failed, count(*) FILTER (WHERE u.status = 'pending') AS pending
+  FROM (SELECT DISTINCT upload_id, url FROM valid) d LEFT JOIN urls_fx u ON u.url = d.url GROUP BY d.upload_id) s USING (upload_id)""",
+    o.upload_ctes()))
+def a5_ingest_progress(spark, sf):
+    from seekrank.operators.facets import ingest_progress
+    p = ingest_progress(fx.urls_fx(spark, sf), fx.upload_rows_fx(spark, sf))
+    return p.withColumn("percent", r6("percent"))
+
+
+# --------------------------------------------------------------------------- I3–I5
+
+@register("i3_valid_rows", o.with_ctes(o.upload_ctes(), "SELECT row_no, id, type, url FROM valid"))
+def i3_valid_rows(spark, sf):
+    from seekrank.operators.ingest import validate_url_rows
+    return validate_url_rows(fx.upload_rows_fx(spark, sf)).select("row_no", "id", "type", "url")
+
+
+@register("i3_upload_report", o.with_ctes(o.upload_ctes(), """SELECT upload_id, 'id, type, url' AS columns_found,
+  count(*) AS row_count, count(*) FILTER (WHERE length(type) > 0 AND length(url) > 0) AS url_count,
+  CASE WHEN count(*) FILTER (WHERE length(type) > 0 AND length(url) > 0) = 0
+       THEN 'No valid rows found in CSV. Found columns: id, type, url. Required: type, url (case-insensitive). Optional: id' END AS error
+FROM uclean GROUP BY upload_id"""))
+def i3_upload_report(spark, sf):
+    from seekrank.operators.ingest import upload_report
+    return upload_report(fx.upload_rows_fx(spark, sf))
+
+
+NOW1 = "2024-01-30 00:00:00"
+
+
+@register("i4_upsert_urls", o.with_ctes(
+    o.upload_ctes()
+    + [("reg0", "SELECT NULL::BIGINT AS id, NULL::VARCHAR AS url, NULL::VARCHAR AS type, NULL::VARCHAR AS title, "
+                "NULL::VARCHAR AS content_preview, NULL::VARCHAR AS extracted_content, NULL::VARCHAR AS full_text_content, "
+                "NULL::VARCHAR AS status, NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at WHERE false")]
+    + o.upsert_sql("reg0", "row_no < 1000000", NOW1, "reg1")
+    + o.upsert_sql("reg1", "row_no >= 1000000", fx.NOW, "reg2"),
+    f"SELECT {o.reg_cols()} FROM reg2"))
+def i4_upsert_urls(spark, sf):
+    from seekrank.operators.ingest import empty_registry, upsert_urls
+    rows = fx.upload_rows_fx(spark, sf)
+    reg1 = upsert_urls(empty_registry(spark), rows.filter(F.col("row_no") < 1000000), NOW1)
+    reg2 = upsert_urls(reg1, rows.filter(F.col("row_no") >= 1000000), fx.NOW)
+    return reg2.withColumn("created_at", ts_text("created_at")).withColumn("updated_at", ts_text("updated_at"))
+
+
+@register("i5_pending_work", o.with_ctes(o.base_ctes() + o.upload_ctes(), """SELECT l.url, l.type, l.csv_id, l.queued, u.id AS registry_id
+FROM (SELECT url, arg_max(type, row_no) AS type, arg_max(id, row_no) AS csv_id, count(*) AS queued FROM valid GROUP BY url) l
+JOIN urls_fx u ON u.url = l.url WHERE u.status = 'pending'"""))
+def i5_pending_work(spark, sf):
+    from seekrank.operators.ingest import pending_work
+    return pending_work(fx.upload_rows_fx(spark, sf), fx.urls_fx(spark, sf))
+
+
+# --------------------------------------------------------------------------- I6–I10
+
+I8_SQL = """SELECT page_id, url, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), url) AS title,
+  {text} AS text, regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1) AS html FROM pages"""
+
+
+def _i8_sql():
+    no_code = "regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
+    text = f"trim({o.collapse(f'regexp_replace({no_code}, {chr(39)}<[^>]*>{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')})"
+    return I8_SQL.format(text=text)
+
+
+@register("i6_fetch_pages", o.with_ctes(o.base_ctes() + o.upload_ctes() + [
+    ("work", "SELECT l.url, l.type FROM (SELECT url, arg_max(type, row_no) AS type FROM valid GROUP BY url) l "
+             "JOIN urls_fx u ON u.url = l.url WHERE u.status = 'pending'")],
+    "SELECT w.url, w.type, p.html IS NULL AS fetch_failed, length(p.html) AS html_len FROM work w LEFT JOIN pages p ON p.url = w.url"))
+def i6_fetch_pages(spark, sf):
+    from seekrank.operators.ingest import fetch_pages, pending_work
+    from seekrank.sources.tables import load
+    work = pending_work(fx.upload_rows_fx(spark, sf), fx.urls_fx(spark, sf)).select("url", "type")
+    f = fetch_pages(work, load(spark, sf, "pages"))
+    return f.select("url", "type", F.col("html").isNull().alias("fetch_failed"), F.length("html").alias("html_len"))
+
+
+@register("i8_extract_pages", o.with_ctes([("ex", _i8_sql())],
+          "SELECT page_id, title, text, length(html) AS html_len, md5(html) AS html_md5 FROM ex"))
+def i8_extract_pages(spark, sf):
+    from seekrank.operators.ingest import extract_pages
+    from seekrank.sources.tables import load
+    e = extract_pages(load(spark, sf, "pages"))
+    return e.select("page_id", "title", "text", F.length("html").alias("html_len"), F.md5("html").alias("html_md5"))
+
+
+@register("i9_shape_content", o.with_ctes([("ex", _i8_sql())], f"""SELECT page_id, substring(title, 1, {o.C.max_title}) AS title,
+  substring(substring(text, 1, {o.C.max_text}), 1, {o.C.max_preview}) AS preview, length(substring(text, 1, {o.C.max_text})) AS text_len,
+  md5(substring(title, 1, {o.C.max_title}) || chr(10) || substring(text, 1, {o.C.max_text})) AS embed_md5 FROM ex"""))
+def i9_shape_content(spark, sf):
+    from seekrank.operators.ingest import extract_pages, shape_content
+    from seekrank.sources.tables import load
+    s = shape_content(extract_pages(load(spark, sf, "pages")))
+    return s.select("page_id", "title", "preview", F.length("text").alias("text_len"), F.md5("embed_text").alias("embed_md5"))
+
+
+@register("i10_hashed_embedding", _base_sql("""SELECT id, len(list_filter(v, lambda x: x > 0)) AS nnz, list_sum(v) AS total,
+  array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS counts FROM vectors_fx"""))
+def i10_hashed_embedding(spark, sf):
+    v = fx.vectors_fx(fx.urls_fx(spark, sf))
+    return v.select("id", F.size(F.filter("vector", lambda x: x > 0)).alias("nnz"),
+                    F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"),
+                    F.array_join(F.transform("vector", lambda x: x.cast("bigint").cast("string")), ",").alias("counts"))
+
+
+# --------------------------------------------------------------------------- I11, I12
+
+def _applied_sql():
+    return f"""SELECT u.id, u.url, u.type,
+  CASE WHEN p.url IS NOT NULL AND p.error IS NULL THEN p.title ELSE u.title END AS title,
+  CASE WHEN p.url IS NOT NULL AND p.error IS NULL THEN p.preview ELSE u.content_preview END AS content_preview,
+  CASE WHEN p.url IS NOT NULL AND p.error IS NULL THEN p.html ELSE u.extracted_content END AS extracted_content,
+  CASE WHEN p.url IS NOT NULL AND p.error IS NULL THEN coalesce(p.text, '') ELSE u.full_text_content END AS full_text_content,
+  CASE WHEN p.url IS NOT NULL AND p.error IS NULL THEN 'completed' WHEN p.url IS NOT NULL THEN 'failed' ELSE u.status END AS status,
+  u.created_at, CASE WHEN p.url IS NOT NULL THEN TIMESTAMP '{NOW2}' ELSE u.updated_at END AS updated_at
+FROM urls_fx u LEFT JOIN processed_fx p ON p.url = u.url"""
+
+
+NOW2 = "2024-01-31 06:00:00"
+
+
+def _applied(spark, sf):
+    from seekrank.operators.ingest import apply_results
+    urls = fx.urls_fx(spark, sf)
+    vecs = fx.vectors_fx(urls)
+    return urls, vecs, apply_results(urls, fx.processed_fx(urls, vecs), NOW2)
+
+
+@register("i11_apply_results", _base_sql(f"SELECT {o.reg_cols()} FROM applied",
+                                         [("processed_fx", o.processed_sql()), ("applied", _applied_sql())]))
+def i11_apply_results(spark, sf):
+    _, _, a = _applied(spark, sf)
+    return a.withColumn("created_at", ts_text("created_at")).withColumn("updated_at", ts_text("updated_at"))
+
+
+I12_CTES = [("processed_fx", o.processed_sql()), ("applied", _applied_sql()),
+            ("recs", """SELECT a.id, p.vector, p.url, p.type, p.title, p.preview AS snippet, a.updated_at
+FROM processed_fx p LEFT JOIN applied a ON a.url = p.url
+WHERE p.vector IS NOT NULL AND len(p.vector) > 0 AND p.error IS NULL"""),
+            ("store0", "SELECT v.id, v.v AS vector, u.url, u.type, u.title, u.content_preview AS snippet, u.updated_at "
+                       "FROM vectors_fx v JOIN urls_fx u ON u.id = v.id WHERE u.status = 'completed'"),
+            ("store1", "SELECT * FROM store0 WHERE id NOT IN (SELECT id FROM recs WHERE id IS NOT NULL) "
+                       "UNION ALL SELECT * FROM recs WHERE id IS NOT NULL")]
+
+
+@register("i12_upsert_vectors", _base_sql(f"SELECT id, url, type, title, snippet, {o.ts_text('updated_at')} AS updated_at, "
+                                          "round(list_sum(vector), 6) AS vsum FROM store1", I12_CTES))
+def i12_upsert_vectors(spark, sf):
+    from seekrank.operators.ingest import upsert_vectors, vector_records
+    urls, vecs, applied = _applied(spark, sf)
+    recs, _ = vector_records(fx.processed_fx(urls, vecs), applied)
+    store = fx.corpus_fx(urls, vecs)
+    out = upsert_vectors(store, recs)
+    return out.select("id", "url", "type", "title", "snippet", ts_text("updated_at").alias("updated_at"),
+                      r6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("vsum"))
+
+
+@register("i12_vector_errors", _base_sql("SELECT url, 'Failed to find URL in database' AS error FROM recs WHERE id IS NULL", I12_CTES))
+def i12_vector_errors(spark, sf):
+    from seekrank.operators.ingest import vector_records
+    urls, vecs, applied = _applied(spark, sf)
+    return vector_records(fx.processed_fx(urls, vecs), applied)[1]

@@ -355,3 +355,104 @@ def paragraphs_ctes() -> list[tuple[str, str]]:
     vals = ", ".join(f"('{q}')" for q in PARAGRAPH_QUERIES)
     return [("paragraphs_fx", "SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS content, query "
                               f"FROM documents CROSS JOIN (VALUES {vals}) t(query)")]
+
+
+# --------------------------------------------------------------------------- L1–L4
+
+def lexical_ctes() -> list[tuple[str, str]]:
+    def pat(x):
+        return f"('%' || replace({x}, '\\', '\\\\') || '%')"
+
+    p1, p2 = pat("q.query"), pat("regexp_replace(q.query, '[-_]', ' ', 'g')")
+
+    def il(col, p):
+        return f"{col} ILIKE {p} ESCAPE '\\'"
+
+    hit = " OR ".join([il("coalesce(u.title, '')", p1), il("u.url", p1), il("coalesce(u.content_preview, '')", p1),
+                       il("coalesce(u.type, '')", p1), il("coalesce(u.title, '')", p2), il("u.url", p2)])
+    hours = f"(date_diff('microsecond', updated_at, TIMESTAMP '{NOW}')::DOUBLE / {D(3.6e9)})"
+    W = C.text_recency_window_h
+    rb = (f"CASE WHEN updated_at IS NOT NULL AND {hours} < {D(W)} THEN greatest({D(0.0)}, {D(C.recency_max)} * "
+          f"({D(1.0)} - {hours} / {D(W)})) ELSE {D(0.0)} END")
+
+    def has(c):
+        return f"(contains({norm(c)}, nq) OR contains(lower({c}), ql))"
+
+    s = (f"{D(C.text_base)} + (CASE WHEN query <> '' AND {has('title')} THEN {D(C.text_title)} ELSE {D(0.0)} END)"
+         f" + (CASE WHEN query <> '' AND {has('url')} THEN {D(C.text_url)} ELSE {D(0.0)} END)"
+         f" + (CASE WHEN query <> '' AND {has('snippet')} THEN {D(C.text_snippet)} ELSE {D(0.0)} END)")
+    f = f"lower({ws_trim('coalesce(type_filter_text, ' + chr(39) * 2 + ')')})"
+    fhit = (f"contains(lower({blank('type')}), {f}) OR contains(lower({blank('url')}), {f}) "
+            f"OR contains(lower({blank('title')}), {f})")
+    ctes = base_ctes() + [
+        ("qn", normalised_queries_sql()),
+        ("qk", budget_sql("qn")),
+        ("lm", f"""SELECT u.id, u.url, u.type, u.title, u.content_preview, u.status, u.updated_at, q.query_id, q.query
+FROM urls_fx u JOIN qk q ON (q.query = '' OR coalesce({hit}, false)) AND {type_ok('q.types', 'u.type')}"""),
+        ("lc", f"""SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
+  CASE WHEN status = 'completed' THEN 1 WHEN status = 'pending' THEN 2 ELSE 3 END, updated_at DESC NULLS LAST, id) AS r
+  FROM lm) WHERE r <= {C.max_text_fetch}"""),
+        ("ls0", f"""SELECT id, url, type, CASE WHEN coalesce(title, '') = '' THEN url ELSE title END AS title,
+  coalesce(content_preview, '') AS snippet, status, updated_at, query_id, query, {norm('query')} AS nq, lower(query) AS ql FROM lc"""),
+        ("ls1", f"SELECT *, {rb} AS recency_boost, {s} AS s0 FROM ls0"),
+        ("ls", f"SELECT *, least(s0 + recency_boost, {D(1.0)}) AS score FROM ls1"),
+        ("lsc", "SELECT l.*, score - recency_boost AS original_score, q.per_page, q.page, q.type_filter_text FROM ls l JOIN qk q USING (query_id)"),
+        ("lft", f"SELECT * FROM lsc WHERE {f} = '' OR {fhit}"),
+        ("lpg", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {rank_key()}) AS pos, "
+                f"count(*) OVER (PARTITION BY query_id) AS total_available FROM lft"),
+        ("lpage", "SELECT * EXCLUDE (pos), pos - (page - 1) * per_page AS rank FROM lpg "
+                  "WHERE pos > (page - 1) * per_page AND pos <= page * per_page"),
+        ("ltot", "SELECT query_id, count(*) AS total_available FROM lft GROUP BY query_id"),
+        ("lmeta", """SELECT q.query_id, q.page, q.per_page, coalesce(t.total_available, 0)::BIGINT AS total_available,
+  true AS degraded, 'Using database text search (Pinecone vector search unavailable).' AS reason
+FROM qk q LEFT JOIN ltot t USING (query_id)"""),
+    ]
+    return ctes
+
+
+# --------------------------------------------------------------------------- uploads
+
+def upload_ctes() -> list[tuple[str, str]]:
+    return [
+        ("ub", """SELECT page_id, CAST(page_id AS VARCHAR) AS id,
+  CASE WHEN page_id % 13 = 5 THEN '' ELSE regexp_extract(url, '/(de|en|es|fr)/[0-9]', 1) END AS type,
+  CASE WHEN page_id % 17 = 3 THEN '' ELSE url END AS url FROM pages"""),
+        ("upload_rows_fx", """SELECT page_id AS row_no, id,
+  CASE WHEN page_id % 7 = 2 THEN concat('  ', type, ' ') ELSE type END AS type,
+  CASE WHEN page_id % 7 = 2 THEN concat(' ', url, '  ') ELSE url END AS url FROM ub
+UNION ALL SELECT page_id + 1000000, id, 'Again', url FROM ub WHERE page_id % 5 = 0"""),
+        ("uclean", f"""SELECT 'upload.csv' AS upload_id, row_no, {ws_trim("coalesce(id, '')")} AS id,
+  {ws_trim("coalesce(type, '')")} AS type, {ws_trim("coalesce(url, '')")} AS url FROM upload_rows_fx"""),
+        ("valid", "SELECT * FROM uclean WHERE length(type) > 0 AND length(url) > 0"),
+    ]
+
+
+def reg_cols(ts=True):
+    t = ts_text
+    return ("id, url, type, title, content_preview, extracted_content, full_text_content, status, "
+            f"{t('created_at')} AS created_at, {t('updated_at')} AS updated_at" if ts else "")
+
+
+def upsert_sql(reg: str, valid_filter: str, now: str, name: str) -> list[tuple[str, str]]:
+    inc = f"{name}_inc"
+    return [
+        (inc, f"SELECT url, arg_min(type, row_no) AS type, min(row_no) AS first_row_no FROM valid WHERE {valid_filter} GROUP BY url"),
+        (f"{name}_kept", f"""SELECT r.id, r.url, r.type, r.title, r.content_preview, r.extracted_content, r.full_text_content,
+  CASE WHEN i.url IS NOT NULL THEN 'pending' ELSE r.status END AS status, r.created_at,
+  CASE WHEN i.url IS NOT NULL THEN TIMESTAMP '{now}' ELSE r.updated_at END AS updated_at
+FROM {reg} r LEFT JOIN {inc} i ON i.url = r.url"""),
+        (f"{name}_new", f"""SELECT ((SELECT coalesce(max(id), -1) FROM {reg}) + row_number() OVER (ORDER BY first_row_no))::BIGINT AS id,
+  url, type, NULL::VARCHAR AS title, NULL::VARCHAR AS content_preview, NULL::VARCHAR AS extracted_content,
+  NULL::VARCHAR AS full_text_content, 'pending' AS status, TIMESTAMP '{now}' AS created_at, TIMESTAMP '{now}' AS updated_at
+FROM {inc} WHERE url NOT IN (SELECT url FROM {reg})"""),
+        (name, f"SELECT * FROM {name}_kept UNION ALL SELECT * FROM {name}_new"),
+    ]
+
+
+def processed_sql() -> str:
+    stray = "[" + ", ".join(["1.0"] * DIM) + "]::DOUBLE[]"
+    return f"""SELECT u.url, u.type, u.title, u.content_preview AS preview, u.full_text_content AS text,
+  u.extracted_content AS html, CASE WHEN u.id % 11 = 6 THEN NULL ELSE v.v END AS vector,
+  CASE WHEN u.id % 11 = 4 THEN 'boom' END AS error
+FROM urls_fx u LEFT JOIN vectors_fx v ON v.id = u.id
+UNION ALL SELECT 'https://not-registered.example.com/x', 'en', 'Stray', 'stray text', 'stray text', '', {stray}, NULL"""
