@@ -57,9 +57,11 @@ def add_best_paragraph(df: DataFrame, content, query, out: str = "paragraph",
             .withColumn("_bp_paras", F.filter(F.transform(F.split("_bp_txt", PARA_SPLIT), lambda p: ws_trim(p)),
                                               lambda p: F.length(p) > cfg.min_paragraph)))
     nq, ql, words = F.col("_bp_nq"), F.col("_bp_ql"), F.col("_bp_words")
+    # normalise each paragraph once; the scoring lambda then only reads it
+    s2 = s2.withColumn("_bp_np", F.transform("_bp_paras", lambda p: norm(p)))
 
-    def score(p):
-        np_ = norm(p)
+    def score(p, i):
+        np_ = F.element_at(F.col("_bp_np"), i + 1)
         per_word = F.aggregate(words, F.lit(0), lambda acc, w: acc
                                + F.when(np_.contains(w), F.lit(10)).otherwise(F.lit(0))
                                + F.when(np_.startswith(w), F.lit(5)).otherwise(F.lit(0)))
@@ -71,7 +73,9 @@ def add_best_paragraph(df: DataFrame, content, query, out: str = "paragraph",
 
     s3 = s2.withColumn("_bp_scores", F.transform("_bp_paras", score))
     best = F.try_element_at("_bp_paras", F.array_position("_bp_scores", F.array_max("_bp_scores")).cast("int"))
-    sentences = F.filter(F.split("_bp_txt", SENTENCE_SPLIT), lambda s: F.length(ws_trim(s)) > cfg.min_paragraph)
+    # sentences are only needed (and only split) when there is no paragraph
+    sentences = F.when(F.size("_bp_paras") == 0, F.filter(
+        F.split("_bp_txt", SENTENCE_SPLIT), lambda s: F.length(ws_trim(s)) > cfg.min_paragraph))
     s4 = s3.withColumn("_bp_best", best).withColumn("_bp_sents", sentences)
     no_para = F.when(F.size("_bp_sents") > 0, F.substring(F.try_element_at("_bp_sents", F.lit(1)), 1, cfg.snippet_chars)) \
         .otherwise(F.substring("_bp_txt", 1, cfg.snippet_chars))

@@ -56,7 +56,7 @@ def ts_text(c: str) -> Column:
 
 # --------------------------------------------------------------------------- shared builders
 
-def fixture_search(spark: SparkSession, sf: str, method: str = "expr", snippets: bool = True):
+def fixture_search(spark: SparkSession, sf: str, method: str = "numpy", snippets: bool = True):
     urls = fx.urls_fx(spark, sf)
     vecs = fx.vectors_fx(urls)
     corpus = fx.corpus_fx(urls, vecs)

@@ -46,7 +46,7 @@ def candidates(q: DataFrame, corpus: DataFrame, now, cfg: SearchConfig = DEFAULT
 
 
 def search(queries: DataFrame, corpus: DataFrame, registry: DataFrame, now,
-           cfg: SearchConfig = DEFAULT, method: str = "expr", snippets: bool = True) -> SearchResult:
+           cfg: SearchConfig = DEFAULT, method: str = "numpy", snippets: bool = True) -> SearchResult:
     """``queries``: query_id, query, types, per_page, page, type_filter_text, qvec."""
     q = prepare_queries(queries, cfg)
     scored = candidates(q, corpus, now, cfg, method)
