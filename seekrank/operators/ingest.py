@@ -207,12 +207,11 @@ def basic_text(html) -> Column:
 def extract_pages(df: DataFrame, mode: str = "basic") -> DataFrame:
     """I8: page title, text and html from raw HTML (rows with html set).
 
-    ``basic`` is built-in expressions only; ``article`` picks the main block
-    with :mod:`seekrank.operators.article` per Arrow batch.
+    Only ``basic`` (built-in expressions) is provided; a readability-style
+    article mode is not built (see README).
     """
-    if mode == "article":
-        from seekrank.operators.article import extract_articles
-        return extract_articles(df)
+    if mode != "basic":
+        raise ValueError(f"unknown extraction mode: {mode}")
     html, url = F.col("html"), F.col("url")
     body = F.regexp_extract(html, r"(?s)<body[^>]*>(.*)</body>", 1)
     return (df.withColumn("title", basic_title(html, url))
