@@ -45,20 +45,28 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def with_paragraph_parts(df: DataFrame, content, cfg: SearchConfig = DEFAULT) -> DataFrame:
+    """Query-independent part of T3: text, paragraphs and their normalised forms.
+
+    Adding these before a documents × queries join does the regex work once
+    per document instead of once per (document, query).
+    """
+    raw = blank(_c(content))
+    s1 = df.withColumn("_bp_raw", raw).withColumn("_bp_txt", strip_tags(F.col("_bp_raw")))
+    s2 = s1.withColumn("_bp_paras", F.filter(F.transform(F.split("_bp_txt", PARA_SPLIT), lambda p: ws_trim(p)),
+                                             lambda p: F.length(p) > cfg.min_paragraph))
+    # normalise each paragraph once; the scoring lambda then only reads it
+    return s2.withColumn("_bp_np", F.transform("_bp_paras", lambda p: norm(p)))
+
+
 def add_best_paragraph(df: DataFrame, content, query, out: str = "paragraph",
                        cfg: SearchConfig = DEFAULT) -> DataFrame:
     """The paragraph that best matches the query (≤ 500 chars, trimmed)."""
-    raw = blank(_c(content))
-    s1 = (df.withColumn("_bp_raw", raw)
-            .withColumn("_bp_txt", strip_tags(F.col("_bp_raw")))
-            .withColumn("_bp_nq", norm(_c(query)))
+    s2 = df if "_bp_paras" in df.columns else with_paragraph_parts(df, content, cfg)
+    s2 = (s2.withColumn("_bp_nq", norm(_c(query)))
             .withColumn("_bp_ql", F.lower(_c(query))))
-    s2 = (s1.withColumn("_bp_words", query_words(F.col("_bp_nq")))
-            .withColumn("_bp_paras", F.filter(F.transform(F.split("_bp_txt", PARA_SPLIT), lambda p: ws_trim(p)),
-                                              lambda p: F.length(p) > cfg.min_paragraph)))
+    s2 = s2.withColumn("_bp_words", query_words(F.col("_bp_nq")))
     nq, ql, words = F.col("_bp_nq"), F.col("_bp_ql"), F.col("_bp_words")
-    # normalise each paragraph once; the scoring lambda then only reads it
-    s2 = s2.withColumn("_bp_np", F.transform("_bp_paras", lambda p: norm(p)))
 
     def score(p, i):
         np_ = F.element_at(F.col("_bp_np"), i + 1)

@@ -286,10 +286,20 @@ def r13_result_ids(spark, sf):
           "SELECT doc_id, query, para AS paragraph FROM bp"))
 def t3_best_paragraph(spark, sf):
     from seekrank.operators.snippets import add_best_paragraph
-    return add_best_paragraph(fx.paragraphs_fx(spark, sf), "content", "query", "paragraph").select(
+    return add_best_paragraph(_paragraph_requests(spark, sf), "content", "query", "paragraph").select(
         "doc_id", "query", "paragraph")
 
 
+def _paragraph_requests(spark, sf):
+    """paragraphs_fx with the per-document paragraph work done before the query join."""
+    from seekrank.operators.snippets import with_paragraph_parts
+    from seekrank.sources.tables import load
+    docs = load(spark, sf, "documents").select(
+        "doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
+    qs = spark.createDataFrame([(q,) for q in fx.PARAGRAPH_QUERIES], "query string")
+    return with_paragraph_parts(docs, "content").crossJoin(F.broadcast(qs))
+
+
 T4_SQL = o.with_ctes(
     o.paragraphs_ctes() + o.para_ctes("paragraphs_fx", ["doc_id", "query"], "content", "query", "bp")
     + o.phrase_ctes("bp", ["doc_id", "query"], "para", "q", "hl"),
@@ -299,7 +309,7 @@ T4_SQL = o.with_ctes(
 @register("t4_query_phrases", T4_SQL)
 def t4_query_phrases(spark, sf):
     from seekrank.operators.snippets import add_best_paragraph, add_phrases
-    p = add_best_paragraph(fx.paragraphs_fx(spark, sf), "content", "query", "paragraph")
+    p = add_best_paragraph(_paragraph_requests(spark, sf), "content", "query", "paragraph")
     p = add_phrases(p, "paragraph", "query", "ph")
     return p.select("doc_id", "query", F.concat_ws("|", "ph").alias("phrases"))
 
