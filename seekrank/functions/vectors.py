@@ -18,8 +18,11 @@ def as_double(v) -> Column:
     return F.transform(_c(v), lambda x: x.cast("double"))
 
 
-def dot(a, b) -> Column:
-    prod = F.zip_with(as_double(a), as_double(b), lambda x, y: x * y)
+def dot(a, b, cast: bool = True) -> Column:
+    """Sequential sum of products; ``cast=False`` when both sides already hold doubles."""
+    if cast:
+        a, b = as_double(a), as_double(b)
+    prod = F.zip_with(_c(a), _c(b), lambda x, y: x * y)
     return F.aggregate(prod, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
@@ -27,9 +30,9 @@ def l2_norm(v) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def cosine(a, b, norm_a=None, norm_b=None) -> Column:
+def cosine(a, b, norm_a=None, norm_b=None, cast: bool = True) -> Column:
     """dot / (|a|·|b|); a zero vector, null or NaN scores 0 (V4)."""
     na = _c(norm_a) if norm_a is not None else l2_norm(a)
     nb = _c(norm_b) if norm_b is not None else l2_norm(b)
-    raw = F.try_divide(dot(a, b), na * nb)
+    raw = F.try_divide(dot(a, b, cast), na * nb)
     return F.when(raw.isNull() | F.isnan(raw), F.lit(0.0)).otherwise(raw)

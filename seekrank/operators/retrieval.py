@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from seekrank.config import DEFAULT, SearchConfig
 from seekrank.functions.text import ws_trim
-from seekrank.functions.vectors import cosine, l2_norm
+from seekrank.functions.vectors import as_double, cosine, l2_norm
 
 META_COLS = ("url", "type", "title", "snippet", "updated_at")
 
@@ -99,15 +99,25 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = DEFA
     qcols = [F.col("query_id"), F.col("qvec"), F.col("k").cast("long").alias("k"),
              (F.col("types") if "types" in queries.columns else F.lit(None).cast("array<string>")).alias("types")]
     q = queries.select(*qcols).withColumn("qnorm", l2_norm("qvec"))
-    q_b, n_q = checked_broadcast(q, cfg.max_broadcast_queries)
+    qpd = None
     if method == "numpy":
-        scored = _topk_numpy(vecs, q, cfg)
+        # one bounded collect doubles as the size check; beyond it, the expression path
+        qpd = q.limit(cfg.max_broadcast_queries + 1).toPandas()
+        n_q = len(qpd)
+        if n_q > cfg.max_broadcast_queries:
+            method, qpd = "expr", None
     else:
-        v = vecs.select("id", "vector", "norm", F.coalesce(F.col("type"), F.lit("")).alias("_vtype"),
-                        F.col("type").isNull().alias("_vtype_null"))
-        pairs = v.join(q_b, type_allowed(F.col("types"), F.when(~F.col("_vtype_null"), F.col("_vtype"))), "inner")
+        n_q = q.count()
+    if method == "numpy":
+        scored = _topk_numpy(vecs, qpd, cfg)
+    else:
+        # cast to double once per row on each side, not once per (vector, query) pair
+        v = vecs.select("id", as_double("vector").alias("vector"), "norm", "type")
+        qd = q.withColumn("qvec", as_double("qvec"))
+        qd_b = F.broadcast(qd) if n_q <= cfg.max_broadcast_queries else qd
+        pairs = v.join(qd_b, type_allowed(F.col("types"), F.col("type")), "inner")
         scored = pairs.select("query_id", "k", "id",
-                              cosine("vector", "qvec", "norm", "qnorm").alias("score"))
+                              cosine("vector", "qvec", "norm", "qnorm", cast=False).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
     top = (scored.withColumn("rn", F.row_number().over(w))
                  .filter((F.col("rn") <= cfg.max_top_k) & (F.col("rn") <= F.col("k")))
@@ -119,17 +129,14 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = DEFA
     return meta.join(small, "id", "inner").filter(F.col("url").isNotNull())
 
 
-def _topk_numpy(vecs: DataFrame, q: DataFrame, cfg: SearchConfig) -> DataFrame:
+def _topk_numpy(vecs: DataFrame, qpd: pd.DataFrame, cfg: SearchConfig) -> DataFrame:
     """Batch path: one matrix product per Arrow batch, running exact top-k per query.
 
-    The query matrix is size-checked (``checked_broadcast``) and shipped once
-    as a broadcast variable. Selection keeps every row tied with the k-th score,
+    The query matrix (collected under ``cfg.max_broadcast_queries`` rows) is
+    shipped once as a broadcast variable. Selection keeps every row tied with the k-th score,
     then orders by (score desc, id asc), so the result equals the window path.
     """
     spark = vecs.sparkSession
-    qpd = q.toPandas()  # bounded by cfg.max_broadcast_queries (checked above)
-    if len(qpd) > cfg.max_broadcast_queries:
-        raise ValueError("too many queries for one batch; split the query set")
     qmat = np.stack([np.asarray(v, dtype=np.float64) for v in qpd["qvec"]]) if len(qpd) else np.zeros((0, 0))
     payload = spark.sparkContext.broadcast({
         "qid": qpd["query_id"].to_numpy(np.int64),

@@ -60,7 +60,8 @@ def fixture_search(spark: SparkSession, sf: str, method: str = "numpy", snippets
     urls = fx.urls_fx(spark, sf)
     vecs = fx.vectors_fx(urls)
     corpus = fx.corpus_fx(urls, vecs)
-    q = fx.query_vectors(fx.queries_fx(spark), vecs)
+    qsrc = fx.queries_fx(spark)
+    q = fx.query_vectors(qsrc, fx.urls_fx(spark, sf, only=qsrc.select("like_id")))
     return search(q, corpus, urls, fx.NOW, method=method, snippets=snippets)
 
 

@@ -46,9 +46,15 @@ def page_type(url) -> F.Column:
     return F.regexp_extract(url, r"/(de|en|es|fr)/[0-9]", 1)
 
 
-def urls_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry built from ``pages``: basic extraction, shaped content, fixed statuses and clock."""
+def urls_fx(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Registry built from ``pages``: basic extraction, shaped content, fixed statuses and clock.
+
+    ``only`` (one id column) keeps just those pages, before any extraction work.
+    """
     pages = load(spark, sf_dir, "pages")
+    if only is not None:
+        pages = pages.join(only.select(only.columns[0]).withColumnRenamed(only.columns[0], "page_id"),
+                           "page_id", "left_semi")
     ext = pages.select(
         F.col("page_id").alias("id"), "url",
         page_type(F.col("url")).alias("type"),
@@ -88,12 +94,16 @@ def queries_fx(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUERIES, QUERY_SCHEMA)
 
 
-def query_vectors(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """A query's vector is the vector of the page named by ``like_id``."""
-    v = vectors.select(F.col("id").alias("like_id"), F.col("vector").alias("qvec"))
-    # semi-join first so only the named vectors reach the (small) left join
-    wanted = v.join(queries.select("like_id"), "like_id", "left_semi")
-    return queries.join(wanted, "like_id", "left")
+def query_vectors(queries: DataFrame, urls: DataFrame, dim: int = DIM) -> DataFrame:
+    """A query's vector is the vector of the page named by ``like_id``.
+
+    Only the named registry rows are embedded: the semi-join runs before the
+    embedding (and can be pushed down to the page scan), so the work does not
+    grow with the corpus.
+    """
+    named = urls.join(queries.select(F.col("like_id").alias("id")), "id", "left_semi")
+    v = vectors_fx(named, dim).select(F.col("id").alias("like_id"), F.col("vector").alias("qvec"))
+    return queries.join(v, "like_id", "left")
 
 
 def matches_fx(spark: SparkSession, sf_dir: str, urls: DataFrame | None = None) -> DataFrame:
