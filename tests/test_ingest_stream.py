@@ -153,3 +153,21 @@ def test_process_stream(spark, sf, scratch):
     assert vec.count() == n
     m = spark.read.parquet(os.path.join(scratch, "metrics")).first()
     assert m["completed"] == n + 1 and m["vector_synced"] == n + 1
+
+
+def test_article_mode(spark, sf):
+    from seekrank.operators.article import extract_article
+    from seekrank.operators.ingest import extract_pages
+    from seekrank.sources.tables import load
+    pages = load(spark, sf, "pages")
+    out = extract_pages(pages, mode="article").select("page_id", "url", "title", "text", "html").collect()
+    assert len(out) == pages.count()
+    for r in out:
+        assert r["title"] and r["text"]
+        assert "<nav" not in r["html"] and "<footer" not in r["html"] and "<h1>" in r["html"]
+    # densest block, dropped script text, no main block at all
+    t, x, h = extract_article("<html><head><title>T</title></head><body><nav>menu</nav><div><p>short</p></div>"
+                              "<div><p>" + "long text " * 20 + "</p><script>x()</script></div></body></html>", "u")
+    assert t == "T" and x == ("long text " * 20).strip() and "menu" not in x and "x()" not in x
+    t, x, h = extract_article("<html><head></head><body><span>hi there</span><!-- c --></body></html>", "http://x")
+    assert (t, x) == ("http://x", "hi there")
