@@ -22,17 +22,46 @@ def _has(text_norm: Column, text_lower: Column, nq: Column, ql: Column) -> Colum
     return text_norm.contains(nq) | text_lower.contains(ql)
 
 
+# --------------------------------------------------------------------------- per-document features
+
+FEATURES = ("f_nt", "f_nu", "f_ns", "f_np", "f_lt", "f_lu", "f_ls", "f_g0", "f_slen")
+
+
+def doc_features(df: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:
+    """Query-independent match inputs of a document, computed once per document.
+
+    Stored with the vector records at index time, these turn the per-(query,
+    candidate) work of R2–R6 into plain ``contains`` checks: the regex
+    normalisation never runs per pair.
+    """
+    if all(c in df.columns for c in FEATURES):
+        return df
+    t, u, s = blank("title"), blank("url"), blank("snippet")
+    lt, lu, ls = F.lower(t), F.lower(u), F.lower(s)
+    bare = without_one_trailing_slash(F.regexp_replace(lu, r"^https?://", ""))
+    marker = None
+    for m in GENERIC_MARKERS:
+        c = ls.contains(m)
+        marker = c if marker is None else (marker | c)
+    g0 = marker | (F.length(ls) < cfg.generic_short) | (lt == lu) | (lt == bare)
+    return (df.withColumn("f_nt", norm(t)).withColumn("f_nu", norm(u)).withColumn("f_ns", norm(s))
+              .withColumn("f_np", norm(F.substring_index(lu, "?", 1)))
+              .withColumn("f_lt", lt).withColumn("f_lu", lu).withColumn("f_ls", ls)
+              .withColumn("f_g0", g0).withColumn("f_slen", F.length(ls)))
+
+
 # --------------------------------------------------------------------------- R2
 
 def match_flags(df: DataFrame, query_col: str = "query") -> DataFrame:
     """R2: title/url/snippet matches by normalised or lower-case containment."""
     q = F.col(query_col)
-    t, u, s = blank("title"), blank("url"), blank("snippet")
-    return (df.withColumn("_nq", norm(q)).withColumn("_ql", F.lower(q))
-              .withColumn("title_m", _has(norm(t), F.lower(t), F.col("_nq"), F.col("_ql")))
-              .withColumn("url_m", _has(norm(u), F.lower(u), F.col("_nq"), F.col("_ql")))
-              .withColumn("snip_m", _has(norm(s), F.lower(s), F.col("_nq"), F.col("_ql")))
-              .withColumn("text_m", F.col("title_m") | F.col("url_m") | F.col("snip_m")))
+    d = doc_features(df)
+    nq, ql = F.col("_nq"), F.col("_ql")
+    return (d.withColumn("_nq", norm(q)).withColumn("_ql", F.lower(q))
+             .withColumn("title_m", F.col("f_nt").contains(nq) | F.col("f_lt").contains(ql))
+             .withColumn("url_m", F.col("f_nu").contains(nq) | F.col("f_lu").contains(ql))
+             .withColumn("snip_m", F.col("f_ns").contains(nq) | F.col("f_ls").contains(ql))
+             .withColumn("text_m", F.col("title_m") | F.col("url_m") | F.col("snip_m")))
 
 
 # --------------------------------------------------------------------------- R3
@@ -53,18 +82,9 @@ def semantic_gate(df: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:
 
 def generic_flag(df: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:
     """Boilerplate snippet, very short snippet, or a title that is just the URL."""
-    ls = F.lower(blank("snippet"))
-    lt = F.lower(blank("title"))
-    lu = F.lower(blank("url"))
-    bare = without_one_trailing_slash(F.regexp_replace(lu, r"^https?://", ""))
-    marker = None
-    for m in GENERIC_MARKERS:
-        c = ls.contains(m)
-        marker = c if marker is None else (marker | c)
-    generic = (marker | (F.length(ls) < cfg.generic_short)
-               | ((F.length(ls) < cfg.generic_short_no_text) & ~F.col("text_m"))
-               | (lt == lu) | (lt == bare))
-    return df.withColumn("generic", generic)
+    d = doc_features(df, cfg)
+    generic = F.col("f_g0") | ((F.col("f_slen") < cfg.generic_short_no_text) & ~F.col("text_m"))
+    return d.withColumn("generic", generic)
 
 
 # --------------------------------------------------------------------------- R5–R8
@@ -80,16 +100,15 @@ def penalised(cfg: SearchConfig = DEFAULT) -> Column:
 
 
 def exact_flag() -> Column:
-    nt = norm(blank("title"))
+    nt = F.col("f_nt")
     nq = F.col("_nq")
     return (nt == nq) | nt.startswith(nq) | (first_word(nt) == first_word(nq))
 
 
 def url_path_flag() -> Column:
-    lu = F.lower(blank("url"))
-    path = F.substring_index(lu, "?", 1)
+    path = F.substring_index(F.col("f_lu"), "?", 1)
     ql = F.col("_ql")
-    return norm(path).contains(F.col("_nq")) | path.contains(F.concat(F.lit("/"), ql))
+    return F.col("f_np").contains(F.col("_nq")) | path.contains(F.concat(F.lit("/"), ql))
 
 
 def recency_boost(now, cfg: SearchConfig = DEFAULT) -> Column:
@@ -125,7 +144,7 @@ def rescore(cands: DataFrame, now, cfg: SearchConfig = DEFAULT) -> DataFrame:
     df = cands.withColumn("original_score", F.coalesce(F.col("score"), F.lit(0.0)))
     df = df.withColumn("original_score", F.when(F.isnan("original_score"), F.lit(0.0))
                        .otherwise(F.col("original_score")))
-    df = match_flags(df)
+    df = match_flags(doc_features(df, cfg))
     df = semantic_gate(df, cfg)
     df = generic_flag(df, cfg)
     return boost(df, now, cfg)

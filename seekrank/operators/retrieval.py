@@ -124,7 +124,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = DEFA
                  .select("query_id", "id", "score"))
     if not with_meta:
         return top
-    meta = vectors.select("id", *META_COLS)
+    feats = [c for c in vectors.columns if c.startswith("f_")]  # per-document match inputs, if stored
+    meta = vectors.select("id", *META_COLS, *feats)
     small = F.broadcast(top) if n_q * cfg.max_top_k <= cfg.max_broadcast_results else top
     return meta.join(small, "id", "inner").filter(F.col("url").isNotNull())
 

@@ -85,9 +85,11 @@ def vectors_fx(urls: DataFrame, dim: int = DIM) -> DataFrame:
 
 def corpus_fx(urls: DataFrame, vectors: DataFrame) -> DataFrame:
     """Vector records of completed rows: vector plus url/type/title/snippet/updated_at."""
+    from seekrank.operators.ranking import doc_features
     done = urls.filter(F.col("status") == "completed").select(
         "id", "url", "type", "title", F.col("content_preview").alias("snippet"), "updated_at")
-    return vectors.join(done, "id", "inner")
+    # per-document match inputs are computed once here, at index time
+    return doc_features(vectors.join(done, "id", "inner"))
 
 
 def queries_fx(spark: SparkSession) -> DataFrame:
