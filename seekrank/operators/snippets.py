@@ -35,6 +35,20 @@ def hydrate(results: DataFrame, registry: DataFrame, broadcast_results: bool = T
     return reg.join(small, "id", "right")
 
 
+def hydrate_docs(ids: DataFrame, registry: DataFrame) -> DataFrame:
+    """T1 per distinct document: ``(id, content)`` of completed rows among ``ids``.
+
+    ``ids`` are the distinct ids of the pages shown (≤ queries × perPage), so
+    they are the broadcast side; each document is fetched once however many
+    queries show it.
+    """
+    reg = (registry.filter(F.col("status") == STATUS_COMPLETED)
+                   .select("id", F.coalesce(F.nullif(F.col("full_text_content"), F.lit("")),
+                                            F.nullif(F.col("extracted_content"), F.lit("")),
+                                            F.lit("")).alias("content")))
+    return reg.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+
+
 # --------------------------------------------------------------------------- T3
 #
 # The steps below add their intermediate arrays as columns (one projection
@@ -153,11 +167,14 @@ def snippets_and_highlights(page_rows: DataFrame, registry: DataFrame, cfg: Sear
 
     Output adds ``snippet`` (replaced by the paragraph when there is one),
     ``highlights`` (null when the row had no content) and ``phrases``
-    (highlights, else phrases of the snippet). Row-local after the join.
+    (highlights, else phrases of the snippet). The query-independent paragraph
+    work runs once per distinct document; the scoring and phrases per row.
     """
-    h = hydrate(page_rows, registry)
+    docs = with_paragraph_parts(hydrate_docs(page_rows.select("id"), registry), "content", cfg)
+    h = page_rows.join(docs, "id", "left")
     h = h.withColumn("_has", F.coalesce(F.col("content"), F.lit("")) != "")
-    h = add_best_paragraph(h, F.when(F.col("_has"), F.col("content")), "query", "_para", cfg)
+    h = add_best_paragraph(h, "content", "query", "_para", cfg)
+    h = h.withColumn("_para", F.when(F.col("_has"), F.col("_para")))
     h = add_phrases(h, "_para", "query", "_hl", cfg)
     use = F.col("_has") & ((F.col("_para") != "") | (F.size("_hl") > 0))
     h = (h.withColumn("snippet", F.when(use & (F.col("_para") != ""), F.col("_para")).otherwise(F.col("snippet")))
