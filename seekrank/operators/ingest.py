@@ -228,11 +228,9 @@ def shape_content(df: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:
     """Cut title/text, derive preview and the text to embed."""
     title = F.substring("title", 1, cfg.max_title)
     text = F.substring("text", 1, cfg.max_text)
-    return (df.withColumn("title", title)
-              .withColumn("text", text)
-              .withColumn("preview", F.substring("text", 1, cfg.max_preview))
-              .withColumn("html", blank("html"))
-              .withColumn("embed_text", F.concat(F.col("title"), F.lit("\n"), F.col("text"))))
+    cut = df.withColumns({"title": title, "text": text, "html": blank("html")})
+    return cut.withColumns({"preview": F.substring("text", 1, cfg.max_preview),
+                            "embed_text": F.concat(F.col("title"), F.lit("\n"), F.col("text"))})
 
 
 # --------------------------------------------------------------------------- I11

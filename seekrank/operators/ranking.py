@@ -44,10 +44,9 @@ def doc_features(df: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:
         c = ls.contains(m)
         marker = c if marker is None else (marker | c)
     g0 = marker | (F.length(ls) < cfg.generic_short) | (lt == lu) | (lt == bare)
-    return (df.withColumn("f_nt", norm(t)).withColumn("f_nu", norm(u)).withColumn("f_ns", norm(s))
-              .withColumn("f_np", norm(F.substring_index(lu, "?", 1)))
-              .withColumn("f_lt", lt).withColumn("f_lu", lu).withColumn("f_ls", ls)
-              .withColumn("f_g0", g0).withColumn("f_slen", F.length(ls)))
+    return df.withColumns({
+        "f_nt": norm(t), "f_nu": norm(u), "f_ns": norm(s), "f_np": norm(F.substring_index(lu, "?", 1)),
+        "f_lt": lt, "f_lu": lu, "f_ls": ls, "f_g0": g0, "f_slen": F.length(ls)})
 
 
 # --------------------------------------------------------------------------- R2
@@ -57,11 +56,11 @@ def match_flags(df: DataFrame, query_col: str = "query") -> DataFrame:
     q = F.col(query_col)
     d = doc_features(df)
     nq, ql = F.col("_nq"), F.col("_ql")
-    return (d.withColumn("_nq", norm(q)).withColumn("_ql", F.lower(q))
-             .withColumn("title_m", F.col("f_nt").contains(nq) | F.col("f_lt").contains(ql))
-             .withColumn("url_m", F.col("f_nu").contains(nq) | F.col("f_lu").contains(ql))
-             .withColumn("snip_m", F.col("f_ns").contains(nq) | F.col("f_ls").contains(ql))
-             .withColumn("text_m", F.col("title_m") | F.col("url_m") | F.col("snip_m")))
+    flags = (d.withColumns({"_nq": norm(q), "_ql": F.lower(q)})
+              .withColumns({"title_m": F.col("f_nt").contains(nq) | F.col("f_lt").contains(ql),
+                            "url_m": F.col("f_nu").contains(nq) | F.col("f_lu").contains(ql),
+                            "snip_m": F.col("f_ns").contains(nq) | F.col("f_ls").contains(ql)}))
+    return flags.withColumn("text_m", F.col("title_m") | F.col("url_m") | F.col("snip_m"))
 
 
 # --------------------------------------------------------------------------- R3
@@ -141,9 +140,8 @@ def boost(df: DataFrame, now, cfg: SearchConfig = DEFAULT) -> DataFrame:
 
 def rescore(cands: DataFrame, now, cfg: SearchConfig = DEFAULT) -> DataFrame:
     """R2–R8 on candidates whose ``score`` column is the semantic score."""
-    df = cands.withColumn("original_score", F.coalesce(F.col("score"), F.lit(0.0)))
-    df = df.withColumn("original_score", F.when(F.isnan("original_score"), F.lit(0.0))
-                       .otherwise(F.col("original_score")))
+    raw = F.coalesce(F.col("score"), F.lit(0.0))
+    df = cands.withColumn("original_score", F.when(F.isnan(raw), F.lit(0.0)).otherwise(raw))
     df = match_flags(doc_features(df, cfg))
     df = semantic_gate(df, cfg)
     df = generic_flag(df, cfg)

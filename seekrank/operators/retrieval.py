@@ -44,13 +44,10 @@ def normalise_queries(queries: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFr
                        F.lit(cfg.max_per_page))
     page = F.greatest(F.coalesce(pg.cast("long"), F.lit(1)), F.lit(1))
     tft = F.col("type_filter_text") if "type_filter_text" in cols else F.lit(None).cast("string")
-    out = (queries.withColumn("query", query)
-                  .withColumn("types", types)
-                  .withColumn("per_page", per_page)
-                  .withColumn("page", page)
-                  .withColumn("type_filter_text", tft)
-                  .withColumn("error", F.when(F.col("query") == "", F.lit("query is required"))))
-    return out.withColumn("k", candidate_k(F.col("per_page"), F.col("page"), cfg))
+    out = queries.withColumns({"query": query, "types": types, "per_page": per_page, "page": page,
+                               "type_filter_text": tft})
+    return out.withColumns({"error": F.when(F.col("query") == "", F.lit("query is required")),
+                            "k": candidate_k(F.col("per_page"), F.col("page"), cfg)})
 
 
 def candidate_k(per_page: Column, page: Column, cfg: SearchConfig = DEFAULT) -> Column:

@@ -57,9 +57,17 @@ def ts_text(c: str) -> Column:
 # --------------------------------------------------------------------------- shared builders
 
 def fixture_search(spark: SparkSession, sf: str, method: str = "numpy", snippets: bool = True):
-    urls = fx.urls_fx(spark, sf)
+    """Search over the registry and vector records built from ``pages``.
+
+    Both are used by several branches of the plan (scoring, metadata, totals,
+    hydration), so they are materialised once with ``checkpoint()`` in the
+    session's checkpoint folder, as the stored tables of a deployment would be.
+    """
+    from seekrank.session import checkpoint_dir
+    checkpoint_dir(spark)
+    urls = fx.urls_fx(spark, sf).checkpoint()
     vecs = fx.vectors_fx(urls)
-    corpus = fx.corpus_fx(urls, vecs)
+    corpus = fx.corpus_fx(urls, vecs).checkpoint()
     qsrc = fx.queries_fx(spark)
     q = fx.query_vectors(qsrc, fx.urls_fx(spark, sf, only=qsrc.select("like_id")))
     return search(q, corpus, urls, fx.NOW, method=method, snippets=snippets)
@@ -297,8 +305,7 @@ def _paragraph_requests(spark, sf):
     from seekrank.sources.tables import load
     docs = load(spark, sf, "documents").select(
         "doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
-    qs = spark.createDataFrame([(q,) for q in fx.PARAGRAPH_QUERIES], "query string")
-    return with_paragraph_parts(docs, "content").crossJoin(F.broadcast(qs))
+    return with_paragraph_parts(docs, "content").crossJoin(F.broadcast(fx.paragraph_queries(spark)))
 
 
 T4_SQL = o.with_ctes(

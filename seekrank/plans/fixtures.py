@@ -92,8 +92,29 @@ def corpus_fx(urls: DataFrame, vectors: DataFrame) -> DataFrame:
     return doc_features(vectors.join(done, "id", "inner"))
 
 
+def _sql_value(v, kind: str) -> str:
+    if kind == "array":
+        if v is None:
+            return "CAST(NULL AS ARRAY<STRING>)"
+        return "CAST(array(" + ", ".join("'" + x.replace("'", "''") + "'" for x in v) + ") AS ARRAY<STRING>)"
+    if v is None:
+        return "CAST(NULL AS STRING)" if kind == "string" else "CAST(NULL AS BIGINT)"
+    if kind == "string":
+        return "'" + v.replace("'", "''") + "'"
+    return f"CAST({int(v)} AS BIGINT)"
+
+
 def queries_fx(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUERIES, QUERY_SCHEMA)
+    """The fixed request set as a JVM-side local table (no Python round trip per scan)."""
+    kinds = ["long", "string", "array", "long", "long", "string", "long"]
+    rows = ", ".join("(" + ", ".join(_sql_value(v, k) for v, k in zip(r, kinds)) + ")" for r in QUERIES)
+    names = [f.name for f in QUERY_SCHEMA.fields]
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(names)})")
+
+
+def paragraph_queries(spark: SparkSession) -> DataFrame:
+    rows = ", ".join("(" + _sql_value(q, "string") + ")" for q in PARAGRAPH_QUERIES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(query)")
 
 
 def query_vectors(queries: DataFrame, urls: DataFrame, dim: int = DIM) -> DataFrame:
@@ -129,7 +150,7 @@ def matches_fx(spark: SparkSession, sf_dir: str, urls: DataFrame | None = None)
 
 def paragraphs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    qs = spark.createDataFrame([(q,) for q in PARAGRAPH_QUERIES], "query string")
+    qs = paragraph_queries(spark)
     return docs.crossJoin(F.broadcast(qs)).select(
         "doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"), "query")
 
