@@ -68,6 +68,30 @@ def order_rows(rows: DataFrame) -> DataFrame:
                 .drop("_f"))
 
 
+def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, pages: DataFrame, registry_root: str,
+                  vectors_root: str, metrics_path: str, now, embedder=HashedBow(64)) -> None:
+    """One S2 micro-batch: I6–I12 on the queued URLs, then versioned commits (vectors first)."""
+    items = batch.groupBy("url").agg(F.max("type").alias("type"))  # one item per URL and batch
+    f = fetch_pages(items, pages)
+    ok = extract_pages(f.filter(F.col("html").isNotNull()))
+    miss = (f.filter(F.col("html").isNull()).withColumn("title", F.lit(None).cast("string"))
+             .withColumn("text", F.lit(None).cast("string")))
+    shaped = shape_content(with_placeholder(ok.unionByName(miss)))
+    done = embed(shaped, "embed_text", embedder).withColumn("error", F.lit(None).cast("string")).persist()
+    registry = snapshots.read_latest(spark, registry_root, empty_registry(spark), before=batch_id)
+    vectors = snapshots.read_latest(spark, vectors_root, empty_vectors(spark), before=batch_id)
+    new_registry = apply_results(registry, done, now)
+    records, _errors = vector_records(done, new_registry)
+    snapshots.commit(spark, vectors_root, upsert_vectors(vectors, records), batch_id, batch_id)
+    snapshots.commit(spark, registry_root, new_registry, batch_id, batch_id)
+    m = done.agg(F.count_if(F.col("error").isNull()).alias("completed"),
+                 F.count_if(F.col("error").isNotNull()).alias("failed"),
+                 F.count_if(F.col("vector").isNotNull()).alias("vector_synced"))
+    (m.select(F.lit(batch_id).cast("long").alias("batch_id"), "*").write.mode("overwrite")
+      .parquet(f"{metrics_path.rstrip('/')}/batch_id={batch_id}"))
+    done.unpersist()
+
+
 def stream_process(spark: SparkSession, work_dir: str, pages: DataFrame, registry_root: str, vectors_root: str,
                    metrics_path: str, clock, embedder=HashedBow(64), checkpoint: str | None = None,
                    trigger: dict | None = None):
@@ -75,29 +99,8 @@ def stream_process(spark: SparkSession, work_dir: str, pages: DataFrame, registr
     work = spark.readStream.schema(WORK_SCHEMA).parquet(work_dir)
 
     def per_batch(batch: DataFrame, batch_id: int):
-        now = clock(batch_id)
-        items = batch.groupBy("url").agg(F.max("type").alias("type"))  # one item per URL and batch
-        f = fetch_pages(items, pages)
-        ok = extract_pages(f.filter(F.col("html").isNotNull()))
-        miss = (f.filter(F.col("html").isNull()).withColumn("title", F.lit(None).cast("string"))
-                 .withColumn("text", F.lit(None).cast("string")))
-        fetched = with_placeholder(ok.unionByName(miss))
-        shaped = shape_content(fetched)
-        done = embed(shaped, "embed_text", embedder).withColumn("error", F.lit(None).cast("string"))
-        done = done.persist()
-        registry = snapshots.read_latest(spark, registry_root, empty_registry(spark), before=batch_id)
-        vectors = snapshots.read_latest(spark, vectors_root, empty_vectors(spark), before=batch_id)
-        new_registry = apply_results(registry, done, now)
-        records, _errors = vector_records(done, new_registry)
-        new_vectors = upsert_vectors(vectors, records)
-        snapshots.commit(spark, vectors_root, new_vectors, batch_id, batch_id)   # vectors first
-        snapshots.commit(spark, registry_root, new_registry, batch_id, batch_id)
-        m = done.agg(F.count_if(F.col("error").isNull()).alias("completed"),
-                     F.count_if(F.col("error").isNotNull()).alias("failed"),
-                     F.count_if(F.col("vector").isNotNull()).alias("vector_synced"))
-        (m.select(F.lit(batch_id).cast("long").alias("batch_id"), "*").write.mode("overwrite")
-          .parquet(f"{metrics_path.rstrip('/')}/batch_id={batch_id}"))
-        done.unpersist()
+        process_batch(spark, batch, batch_id, pages, registry_root, vectors_root, metrics_path,
+                      clock(batch_id), embedder)
 
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/s2-process"
     return (work.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
@@ -108,4 +111,4 @@ def encode_csv(text: str) -> str:
     return base64.b64encode(text.encode("utf-8")).decode("ascii")
 
 
-__all__ = ["stream_uploads", "stream_process", "encode_csv", "validate_url_rows"]
+__all__ = ["stream_uploads", "stream_process", "process_batch", "encode_csv", "validate_url_rows"]

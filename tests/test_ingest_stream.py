@@ -171,3 +171,27 @@ def test_article_mode(spark, sf):
     assert t == "T" and x == ("long text " * 20).strip() and "menu" not in x and "x()" not in x
     t, x, h = extract_article("<html><head></head><body><span>hi there</span><!-- c --></body></html>", "http://x")
     assert (t, x) == ("http://x", "hi there")
+
+
+def test_process_batch_replay_gives_same_state(spark, sf, scratch):
+    from seekrank.operators.ingest import empty_vectors
+    from seekrank.plans.fixtures import urls_fx
+    from seekrank.sources.tables import load
+    from seekrank.streaming.uploads import process_batch
+    pages = load(spark, sf, "pages")
+    reg_root, vec_root, met = (os.path.join(scratch, x) for x in ("reg", "vec", "met"))
+    registry = urls_fx(spark, sf).withColumn("status", F.lit("pending"))
+    snapshots.commit(spark, reg_root, registry, -1, -1)
+    batch = registry.select("url", "type")
+
+    def state():
+        reg = snapshots.read_latest(spark, reg_root, empty_registry(spark))
+        vec = snapshots.read_latest(spark, vec_root, empty_vectors(spark))
+        return (sorted(tuple(r) for r in reg.select("id", "status", "title", "updated_at").collect()),
+                sorted((r["id"], tuple(r["vector"])) for r in vec.select("id", "vector").collect()))
+
+    process_batch(spark, batch, 0, pages, reg_root, vec_root, met, "2024-02-01 00:00:00")
+    first = state()
+    process_batch(spark, batch, 0, pages, reg_root, vec_root, met, "2024-02-01 00:00:00")  # replay
+    assert state() == first
+    assert all(r[1] == "completed" for r in first[0])
