@@ -161,11 +161,13 @@ def _topk_numpy(vecs: DataFrame, qpd: pd.DataFrame, cfg: SearchConfig) -> DataFr
             with np.errstate(divide="ignore", invalid="ignore"):
                 s = (mat @ qm.T) / np.outer(vn, qn)
             s[~np.isfinite(s)] = 0.0
-            vt = pdf["type"].to_numpy(object)
+            # type filter: factorise the batch's types once, then one lookup per query
+            codes, uniq = pd.factorize(pdf["type"], use_na_sentinel=True)
             for j in range(len(qid)):
                 sc, ix = s[:, j], ids
                 if qtypes[j]:
-                    keep = np.fromiter((t in qtypes[j] for t in vt), dtype=bool, count=len(vt))
+                    allowed = np.fromiter((u in qtypes[j] for u in uniq), dtype=bool, count=len(uniq))
+                    keep = (codes >= 0) & np.append(allowed, False)[codes]
                     sc, ix = sc[keep], ix[keep]
                 sc = np.concatenate([best[j][0], sc])
                 ix = np.concatenate([best[j][1], ix])
