@@ -92,7 +92,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = DEFA
     ``query_id, qvec, k`` and optionally ``types``. Returns ``query_id, id,
     score`` (+ metadata, rows without url dropped after the top-k).
     """
-    vecs = with_norm(vectors)
+    # a record without a usable vector is not an index entry
+    vecs = with_norm(vectors.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)))
     qcols = [F.col("query_id"), F.col("qvec"), F.col("k").cast("long").alias("k"),
              (F.col("types") if "types" in queries.columns else F.lit(None).cast("array<string>")).alias("types")]
     q = queries.select(*qcols).withColumn("qnorm", l2_norm("qvec"))
