@@ -85,12 +85,19 @@ def with_norm(vectors: DataFrame, vec_col: str = "vector") -> DataFrame:
 # --------------------------------------------------------------------------- V4
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = DEFAULT,
-                method: str = "expr", with_meta: bool = True) -> DataFrame:
+                method: str = "expr", with_meta: bool = True, bound_buckets: int = 0) -> DataFrame:
     """V4: best ``k`` vectors per query by cosine, type filter before ranking.
 
     ``vectors``: ``id, vector`` plus ``type`` and metadata. ``queries``:
     ``query_id, qvec, k`` and optionally ``types``. Returns ``query_id, id,
     score`` (+ metadata, rows without url dropped after the top-k).
+
+    ``bound_buckets`` > 1 (NumPy path) first ranks the rows with
+    ``hash(id) mod bound_buckets = 0``: the k-th best score there is a lower
+    bound of the k-th best score overall, so the full pass can drop every pair
+    below it before its per-partition top-k. The result is unchanged; the
+    top-k shuffle shrinks from ≤ k rows per query per partition to roughly
+    the rows above the bound.
     """
     # a record without a usable vector is not an index entry
     vecs = with_norm(vectors.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)))
@@ -107,7 +114,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = DEFA
     else:
         n_q = q.count()
     if method == "numpy":
-        scored = _topk_numpy(vecs, qpd, cfg)
+        bounds = _score_bounds(vecs, qpd, cfg, bound_buckets) if bound_buckets > 1 else None
+        scored = _topk_numpy(vecs, qpd, cfg, bounds)
     else:
         # cast to double once per row on each side, not once per (vector, query) pair
         v = vecs.select("id", as_double("vector").alias("vector"), "norm", "type")
@@ -128,7 +136,20 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = DEFA
     return meta.join(small, "id", "inner").filter(F.col("url").isNotNull())
 
 
-def _topk_numpy(vecs: DataFrame, qpd: pd.DataFrame, cfg: SearchConfig) -> DataFrame:
+def _score_bounds(vecs: DataFrame, qpd: pd.DataFrame, cfg: SearchConfig, buckets: int) -> np.ndarray:
+    """Per query: the k-th best score among one hash bucket of the corpus (-inf if fewer than k)."""
+    part = vecs.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) == 0)
+    first = _topk_numpy(part, qpd, cfg)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
+    kth = (first.withColumn("rn", F.row_number().over(w))
+                .filter((F.col("rn") <= cfg.max_top_k) & (F.col("rn") <= F.col("k")))
+                .groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"),
+                                         F.first("k").alias("k")))
+    got = {r["query_id"]: (r["low"] if r["n"] >= r["k"] else -np.inf) for r in kth.collect()}  # ≤ one row per query
+    return np.array([got.get(int(q), -np.inf) for q in qpd["query_id"]], dtype=np.float64)
+
+
+def _topk_numpy(vecs: DataFrame, qpd: pd.DataFrame, cfg: SearchConfig, bounds: np.ndarray | None = None) -> DataFrame:
     """Batch path: one matrix product per Arrow batch, running exact top-k per query.
 
     The query matrix (collected under ``cfg.max_broadcast_queries`` rows) is
@@ -143,6 +164,7 @@ def _topk_numpy(vecs: DataFrame, qpd: pd.DataFrame, cfg: SearchConfig) -> DataFr
         "qmat": qmat,
         "qnorm": qpd["qnorm"].to_numpy(np.float64),
         "types": [None if t is None else set(t) for t in qpd["types"]],
+        "bounds": bounds,
     })
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("k", T.LongType()),
                            T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -150,7 +172,7 @@ def _topk_numpy(vecs: DataFrame, qpd: pd.DataFrame, cfg: SearchConfig) -> DataFr
 
     def part(batches):
         p = payload.value
-        qid, kk, qm, qn, qtypes = p["qid"], p["k"], p["qmat"], p["qnorm"], p["types"]
+        qid, kk, qm, qn, qtypes, lows = p["qid"], p["k"], p["qmat"], p["qnorm"], p["types"], p["bounds"]
         kk = np.minimum(kk, cap)
         best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in qid]
         for pdf in batches:
@@ -170,6 +192,9 @@ def _topk_numpy(vecs: DataFrame, qpd: pd.DataFrame, cfg: SearchConfig) -> DataFr
                     allowed = np.fromiter((u in qtypes[j] for u in uniq), dtype=bool, count=len(uniq))
                     keep = (codes >= 0) & np.append(allowed, False)[codes]
                     sc, ix = sc[keep], ix[keep]
+                if lows is not None and np.isfinite(lows[j]):
+                    keep = sc >= lows[j]  # cannot reach the top k otherwise
+                    sc, ix = sc[keep], ix[keep]
                 sc = np.concatenate([best[j][0], sc])
                 ix = np.concatenate([best[j][1], ix])
                 best[j] = _select(sc, ix, int(kk[j]))

@@ -195,3 +195,13 @@ def test_process_batch_replay_gives_same_state(spark, sf, scratch):
     process_batch(spark, batch, 0, pages, reg_root, vec_root, met, "2024-02-01 00:00:00")  # replay
     assert state() == first
     assert all(r[1] == "completed" for r in first[0])
+
+
+def test_bound_prefilter_keeps_exact_topk(spark, sf):
+    from seekrank.operators.retrieval import vector_topk
+    from seekrank.plans.catalog import embedding_requests
+    corpus, queries = embedding_requests(spark, sf)
+    a = vector_topk(corpus, queries, method="numpy", with_meta=False).collect()
+    b = vector_topk(corpus, queries, method="numpy", with_meta=False, bound_buckets=4).collect()
+    assert sorted((r["query_id"], r["id"], r["score"]) for r in a) == \
+        sorted((r["query_id"], r["id"], r["score"]) for r in b)
