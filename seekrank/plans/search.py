@@ -37,19 +37,25 @@ def prepare_queries(queries: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFram
 
 
 def candidates(q: DataFrame, corpus: DataFrame, now, cfg: SearchConfig = DEFAULT,
-               method: str = "expr") -> DataFrame:
+               method: str = "numpy", bound_buckets: int = 0) -> DataFrame:
     """V3+V4 then R2–R8: scored candidates of every usable query."""
     ok = q.filter(F.col("error").isNull() & F.col("has_vector"))
-    top = vector_topk(corpus, ok.select("query_id", "qvec", "k", "types"), cfg, method=method)
+    top = vector_topk(corpus, ok.select("query_id", "qvec", "k", "types"), cfg, method=method,
+                      bound_buckets=bound_buckets)
     attrs = ok.select("query_id", "query", "per_page", "page", "type_filter_text")
     return rescore(top.join(attrs, "query_id"), now, cfg)
 
 
 def search(queries: DataFrame, corpus: DataFrame, registry: DataFrame, now,
-           cfg: SearchConfig = DEFAULT, method: str = "numpy", snippets: bool = True) -> SearchResult:
-    """``queries``: query_id, query, types, per_page, page, type_filter_text, qvec."""
+           cfg: SearchConfig = DEFAULT, method: str = "numpy", snippets: bool = True,
+           bound_buckets: int = 0) -> SearchResult:
+    """``queries``: query_id, query, types, per_page, page, type_filter_text, qvec.
+
+    ``bound_buckets`` turns on the exact score-bound prefilter of the top-k
+    (see :func:`seekrank.operators.retrieval.vector_topk`) for large corpora.
+    """
     q = prepare_queries(queries, cfg)
-    scored = candidates(q, corpus, now, cfg, method)
+    scored = candidates(q, corpus, now, cfg, method, bound_buckets)
     page_rows = rank_pipeline(scored, cfg)
     totals = filter_text(dedup_urls(scored)).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("total_available"))
