@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from seekrank.plans import catalog
 from seekrank.sources.tables import TABLES
 from tools.compare import canon
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.SPARK)
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,7 @@ def duck(sf):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.SQL) == set(catalog.SPARK) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
