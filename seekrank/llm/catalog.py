@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seekrank.llm import common, token_files
+from seekrank.llm import bpe, common, token_files
 from seekrank.sources.tables import load
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +18,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+
+
 SPARK = {
     "op1_token_files": op1_token_files,
+    "op10_bpe_codec": op10_bpe_codec,
 }
 
 SQL: dict[str, str] = {}

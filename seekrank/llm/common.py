@@ -58,33 +58,70 @@ def _byte_chars() -> list[str]:
     return [chars[b] for b in range(256)]
 
 
-_BYTE_CHARS = _byte_chars()
+BYTE_CHARS = _byte_chars()
 #: Letters below this are stable under composition and have the plain lower case.
 _LATIN_END = "\u0250"
 #: ASCII punctuation without the apostrophe: a word splits before it, as the pre-tokenizer does.
 _STEM = re.compile(rb"([a-z\xc3-\xc9\x80-\xbf]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+class WordTable:
+    """Ids of words met so far; ``encode`` (words -> flat ids, ids per word) sees each word once.
+
+    The table is emptied when it holds ``max_words``; that changes the time, never the ids.
+    """
+
+    def __init__(self, encode, max_words: int = 1_000_000):
+        self.encode, self.max_words = encode, max_words
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict = {}
+        self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def gather(self, words: list, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of texts given as ``counts`` words each, and the number of ids of each text."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
+        array = np.empty(len(words), object)
+        array[:] = words
+        codes, uniq = pd.factorize(array)
+        if len(self.index) + len(uniq) > self.max_words:
+            self._clear()
+        new = [w for w in uniq if w not in self.index]
+        if new:
+            ids, lens = self.encode(new)
+            self.index.update(zip(new, range(len(self.lens), len(self.lens) + len(new))))
+            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lens) - lens]
+            self.lens = np.r_[self.lens, lens]
+            self.flat = np.r_[self.flat, ids]
+        at = np.fromiter((self.index[w] for w in uniq), np.int64, len(uniq))[codes]
+        lens = self.lens[at]
+        total = np.cumsum(lens)
+        ends = np.r_[0, total][np.cumsum(counts)]
+        return self.flat[spread(self.starts[at], lens)], np.diff(np.r_[0, ends])
+
+
+def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Positions of the runs [start, start + len), one after the other."""
+    total = np.cumsum(lens)
+    return np.repeat(starts - (total - lens), lens) + np.arange(int(total[-1]) if len(total) else 0)
+
+
 class WordIds:
     """Token ids of whole texts, asking the tokenizers library once per distinct word.
 
     For tokenizers whose normalizer and pre-tokenizer never look across ASCII
     white space and ignore ASCII case. Texts that hold ``<|`` (a special token
     may stand there, and those are matched as written) are encoded whole.
-    The word table is emptied when it holds ``max_words``.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.max_words = max_words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.table = WordTable(self._encode_words)
 
     def _ids(self, word: bytes) -> list[int] | None:
         """Ids of one run of letters by the model alone; None when the word needs the whole pipeline."""
@@ -96,11 +133,11 @@ class WordIds:
             text = text.lower()
             if max(text) >= _LATIN_END or not text.isalpha():
                 return None
-            text = "".join(_BYTE_CHARS[b] for b in text.encode())
+            text = "".join(BYTE_CHARS[b] for b in text.encode())
         return [t.id for t in self.tokenizer.model.tokenize(text)]
 
-    def _add(self, words: list[bytes]) -> None:
-        """Enter new words: letters, letters with punctuation behind them, and all others by the full tokenizer."""
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters, letters with punctuation behind them, and all others by the full tokenizer."""
         got: list[list[int] | None] = []
         parts: dict[bytes, list[int] | None] = {}
 
@@ -120,13 +157,7 @@ class WordIds:
         rest = [i for i, x in enumerate(got) if x is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
             got[i] = e.ids
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))
-        at = len(self.lens)
-        self.index.update(zip(words, range(at, at + len(words))))
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lens) - lens]
-        self.lens = np.r_[self.lens, lens]
-        self.flat = np.r_[self.flat, ids]
+        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each (null: empty text)."""
@@ -136,28 +167,12 @@ class WordIds:
             if not t:
                 continue
             if "<|" in t:
-                # one table entry for the whole text; a leading space keeps it apart from words
-                own = [b" " + t.encode()]
+                own = [b" " + t.encode()]  # one table entry for the whole text; the space keeps it apart from words
             else:
                 own = t.encode().lower().split()
             counts[i] = len(own)
             words += own
-        if not words:
-            return np.zeros(0, np.uint32), counts
-        array = np.empty(len(words), object)
-        array[:] = words
-        codes, uniq = pd.factorize(array)
-        if len(self.index) + len(uniq) > self.max_words:
-            self._clear()
-        new = [w for w in uniq if w not in self.index]
-        if new:
-            self._add(new)
-        at = np.fromiter((self.index[w] for w in uniq), np.int64, len(uniq))[codes]
-        lens = self.lens[at]
-        total = np.cumsum(lens)
-        pos = np.repeat(self.starts[at] - (total - lens), lens) + np.arange(int(total[-1]))
-        ends = np.r_[0, total][np.cumsum(counts)]
-        return self.flat[pos], np.diff(np.r_[0, ends])
+        return self.table.gather(words, counts)
 
 
 _WORD_IDS: dict[str, WordIds] = {}
