@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seekrank.llm import bpe, common, token_files
+from seekrank.llm import bpe, common, quality, shards, token_files
 from seekrank.sources.tables import load
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -18,12 +18,22 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(load(spark, sf_dir, "documents"), 16)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
 
 
 SPARK = {
     "op1_token_files": op1_token_files,
+    "op6_hilbert_shards": op6_hilbert_shards,
+    "op9_quality": op9_quality,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
