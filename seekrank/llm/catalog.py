@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seekrank.llm import bpe, common, quality, shards, token_files
+from seekrank.llm import bpe, common, quality, shards, token_files, topk
 from seekrank.sources.tables import load
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +19,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(load(spark, sf_dir, "documents"), 16)
 
@@ -32,9 +37,12 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPARK = {
     "op1_token_files": op1_token_files,
+    "op4_pivot_topk": op4_pivot_topk,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op9_quality": op9_quality,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_pivot_topk": topk.TOP5_SQL,
+}

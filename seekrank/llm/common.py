@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -59,10 +57,6 @@ def _byte_chars() -> list[str]:
 
 
 BYTE_CHARS = _byte_chars()
-#: Letters below this are stable under composition and have the plain lower case.
-_LATIN_END = "\u0250"
-#: ASCII punctuation without the apostrophe: a word splits before it, as the pre-tokenizer does.
-_STEM = re.compile(rb"([a-z\xc3-\xc9\x80-\xbf]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordTable:
@@ -109,70 +103,143 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (total - lens), lens) + np.arange(int(total[-1]) if len(total) else 0)
 
 
+def _mix(n: int, seed: int) -> np.ndarray:
+    """n fixed pseudo-random odd 64-bit numbers."""
+    z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 40)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))) | np.uint64(1)
+
+
+# Kinds of bytes: white space, letters and digits, apostrophe, other ASCII punctuation, the rest.
+_SPACE, _ALNUM, _QUOTE, _PUNCT, _REST = range(5)
+_KIND = np.full(256, _REST, np.uint8)
+_KIND[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = _PUNCT
+_KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = _ALNUM
+_KIND[list(b"'")] = _QUOTE
+_KIND[list(b" \t\n\r\x0b\f")] = _SPACE
+#: What a byte adds to the key of its word; ASCII capitals as small letters.
+_BYTE_KEY = _mix(256, 1)
+_BYTE_KEY[65:91] = _BYTE_KEY[97:123]
+
+
+class Words:
+    """The words of many texts, as runs of one byte buffer, with 64-bit keys.
+
+    Words end at ASCII white space and between ASCII or Latin-1 letters or digits
+    and ASCII punctuation other than the apostrophe. The key of a word is the sum
+    of byte numbers times place numbers, modulo 2**64; letter case (ASCII,
+    Latin-1) doesn't count. Among a million words two share a key with a chance
+    below one in a million.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = b"\n".join(texts)
+        buf = np.frombuffer(self.raw, np.uint8)
+        kind = _KIND[buf]
+        two = np.flatnonzero(buf[:-1] == 0xC3)  # the Latin-1 letters are C3 80 to C3 BF, but for the two signs
+        two = two[(buf[two + 1] != 0x97) & (buf[two + 1] != 0xB7)]
+        kind[two] = kind[two + 1] = _ALNUM
+        capital = two[(buf[two + 1] <= 0x9E)] + 1
+        inside = kind != _SPACE
+        ends = np.r_[True, ~inside, True]
+        cut = np.flatnonzero((kind[:-1] == _ALNUM) & (kind[1:] == _PUNCT) | (kind[:-1] == _PUNCT) & (kind[1:] == _ALNUM)) + 1
+        first, last = inside & ends[:-2], inside & ends[2:]
+        first[cut] = True
+        last[cut - 1] = True
+        self.starts = np.flatnonzero(first)
+        self.lens = np.flatnonzero(last) + 1 - self.starts
+        total = np.cumsum(self.lens)
+        begin = total - self.lens
+        if capital.size:
+            buf = buf.copy()
+            buf[capital] += 0x20
+        if len(total):
+            place = np.arange(int(total[-1])) - np.repeat(begin, self.lens)
+            self.keys = np.add.reduceat(_BYTE_KEY[buf[inside]] * _mix(int(self.lens.max()), 2)[place], begin)
+            letter = (kind == _ALNUM) & ~((buf >= 48) & (buf <= 57))
+            self.letters = np.add.reduceat(letter[inside].astype(np.int64), begin) == self.lens
+        else:
+            self.keys, self.letters = np.zeros(0, np.uint64), np.zeros(0, bool)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.counts = np.diff(np.searchsorted(self.starts, bounds))
+
+    def text(self, i: int) -> str:
+        return self.raw[self.starts[i]: self.starts[i] + self.lens[i]].decode()
+
+
 class WordIds:
     """Token ids of whole texts, asking the tokenizers library once per distinct word.
 
-    For tokenizers whose normalizer and pre-tokenizer never look across ASCII
-    white space and ignore ASCII case. Texts that hold ``<|`` (a special token
-    may stand there, and those are matched as written) are encoded whole.
+    For tokenizers that drop white space, ignore case and split between letters
+    and punctuation, and whose words end in ids marked ``</w>``. Texts that hold
+    ``<|`` (a special token may stand there, and those are matched as written)
+    are encoded whole. The table of words (sorted keys) is emptied when it holds
+    ``max_words``; that changes the time, never the ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_words: int = 3_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.table = WordTable(self._encode_words)
-
-    def _ids(self, word: bytes) -> list[int] | None:
-        """Ids of one run of letters by the model alone; None when the word needs the whole pipeline."""
-        text = word.decode()
-        if text.isascii():
-            if not text.isalpha():
-                return None
-        else:
-            text = text.lower()
-            if max(text) >= _LATIN_END or not text.isalpha():
-                return None
-            text = "".join(BYTE_CHARS[b] for b in text.encode())
-        return [t.id for t in self.tokenizer.model.tokenize(text)]
-
-    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of letters, letters with punctuation behind them, and all others by the full tokenizer."""
-        got: list[list[int] | None] = []
-        parts: dict[bytes, list[int] | None] = {}
-
-        def part(w: bytes):
-            if w not in parts:
-                parts[w] = self._ids(w)
-            return parts[w]
-
-        for w in words:
-            m = _STEM.fullmatch(w)
-            stem = part(m[1]) if m else None
-            if stem is not None and m[2]:
-                if m[2] not in parts:
-                    parts[m[2]] = self.tokenizer.encode(m[2].decode(), add_special_tokens=False).ids
-                stem = stem + parts[m[2]]
-            got.append(stem)
-        rest = [i for i, x in enumerate(got) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
-            got[i] = e.ids
-        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.max_words = max_words
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at ``which``, letters first: flat ids and ids per word."""
+        n = int(words.letters[which].sum())
+        texts = [words.text(i) for i in which]
+        lines = self._ask([" ".join(texts[i:min(n, i + 2000)]) for i in range(0, n, 2000)])
+        flat = np.concatenate([*lines, np.zeros(0, np.uint32)])
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != n or n and ends[-1] != len(flat):
+            raise ValueError("this tokenizer does not mark the ends of words")
+        rest = self._ask(texts[n:])
+        return np.concatenate([flat, *rest]), np.r_[np.diff(np.r_[0, ends]), [len(r) for r in rest]].astype(np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each (null: empty text)."""
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if "<|" in t:
-                own = [b" " + t.encode()]  # one table entry for the whole text; the space keeps it apart from words
-            else:
-                own = t.encode().lower().split()
-            counts[i] = len(own)
-            words += own
-        return self.table.gather(words, counts)
+        special = [i for i, t in enumerate(texts) if t and "<|" in t]
+        words = Words([b"" if not t or "<|" in t else t.encode() for t in texts])
+        codes, uniq = pd.factorize(words.keys)
+        if len(self.keys) + len(uniq) > self.max_words:
+            self._clear()
+        place = np.minimum(np.searchsorted(self.keys, uniq), max(0, len(self.keys) - 1))
+        missing = self.keys[place] != uniq if len(self.keys) else np.ones(len(uniq), bool)
+        if missing.any():
+            seen = np.empty(len(uniq), np.int64)
+            seen[codes[::-1]] = np.arange(len(codes))[::-1]
+            which = seen[missing]
+            which = which[np.argsort(~words.letters[which], kind="stable")]
+            ids, lens = self._new(words, which)
+            keys = np.r_[self.keys, words.keys[which]]
+            order = np.argsort(keys, kind="stable")
+            self.keys = keys[order]
+            self.at = np.r_[self.at, len(self.flat) + np.cumsum(lens) - lens][order]
+            self.lens = np.r_[self.lens, lens.astype(np.int32)][order]
+            self.flat = np.r_[self.flat, ids]
+            place = np.searchsorted(self.keys, uniq)
+        at = place[codes]
+        lens = self.lens[at].astype(np.int64)
+        ends = np.r_[0, np.cumsum(lens)][np.cumsum(words.counts)]
+        flat, sizes = self.flat[spread(self.at[at], lens)], np.diff(np.r_[0, ends])
+        if special:
+            whole = self._ask([texts[i] for i in special])
+            cuts = np.r_[0, ends[special]]
+            flat = np.concatenate([x for a, b, w in zip(cuts[:-1], cuts[1:], whole) for x in (flat[a:b], w)] + [flat[cuts[-1]:]])
+            sizes[special] = [len(w) for w in whole]
+        return flat, sizes
 
 
 _WORD_IDS: dict[str, WordIds] = {}
