@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekrank.llm import bpe, common, quality, shards, token_files, topk
+from seekrank.llm import bpe, common, quality, secrets, shards, token_files, topk
 from seekrank.sources.tables import load
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(load(spark, sf_dir, "documents"), 16)
 
 
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(load(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ SPARK = {
     "op1_token_files": op1_token_files,
     "op4_pivot_topk": op4_pivot_topk,
     "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_secret_ledger": op7_secret_ledger,
     "op9_quality": op9_quality,
     "op10_bpe_codec": op10_bpe_codec,
 }
