@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekrank.llm import bpe, common, quality, secrets, shards, token_files, topk
+from seekrank.llm import bpe, common, quality, secrets, shards, sketch, token_files, topk
 from seekrank.sources.tables import load
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprint_documents(load(spark, sf_dir, "documents"))
+
+
 def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -41,6 +45,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPARK = {
     "op1_token_files": op1_token_files,
+    "op3_scaled_sketch": op3_scaled_sketch,
     "op4_pivot_topk": op4_pivot_topk,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_secret_ledger": op7_secret_ledger,
