@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekrank.llm import bpe, common, quality, secrets, shards, sketch, token_files, topk
+from seekrank.llm import bpe, common, jaccard, quality, secrets, shards, sketch, token_files, topk
 from seekrank.sources.tables import load
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(load(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(load(spark, sf_dir, "documents"), 16)
 
@@ -47,6 +51,7 @@ SPARK = {
     "op1_token_files": op1_token_files,
     "op3_scaled_sketch": op3_scaled_sketch,
     "op4_pivot_topk": op4_pivot_topk,
+    "op5_ngram_join": op5_ngram_join,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_secret_ledger": op7_secret_ledger,
     "op9_quality": op9_quality,

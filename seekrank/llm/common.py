@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seekrank.session import checkpoint_dir
 
@@ -34,10 +35,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into runs of rows whose texts hold about ``limit`` bytes (one row at least)."""
-    for b in batches:
-        if not b.num_rows:
-            continue
+    """Cut record batches into runs of rows whose texts hold about ``limit`` bytes (one row at least, 4096 at most)."""
+    for b in (whole.slice(lo, 4096) for whole in batches for lo in range(0, whole.num_rows, 4096)):
         size = pa.compute.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         group = np.cumsum(size) // limit
         cuts = np.flatnonzero(np.diff(group)) + 1
@@ -118,6 +117,7 @@ _KIND[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = _PUNCT
 _KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = _ALNUM
 _KIND[list(b"'")] = _QUOTE
 _KIND[list(b" \t\n\r\x0b\f")] = _SPACE
+_PLAIN = np.where(_KIND == _SPACE, _SPACE, _REST).astype(np.uint8)
 #: What a byte adds to the key of its word; ASCII capitals as small letters.
 _BYTE_KEY = _mix(256, 1)
 _BYTE_KEY[65:91] = _BYTE_KEY[97:123]
@@ -130,14 +130,15 @@ class Words:
     and ASCII punctuation other than the apostrophe. The key of a word is the sum
     of byte numbers times place numbers, modulo 2**64; letter case (ASCII,
     Latin-1) doesn't count. Among a million words two share a key with a chance
-    below one in a million.
+    below one in a million. With ``plain``, words end at white space only and
+    only ASCII case doesn't count.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], plain: bool = False):
         self.raw = b"\n".join(texts)
         buf = np.frombuffer(self.raw, np.uint8)
-        kind = _KIND[buf]
-        two = np.flatnonzero(buf[:-1] == 0xC3)  # the Latin-1 letters are C3 80 to C3 BF, but for the two signs
+        kind = _PLAIN[buf] if plain else _KIND[buf]
+        two = np.flatnonzero(buf[:-1] == 0xC3) if not plain else np.zeros(0, np.int64)  # the Latin-1 letters are C3 80 to C3 BF, but for the two signs
         two = two[(buf[two + 1] != 0x97) & (buf[two + 1] != 0xB7)]
         kind[two] = kind[two + 1] = _ALNUM
         capital = two[(buf[two + 1] <= 0x9E)] + 1
@@ -256,3 +257,34 @@ def with_end(ids: np.ndarray, lens: np.ndarray, end: int) -> tuple[np.ndarray, n
     """Put the id ``end`` after each run."""
     out = np.insert(ids, np.cumsum(lens), np.uint32(end)) if len(lens) else ids
     return out.astype(np.uint32, copy=False), lens + 1
+
+
+class Marks:
+    """A fixed-size set of 64-bit keys that may hold more than was put in, never less.
+
+    ``BITS`` bits whatever the number of keys: small enough to send to every
+    task, as a filter in front of an exact join.
+    """
+
+    BITS = 1 << 25
+
+    def __init__(self, keys: DataFrame):
+        """``keys``: one long column. At most BITS / 64 rows come back to the driver."""
+        bit = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(self.BITS))
+        rows = (keys.select(bit.alias("b")).select((F.col("b") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m"))
+                .groupBy("w").agg(F.bit_or("m").alias("m")).toArrow())
+        words = np.zeros(self.BITS // 64, np.int64)
+        words[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
+        self.shared = keys.sparkSession.sparkContext.broadcast(words)
+
+    def filter(self, df: DataFrame, key: str) -> DataFrame:
+        """The rows of ``df`` whose long column ``key`` may be in the set."""
+        shared = self.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.column("__bit").to_numpy()
+                keep = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
+                yield b.drop_columns(["__bit"]).filter(pa.array(keep))
+        marked = df.filter(F.col(key).isNotNull()).withColumn("__bit", F.pmod(F.xxhash64(F.col(key)), F.lit(self.BITS)).cast("long"))
+        return marked.mapInArrow(run, df.schema)
