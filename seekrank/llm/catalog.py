@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekrank.llm import bpe, common, jaccard, quality, secrets, shards, sketch, token_files, topk
+from seekrank.llm import bpe, common, jaccard, packing, quality, secrets, shards, sketch, token_files, topk
 from seekrank.sources.tables import load
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), end_id=0, capacity=2048)
+
+
 def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_documents(load(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPARK = {
     "op1_token_files": op1_token_files,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_scaled_sketch": op3_scaled_sketch,
     "op4_pivot_topk": op4_pivot_topk,
     "op5_ngram_join": op5_ngram_join,
