@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekrank.llm import bpe, common, jaccard, packing, quality, secrets, shards, sketch, token_files, topk
+from seekrank.llm import bpe, common, jaccard, packing, pseudonyms, quality, secrets, shards, sketch, token_files, topk
 from seekrank.sources.tables import load
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+#: Key of the registered query; real jobs pass their own secret.
+DEMO_KEY = b"a key for the registered query only"
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +45,10 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(load(spark, sf_dir, "documents"))
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -59,6 +65,7 @@ SPARK = {
     "op5_ngram_join": op5_ngram_join,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_secret_ledger": op7_secret_ledger,
+    "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_quality": op9_quality,
     "op10_bpe_codec": op10_bpe_codec,
 }

@@ -150,6 +150,18 @@ def score(docs: DataFrame, model: Quality, *keep: str) -> DataFrame:
     return cols.mapInArrow(run, f"{schema}, score double")
 
 
+def keep_good(docs: DataFrame, model: Quality, least: float) -> DataFrame:
+    """The rows of ``docs`` (any columns, ``text`` among them) that score ``least`` or more; a map over the input."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = model.sizes()
+        for b in common.slices(batches):
+            value = model.score(np.array([sizes.diff(t) for t in b.column(place).to_pylist()]))
+            yield b.filter(pa.array(value >= least))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows that never train: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
