@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = edges.unionByName(turned) if large else edges
-    least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = common.staged(around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     if large:
         moved = around.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -29,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder; the number of rounds grows with
     the logarithm of the components' size. Hubs are aggregated before the
-    shuffle, and joins on them are left to Spark's skew handling.
+    shuffle and written, so that Spark can split the join on a hub.
     """
     edges = common.staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:

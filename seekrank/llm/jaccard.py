@@ -172,7 +172,7 @@ def signatures(sets: Sets, bands: list[Band], measure: Measure) -> tuple[np.ndar
         m = band.segments
         at = common.spread(sets.start[sel], sets.size[sel])
         h = sets.h[at]
-        spot = mix(h + _M1 * np.uint64(j + 1)) >> np.uint64(32)
+        spot = mix(h + np.full(1, j + 1, np.uint64) * _M1) >> np.uint64(32)
         seg = ((spot * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
         cell = np.repeat(np.arange(len(sel)), sets.size[sel]) * m + seg
         value = mix(h ^ _M2)
@@ -320,8 +320,8 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     # every node of a signature against the one that shares most signatures
     info = F.struct("node", "n_shingles", *_PARITY)
     degree = member.groupBy("node").agg(F.count("*").alias("degree"))
-    centre = (member.join(degree, "node").groupBy("sig")
-              .agg(F.max(F.struct("degree", "node", "n_shingles", *_PARITY)).alias("y")))
+    centre = common.staged(member.join(degree, "node").groupBy("sig")
+                           .agg(F.max(F.struct("degree", "node", "n_shingles", *_PARITY)).alias("y")), "centres")
     pairs = (member.select("sig", info.alias("x")).join(centre, "sig").filter((F.col("x.node") != F.col("y.node")) & _bounds_pass(measure))
              .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
     links = common.staged(verified(common.staged(pairs, "pairs"), nodes, docs, measure), "links")
@@ -331,6 +331,7 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     open_member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_sigs = (open_member.groupBy("sig").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
                  .filter("n > 2 and r0 <> r1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("sig", "blocks"))
+    open_sigs = common.staged(open_sigs, "open-signatures")  # as a table, so that a join with a hot signature can be split
     k = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = open_member.join(open_sigs, "sig").withColumn("k", k).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     fields = F.struct("node", "root", "n_shingles", *_PARITY, (F.col("k") > F.least("k", "other")).cast("int").alias("side"))
@@ -341,6 +342,6 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     roots = common.staged(components(links.unionByName(more)), "roots")
 
     named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = common.staged(named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
     return named.join(least, "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

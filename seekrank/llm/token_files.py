@@ -148,8 +148,10 @@ class Model:
             state = np.where(live, new, state)
             ids[:, s * LANES : (s + 1) * LANES] = self.tokens[sym]
         by_block: list[list[np.ndarray]] = [[] for _ in payloads]
-        for u, row, n in zip(units, ids, left):
+        for u, row, n, end in zip(units, ids, left, state):
             by_block[u[0]].append(row[:n])
+            if u[4] <= CHECK_STEPS * LANES and (end != _LOW).any():  # where the encoder began
+                raise ValueError("a token block does not end as it began")
         got = [np.concatenate(x) if x else np.zeros(0, np.uint32) for x in by_block]
         for x, (n, crc) in zip(got, heads):
             if len(x) != n or zlib.crc32(x.astype("<u4").tobytes()) != crc:
