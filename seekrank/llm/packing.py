@@ -11,8 +11,9 @@ Gaps shrink, and the class is swept again while its pieces find gaps. Pieces
 that find none open sequences in the order of size.
 
 State is narrow (ids and sizes), written to the shared folder every round. A
-gap that could hold several pieces of a class offers as many slots, so the
-number of rounds depends on the capacity, not on the data.
+gap that could hold several pieces of a class offers several slots, up to its
+share of the pieces, so the number of rounds depends on the capacity and not on
+the number of rows.
 
 Rules for odd input: a null or empty text is the end id alone; repeated rows
 and equal doc_ids are packed each; a null doc_id stays null; an empty table
@@ -135,12 +136,16 @@ class Packing:
         if not least[1]:
             return pending, 0
         wide = self.gaps.filter(F.col("gap") >= least[0])
-        n_slots = F.greatest(F.lit(1), F.floor(F.col("gap") / high)).cast("int")
+        n_wide = wide.count()
+        if not n_wide:
+            return pending, 0
+        share = -(-least[1] // n_wide)  # no more slots than the pieces can take, a gap's share rounded up
+        n_slots = F.greatest(F.lit(1), F.least(F.lit(share), F.floor(F.col("gap") / high))).cast("int")
         slots = (wide.withColumn("n", n_slots).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n"))))
                  .select(F.when(F.col("slot") < F.col("n"), F.lit(high).cast("long")).otherwise(F.col("gap") - (F.col("n") - 1) * high).alias("size"),
                          F.lit(0).alias("kind"), F.col("seq").alias("id"), "slot"))
         events = slots.unionByName(pending.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("rid").alias("id"), F.lit(0).alias("slot")))
-        parts = self._range(least[1] + wide.count())
+        parts = self._range(2 * least[1] + n_wide)
         order = [F.col("size").desc(), "kind", "id", "slot"]
         swept = common.staged(events.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "swept")
         left = (swept.filter("kind > 0").groupBy("part").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("i"), F.count(F.when(F.col("kind") == 2, 1)).alias("s")).collect())
