@@ -31,6 +31,10 @@ GENERIC_MARKERS = (
 # Placeholder written for a page whose fetch failed; the prefix is followed by the URL.
 PLACEHOLDER_PREFIX = "Content temporarily unavailable for "
 
+# Documented limits of single operators, off unless passed: text cut of I9, rows of L2.
+TEXT_CUT = 10000
+TEXT_SEARCH_ROWS = 10000
+
 STATUS_PENDING = "pending"
 STATUS_COMPLETED = "completed"
 STATUS_FAILED = "failed"
@@ -43,6 +47,10 @@ DEFAULT_FILE_NAME = "upload.csv"
 WS = r"[\t\n\x0B\f\r ]"
 
 
+# ---------------------------------------------------------------------------
+# Fixed values as well: budgets, thresholds, boosts and penalties of the rules.
+# ---------------------------------------------------------------------------
+
 @dataclass(frozen=True)
 class SearchConfig:
     max_top_k: int = 1000
@@ -85,14 +93,11 @@ class SearchConfig:
     text_title: float = 0.35
     text_url: float = 0.20
     text_snippet: float = 0.15
-    max_text_fetch: int = 10000
     # content shaping
     max_title: int = 500
-    max_text: int = 10000
     max_preview: int = 500
-    # broadcast bounds (rows) for sides whose size is checked before a broadcast
-    max_broadcast_queries: int = 20000
-    max_broadcast_results: int = 2_000_000
+    # bytes of one tile of queries or of vectors in the top-k product
+    tile_bytes: int = 4 << 20
 
 
 DEFAULT = SearchConfig()

@@ -76,29 +76,57 @@ class EmbedError(Exception):
 
 @dataclass(frozen=True)
 class BatchEmbedder:
-    """A pluggable embedder: ``fn(texts) -> list[vector | EmbedError]``."""
+    """A pluggable embedder: ``fn(texts) -> list[vector | EmbedError]``, called with ``max_texts`` at most."""
 
     name: str
     fn: Callable[[Sequence[str]], Sequence[object]]
+    max_texts: int = 64
+
+
+class EmptyEmbedding(EmbedError):
+    """The service answered with an empty vector: an answer, so no other service is asked."""
+
+    def __init__(self):
+        super().__init__("Generated embedding is empty", http=False)
 
 
 def _should_fall_back(err: EmbedError) -> bool:
-    return (not err.http) or err.status in FALLBACK_STATUSES
+    return not isinstance(err, EmptyEmbedding) and ((not err.http) or err.status in FALLBACK_STATUSES)
 
 
-def _run(embedder: BatchEmbedder, texts: list[str]) -> list[object]:
+def _vector(answer: object) -> object:
+    """A float vector, or the error that the answer stands for."""
+    if isinstance(answer, EmbedError):
+        return answer
+    if answer is None:
+        return EmptyEmbedding()
+    try:
+        vec = np.asarray(answer, dtype=np.float32)
+    except (TypeError, ValueError) as e:
+        return EmbedError(f"Generated embedding is not a vector: {e}", http=False)
+    if vec.ndim != 1:
+        return EmbedError("Generated embedding is not a vector", http=False)
+    return vec if len(vec) else EmptyEmbedding()
+
+
+def _call(embedder: BatchEmbedder, texts: list[str]) -> list[object]:
+    """One answer per text; a call that fails or answers too few or too many is repeated text by text."""
     try:
         out = list(embedder.fn(texts))
-    except EmbedError as e:  # the whole call failed: every row gets the error
-        out = [e] * len(texts)
+        if len(out) == len(texts):
+            return [_vector(v) for v in out]
+        problem: object = EmbedError(f"{len(out)} embeddings for {len(texts)} texts", http=False)
+    except EmbedError as e:
+        problem = e
     except Exception as e:  # not raised by the HTTP client
-        out = [EmbedError(str(e), http=False)] * len(texts)
-    fixed = []
-    for v in out:
-        if not isinstance(v, EmbedError) and (v is None or len(v) == 0):
-            v = EmbedError("Generated embedding is empty", http=False)
-        fixed.append(v)
-    return fixed
+        problem = EmbedError(str(e), http=False)
+    if len(texts) == 1:
+        return [problem]
+    return [_call(embedder, [t])[0] for t in texts]
+
+
+def _run(embedder: BatchEmbedder, texts: list[str]) -> list[object]:
+    return [v for lo in range(0, len(texts), embedder.max_texts) for v in _call(embedder, texts[lo:lo + embedder.max_texts])]
 
 
 def embed(df: DataFrame, text_col: str, embedder, fallback: BatchEmbedder | None = None,
@@ -127,9 +155,9 @@ def embed(df: DataFrame, text_col: str, embedder, fallback: BatchEmbedder | None
             vecs, provs, errs = [], [], []
             for i, r in enumerate(first):
                 if not isinstance(r, EmbedError):
-                    vecs.append(np.asarray(r, dtype=np.float32)); provs.append(embedder.name); errs.append(None)
+                    vecs.append(r); provs.append(embedder.name); errs.append(None)
                 elif i in second and not isinstance(second[i], EmbedError):
-                    vecs.append(np.asarray(second[i], dtype=np.float32)); provs.append(fallback.name); errs.append(None)
+                    vecs.append(second[i]); provs.append(fallback.name); errs.append(None)
                 elif i in second:
                     vecs.append(None); provs.append(None)
                     errs.append(f"Embedding generation failed: {embedder.name} failed ({r}), "

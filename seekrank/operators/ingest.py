@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from seekrank.config import (DEFAULT, DEFAULT_FILE_NAME, PLACEHOLDER_PREFIX, STATUS_COMPLETED,
                              STATUS_FAILED, STATUS_PENDING, SearchConfig)
 from seekrank.functions.text import blank, collapse_ws, ws_trim
+from seekrank.operators.numbering import dense_ids
 
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -42,9 +43,14 @@ VECTOR_SCHEMA = T.StructType([
     T.StructField("title", T.StringType()),
     T.StructField("snippet", T.StringType()),
     T.StructField("updated_at", T.TimestampNTZType()),
+    # written at index time, so that no search computes them again (see ranking.doc_features)
+    T.StructField("norm", T.DoubleType()),
+    *(T.StructField(f, T.StringType()) for f in ("f_nt", "f_nu", "f_ns", "f_np", "f_lt", "f_lu", "f_ls")),
+    T.StructField("f_g0", T.BooleanType()),
+    T.StructField("f_slen", T.IntegerType()),
 ])
 
-BOOKKEEPING = ("upload_id", "row_no", "file_name", "columns_found")
+BOOKKEEPING = ("upload_id", "row_no", "file_name", "columns_found", "error")
 
 
 def ts_lit(now) -> Column:
@@ -86,8 +92,14 @@ def validate_url_rows(rows: DataFrame) -> DataFrame:
 
 
 def upload_report(rows: DataFrame) -> DataFrame:
-    """I3 report per upload: columns found, data rows, valid rows and an error text."""
+    """I3 report per upload: columns found, data rows, valid rows and an error text.
+
+    A row without ``row_no`` stands for an upload that could not be read (I2):
+    it is no data row, and its own error is the report's.
+    """
     clean = clean_url_rows(rows)
+    read = F.col("row_no").isNotNull() if "row_no" in rows.columns else F.lit(True)
+    failed = F.max(F.when(~read, F.col("error"))) if "error" in rows.columns else F.lit(None).cast("string")
     if "columns_found" in clean.columns:
         cols = F.first("columns_found", ignorenulls=True)
     else:
@@ -96,66 +108,50 @@ def upload_report(rows: DataFrame) -> DataFrame:
     valid = (F.length("type") > 0) & (F.length("url") > 0)
     rep = clean.groupBy("upload_id").agg(
         cols.alias("columns_found"),
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(valid).alias("url_count"),
+        F.count_if(read).alias("row_count"),
+        F.count_if(read & valid).alias("url_count"),
+        failed.alias("_failed"),
     )
-    err = (F.when(F.col("row_count") == 0, F.lit("CSV file is empty or contains no data rows"))
+    err = (F.when(F.col("_failed").isNotNull(), F.col("_failed"))
+            .when(F.col("row_count") == 0, F.lit("CSV file is empty or contains no data rows"))
             .when(F.col("url_count") == 0,
                   F.concat(F.lit("No valid rows found in CSV. Found columns: "), F.col("columns_found"),
                            F.lit(". Required: type, url (case-insensitive). Optional: id"))))
-    return rep.withColumn("error", err)
+    return rep.withColumn("error", err).drop("_failed")
 
 
 # --------------------------------------------------------------------------- I4
 
-def dense_ids(df: DataFrame, order_col: str, base: Column, out_col: str = "id") -> DataFrame:
-    """Number rows 1.. in ``order_col`` order, plus ``base``, without a one-partition window.
-
-    Rows are range-partitioned and sorted; each row's position inside its
-    partition comes from ``monotonically_increasing_id`` and the partition's
-    offset from a tiny per-partition count (one row per partition).
-    ``order_col`` must be unique so the numbering is repeatable on recompute.
-    """
-    ordered = (df.repartitionByRange(order_col).sortWithinPartitions(order_col)
-                 .withColumn("_pid", F.spark_partition_id())
-                 .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = ordered.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", "_off")
-    return (ordered.join(F.broadcast(offsets), "_pid")
-                   .withColumn(out_col, base + F.col("_off") + F.col("_local") + 1)
-                   .drop("_pid", "_mid", "_local", "_off"))
-
-
-def upsert_urls(registry: DataFrame, rows: DataFrame, now) -> DataFrame:
-    """I4: insert new URLs as pending, put existing ones back to pending.
+def upsert_urls_changes(registry: DataFrame, rows: DataFrame, now) -> DataFrame:
+    """I4, the registry rows that change: known URLs back to pending, new ones pending.
 
     Existing rows keep type, title and content (only status/updated_at change).
     Duplicate URLs in ``rows`` collapse; the lowest ``row_no`` gives the type.
+    New ids go on from the largest one (from 1 in an empty registry) in the
+    order of first ``row_no``, then URL.
     """
     ts = ts_lit(now)
     valid = validate_url_rows(rows)
     incoming = valid.groupBy("url").agg(
-        F.min_by("type", "row_no").alias("type"), F.min("row_no").alias("first_row_no"))
-    hits = incoming.select("url", F.lit(True).alias("_hit"))
-    reg = registry.join(hits, "url", "left")
-    kept = reg.select(
-        "id", "url", "type", "title", "content_preview", "extracted_content", "full_text_content",
-        F.when(F.col("_hit"), F.lit(STATUS_PENDING)).otherwise(F.col("status")).alias("status"),
-        "created_at",
-        F.when(F.col("_hit"), ts).otherwise(F.col("updated_at")).alias("updated_at"),
-    )
-    known = registry.select("url").join(hits.select("url"), "url", "left_semi")
-    new = incoming.join(known, "url", "left_anti")
-    base = registry.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_base"))
-    new = dense_ids(new.crossJoin(F.broadcast(base)), "first_row_no", F.col("_base"))
+        F.min_by("type", F.struct("row_no", "type")).alias("type"), F.min("row_no").alias("first_row_no"))
+    known = (registry.join(incoming.select("url"), "url", "left_semi").select(*registry.columns)
+                     .withColumns({"status": F.lit(STATUS_PENDING), "updated_at": ts}))
+    new = incoming.join(registry.select("url"), "url", "left_anti")
+    base = registry.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))  # one row
+    new = dense_ids(new, ["first_row_no", "url"], F.lit(0)).crossJoin(F.broadcast(base)).withColumn("id", F.col("_base") + F.col("id"))
     null = F.lit(None).cast("string")
     new_rows = new.select(
         "id", "url", "type", null.alias("title"), null.alias("content_preview"),
         null.alias("extracted_content"), null.alias("full_text_content"),
         F.lit(STATUS_PENDING).alias("status"), ts.alias("created_at"), ts.alias("updated_at"))
-    return kept.unionByName(new_rows)
+    return known.unionByName(new_rows)
+
+
+def upsert_urls(registry: DataFrame, rows: DataFrame, now) -> DataFrame:
+    """I4: the next registry, the unchanged rows and those of :func:`upsert_urls_changes`."""
+    changed = upsert_urls_changes(registry, rows, now)
+    same = registry.join(validate_url_rows(rows).select("url").distinct(), "url", "left_anti").select(*registry.columns)
+    return same.unionByName(changed)
 
 
 # --------------------------------------------------------------------------- I5
@@ -175,8 +171,14 @@ def pending_work(rows: DataFrame, registry: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- I6, I7
 
 def fetch_pages(work: DataFrame, pages: DataFrame) -> DataFrame:
-    """Look each URL up in the crawled ``pages(url, html)`` table; no page = failed fetch."""
-    return work.join(pages.select("url", "html"), "url", "left")
+    """Look each URL up in the crawled ``pages(url, html)`` table; no page = failed fetch.
+
+    A URL crawled more than once gives its last page: largest ``page_id`` where
+    there is one, then largest html.
+    """
+    order = F.struct(*([F.col("page_id")] if "page_id" in pages.columns else []), F.col("html"))
+    one = pages.filter(F.col("html").isNotNull()).groupBy("url").agg(F.max(order).alias("_p")).select("url", F.col("_p.html").alias("html"))
+    return work.join(one, "url", "left")
 
 
 def with_placeholder(df: DataFrame) -> DataFrame:
@@ -191,17 +193,35 @@ def with_placeholder(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- I8
 
-_SCRIPT_STYLE = r"(?s)<(script|style)[^>]*>.*?</(script|style)>"
+#: Character references decoded in page text; the ampersand comes last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
+            ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+_COMMENT = r"(?s)<!--.*?-->"
+_SCRIPT_STYLE = r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>"
+
+
+def decode_entities(c: Column) -> Column:
+    for ref, char in ENTITIES:
+        c = F.replace(c, F.lit(ref), F.lit(char))
+    return c
 
 
 def basic_title(html, url) -> Column:
-    t = F.regexp_extract(html, r"<title>([^<]*)</title>", 1)
+    """Text of the first title element (decoded, blanks collapsed), else the URL."""
+    t = F.trim(collapse_ws(decode_entities(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1))))
     return F.coalesce(F.nullif(t, F.lit("")), url)
 
 
+def html_body(html) -> Column:
+    """Inside of the body element (to the end where it isn't closed); without one, what follows the head."""
+    inside = F.regexp_replace(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)", 1), r"(?is)</body\s*>.*", "")
+    return F.when(html.rlike(r"(?i)<body\b[^>]*>"), inside).otherwise(F.regexp_replace(html, r"(?is)^.*</head\s*>", ""))
+
+
 def basic_text(html) -> Column:
-    no_code = F.regexp_replace(html, _SCRIPT_STYLE, " ")
-    return F.trim(collapse_ws(F.regexp_replace(no_code, r"<[^>]*>", " ")))
+    """Text of the body: no comments, scripts or styles, tags to blanks, decoded, blanks collapsed."""
+    bare = F.regexp_replace(F.regexp_replace(html_body(html), _COMMENT, " "), _SCRIPT_STYLE, " ")
+    return F.trim(collapse_ws(decode_entities(F.regexp_replace(bare, r"<[^>]*>", " "))))
 
 
 def extract_pages(df: DataFrame, mode: str = "basic") -> DataFrame:
@@ -216,18 +236,30 @@ def extract_pages(df: DataFrame, mode: str = "basic") -> DataFrame:
     if mode != "basic":
         raise ValueError(f"unknown extraction mode: {mode}")
     html, url = F.col("html"), F.col("url")
-    body = F.regexp_extract(html, r"(?s)<body[^>]*>(.*)</body>", 1)
     return (df.withColumn("title", basic_title(html, url))
               .withColumn("text", basic_text(html))
-              .withColumn("html", body))
+              .withColumn("html", html_body(html)))
+
+
+def extract_fetched(fetched: DataFrame, mode: str = "basic") -> DataFrame:
+    """I8 for the pages that were fetched, I7 for the others: ``fetched`` plus fetch_failed, title, text, html."""
+    html = F.col("html")
+    none = F.lit(None).cast("string")
+    got = extract_pages(fetched.filter(html.isNotNull()), mode)
+    missed = fetched.filter(html.isNull()).withColumns({"title": none, "text": none})
+    return with_placeholder(got.select(*missed.columns).unionByName(missed))
 
 
 # --------------------------------------------------------------------------- I9
 
-def shape_content(df: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:
-    """Cut title/text, derive preview and the text to embed."""
+def shape_content(df: DataFrame, cfg: SearchConfig = DEFAULT, max_text: int | None = None) -> DataFrame:
+    """Cut the title, derive preview and the text to embed.
+
+    ``max_text`` cuts the text as well; without it the whole text is stored,
+    embedded and searched.
+    """
     title = F.substring("title", 1, cfg.max_title)
-    text = F.substring("text", 1, cfg.max_text)
+    text = F.substring("text", 1, max_text) if max_text else F.col("text")
     cut = df.withColumns({"title": title, "text": text, "html": blank("html")})
     return cut.withColumns({"preview": F.substring("text", 1, cfg.max_preview),
                             "embed_text": F.concat(F.col("title"), F.lit("\n"), F.col("text"))})
@@ -236,8 +268,15 @@ def shape_content(df: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:
 # --------------------------------------------------------------------------- I11
 
 def apply_results(registry: DataFrame, results: DataFrame, now) -> DataFrame:
-    """Completed rows get content; rows with an error become failed, content kept."""
+    """Completed rows get content; rows with an error become failed, content kept.
+
+    Several results for one URL count as one: the largest ``seq`` where there is
+    one; then a result without error, and the largest title, text and html.
+    """
     ts = ts_lit(now)
+    rank = F.struct(*([F.col("seq")] if "seq" in results.columns else []), F.col("error").isNull().alias("ok"), "title", "text", "html")
+    kept = [c for c in ("title", "preview", "html", "text", "error") if c in results.columns]
+    results = results.groupBy("url").agg(F.max_by(F.struct(*kept), rank).alias("_r")).select("url", "_r.*")
     r = results.select(
         "url", F.col("title").alias("_title"), F.col("preview").alias("_preview"),
         F.col("html").alias("_html"), F.col("text").alias("_text"), F.col("error").alias("_error"),
@@ -267,31 +306,39 @@ def vector_records(results: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     """I12 input: look up id and updated_at by URL; returns (records, errors).
 
     Only rows that have a vector become records; a URL missing from the
-    registry gives an error row and the job continues.
+    registry gives an error row and the job continues. Records carry the norm
+    and the per-document match inputs of the search.
     """
+    from seekrank.operators.ranking import doc_features
+    from seekrank.operators.retrieval import with_norm
     with_vec = results.filter(F.col("vector").isNotNull() & (F.size("vector") > 0))
     if "error" in results.columns:  # a failed row is marked failed, not synced
         with_vec = with_vec.filter(F.col("error").isNull())
     reg = registry.select("url", "id", F.col("updated_at").alias("_reg_updated_at"))
     j = with_vec.join(reg, "url", "left")
-    records = j.filter(F.col("id").isNotNull()).select(
+    records = doc_features(with_norm(j.filter(F.col("id").isNotNull()).select(
         "id", "vector", "url", "type", "title", F.col("preview").alias("snippet"),
         F.col("_reg_updated_at").alias("updated_at"),
-        *([F.col("seq")] if "seq" in results.columns else []))
+        *([F.col("seq")] if "seq" in results.columns else []))))
     errors = j.filter(F.col("id").isNull()).select(
         "url", F.lit("Failed to find URL in database").alias("error"))
     return records, errors
 
 
-def upsert_vectors(vectors: DataFrame, records: DataFrame) -> DataFrame:
-    """Replace vector and all metadata by id; records reduced to one per id first."""
-    cols = [f.name for f in VECTOR_SCHEMA.fields]
+def vector_changes(records: DataFrame) -> DataFrame:
+    """One record per id, the newest (``seq``, else updated_at), with all stored columns."""
     if "seq" in records.columns:
         order = F.col("seq").desc()
     else:
         order = F.col("updated_at").desc_nulls_last()
     one = Window.partitionBy("id").orderBy(order, F.col("url"))
-    latest = (records.withColumn("_rn", F.row_number().over(one)).filter("_rn = 1")
-                     .select(*cols))
+    return (records.withColumn("_rn", F.row_number().over(one)).filter("_rn = 1")
+                   .select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in VECTOR_SCHEMA.fields)))
+
+
+def upsert_vectors(vectors: DataFrame, records: DataFrame) -> DataFrame:
+    """Replace vector, metadata and stored match inputs by id."""
+    cols = [f.name for f in VECTOR_SCHEMA.fields]
+    latest = vector_changes(records)
     keep = vectors.join(latest.select("id"), "id", "left_anti")
     return keep.select(*cols).unionByName(latest)

@@ -174,12 +174,17 @@ def dedup_urls(df: DataFrame) -> DataFrame:
               .withColumn("_dn", F.row_number().over(w)).filter("_dn = 1").drop("_dn", "url_key"))
 
 
-def filter_text(df: DataFrame) -> DataFrame:
-    """Free-text facet over type, url and title (trimmed, lower-cased)."""
+def facet_hit() -> Column:
+    """R11 test: the trimmed, lower-cased facet text is blank or stands in type, url or title."""
     f = F.lower(ws_trim(F.coalesce(F.col("type_filter_text"), F.lit(""))))
     hit = (F.lower(blank("type")).contains(f) | F.lower(blank("url")).contains(f)
            | F.lower(blank("title")).contains(f))
-    return df.filter((f == "") | hit)
+    return (f == "") | hit
+
+
+def filter_text(df: DataFrame) -> DataFrame:
+    """Free-text facet over type, url and title (trimmed, lower-cased)."""
+    return df.filter(facet_hit())
 
 
 def paginate(df: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:
@@ -233,7 +238,7 @@ def present(results: DataFrame, meta: DataFrame) -> DataFrame:
     shown = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     m = meta.select("query_id", F.col("page").alias("_page"), F.col("per_page").alias("_pp"),
                     F.col("total_available").alias("_total"))
-    df = results.join(F.broadcast(m), "query_id").withColumn("_shown", shown)
+    df = results.join(m, "query_id").withColumn("_shown", shown)
     first = F.when(F.col("_shown") == 0, F.lit(0)).otherwise((F.col("_page") - 1) * F.col("_pp") + 1)
     title_shown = F.when(blank("title") == "", F.col("url")).otherwise(F.col("title"))
     return df.select(

@@ -1,30 +1,30 @@
 """Vector retrieval: V1 request defaults, V2 candidate budget, V3 type filter, V4 top-k.
 
-Plan shape of :func:`vector_topk` (both methods):
-
-1. the query side (query_id, vector, types, k) is counted and broadcast only
-   under ``cfg.max_broadcast_queries`` rows; above it Spark plans the product
-   without a hint;
-2. scores are computed next to the corpus partitions (no shuffle of vectors),
-   with the type filter applied to the (vector, query) pairs *before* ranking;
-3. a partial top-k per corpus partition (``WindowGroupLimit`` for the
-   expression path, NumPy selection for the batch path) cuts the rows before the
-   only shuffle, on ``query_id``, which then keeps k ≤ 1000 per query;
-4. metadata columns are joined back for the ≤ Q·k winners only (late
-   materialisation), so wide text never travels through the top-k shuffle.
+Plan shape of :func:`vector_topk`, the same for every size:
+
+1. vectors and queries are packed into tiles of bounded bytes (one flat matrix
+   each); every vector tile belongs to one of a fixed number of groups, every
+   query tile is dealt to all groups, and the two meet in an equi-join on the
+   group – no product node, no broadcast that depends on the number of
+   queries, nothing collected;
+2. a pair of tiles is one matrix product; the type filter masks it, and the best
+   k rows per query of the tile are selected for all queries at once;
+3. only those narrow rows are shuffled, on ``query_id``, for the final ranking;
+4. metadata columns are joined back for the winners only.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seekrank.config import DEFAULT, SearchConfig
 from seekrank.functions.text import ws_trim
-from seekrank.functions.vectors import as_double, cosine, l2_norm
+from seekrank.functions.vectors import l2_norm
 
 META_COLS = ("url", "type", "title", "snippet", "updated_at")
 
@@ -68,14 +68,6 @@ def filter_types(pairs: DataFrame, types_col: str = "types", type_col: str = "ty
     return pairs.filter(type_allowed(F.col(types_col), F.col(type_col)))
 
 
-# --------------------------------------------------------------------------- helpers
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, int]:
-    """Broadcast ``df`` only when its counted size is within ``max_rows``."""
-    n = df.count()
-    return (F.broadcast(df) if n <= max_rows else df), n
-
-
 def with_norm(vectors: DataFrame, vec_col: str = "vector") -> DataFrame:
     if "norm" in vectors.columns:
         return vectors
@@ -84,135 +76,100 @@ def with_norm(vectors: DataFrame, vec_col: str = "vector") -> DataFrame:
 
 # --------------------------------------------------------------------------- V4
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = DEFAULT,
-                method: str = "expr", with_meta: bool = True, bound_buckets: int = 0) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = DEFAULT, with_meta: bool = True) -> DataFrame:
     """V4: best ``k`` vectors per query by cosine, type filter before ranking.
 
-    ``vectors``: ``id, vector`` plus ``type`` and metadata. ``queries``:
-    ``query_id, qvec, k`` and optionally ``types``. Returns ``query_id, id,
-    score`` (+ metadata, rows without url dropped after the top-k).
-
-    ``bound_buckets`` > 1 (NumPy path) first ranks the rows with
-    ``hash(id) mod bound_buckets = 0``: the k-th best score there is a lower
-    bound of the k-th best score overall, so the full pass can drop every pair
-    below it before its per-partition top-k. The result is unchanged; the
-    top-k shuffle shrinks from ≤ k rows per query per partition to roughly
-    the rows above the bound.
+    ``vectors``: ``id, vector`` plus ``type`` and metadata (and ``norm`` where
+    it is stored). ``queries``: ``query_id, qvec, k`` and optionally ``types``;
+    ids may have any orderable type. Returns ``query_id, id, score`` (+
+    metadata, rows with a null or empty url dropped after the top-k). Ties go
+    to the smaller id.
     """
     # a record without a usable vector is not an index entry
     vecs = with_norm(vectors.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)))
-    qcols = [F.col("query_id"), F.col("qvec"), F.col("k").cast("long").alias("k"),
-             (F.col("types") if "types" in queries.columns else F.lit(None).cast("array<string>")).alias("types")]
-    q = queries.select(*qcols).withColumn("qnorm", l2_norm("qvec"))
-    qpd = None
-    if method == "numpy":
-        # one bounded collect doubles as the size check; beyond it, the expression path
-        qpd = q.limit(cfg.max_broadcast_queries + 1).toPandas()
-        n_q = len(qpd)
-        if n_q > cfg.max_broadcast_queries:
-            method, qpd = "expr", None
-    else:
-        n_q = q.count()
-    if method == "numpy":
-        bounds = _score_bounds(vecs, qpd, cfg, bound_buckets) if bound_buckets > 1 else None
-        scored = _topk_numpy(vecs, qpd, cfg, bounds)
-    else:
-        # cast to double once per row on each side, not once per (vector, query) pair
-        v = vecs.select("id", as_double("vector").alias("vector"), "norm", "type")
-        qd = q.withColumn("qvec", as_double("qvec"))
-        qd_b = F.broadcast(qd) if n_q <= cfg.max_broadcast_queries else qd
-        pairs = v.join(qd_b, type_allowed(F.col("types"), F.col("type")), "inner")
-        scored = pairs.select("query_id", "k", "id",
-                              cosine("vector", "qvec", "norm", "qnorm", cast=False).alias("score"))
+    types = F.col("types") if "types" in queries.columns else F.lit(None).cast("array<string>")
+    q = queries.select("query_id", "qvec", F.col("k").cast("int").alias("k"), types.alias("types")).filter(F.size("qvec") > 0)
+    groups = int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_type, query_type = vecs.schema["id"].dataType.simpleString(), q.schema["query_id"].dataType.simpleString()
+    left = _tiles(vecs.select("id", "vector", "norm", "type"), "vector", cfg.tile_bytes,
+                  {"id": id_type, "norm": "double", "type": "string"}).withColumn("g", F.pmod(F.xxhash64("tile"), F.lit(groups)))
+    right = _tiles(q.withColumn("qnorm", l2_norm("qvec")), "qvec", cfg.tile_bytes // 4,
+                   {"query_id": query_type, "qnorm": "double", "k": "int", "types": "array<string>"})
+    right = right.withColumnRenamed("tile", "qtile").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("g", F.col("g").cast("long"))
+    scored = (left.join(right, "g").select("id", "vector", "norm", "type", "query_id", "qvec", "qnorm", "k", "types")
+              .mapInArrow(_best_of_tiles, f"query_id {query_type}, k int, id {id_type}, score double"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    top = (scored.withColumn("rn", F.row_number().over(w))
-                 .filter((F.col("rn") <= cfg.max_top_k) & (F.col("rn") <= F.col("k")))
-                 .select("query_id", "id", "score"))
+    top = scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.col("k")).select("query_id", "id", "score")
     if not with_meta:
         return top
     feats = [c for c in vectors.columns if c.startswith("f_")]  # per-document match inputs, if stored
     meta = vectors.select("id", *META_COLS, *feats)
-    small = F.broadcast(top) if n_q * cfg.max_top_k <= cfg.max_broadcast_results else top
-    return meta.join(small, "id", "inner").filter(F.col("url").isNotNull())
-
-
-def _score_bounds(vecs: DataFrame, qpd: pd.DataFrame, cfg: SearchConfig, buckets: int) -> np.ndarray:
-    """Per query: the k-th best score among one hash bucket of the corpus (-inf if fewer than k)."""
-    part = vecs.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) == 0)
-    first = _topk_numpy(part, qpd, cfg)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    kth = (first.withColumn("rn", F.row_number().over(w))
-                .filter((F.col("rn") <= cfg.max_top_k) & (F.col("rn") <= F.col("k")))
-                .groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"),
-                                         F.first("k").alias("k")))
-    got = {r["query_id"]: (r["low"] if r["n"] >= r["k"] else -np.inf) for r in kth.collect()}  # ≤ one row per query
-    return np.array([got.get(int(q), -np.inf) for q in qpd["query_id"]], dtype=np.float64)
-
-
-def _topk_numpy(vecs: DataFrame, qpd: pd.DataFrame, cfg: SearchConfig, bounds: np.ndarray | None = None) -> DataFrame:
-    """Batch path: one matrix product per Arrow batch, running exact top-k per query.
-
-    The query matrix (collected under ``cfg.max_broadcast_queries`` rows) is
-    shipped once as a broadcast variable. Selection keeps every row tied with the k-th score,
-    then orders by (score desc, id asc), so the result equals the window path.
-    """
-    spark = vecs.sparkSession
-    qmat = np.stack([np.asarray(v, dtype=np.float64) for v in qpd["qvec"]]) if len(qpd) else np.zeros((0, 0))
-    payload = spark.sparkContext.broadcast({
-        "qid": qpd["query_id"].to_numpy(np.int64),
-        "k": qpd["k"].to_numpy(np.int64),
-        "qmat": qmat,
-        "qnorm": qpd["qnorm"].to_numpy(np.float64),
-        "types": [None if t is None else set(t) for t in qpd["types"]],
-        "bounds": bounds,
-    })
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("k", T.LongType()),
-                           T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
-    cap = cfg.max_top_k
-
-    def part(batches):
-        p = payload.value
-        qid, kk, qm, qn, qtypes, lows = p["qid"], p["k"], p["qmat"], p["qnorm"], p["types"], p["bounds"]
-        kk = np.minimum(kk, cap)
-        best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in qid]
-        for pdf in batches:
-            if len(pdf) == 0 or len(qid) == 0:
-                continue
-            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])
-            ids = pdf["id"].to_numpy(np.int64)
-            vn = pdf["norm"].to_numpy(np.float64)
+    return meta.join(top, "id", "inner").filter(F.col("url") != "")
+
+
+def _tiles(df: DataFrame, vec_col: str, limit: int, keep: dict[str, str]) -> DataFrame:
+    """Rows packed by the thousands: ``tile`` (a number), the vectors as one flat matrix, the other columns as arrays."""
+    def run(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            b = b.filter(pc.is_valid(b.column(vec_col)))
+            lo = 0
+            while lo < b.num_rows:
+                dim = len(b.column(vec_col)[lo])
+                rows = max(1, limit // (8 * dim))
+                tile = b.slice(lo, rows)
+                flat = tile.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                lo += rows
+                cols = {"tile": pa.array([part << 32 | n], pa.int64()), vec_col: pa.array([flat.tobytes()], pa.binary())}
+                for c in keep:
+                    values = tile.column(c)
+                    cols[c] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.record_batch(cols)
+                n += 1
+    schema = f"tile long, {vec_col} binary, " + ", ".join(f"{c} array<{t}>" for c, t in keep.items())
+    return df.mapInArrow(run, schema)
+
+
+def _best_of_tiles(batches):
+    """For each pair of tiles: the k best allowed rows of every query, ties to the smaller id."""
+    for b in batches:
+        for r in range(b.num_rows):
+            row = {c: b.column(c)[r] for c in b.schema.names}
+            ids, queries = row["id"].values, row["query_id"].values
+            k = row["k"].values.to_numpy()
+            mat = np.frombuffer(row["vector"].as_py(), np.float64).reshape(len(ids), -1)
+            qmat = np.frombuffer(row["qvec"].as_py(), np.float64).reshape(len(queries), -1)
+            by_id = pc.sort_indices(ids).to_numpy()  # so that the column number breaks ties
+            ids, mat = ids.take(pa.array(by_id)), mat[by_id]
+            norm = row["norm"].values.to_numpy(zero_copy_only=False)[by_id]
+            qnorm = row["qnorm"].values.to_numpy(zero_copy_only=False)
             with np.errstate(divide="ignore", invalid="ignore"):
-                s = (mat @ qm.T) / np.outer(vn, qn)
+                s = (qmat @ mat.T) / np.outer(qnorm, norm)
             s[~np.isfinite(s)] = 0.0
-            # type filter: factorise the batch's types once, then one lookup per query
-            codes, uniq = pd.factorize(pdf["type"], use_na_sentinel=True)
-            for j in range(len(qid)):
-                sc, ix = s[:, j], ids
-                if qtypes[j]:
-                    allowed = np.fromiter((u in qtypes[j] for u in uniq), dtype=bool, count=len(uniq))
-                    keep = (codes >= 0) & np.append(allowed, False)[codes]
-                    sc, ix = sc[keep], ix[keep]
-                if lows is not None and np.isfinite(lows[j]):
-                    keep = sc >= lows[j]  # cannot reach the top k otherwise
-                    sc, ix = sc[keep], ix[keep]
-                sc = np.concatenate([best[j][0], sc])
-                ix = np.concatenate([best[j][1], ix])
-                best[j] = _select(sc, ix, int(kk[j]))
-        for j in range(len(qid)):
-            sc, ix = best[j]
-            if len(sc):
-                yield pd.DataFrame({"query_id": np.full(len(sc), qid[j], dtype=np.int64),
-                                    "k": np.full(len(sc), kk[j], dtype=np.int64),
-                                    "id": ix, "score": sc})
-
-    return vecs.select("id", "vector", "norm", "type").mapInPandas(part, schema)
-
-
-def _select(sc: np.ndarray, ix: np.ndarray, k: int):
-    """Top ``k`` by (score desc, id asc), exact under ties."""
-    if len(sc) > k:
-        kth = np.partition(sc, len(sc) - k)[len(sc) - k]
-        m = sc >= kth
-        sc, ix = sc[m], ix[m]
-    order = np.lexsort((ix, -sc))[:k]
-    return sc[order], ix[order]
+            s[~_allowed(row["types"].values, row["type"].values.take(pa.array(by_id)))] = -np.inf
+            most = min(int(k.max(initial=0)), len(ids))
+            if most < 1:
+                continue
+            low = np.partition(s, len(ids) - most, axis=1)[:, len(ids) - most] if most < len(ids) else np.full(len(queries), -np.inf)
+            qi, ci = np.nonzero((s >= low[:, None]) & (s > -np.inf))
+            score = s[qi, ci]
+            order = np.lexsort((ci, -score, qi))
+            qi, ci, score = qi[order], ci[order], score[order]
+            place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+            win = place < k[qi]
+            qi, ci, score = qi[win], ci[win], score[win]
+            yield pa.record_batch({"query_id": queries.take(pa.array(qi)), "k": pa.array(k[qi].astype(np.int32)),
+                                   "id": ids.take(pa.array(ci)), "score": pa.array(score)})
+
+
+def _allowed(types: pa.Array, kind: pa.Array) -> np.ndarray:
+    """Query x row mask of V3: each distinct type list is looked up once per tile."""
+    code = kind.dictionary_encode()
+    names = code.dictionary.to_pylist()
+    rows = code.indices.fill_null(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+    lists = [tuple(t) if t else () for t in types.to_pylist()]
+    distinct = {t: i for i, t in enumerate(dict.fromkeys(lists))}
+    table = np.zeros((len(distinct), len(names) + 1), bool)
+    for t, i in distinct.items():
+        table[i] = [not t or n in t for n in names] + [not t]
+    return table[np.array([distinct[t] for t in lists], np.int64)][:, rows]

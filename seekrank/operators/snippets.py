@@ -2,51 +2,47 @@
 
 * T3 runs in-row with higher-order functions (split → score → first maximum);
   no shuffle.
-* T4/T5 count phrases of one short text (the ≤ 500-char paragraph, or a
-  snippet) in-row as well; the text is bounded, so the per-row work is too.
+* T4/T5 count phrases in one pass over a row's tokens, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seekrank.config import DEFAULT, STATUS_COMPLETED, STOPWORDS, WS, SearchConfig
-from seekrank.functions.text import (blank, norm, phrase_tokens, query_words, strip_tags,
-                                     title_case_word, ws_trim)
+from seekrank.functions.text import (blank, norm, phrase_tokens, query_words, strip_tags, ws_trim)
 
 PARA_SPLIT = r"\n" + WS + r"*\n"
+_STOP = frozenset(STOPWORDS)
 SENTENCE_SPLIT = r"[.!?]" + WS + "+"
 
 
 # --------------------------------------------------------------------------- T1
 
-def hydrate(results: DataFrame, registry: DataFrame, broadcast_results: bool = True) -> DataFrame:
-    """Full text (else extracted html, else '') of completed rows, joined by id.
+def _content(registry: DataFrame) -> DataFrame:
+    return (registry.filter(F.col("status") == STATUS_COMPLETED)
+                    .select("id", F.coalesce(F.nullif(F.col("full_text_content"), F.lit("")),
+                                             F.nullif(F.col("extracted_content"), F.lit("")),
+                                             F.lit("")).alias("content")))
 
-    ``results`` is one page per query, so it is the broadcast side and the
-    registry is streamed once, reading only the columns named here.
-    """
-    reg = (registry.filter(F.col("status") == STATUS_COMPLETED)
-                   .select("id", F.coalesce(F.nullif(F.col("full_text_content"), F.lit("")),
-                                            F.nullif(F.col("extracted_content"), F.lit("")),
-                                            F.lit("")).alias("content")))
-    small = F.broadcast(results) if broadcast_results else results
-    return reg.join(small, "id", "right")
+
+def hydrate(results: DataFrame, registry: DataFrame) -> DataFrame:
+    """Full text (else extracted html, else '') of completed rows, joined by id; null for the others."""
+    return results.join(_content(registry), "id", "left")
 
 
 def hydrate_docs(ids: DataFrame, registry: DataFrame) -> DataFrame:
     """T1 per distinct document: ``(id, content)`` of completed rows among ``ids``.
 
-    ``ids`` are the distinct ids of the pages shown (≤ queries × perPage), so
-    they are the broadcast side; each document is fetched once however many
-    queries show it.
+    Each document is fetched once however many queries show it; whether the ids
+    are broadcast is left to Spark, which knows their size.
     """
-    reg = (registry.filter(F.col("status") == STATUS_COMPLETED)
-                   .select("id", F.coalesce(F.nullif(F.col("full_text_content"), F.lit("")),
-                                            F.nullif(F.col("extracted_content"), F.lit("")),
-                                            F.lit("")).alias("content")))
-    return reg.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+    return _content(registry).join(ids.select("id").distinct(), "id", "left_semi")
 
 
 # --------------------------------------------------------------------------- T3
@@ -111,55 +107,41 @@ def add_best_paragraph(df: DataFrame, content, query, out: str = "paragraph",
 def add_phrases(df: DataFrame, text, query=None, out: str = "phrases", cfg: SearchConfig = DEFAULT) -> DataFrame:
     """T4 (with ``query``) / T5 (without): up to ``n`` title-cased 1–2 word phrases.
 
-    In-row: the text is one paragraph or snippet (≤ 500 chars), so the phrase
-    list is short. Unigram weight 1 (3 with a query word), bigram 2 (8 with a
-    query word); order score desc, then first occurrence; with a query only
-    phrases holding a query word are kept.
+    Unigram weight 1 (3 with a query word), bigram 2 (8 with a query word);
+    order score desc, then first occurrence; with a query only phrases holding
+    a query word are kept. Tokens and query words are split in the JVM; the
+    counting is one pass over the tokens per row, in Arrow batches, so a long
+    text costs its length.
     """
     qw = query_words(norm(_c(query))) if query is not None else F.array().cast("array<string>")
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    s1 = df.withColumn("_ph_toks", phrase_tokens(blank(_c(text)))).withColumn("_ph_qw", qw)
-    toks, qws = F.col("_ph_toks"), F.col("_ph_qw")
-    n = F.size(toks)
-
-    def pair(i):
-        return F.struct(F.element_at(toks, i + 1).alias("w1"),
-                        F.when(i + 1 < n, F.element_at(toks, i + 2)).alias("w2"))
-
-    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    s2 = s1.withColumn("_ph_pairs", F.filter(F.transform(idx, pair),
-                                             lambda x: ~F.array_contains(stop, x["w1"])))
-
-    def items(x):
-        w1, w2 = x["w1"], x["w2"]
-        q1, q2 = F.array_contains(qws, w1), F.coalesce(F.array_contains(qws, w2), F.lit(False))
-        uni = F.struct(w1.alias("p"), F.when(q1, F.lit(3)).otherwise(F.lit(1)).alias("w"), q1.alias("q"))
-        bi = F.when(w2.isNotNull() & ~F.array_contains(stop, w2), F.struct(
-            F.concat_ws(" ", w1, w2).alias("p"), F.when(q1 | q2, F.lit(8)).otherwise(F.lit(2)).alias("w"),
-            (q1 | q2).alias("q")))
-        return F.array(uni, bi)
-
-    flat = F.filter(F.flatten(F.transform("_ph_pairs", items)), lambda x: x.isNotNull())
-    if query is not None:
-        flat = F.filter(flat, lambda x: x["q"])
-    s3 = s2.withColumn("_ph_items", flat)
-    s4 = s3.withColumn("_ph_names", F.transform("_ph_items", lambda x: x["p"]))
-    s5 = s4.withColumn("_ph_distinct", F.array_distinct("_ph_names"))  # first-occurrence order
-    names, its = F.col("_ph_names"), F.col("_ph_items")
-
-    def scored(p, idx):
-        w = F.element_at(its, F.array_position(names, p).cast("int"))["w"]
-        cnt = F.size(F.filter(names, lambda x: x == p))
-        return F.struct((-(cnt * w)).alias("k"), idx.alias("o"), p.alias("p"))
-
-    s6 = s5.withColumn("_ph_ranked", F.slice(F.array_sort(F.transform("_ph_distinct", scored)), 1, cfg.max_phrases))
-
-    def shown(x):
-        words = F.split(x["p"], " ")
-        return F.array_join(F.transform(words, lambda w: title_case_word(w)), " ")
-
-    return s6.withColumn(out, F.transform("_ph_ranked", shown)).drop(
-        *[c for c in s6.columns if c.startswith("_ph_")])
+    counted = _count_phrases(cfg.max_phrases, query is not None)
+    return df.withColumn(out, counted(phrase_tokens(blank(_c(text))), qw))
+
+
+def _count_phrases(limit: int, with_query: bool):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def count(tokens: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([_top_phrases(t, w, limit, with_query) for t, w in zip(tokens, words)])
+    return count
+
+
+def _top_phrases(tokens, words, limit: int, with_query: bool) -> list[str]:
+    if tokens is None or not len(tokens):
+        return []
+    stop, asked, scores = _STOP, set(words), {}
+    for here, after in zip(tokens, [*tokens[1:], None]):
+        if here in stop:
+            continue
+        of_query = here in asked
+        if of_query or not with_query:
+            scores[here] = scores.get(here, 0) + (3 if of_query else 1)
+        if after is not None and after not in stop:
+            of_query = of_query or after in asked
+            if of_query or not with_query:
+                both = f"{here} {after}"
+                scores[both] = scores.get(both, 0) + (8 if of_query else 2)
+    best = heapq.nsmallest(limit, ((-s, i, p) for i, (p, s) in enumerate(scores.items())))
+    return [" ".join(w[:1].upper() + w[1:] for w in p.split(" ")) for _, _, p in best]
 
 
 def snippets_and_highlights(page_rows: DataFrame, registry: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:

@@ -56,21 +56,25 @@ def ts_text(c: str) -> Column:
 
 # --------------------------------------------------------------------------- shared builders
 
-def fixture_search(spark: SparkSession, sf: str, method: str = "numpy", snippets: bool = True):
-    """Search over the registry and vector records built from ``pages``.
+def stored_fixture(spark: SparkSession, sf: str):
+    """Registry, vector records and requests with their vectors, built from ``pages``.
 
-    Both are used by several branches of the plan (scoring, metadata, totals,
-    hydration), so they are materialised once with ``checkpoint()`` in the
-    session's checkpoint folder, as the stored tables of a deployment would be.
+    Several branches of the plans read the first two, so they are written once
+    with ``checkpoint()`` in the session's checkpoint folder, as the stored
+    tables of a deployment would be.
     """
     from seekrank.session import checkpoint_dir
     checkpoint_dir(spark)
     urls = fx.urls_fx(spark, sf).checkpoint()
-    vecs = fx.vectors_fx(urls)
+    vecs = fx.vectors_fx(urls).checkpoint()
     corpus = fx.corpus_fx(urls, vecs).checkpoint()
-    qsrc = fx.queries_fx(spark)
-    q = fx.query_vectors(qsrc, fx.urls_fx(spark, sf, only=qsrc.select("like_id")))
-    return search(q, corpus, urls, fx.NOW, method=method, snippets=snippets)
+    return urls, corpus, fx.query_vectors(fx.queries_fx(spark, sf), vecs)
+
+
+def fixture_search(spark: SparkSession, sf: str, snippets: bool = True):
+    """Search over the registry and vector records built from ``pages``: one request per page."""
+    urls, corpus, q = stored_fixture(spark, sf)
+    return search(q, corpus, urls, fx.NOW, snippets=snippets)
 
 
 def results_out(df: DataFrame) -> DataFrame:
@@ -119,7 +123,7 @@ def r16_present(spark, sf):
           "SELECT query_id, query, array_to_string(types, '|') AS types, per_page, page, type_filter_text, error, k FROM qk"))
 def v1_normalise_queries(spark, sf):
     from seekrank.operators.retrieval import normalise_queries
-    q = normalise_queries(fx.queries_fx(spark))
+    q = normalise_queries(fx.queries_fx(spark, sf))
     return q.select("query_id", "query", joined("types").alias("types"), "per_page", "page",
                     "type_filter_text", "error", "k")
 
@@ -162,23 +166,38 @@ SELECT query_id, id, round(score, 6) AS score, rn AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM p) WHERE rn <= 10"""
 
 
-def _v4(spark, sf, method):
-    from seekrank.operators.retrieval import vector_topk
-    corpus, queries = embedding_requests(spark, sf)
-    top = vector_topk(corpus, queries, method=method, with_meta=False)
+def _v4(spark, sf, corpus=None):
     from pyspark.sql import Window
+    from seekrank.operators.retrieval import vector_topk
+    base, queries = embedding_requests(spark, sf)
+    top = vector_topk(base if corpus is None else corpus(base), queries, with_meta=False)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     return top.select("query_id", "id", r6("score").alias("score"), F.row_number().over(w).alias("rank"))
 
 
 @register("v4_vector_topk", V4_SQL)
 def v4_vector_topk(spark, sf):
-    return _v4(spark, sf, "expr")
+    return _v4(spark, sf)
 
 
 @register("v4_vector_topk_numpy", V4_SQL)
 def v4_vector_topk_numpy(spark, sf):
-    return _v4(spark, sf, "numpy")
+    """The same search over a corpus that stores its norms."""
+    from seekrank.operators.retrieval import with_norm
+    return _v4(spark, sf, with_norm)
+
+
+V3_SQL = f"""SELECT q.query_id, u.id, u.type FROM queries_fx q JOIN urls_fx u ON (q.query_id - 1) // 10 = u.id // 10
+WHERE {o.type_ok('q.types', 'u.type')}"""
+
+
+@register("v3_filter_types", o.with_ctes(o.base_ctes(), V3_SQL))
+def v3_filter_types(spark, sf):
+    """Requests against the ten pages of their own decade, filtered by type list (null, empty, one, several)."""
+    from seekrank.operators.retrieval import filter_types
+    q = fx.queries_fx(spark, sf).select("query_id", "types", F.floor((F.col("query_id") - 1) / 10).alias("decade"))
+    u = fx.urls_fx(spark, sf).select("id", "type", F.floor(F.col("id") / 10).alias("decade"))
+    return filter_types(q.join(u, "decade")).select("query_id", "id", "type")
 
 
 # --------------------------------------------------------------------------- R1, T2
@@ -199,13 +218,20 @@ def t2_strip_tags(spark, sf):
 
 # --------------------------------------------------------------------------- R2–R13 on matches_fx
 
+def _attributed_matches(spark, sf):
+    """The top-k candidates of one request per page (at most the budget each), with the request's columns."""
+    from seekrank.operators.retrieval import vector_topk
+    from seekrank.plans.search import prepare_queries
+    _, corpus, q = stored_fixture(spark, sf)
+    q = prepare_queries(q).filter(F.col("error").isNull() & F.col("has_vector"))
+    top = vector_topk(corpus, q.select("query_id", "qvec", "k", "types"))
+    attrs = q.select("query_id", "query", "per_page", "page", "type_filter_text")
+    return fx.matches_fx(top).join(attrs, "query_id")
+
+
 def fixture_matches(spark, sf):
     from seekrank.operators.ranking import rescore
-    from seekrank.operators.retrieval import normalise_queries
-    urls = fx.urls_fx(spark, sf)
-    m = fx.matches_fx(spark, sf, urls)
-    q = normalise_queries(fx.queries_fx(spark)).select("query_id", "query", "per_page", "page", "type_filter_text")
-    return rescore(m.join(q, "query_id"), fx.NOW)
+    return rescore(_attributed_matches(spark, sf), fx.NOW)
 
 
 def _match_sql(select: str) -> str:
@@ -215,11 +241,7 @@ def _match_sql(select: str) -> str:
 @register("r2_match_flags", _match_sql("SELECT query_id, id, title_m, url_m, snip_m, text_m FROM m2"))
 def r2_match_flags(spark, sf):
     from seekrank.operators.ranking import match_flags
-    from seekrank.operators.retrieval import normalise_queries
-    urls = fx.urls_fx(spark, sf)
-    m = fx.matches_fx(spark, sf, urls)
-    q = normalise_queries(fx.queries_fx(spark)).select("query_id", "query")
-    return match_flags(m.join(q, "query_id")).select("query_id", "id", "title_m", "url_m", "snip_m", "text_m")
+    return match_flags(_attributed_matches(spark, sf)).select("query_id", "id", "title_m", "url_m", "snip_m", "text_m")
 
 
 @register("r3_semantic_gate", _match_sql("SELECT query_id, id, meets, text_m FROM m4"))
@@ -289,25 +311,31 @@ def r13_result_ids(spark, sf):
     return rank_pipeline(fixture_matches(spark, sf)).select("query_id", "rank", "id")
 
 
-# --------------------------------------------------------------------------- T3–T5
+# --------------------------------------------------------------------------- T1, T3–T5
+
+T1_SQL = """SELECT id, CASE WHEN status <> 'completed' THEN NULL WHEN id % 3 = 1 AND id % 7 <> 2 THEN extracted_content
+  WHEN id % 7 = 2 THEN '' ELSE full_text_content END AS content FROM urls_fx"""
+
+
+@register("t1_hydrate", o.with_ctes(o.base_ctes(), f"SELECT id, coalesce(length(content), -1) AS n, md5(content) AS content_md5 FROM ({T1_SQL})"))
+def t1_hydrate(spark, sf):
+    """All fall-backs: full text, else html, else empty; null for rows that are not completed."""
+    from seekrank.operators.snippets import hydrate
+    urls = fx.urls_fx(spark, sf)
+    reg = urls.withColumns({
+        "full_text_content": F.when((F.col("id") % 3 != 1) & (F.col("id") % 7 != 2), F.col("full_text_content")),
+        "extracted_content": F.when(F.col("id") % 7 != 2, F.col("extracted_content")).otherwise(F.lit(""))})
+    return hydrate(urls.select("id"), reg).select("id", F.coalesce(F.length("content"), F.lit(-1)).alias("n"), F.md5("content").alias("content_md5"))
+
 
 @register("t3_best_paragraph", o.with_ctes(o.paragraphs_ctes() + o.para_ctes("paragraphs_fx", ["doc_id", "query"], "content", "query", "bp"),
           "SELECT doc_id, query, para AS paragraph FROM bp"))
 def t3_best_paragraph(spark, sf):
     from seekrank.operators.snippets import add_best_paragraph
-    return add_best_paragraph(_paragraph_requests(spark, sf), "content", "query", "paragraph").select(
+    return add_best_paragraph(fx.paragraphs_fx(spark, sf), "content", "query", "paragraph").select(
         "doc_id", "query", "paragraph")
 
 
-def _paragraph_requests(spark, sf):
-    """paragraphs_fx with the per-document paragraph work done before the query join."""
-    from seekrank.operators.snippets import with_paragraph_parts
-    from seekrank.sources.tables import load
-    docs = load(spark, sf, "documents").select(
-        "doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
-    return with_paragraph_parts(docs, "content").crossJoin(F.broadcast(fx.paragraph_queries(spark)))
-
-
 T4_SQL = o.with_ctes(
     o.paragraphs_ctes() + o.para_ctes("paragraphs_fx", ["doc_id", "query"], "content", "query", "bp")
     + o.phrase_ctes("bp", ["doc_id", "query"], "para", "q", "hl"),
@@ -317,7 +345,7 @@ T4_SQL = o.with_ctes(
 @register("t4_query_phrases", T4_SQL)
 def t4_query_phrases(spark, sf):
     from seekrank.operators.snippets import add_best_paragraph, add_phrases
-    p = add_best_paragraph(_paragraph_requests(spark, sf), "content", "query", "paragraph")
+    p = add_best_paragraph(fx.paragraphs_fx(spark, sf), "content", "query", "paragraph")
     p = add_phrases(p, "paragraph", "query", "ph")
     return p.select("doc_id", "query", F.concat_ws("|", "ph").alias("phrases"))
 
@@ -338,7 +366,13 @@ def t5_text_phrases(spark, sf):
 
 def _lex(spark, sf):
     from seekrank.operators.lexical import text_search
-    return text_search(fx.urls_fx(spark, sf), fx.queries_fx(spark), fx.NOW)
+    return text_search(fx.urls_fx(spark, sf), fx.queries_fx(spark, sf), fx.NOW)
+
+
+def _lex_matches(spark, sf):
+    from seekrank.operators.lexical import text_filter
+    from seekrank.operators.retrieval import normalise_queries
+    return text_filter(fx.urls_fx(spark, sf), normalise_queries(fx.queries_fx(spark, sf)))
 
 
 def _lex_sql(select):
@@ -347,26 +381,21 @@ def _lex_sql(select):
 
 @register("l1_text_filter", _lex_sql("SELECT query_id, id FROM lm"))
 def l1_text_filter(spark, sf):
-    from seekrank.operators.lexical import text_filter
-    from seekrank.operators.retrieval import normalise_queries
-    return text_filter(fx.urls_fx(spark, sf), normalise_queries(fx.queries_fx(spark))).select("query_id", "id")
+    return _lex_matches(spark, sf).select("query_id", "id")
 
 
-@register("l2_status_first_cap", _lex_sql("SELECT query_id, id FROM lc"))
+@register("l2_status_first_cap", _lex_sql("SELECT query_id, id FROM lcap"))
 def l2_status_first_cap(spark, sf):
-    from seekrank.operators.lexical import status_first_cap, text_filter
-    from seekrank.operators.retrieval import normalise_queries
-    m = text_filter(fx.urls_fx(spark, sf), normalise_queries(fx.queries_fx(spark)))
-    return status_first_cap(m).select("query_id", "id")
+    from seekrank.config import TEXT_SEARCH_ROWS
+    from seekrank.operators.lexical import status_first_cap
+    return status_first_cap(_lex_matches(spark, sf), TEXT_SEARCH_ROWS).select("query_id", "id")
 
 
 @register("l3_text_score", _lex_sql("SELECT query_id, id, title, round(score, 6) AS score, "
                                     "round(original_score, 6) AS original_score, round(recency_boost, 6) AS recency_boost FROM lsc"))
 def l3_text_score(spark, sf):
-    from seekrank.operators.lexical import status_first_cap, text_filter, text_score
-    from seekrank.operators.retrieval import normalise_queries
-    m = text_filter(fx.urls_fx(spark, sf), normalise_queries(fx.queries_fx(spark)))
-    s = text_score(status_first_cap(m), fx.NOW)
+    from seekrank.operators.lexical import text_score
+    s = text_score(_lex_matches(spark, sf), fx.NOW)
     return s.select("query_id", "id", "title", r6("score").alias("score"), r6("original_score").alias("original_score"),
                     r6("recency_boost").alias("recency_boost"))
 
@@ -445,32 +474,42 @@ def i3_valid_rows(spark, sf):
     return validate_url_rows(fx.upload_rows_fx(spark, sf)).select("row_no", "id", "type", "url")
 
 
-@register("i3_upload_report", o.with_ctes(o.upload_ctes(), """SELECT upload_id, 'id, type, url' AS columns_found,
-  count(*) AS row_count, count(*) FILTER (WHERE length(type) > 0 AND length(url) > 0) AS url_count,
-  CASE WHEN count(*) FILTER (WHERE length(type) > 0 AND length(url) > 0) = 0
+REPORT_SQL = """SELECT upload_id, 'id, type, url' AS columns_found,
+  count(row_no) AS row_count, count(*) FILTER (WHERE row_no IS NOT NULL AND ok) AS url_count,
+  CASE WHEN max(error) IS NOT NULL THEN max(error)
+       WHEN count(*) FILTER (WHERE ok) = 0
        THEN 'No valid rows found in CSV. Found columns: id, type, url. Required: type, url (case-insensitive). Optional: id' END AS error
-FROM uclean GROUP BY upload_id"""))
+FROM (SELECT upload_id, row_no, length(type) > 0 AND length(url) > 0 AS ok, NULL AS error FROM uclean
+  UNION ALL SELECT concat('blank-', page_id), page_id * 2, false, NULL FROM pages WHERE page_id % 50 = 9
+  UNION ALL SELECT concat('bad-', page_id), NULL, false, 'csvContent is required' FROM pages WHERE page_id % 50 = 7)
+GROUP BY upload_id"""
+
+
+@register("i3_upload_report", o.with_ctes(o.upload_ctes(), REPORT_SQL))
 def i3_upload_report(spark, sf):
     from seekrank.operators.ingest import upload_report
-    return upload_report(fx.upload_rows_fx(spark, sf))
+    return upload_report(fx.report_rows_fx(spark, sf))
 
 
 NOW1 = "2024-01-30 00:00:00"
+LINES_SQL = """SELECT l_orderkey * 8 + l_linenumber AS row_no, l_orderkey AS order_key, concat('kind-', l_orderkey % 3) AS type,
+  concat_ws('/', 'https://shop.example.com', l_orderkey, l_linenumber, l_partkey) AS url FROM lineitem"""
 
 
 @register("i4_upsert_urls", o.with_ctes(
-    o.upload_ctes()
-    + [("reg0", "SELECT NULL::BIGINT AS id, NULL::VARCHAR AS url, NULL::VARCHAR AS type, NULL::VARCHAR AS title, "
-                "NULL::VARCHAR AS content_preview, NULL::VARCHAR AS extracted_content, NULL::VARCHAR AS full_text_content, "
-                "NULL::VARCHAR AS status, NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at WHERE false")]
-    + o.upsert_sql("reg0", "row_no < 1000000", NOW1, "reg1")
-    + o.upsert_sql("reg1", "row_no >= 1000000", fx.NOW, "reg2"),
+    [("lines", LINES_SQL),
+     ("reg0", "SELECT NULL::BIGINT AS id, NULL::VARCHAR AS url, NULL::VARCHAR AS type, NULL::VARCHAR AS title, "
+              "NULL::VARCHAR AS content_preview, NULL::VARCHAR AS extracted_content, NULL::VARCHAR AS full_text_content, "
+              "NULL::VARCHAR AS status, NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at WHERE false")]
+    + o.upsert_sql("reg0", "order_key % 4 <> 3", NOW1, "reg1", "lines")
+    + o.upsert_sql("reg1", "order_key % 4 > 1", fx.NOW, "reg2", "lines"),
     f"SELECT {o.reg_cols()} FROM reg2"))
 def i4_upsert_urls(spark, sf):
+    """Two uploads of order-line URLs that overlap: new ones, known ones and repeats."""
     from seekrank.operators.ingest import empty_registry, upsert_urls
-    rows = fx.upload_rows_fx(spark, sf)
-    reg1 = upsert_urls(empty_registry(spark), rows.filter(F.col("row_no") < 1000000), NOW1)
-    reg2 = upsert_urls(reg1, rows.filter(F.col("row_no") >= 1000000), fx.NOW)
+    rows = fx.line_urls_fx(spark, sf)
+    reg1 = upsert_urls(empty_registry(spark), rows.filter(F.col("order_key") % 4 != 3), NOW1)
+    reg2 = upsert_urls(reg1, rows.filter(F.col("order_key") % 4 > 1), fx.NOW)
     return reg2.withColumn("created_at", ts_text("created_at")).withColumn("updated_at", ts_text("updated_at"))
 
 
@@ -484,29 +523,43 @@ def i5_pending_work(spark, sf):
 
 # --------------------------------------------------------------------------- I6–I10
 
-I8_SQL = """SELECT page_id, url, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), url) AS title,
-  {text} AS text, regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1) AS html FROM pages"""
+EX_SQL = f"""SELECT page_id, url, {o.page_title('html', 'url')} AS title, {o.page_text('html')} AS text,
+  {o.page_body('html')} AS html FROM pages"""
 
-
-def _i8_sql():
-    no_code = "regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
-    text = f"trim({o.collapse(f'regexp_replace({no_code}, {chr(39)}<[^>]*>{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')})"
-    return I8_SQL.format(text=text)
+WORK_CTES = o.base_ctes() + o.upload_ctes() + [
+    ("work", "SELECT l.url, l.type FROM (SELECT url, arg_max(type, row_no) AS type FROM valid GROUP BY url) l "
+             "JOIN urls_fx u ON u.url = l.url WHERE u.status = 'pending'")]
 
 
-@register("i6_fetch_pages", o.with_ctes(o.base_ctes() + o.upload_ctes() + [
-    ("work", "SELECT l.url, l.type FROM (SELECT url, arg_max(type, row_no) AS type FROM valid GROUP BY url) l "
-             "JOIN urls_fx u ON u.url = l.url WHERE u.status = 'pending'")],
-    "SELECT w.url, w.type, p.html IS NULL AS fetch_failed, length(p.html) AS html_len FROM work w LEFT JOIN pages p ON p.url = w.url"))
-def i6_fetch_pages(spark, sf):
+def _fetched(spark, sf):
+    """Pending work against a crawl in which every fourth page is missing."""
     from seekrank.operators.ingest import fetch_pages, pending_work
     from seekrank.sources.tables import load
     work = pending_work(fx.upload_rows_fx(spark, sf), fx.urls_fx(spark, sf)).select("url", "type")
-    f = fetch_pages(work, load(spark, sf, "pages"))
-    return f.select("url", "type", F.col("html").isNull().alias("fetch_failed"), F.length("html").alias("html_len"))
+    return fetch_pages(work, load(spark, sf, "pages").filter(F.col("page_id") % 4 != 1))
+
+
+FETCHED = "work w LEFT JOIN (SELECT * FROM pages WHERE page_id % 4 <> 1) p ON p.url = w.url"
+
+
+@register("i6_fetch_pages", o.with_ctes(WORK_CTES,
+    f"SELECT w.url, w.type, p.html IS NULL AS fetch_failed, coalesce(length(p.html), 0) AS html_len FROM {FETCHED}"))
+def i6_fetch_pages(spark, sf):
+    return _fetched(spark, sf).select("url", "type", F.col("html").isNull().alias("fetch_failed"),
+                                    F.coalesce(F.length("html"), F.lit(0)).alias("html_len"))
+
+
+@register("i7_placeholder", o.with_ctes(WORK_CTES + [("ex", EX_SQL)],
+    f"""SELECT w.url, w.type, p.html IS NULL AS fetch_failed, CASE WHEN p.html IS NULL THEN w.url ELSE e.title END AS title,
+  CASE WHEN p.html IS NULL THEN concat('Content temporarily unavailable for ', w.url) ELSE e.text END AS text,
+  CASE WHEN p.html IS NULL THEN 0 ELSE length(e.html) END AS html_len FROM {FETCHED} LEFT JOIN ex e ON e.page_id = p.page_id"""))
+def i7_placeholder(spark, sf):
+    from seekrank.operators.ingest import extract_fetched
+    d = extract_fetched(_fetched(spark, sf))
+    return d.select("url", "type", "fetch_failed", "title", "text", F.length("html").alias("html_len"))
 
 
-@register("i8_extract_pages", o.with_ctes([("ex", _i8_sql())],
+@register("i8_extract_pages", o.with_ctes([("ex", EX_SQL)],
           "SELECT page_id, title, text, length(html) AS html_len, md5(html) AS html_md5 FROM ex"))
 def i8_extract_pages(spark, sf):
     from seekrank.operators.ingest import extract_pages
@@ -515,13 +568,15 @@ def i8_extract_pages(spark, sf):
     return e.select("page_id", "title", "text", F.length("html").alias("html_len"), F.md5("html").alias("html_md5"))
 
 
-@register("i9_shape_content", o.with_ctes([("ex", _i8_sql())], f"""SELECT page_id, substring(title, 1, {o.C.max_title}) AS title,
-  substring(substring(text, 1, {o.C.max_text}), 1, {o.C.max_preview}) AS preview, length(substring(text, 1, {o.C.max_text})) AS text_len,
-  md5(substring(title, 1, {o.C.max_title}) || chr(10) || substring(text, 1, {o.C.max_text})) AS embed_md5 FROM ex"""))
+@register("i9_shape_content", o.with_ctes([("ex", EX_SQL)], f"""SELECT page_id, substring(title, 1, {o.C.max_title}) AS title,
+  substring(text, 1, {o.C.max_preview}) AS preview, length(substring(text, 1, {o.TEXT_CUT})) AS text_len,
+  md5(substring(title, 1, {o.C.max_title}) || chr(10) || substring(text, 1, {o.TEXT_CUT})) AS embed_md5 FROM ex"""))
 def i9_shape_content(spark, sf):
+    """The text cut is this operator's parameter; the queries that store, embed or search texts do not pass it."""
+    from seekrank.config import TEXT_CUT
     from seekrank.operators.ingest import extract_pages, shape_content
     from seekrank.sources.tables import load
-    s = shape_content(extract_pages(load(spark, sf, "pages")))
+    s = shape_content(extract_pages(load(spark, sf, "pages")), max_text=TEXT_CUT)
     return s.select("page_id", "title", "preview", F.length("text").alias("text_len"), F.md5("embed_text").alias("embed_md5"))
 
 

@@ -8,8 +8,8 @@ text and arrays are joined with ``|``.
 
 from __future__ import annotations
 
-from seekrank.config import DEFAULT, GENERIC_MARKERS, STOPWORDS, WS
-from seekrank.plans.fixtures import DIM, NOW, PARAGRAPH_QUERIES, QUERIES
+from seekrank.config import DEFAULT, GENERIC_MARKERS, STOPWORDS, TEXT_CUT, TEXT_SEARCH_ROWS, WS
+from seekrank.plans.fixtures import DIM, NOW, PARAGRAPH_QUERIES
 
 C = DEFAULT
 
@@ -64,19 +64,42 @@ def r6(x):
 
 # --------------------------------------------------------------------------- fixtures
 
+def decoded(x):
+    """Character references of page text, the ampersand last."""
+    for ref, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#34", '"'), ("#39", "''"), ("#x27", "''"), ("apos", "''"),
+                      ("nbsp", "\u00a0"), ("copy", "\u00a9"), ("middot", "\u00b7"), ("amp", "&")):
+        x = f"replace({x}, '&{ref};', '{char}')"
+    return x
+
+
+def page_body(x):
+    """After the opening body tag, up to its closing tag or the end; pages without one: after the head."""
+    inside = f"regexp_replace(regexp_extract({x}, '(?is)<body\\b[^>]*>(.*)', 1), '(?is)</body\\s*>.*', '')"
+    return f"CASE WHEN regexp_matches({x}, '(?i)<body\\b[^>]*>') THEN {inside} ELSE regexp_replace({x}, '(?is)^.*</head\\s*>', '') END"
+
+
+def page_title(x, url):
+    found = f"regexp_extract({x}, '(?is)<title\\b[^>]*>(.*?)</title', 1)"
+    return f"coalesce(nullif(trim({collapse(decoded(found))}), ''), {url})"
+
+
+def page_text(x):
+    bare = f"regexp_replace(({page_body(x)}), '(?s)<!--.*?-->', ' ', 'g')"
+    bare = f"regexp_replace({bare}, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', ' ', 'g')"
+    return f"trim({collapse(decoded(f'regexp_replace({bare}, {chr(39)}<[^>]*>{chr(39)}, {SPACE}, {G})'))})"
+
+
 def urls_fx_sql() -> str:
-    no_code = "regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
-    text = f"trim({collapse(f'regexp_replace({no_code}, {chr(39)}<[^>]*>{chr(39)}, {SPACE}, {G})')})"
     return f"""SELECT page_id AS id, url,
   regexp_extract(url, '/(de|en|es|fr)/[0-9]', 1) AS type,
-  substring(coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), url), 1, {C.max_title}) AS title,
-  substring(substring(txt, 1, {C.max_text}), 1, {C.max_preview}) AS content_preview,
+  substring({page_title('html', 'url')}, 1, {C.max_title}) AS title,
+  substring(txt, 1, {C.max_preview}) AS content_preview,
   coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS extracted_content,
-  substring(txt, 1, {C.max_text}) AS full_text_content,
+  txt AS full_text_content,
   CASE WHEN page_id % 10 = 9 THEN 'pending' WHEN page_id % 10 = 8 THEN 'failed' ELSE 'completed' END AS status,
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (page_id) MINUTE AS created_at,
   TIMESTAMP '{NOW}' - INTERVAL (page_id * 20) MINUTE AS updated_at
-FROM (SELECT *, {text} AS txt FROM pages)"""
+FROM (SELECT *, {page_text('html')} AS txt FROM pages)"""
 
 
 def vectors_fx_sql(src: str = "urls_fx") -> str:
@@ -88,23 +111,17 @@ FROM {src} u LEFT JOIN (
       FROM {src}) WHERE length(tok) > 2 GROUP BY 1, 2) GROUP BY id) m ON m.id = u.id"""
 
 
-def _sql_lit(v):
-    if v is None:
-        return "NULL"
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    if isinstance(v, list):
-        return "[" + ", ".join(_sql_lit(x) for x in v) + "]::VARCHAR[]"
-    return str(v)
-
-
 def queries_fx_sql() -> str:
-    rows = ",\n  ".join("(" + ", ".join(_sql_lit(v) if not (i == 2 and v is None) else "NULL::VARCHAR[]"
-                                        for i, v in enumerate(r)) + ")" for r in QUERIES)
-    return (f"SELECT query_id::BIGINT AS query_id, query::VARCHAR AS query, types::VARCHAR[] AS types, "
-            f"per_page::BIGINT AS per_page, page::BIGINT AS page, type_filter_text::VARCHAR AS type_filter_text, "
-            f"like_id::BIGINT AS like_id FROM (VALUES\n  {rows}) t(query_id, query, types, per_page, page, "
-            f"type_filter_text, like_id)")
+    return f"""SELECT page_id + 1 AS query_id,
+  CASE page_id % 8 WHEN 0 THEN 'the' WHEN 1 THEN w[1] WHEN 2 THEN concat_ws(' ', w[1], w[2]) WHEN 3 THEN '  zzzz '
+    WHEN 4 THEN '' WHEN 5 THEN '---' WHEN 6 THEN 'with that' END AS query,
+  CASE page_id % 5 WHEN 0 THEN ['en', 'fr'] WHEN 2 THEN []::VARCHAR[] WHEN 3 THEN [kind] END AS types,
+  (CASE page_id % 6 WHEN 0 THEN 20 WHEN 1 THEN 10 WHEN 2 THEN 5 WHEN 4 THEN 0 WHEN 5 THEN 40 END)::BIGINT AS per_page,
+  (CASE page_id % 7 WHEN 1 THEN 2 WHEN 2 THEN NULL WHEN 3 THEN 0 WHEN 6 THEN 3 ELSE 1 END)::BIGINT AS page,
+  CASE page_id % 9 WHEN 0 THEN 'EXAMPLE.NET' WHEN 1 THEN '  ' WHEN 2 THEN 'fr' END AS type_filter_text,
+  CASE WHEN page_id % 11 <> 10 THEN page_id END AS like_id
+FROM (SELECT page_id, regexp_extract(url, '/(de|en|es|fr)/[0-9]', 1) AS kind,
+  string_split(lower({page_title('html', 'url')}), ' ') AS w FROM pages)"""
 
 
 def base_ctes() -> list[tuple[str, str]]:
@@ -157,7 +174,7 @@ def search_ctes() -> list[tuple[str, str]]:
                   f"JOIN qok q ON {type_ok('q.types', 'c.type')}"),
         ("top", "SELECT p.query_id, p.id, p.score, c.url, c.type, c.title, c.snippet, c.updated_at FROM ("
                 "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM pairs) p "
-                f"JOIN corpus c ON c.id = p.id WHERE p.rn <= {C.max_top_k} AND p.rn <= p.k AND c.url IS NOT NULL"),
+                "JOIN corpus c ON c.id = p.id WHERE p.rn <= p.k AND c.url <> ''"),
         ("cand", "SELECT t.*, q.query, q.per_page, q.page, q.type_filter_text FROM top t JOIN qok q USING (query_id)"),
     ]
     ctes += rescore_ctes("cand")
@@ -332,29 +349,23 @@ FROM hy2 h LEFT JOIN tp t USING (query_id, id)"""),
 # --------------------------------------------------------------------------- matches_fx, paragraphs_fx
 
 def matches_ctes() -> list[tuple[str, str]]:
-    ctes = base_ctes()
+    ctes = search_ctes()
+    ctes = ctes[:[n for n, _ in ctes].index("cand")]
+    cols = "type, title, snippet, updated_at"
     ctes += [
-        ("mq", "SELECT * FROM (VALUES (1), (2), (3), (4), (5), (6), (7)) t(query_id)"),
-        ("mm", "SELECT query_id::BIGINT AS query_id, page_id AS id, url, "
-               "CAST(0.5 AS DOUBLE) + ((page_id * 37 + query_id * 11) % 50) / CAST(100.0 AS DOUBLE) AS score "
-               "FROM pages CROSS JOIN mq"),
-        ("mcore", "SELECT query_id, id, url, score FROM mm UNION ALL SELECT query_id, id + 1000000, "
-                  "CASE WHEN url LIKE '%/' THEN upper(url) ELSE concat(upper(url), '/') END, "
-                  "score + CASE WHEN id % 8 = 0 THEN CAST(-0.003 AS DOUBLE) ELSE CAST(0.003 AS DOUBLE) END "
-                  "FROM mm WHERE id % 4 = 0"),
-        ("matches_fx", "SELECT c.query_id, CAST(c.id AS VARCHAR) AS id, c.url, c.score, u.type, u.title, "
-                       "u.content_preview AS snippet, u.updated_at FROM mcore c LEFT JOIN urls_fx u ON u.id = c.id % 1000000"),
-        ("qn", normalised_queries_sql()),
-        ("qk", budget_sql("qn")),
-        ("mc", "SELECT m.*, q.query, q.per_page, q.page, q.type_filter_text FROM matches_fx m JOIN qk q USING (query_id)"),
+        ("matches_fx", f"""SELECT query_id, CAST(id AS VARCHAR) AS id, url, score, {cols} FROM top
+UNION ALL SELECT query_id, concat(id, '-copy'), CASE WHEN url LIKE '%/' THEN upper(url) ELSE concat(upper(url), '/') END,
+  score + CASE WHEN id % 8 = 0 THEN CAST(-0.003 AS DOUBLE) ELSE CAST(0.003 AS DOUBLE) END, {cols} FROM top WHERE id % 4 = 0"""),
+        ("mc", "SELECT m.*, q.query, q.per_page, q.page, q.type_filter_text FROM matches_fx m JOIN qok q USING (query_id)"),
     ]
     return ctes + rescore_ctes("mc")
 
 
 def paragraphs_ctes() -> list[tuple[str, str]]:
-    vals = ", ".join(f"('{q}')" for q in PARAGRAPH_QUERIES)
-    return [("paragraphs_fx", "SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS content, query "
-                              f"FROM documents CROSS JOIN (VALUES {vals}) t(query)")]
+    fixed = " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(PARAGRAPH_QUERIES))
+    return [("paragraphs_fx", f"""SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS content,
+  CASE doc_id % 4 {fixed} ELSE concat_ws(' ', string_split(lower(text), ' ')[1], string_split(lower(text), ' ')[2]) END AS query
+FROM documents""")]
 
 
 # --------------------------------------------------------------------------- L1–L4
@@ -389,9 +400,10 @@ def lexical_ctes() -> list[tuple[str, str]]:
         ("qk", budget_sql("qn")),
         ("lm", f"""SELECT u.id, u.url, u.type, u.title, u.content_preview, u.status, u.updated_at, q.query_id, q.query
 FROM urls_fx u JOIN qk q ON (q.query = '' OR coalesce({hit}, false)) AND {type_ok('q.types', 'u.type')}"""),
-        ("lc", f"""SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
+        ("lc", "SELECT * FROM lm"),
+        ("lcap", f"""SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
   CASE WHEN status = 'completed' THEN 1 WHEN status = 'pending' THEN 2 ELSE 3 END, updated_at DESC NULLS LAST, id) AS r
-  FROM lm) WHERE r <= {C.max_text_fetch}"""),
+  FROM lm) WHERE r <= {TEXT_SEARCH_ROWS}"""),
         ("ls0", f"""SELECT id, url, type, CASE WHEN coalesce(title, '') = '' THEN url ELSE title END AS title,
   coalesce(content_preview, '') AS snippet, status, updated_at, query_id, query, {norm('query')} AS nq, lower(query) AS ql FROM lc"""),
         ("ls1", f"SELECT *, {rb} AS recency_boost, {s} AS s0 FROM ls0"),
@@ -404,7 +416,7 @@ FROM urls_fx u JOIN qk q ON (q.query = '' OR coalesce({hit}, false)) AND {type_o
                   "WHERE pos > (page - 1) * per_page AND pos <= page * per_page"),
         ("ltot", "SELECT query_id, count(*) AS total_available FROM lft GROUP BY query_id"),
         ("lmeta", """SELECT q.query_id, q.page, q.per_page, coalesce(t.total_available, 0)::BIGINT AS total_available,
-  true AS degraded, 'Using database text search (Pinecone vector search unavailable).' AS reason
+  true AS degraded, 'Using text search (vector search unavailable).' AS reason
 FROM qk q LEFT JOIN ltot t USING (query_id)"""),
     ]
     return ctes
@@ -414,14 +426,14 @@ FROM qk q LEFT JOIN ltot t USING (query_id)"""),
 
 def upload_ctes() -> list[tuple[str, str]]:
     return [
-        ("ub", """SELECT page_id, CAST(page_id AS VARCHAR) AS id,
+        ("ub", """SELECT page_id, CAST(page_id AS VARCHAR) AS id, concat('upload-', page_id // 100, '.csv') AS upload_id,
   CASE WHEN page_id % 13 = 5 THEN '' ELSE regexp_extract(url, '/(de|en|es|fr)/[0-9]', 1) END AS type,
   CASE WHEN page_id % 17 = 3 THEN '' ELSE url END AS url FROM pages"""),
-        ("upload_rows_fx", """SELECT page_id AS row_no, id,
+        ("upload_rows_fx", """SELECT upload_id, page_id * 2 AS row_no, id,
   CASE WHEN page_id % 7 = 2 THEN concat('  ', type, ' ') ELSE type END AS type,
   CASE WHEN page_id % 7 = 2 THEN concat(' ', url, '  ') ELSE url END AS url FROM ub
-UNION ALL SELECT page_id + 1000000, id, 'Again', url FROM ub WHERE page_id % 5 = 0"""),
-        ("uclean", f"""SELECT 'upload.csv' AS upload_id, row_no, {ws_trim("coalesce(id, '')")} AS id,
+UNION ALL SELECT upload_id, page_id * 2 + 1, id, 'Again', url FROM ub WHERE page_id % 5 = 0"""),
+        ("uclean", f"""SELECT upload_id, row_no, {ws_trim("coalesce(id, '')")} AS id,
   {ws_trim("coalesce(type, '')")} AS type, {ws_trim("coalesce(url, '')")} AS url FROM upload_rows_fx"""),
         ("valid", "SELECT * FROM uclean WHERE length(type) > 0 AND length(url) > 0"),
     ]
@@ -433,15 +445,15 @@ def reg_cols(ts=True):
             f"{t('created_at')} AS created_at, {t('updated_at')} AS updated_at" if ts else "")
 
 
-def upsert_sql(reg: str, valid_filter: str, now: str, name: str) -> list[tuple[str, str]]:
+def upsert_sql(reg: str, valid_filter: str, now: str, name: str, src: str = "valid") -> list[tuple[str, str]]:
     inc = f"{name}_inc"
     return [
-        (inc, f"SELECT url, arg_min(type, row_no) AS type, min(row_no) AS first_row_no FROM valid WHERE {valid_filter} GROUP BY url"),
+        (inc, f"SELECT url, arg_min(type, row_no) AS type, min(row_no) AS first_row_no FROM {src} WHERE {valid_filter} GROUP BY url"),
         (f"{name}_kept", f"""SELECT r.id, r.url, r.type, r.title, r.content_preview, r.extracted_content, r.full_text_content,
   CASE WHEN i.url IS NOT NULL THEN 'pending' ELSE r.status END AS status, r.created_at,
   CASE WHEN i.url IS NOT NULL THEN TIMESTAMP '{now}' ELSE r.updated_at END AS updated_at
 FROM {reg} r LEFT JOIN {inc} i ON i.url = r.url"""),
-        (f"{name}_new", f"""SELECT ((SELECT coalesce(max(id), -1) FROM {reg}) + row_number() OVER (ORDER BY first_row_no))::BIGINT AS id,
+        (f"{name}_new", f"""SELECT ((SELECT coalesce(max(id), 0) FROM {reg}) + row_number() OVER (ORDER BY first_row_no, url))::BIGINT AS id,
   url, type, NULL::VARCHAR AS title, NULL::VARCHAR AS content_preview, NULL::VARCHAR AS extracted_content,
   NULL::VARCHAR AS full_text_content, 'pending' AS status, TIMESTAMP '{now}' AS created_at, TIMESTAMP '{now}' AS updated_at
 FROM {inc} WHERE url NOT IN (SELECT url FROM {reg})"""),
@@ -450,9 +462,9 @@ FROM {inc} WHERE url NOT IN (SELECT url FROM {reg})"""),
 
 
 def processed_sql() -> str:
-    stray = "[" + ", ".join(["1.0"] * DIM) + "]::DOUBLE[]"
-    return f"""SELECT u.url, u.type, u.title, u.content_preview AS preview, u.full_text_content AS text,
+    rows = """SELECT u.id, u.url, u.type, u.title, u.content_preview AS preview, u.full_text_content AS text,
   u.extracted_content AS html, CASE WHEN u.id % 11 = 6 THEN NULL ELSE v.v END AS vector,
   CASE WHEN u.id % 11 = 4 THEN 'boom' END AS error
-FROM urls_fx u LEFT JOIN vectors_fx v ON v.id = u.id
-UNION ALL SELECT 'https://not-registered.example.com/x', 'en', 'Stray', 'stray text', 'stray text', '', {stray}, NULL"""
+FROM urls_fx u LEFT JOIN vectors_fx v ON v.id = u.id"""
+    return f"""WITH r AS ({rows}) SELECT * EXCLUDE (id) FROM r
+UNION ALL SELECT * EXCLUDE (id) REPLACE (concat(url, '#gone') AS url) FROM r WHERE id % 17 = 3"""

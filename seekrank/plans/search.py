@@ -1,10 +1,11 @@
-"""R15 end-to-end search: one lazy plan from a batch of queries to one page each.
+"""R15 end-to-end search: from a batch of queries to one page each.
 
 V1 → V2 → (V3 + V4) → R2…R8 → R9…R13 → T1, T3, T4, T5, and R14 for the meta.
-Shuffles: the top-k exchange on ``query_id`` (after a partial top-k per corpus
-partition), the small re-shuffle of ≤ Q·k candidates after their metadata
-join, and the phrase grouping over one page per query. The corpus and the
-registry are streamed; nothing is collected to the driver.
+Shuffles: the tiles of V4, the top-k exchange on ``query_id`` (after a partial
+top-k per tile), and the joins of the winners' ids with their metadata and
+texts. The scored candidates, at most the budget per query, feed both the pages
+and the totals; they are written once with ``checkpoint()`` when the search is
+built, so neither branch scores them again.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from seekrank.operators.ranking import (dedup_urls, filter_text, rank_pipeline,
                                         search_status)
 from seekrank.operators.retrieval import normalise_queries, vector_topk
 from seekrank.operators.snippets import snippets_and_highlights
+from seekrank.session import checkpoint_dir
 
 RESULT_COLS = ["query_id", "rank", "id", "url", "type", "title", "score", "original_score",
                "recency_boost", "snippet", "highlights", "phrases"]
@@ -36,26 +38,20 @@ def prepare_queries(queries: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFram
     return q.withColumn("has_vector", has_vec)
 
 
-def candidates(q: DataFrame, corpus: DataFrame, now, cfg: SearchConfig = DEFAULT,
-               method: str = "numpy", bound_buckets: int = 0) -> DataFrame:
+def candidates(q: DataFrame, corpus: DataFrame, now, cfg: SearchConfig = DEFAULT) -> DataFrame:
     """V3+V4 then R2–R8: scored candidates of every usable query."""
     ok = q.filter(F.col("error").isNull() & F.col("has_vector"))
-    top = vector_topk(corpus, ok.select("query_id", "qvec", "k", "types"), cfg, method=method,
-                      bound_buckets=bound_buckets)
+    top = vector_topk(corpus, ok.select("query_id", "qvec", "k", "types"), cfg)
     attrs = ok.select("query_id", "query", "per_page", "page", "type_filter_text")
     return rescore(top.join(attrs, "query_id"), now, cfg)
 
 
 def search(queries: DataFrame, corpus: DataFrame, registry: DataFrame, now,
-           cfg: SearchConfig = DEFAULT, method: str = "numpy", snippets: bool = True,
-           bound_buckets: int = 0) -> SearchResult:
-    """``queries``: query_id, query, types, per_page, page, type_filter_text, qvec.
-
-    ``bound_buckets`` turns on the exact score-bound prefilter of the top-k
-    (see :func:`seekrank.operators.retrieval.vector_topk`) for large corpora.
-    """
+           cfg: SearchConfig = DEFAULT, snippets: bool = True) -> SearchResult:
+    """``queries``: query_id, query, types, per_page, page, type_filter_text, qvec."""
     q = prepare_queries(queries, cfg)
-    scored = candidates(q, corpus, now, cfg, method, bound_buckets)
+    checkpoint_dir(queries.sparkSession)
+    scored = candidates(q, corpus, now, cfg).checkpoint()
     page_rows = rank_pipeline(scored, cfg)
     totals = filter_text(dedup_urls(scored)).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("total_available"))

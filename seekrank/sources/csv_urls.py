@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import csv
 import io
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,39 +33,62 @@ ROWS_SCHEMA = T.StructType([
 ])
 
 
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Header names -> files that have them; the first line of a file that isn't blank is its header."""
+    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value")
+             .filter(F.length(F.trim(F.regexp_replace("value", "^\ufeff", ""))) > 0))
+    first = lines.groupBy("file").agg(F.min_by("value", "n").alias("header")).collect()  # one row per file
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(first):
+        names = next(csv.reader([r["header"].removeprefix("\ufeff")], skipinitialspace=True))
+        out.setdefault(tuple(n.strip() for n in names), []).append(unquote(r["file"]))
+    return out
+
+
 def read_url_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Spark's CSV reader; BOM, blank lines and header blanks are handled by it.
 
-    ``strict`` rejects ragged rows (FAILFAST). Spark skips the ragged check for
-    columns a query does not read, so strict mode turns CSV column pruning off
-    for the session.
+    Files with different headers (order, case, further columns) are read group
+    by group, each by its own header. ``strict`` rejects ragged rows (FAILFAST);
+    Spark skips that check for columns a query does not read, so the reader is
+    told not to prune columns. A file with quoted line breaks cannot be split:
+    one task reads one file.
     """
-    if strict:
-        spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-           .option("mode", "FAILFAST" if strict else "PERMISSIVE").option("encoding", "UTF-8")
-           .csv(path))
-    found = [c.strip() for c in raw.columns]
-    pick = {}
-    for c in raw.columns:
-        key = c.strip().lower()
-        if key in WANTED and key not in pick:
-            pick[key] = c
-    cols = [F.col(f"`{pick[k]}`").alias(k) if k in pick else F.lit(None).cast("string").alias(k) for k in WANTED]
-    return raw.select(
-        F.col("_metadata.file_path").alias("upload_id"), F.col("_metadata.file_name").alias("file_name"),
-        F.monotonically_increasing_id().alias("row_no"), *cols,
-        F.lit(", ".join(found)).alias("columns_found"), F.lit(None).cast("string").alias("error"))
+    found = None
+    for names, files in _headers(spark, path).items():
+        raw = (spark.read.option("header", True).option("multiLine", True)
+               .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+               .option("mode", "FAILFAST" if strict else "PERMISSIVE").option("encoding", "UTF-8")
+               .option("columnPruning", not strict)
+               .csv(files))
+        pick: dict[str, str] = {}
+        for c in raw.columns:
+            key = c.strip().lower()
+            if key in WANTED and key not in pick:
+                pick[key] = c
+        cols = [F.col(f"`{pick[k]}`").alias(k) if k in pick else F.lit(None).cast("string").alias(k) for k in WANTED]
+        rows = raw.select(
+            F.col("_metadata.file_path").alias("upload_id"), F.col("_metadata.file_name").alias("file_name"),
+            F.monotonically_increasing_id().alias("row_no"), *cols,
+            F.lit(", ".join(names)).alias("columns_found"), F.lit(None).cast("string").alias("error"))
+        found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], ROWS_SCHEMA) if found is None else found
+
+
+def _records(text: str):
+    """CSV records; blanks around quoted fields are allowed, as the file reader allows them."""
+    try:
+        return list(csv.reader(io.StringIO(text, newline=""), skipinitialspace=True, strict=True))
+    except csv.Error:
+        if text.count('"') % 2:
+            raise
+        return list(csv.reader(io.StringIO(text, newline=""), skipinitialspace=True))
 
 
 def _parse_payload(text: str):
-    """Rows of one CSV document (header row first; blank lines skipped)."""
-    if text.startswith("\ufeff"):
-        text = text[1:]
-    reader = csv.reader(io.StringIO(text, newline=""), skipinitialspace=False, strict=True)
+    """Header and rows of one CSV document (header row first; blank lines skipped)."""
     header, rows = None, []
-    for rec in reader:
+    for rec in _records(text.removeprefix("\ufeff")):
         if not rec or all(v.strip() == "" for v in rec) and len(rec) <= 1:
             continue
         if header is None:
@@ -77,32 +101,31 @@ def _parse_payload(text: str):
 
 
 def parse_payloads(batches):
-    """mapInPandas body: one output row per data row, or one error row per bad payload."""
+    """mapInPandas body: one output row per data row, or one error row (no ``row_no``) per bad or empty payload."""
+    cols = [f.name for f in ROWS_SCHEMA.fields]
     for pdf in batches:
-        out = []
         for up, content, name in zip(pdf["upload_id"], pdf["csv_content"], pdf["file_name"]):
             fname = name or DEFAULT_FILE_NAME
+            found, error, rows, idx = None, None, [], {}
             if not content:
-                out.append((up, fname, None, None, None, None, None, "csvContent is required"))
-                continue
-            try:
-                text = base64.b64decode(content).decode("utf-8")
-                header, rows = _parse_payload(text)
-            except Exception as e:  # a bad payload fails alone
-                out.append((up, fname, None, None, None, None, None, str(e)))
-                continue
-            idx = {}
-            for i, h in enumerate(header):
-                k = h.lower().strip()
-                if k in WANTED and k not in idx:
-                    idx[k] = i
-            found = ", ".join(header)
-            if not rows:
-                out.append((up, fname, None, None, None, None, found, "CSV file is empty or contains no data rows"))
-            for n, rec in enumerate(rows):
-                vals = {k: rec[i] for k, i in idx.items()}
-                out.append((up, fname, n, vals.get("id"), vals.get("type"), vals.get("url"), found, None))
-        yield pd.DataFrame(out, columns=[f.name for f in ROWS_SCHEMA.fields])
+                error = "csvContent is required"
+            else:
+                try:
+                    header, rows = _parse_payload(base64.b64decode(content).decode("utf-8", "replace"))
+                    found = ", ".join(header)
+                    for i, h in enumerate(header):
+                        k = h.lower().strip()
+                        if k in WANTED and k not in idx:
+                            idx[k] = i
+                    if not rows:
+                        error = "CSV file is empty or contains no data rows"
+                except Exception as e:  # a bad payload fails alone
+                    error, rows = str(e), []
+            if error:
+                yield pd.DataFrame([(up, fname, None, None, None, None, found, error)], columns=cols)
+            for lo in range(0, len(rows), 10_000):
+                yield pd.DataFrame([(up, fname, lo + n, *(rec[idx[k]] if k in idx else None for k in ("id", "type", "url")), found, None)
+                                    for n, rec in enumerate(rows[lo:lo + 10_000])], columns=cols)
 
 
 def read_upload_payloads(payloads: DataFrame) -> DataFrame:

@@ -1,49 +1,88 @@
-"""Versioned snapshots for keyed upserts without MERGE.
-
-A table is a folder with one sub-folder per version (``version=<n>``) and a
-tiny manifest (``_manifest``, one row per committed version). A writer
-computes the next snapshot from the latest committed one, writes it under a
-new version, then appends the version to the manifest. A replayed batch
-writes the same version again (overwrite of that version only), so the result
-is the same: no folder is ever overwritten while it is being read.
+"""Versioned keyed tables without MERGE: changed rows per version, merged on read.
+
+A table is a folder with one sub-folder per committed version (``version=<n>``)
+and a tiny manifest (one row per commit). A commit writes only the rows that
+changed; a read takes the newest full version and replaces the keys that later
+versions changed. Every ``COMPACT_EVERY``-th commit writes a full version, so a
+small batch costs its own size and reads stay short.
+
+A replayed batch writes the same version again (overwrite of that version only,
+never of one being read). Versions only grow: writing below the newest one is
+refused, so a stream that lost its checkpoint stops instead of going back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MANIFEST_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("batch_id", T.LongType())])
+COMPACT_EVERY = 16
+MANIFEST_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("batch_id", T.LongType()),
+                                T.StructField("full", T.BooleanType())])
 
 
 def _manifest(root: str) -> str:
     return f"{root.rstrip('/')}/_manifest"
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    try:
-        m = spark.read.schema(MANIFEST_SCHEMA).parquet(_manifest(root))
-    except Exception:
-        return None
-    row = m.agg(F.max("version").alias("v")).first()
-    return None if row is None or row["v"] is None else int(row["v"])
+def _folder(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/version={version}"
+
 
+def versions(spark: SparkSession, root: str, before: int | None = None) -> list[tuple[int, bool]]:
+    """Committed (version, full) pairs from the newest full one on; empty only where no manifest exists.
 
-def read_latest(spark: SparkSession, root: str, empty: DataFrame, before: int | None = None) -> DataFrame:
-    """Latest committed snapshot (strictly before ``before`` if given), else ``empty``."""
+    Any other read error is raised: it must not look like an empty table.
+    """
     try:
         m = spark.read.schema(MANIFEST_SCHEMA).parquet(_manifest(root))
-        if before is not None:
-            m = m.filter(F.col("version") < before)
-        row = m.agg(F.max("version").alias("v")).first()
-    except Exception:
-        row = None
-    if row is None or row["v"] is None:
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    if before is not None:
+        m = m.filter(F.col("version") < before)
+    last_full = m.filter("full").agg(F.max("version")).first()[0]
+    rows = m.filter(F.col("version") >= last_full).select("version", "full").distinct().collect() if last_full is not None else []
+    return sorted((int(r["version"]), bool(r["full"])) for r in rows)  # at most COMPACT_EVERY and replays
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    found = versions(spark, root)
+    return found[-1][0] if found else None
+
+
+def read_latest(spark: SparkSession, root: str, empty: DataFrame, key: str, before: int | None = None) -> DataFrame:
+    """Latest committed state (strictly before version ``before`` if given), else ``empty``."""
+    found = versions(spark, root, before)
+    if not found:
         return empty
-    return spark.read.schema(empty.schema).parquet(f"{root.rstrip('/')}/version={int(row['v'])}")
+
+    def load(v: int) -> DataFrame:
+        return spark.read.schema(empty.schema).parquet(_folder(root, v))
+    base, changes = load(found[0][0]), None
+    for v, _ in found[1:]:
+        part = load(v).withColumn("_version", F.lit(v))
+        changes = part if changes is None else changes.unionByName(part)
+    if changes is None:
+        return base
+    newest = Window.partitionBy(key).orderBy(F.col("_version").desc())  # a key has one row per version
+    changes = changes.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn", "_version")
+    return base.join(changes.select(key), key, "left_anti").select(*base.columns).unionByName(changes)
 
 
-def commit(spark: SparkSession, root: str, df: DataFrame, version: int, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/version={version}")
-    spark.createDataFrame([(version, batch_id)], MANIFEST_SCHEMA).write.mode("append").parquet(_manifest(root))
+def commit(spark: SparkSession, root: str, changed: DataFrame, key: str, version: int, batch_id: int) -> None:
+    """Commit the changed rows (one per key) as ``version``; full every COMPACT_EVERY-th time and at first."""
+    newest = latest_version(spark, root)
+    if newest is not None and version < newest:
+        raise ValueError(f"version {version} is older than the newest one, {newest}: the stream's checkpoint does not belong to {root}")
+    found = versions(spark, root, before=version)
+    full = not found or len(found) >= COMPACT_EVERY
+    if full and found:
+        old = read_latest(spark, root, spark.createDataFrame([], changed.schema), key, before=version)
+        changed = old.join(changed.select(key), key, "left_anti").select(*changed.columns).unionByName(changed)
+    changed.write.mode("overwrite").parquet(_folder(root, version))
+    if newest != version:
+        spark.createDataFrame([(version, batch_id, full)], MANIFEST_SCHEMA).write.mode("append").parquet(_manifest(root))

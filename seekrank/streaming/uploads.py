@@ -2,108 +2,124 @@
 
 S1: CSV files dropped into a folder are read whole (``wholetext``), parsed
 with the I2 payload parser (any header order, BOM, quoted newlines), validated
-(I3) and upserted into the versioned registry (I4) in ``foreachBatch``.
+(I3) and upserted into the versioned registry (I4) in ``foreachBatch``. The
+report of every file, bad ones included, is written per batch.
 
 S2: work items (I5 output) arriving as Parquet files go through page lookup,
 placeholder, extraction, shaping and embedding (I6–I10), then the vector store
 (I12) and the registry (I11) are committed under the batch's version, vectors
-first. One metrics row per batch counts completed, failed and synced rows.
+first. Per batch one metrics row counts completed, failed and synced rows, and
+a problems table lists embedding errors and URLs outside the registry.
 
-Both are replay-safe: batch ``n`` always reads the latest version *before*
-``n`` and writes version ``n``.
+Both are replay-safe: batch ``n`` always reads the state *before* version ``n``
+and writes version ``n``, changed rows only. A stream's checkpoint must be a
+durable folder that outlives the application; there is no default.
 """
 
 from __future__ import annotations
 
 import base64
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekrank.operators.embed import HashedBow, embed
-from seekrank.operators.ingest import (apply_results, empty_registry, empty_vectors, extract_pages, fetch_pages,
-                                       shape_content, upsert_urls, upsert_vectors, validate_url_rows,
-                                       vector_records, with_placeholder)
-from seekrank.session import checkpoint_dir
+from seekrank.operators.ingest import (apply_results, empty_registry, empty_vectors, extract_fetched, fetch_pages,
+                                       shape_content, upload_report, upsert_urls_changes, validate_url_rows,
+                                       vector_changes, vector_records)
 from seekrank.sources.csv_urls import read_upload_payloads
 from seekrank.streaming import snapshots
 
-WORK_SCHEMA = T.StructType([T.StructField("url", T.StringType()), T.StructField("type", T.StringType())])
-METRICS_SCHEMA = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("completed", T.LongType()),
-                               T.StructField("failed", T.LongType()), T.StructField("vector_synced", T.LongType())])
+WORK_SCHEMA = T.StructType([T.StructField("url", T.StringType()), T.StructField("type", T.StringType()),
+                            T.StructField("row_no", T.LongType())])
 
 
 def _b64(col):
     return F.base64(F.encode(col, "UTF-8"))
 
 
+def _durable(checkpoint: str | None) -> str:
+    if not checkpoint:
+        raise ValueError("a stream needs a checkpoint folder of its own that outlives the application")
+    return checkpoint
+
+
+def upload_batch(spark: SparkSession, payloads: DataFrame, batch_id: int, registry_root: str, now,
+                 report_path: str | None = None) -> None:
+    """One S1 micro-batch: payloads (I2) → report (I3) → registry (I4), committed as version ``batch_id``."""
+    rows = read_upload_payloads(payloads).persist()
+    current = snapshots.read_latest(spark, registry_root, empty_registry(spark), "url", before=batch_id)
+    changed = upsert_urls_changes(current, order_rows(rows.filter(F.col("error").isNull())), now)
+    snapshots.commit(spark, registry_root, changed, "url", batch_id, batch_id)
+    if report_path:
+        upload_report(rows).write.mode("overwrite").parquet(f"{report_path.rstrip('/')}/batch_id={batch_id}")
+    rows.unpersist()
+
+
 def stream_uploads(spark: SparkSession, in_dir: str, registry_root: str, clock, checkpoint: str | None = None,
-                   trigger: dict | None = None):
+                   trigger: dict | None = None, report_path: str | None = None):
     """Start the upload stream; ``clock(batch_id)`` gives the batch's timestamp."""
     files = spark.readStream.format("text").option("wholetext", True).load(in_dir)
     payloads = files.select(F.col("_metadata.file_path").alias("upload_id"), _b64(F.col("value")).alias("csv_content"),
                             F.col("_metadata.file_name").alias("file_name"))
 
     def per_batch(batch: DataFrame, batch_id: int):
-        rows = order_rows(read_upload_payloads(batch).filter(F.col("error").isNull()))
-        current = snapshots.read_latest(spark, registry_root, empty_registry(spark), before=batch_id)
-        nxt = upsert_urls(current, rows, clock(batch_id))
-        snapshots.commit(spark, registry_root, nxt, batch_id, batch_id)
+        upload_batch(spark, batch, batch_id, registry_root, clock(batch_id), report_path)
 
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/s1-uploads"
-    return (payloads.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+    return (payloads.writeStream.foreachBatch(per_batch).option("checkpointLocation", _durable(checkpoint))
                     .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def order_rows(rows: DataFrame) -> DataFrame:
-    """One total row order over the files of a batch: (file, row within file).
-
-    The file number comes from the (tiny) list of distinct files in the batch.
-    """
-    files = rows.select("upload_id").distinct()
-    files = files.withColumn("_f", F.row_number().over(Window.orderBy("upload_id")))  # one row per file
-    return (rows.join(F.broadcast(files), "upload_id")
-                .withColumn("row_no", F.col("_f").cast("long") * F.lit(1 << 32) + F.col("row_no"))
-                .drop("_f"))
+    """One total row order over the files of a batch: (file, row within file), as dense numbers."""
+    from seekrank.operators.numbering import dense_ids
+    ordered = dense_ids(rows.withColumnRenamed("row_no", "_in_file"), ["upload_id", "_in_file"], F.lit(0), "row_no")
+    return ordered.drop("_in_file")
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, pages: DataFrame, registry_root: str,
-                  vectors_root: str, metrics_path: str, now, embedder=HashedBow(64)) -> None:
-    """One S2 micro-batch: I6–I12 on the queued URLs, then versioned commits (vectors first)."""
-    items = batch.groupBy("url").agg(F.max("type").alias("type"))  # one item per URL and batch
-    f = fetch_pages(items, pages)
-    ok = extract_pages(f.filter(F.col("html").isNotNull()))
-    miss = (f.filter(F.col("html").isNull()).withColumn("title", F.lit(None).cast("string"))
-             .withColumn("text", F.lit(None).cast("string")))
-    shaped = shape_content(with_placeholder(ok.unionByName(miss)))
-    done = embed(shaped, "embed_text", embedder).withColumn("error", F.lit(None).cast("string")).persist()
-    registry = snapshots.read_latest(spark, registry_root, empty_registry(spark), before=batch_id)
-    vectors = snapshots.read_latest(spark, vectors_root, empty_vectors(spark), before=batch_id)
-    new_registry = apply_results(registry, done, now)
-    records, _errors = vector_records(done, new_registry)
-    snapshots.commit(spark, vectors_root, upsert_vectors(vectors, records), batch_id, batch_id)
-    snapshots.commit(spark, registry_root, new_registry, batch_id, batch_id)
-    m = done.agg(F.count_if(F.col("error").isNull()).alias("completed"),
-                 F.count_if(F.col("error").isNotNull()).alias("failed"),
-                 F.count_if(F.col("vector").isNotNull()).alias("vector_synced"))
+                  vectors_root: str, metrics_path: str, now, embedder=HashedBow(64), fallback=None,
+                  mode: str = "basic") -> None:
+    """One S2 micro-batch: I6–I12 on the queued URLs, then versioned commits (vectors first).
+
+    A URL queued more than once takes the type queued last (``row_no``). A page
+    whose embedding fails is completed without a vector, as the rule has it.
+    """
+    order = F.struct("row_no", "type") if "row_no" in batch.columns else F.struct("type")
+    items = batch.groupBy("url").agg(F.max_by("type", order).alias("type"))
+    shaped = shape_content(extract_fetched(fetch_pages(items, pages), mode))
+    done = (embed(shaped, "embed_text", embedder, fallback).withColumnRenamed("error", "embed_error")
+            .withColumn("error", F.lit(None).cast("string")).persist())
+    registry = snapshots.read_latest(spark, registry_root, empty_registry(spark), "url", before=batch_id)
+    changed = apply_results(registry.join(items.select("url"), "url", "left_semi"), done, now)
+    records, missing = vector_records(done, changed)
+    snapshots.commit(spark, vectors_root, vector_changes(records), "id", batch_id, batch_id)
+    snapshots.commit(spark, registry_root, changed, "url", batch_id, batch_id)
+    known = changed.select("url", F.lit(True).alias("_known"))
+    m = done.join(known, "url", "left").agg(
+        F.count_if(F.col("_known") & F.col("error").isNull()).alias("completed"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"),
+        F.count_if(F.col("_known") & F.col("vector").isNotNull()).alias("vector_synced"))
     (m.select(F.lit(batch_id).cast("long").alias("batch_id"), "*").write.mode("overwrite")
       .parquet(f"{metrics_path.rstrip('/')}/batch_id={batch_id}"))
+    problems = (done.filter(F.col("embed_error").isNotNull()).select("url", "provider", F.col("embed_error").alias("problem"))
+                .unionByName(done.join(known, "url", "left_anti").select("url", "provider", F.lit("Failed to find URL in database").alias("problem"))))
+    problems.write.mode("overwrite").parquet(f"{metrics_path.rstrip('/')}-problems/batch_id={batch_id}")
     done.unpersist()
 
 
 def stream_process(spark: SparkSession, work_dir: str, pages: DataFrame, registry_root: str, vectors_root: str,
                    metrics_path: str, clock, embedder=HashedBow(64), checkpoint: str | None = None,
-                   trigger: dict | None = None):
+                   trigger: dict | None = None, fallback=None, mode: str = "basic"):
     """Process queued work items per micro-batch; keyed upserts make replays harmless."""
     work = spark.readStream.schema(WORK_SCHEMA).parquet(work_dir)
 
     def per_batch(batch: DataFrame, batch_id: int):
         process_batch(spark, batch, batch_id, pages, registry_root, vectors_root, metrics_path,
-                      clock(batch_id), embedder)
+                      clock(batch_id), embedder, fallback, mode)
 
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/s2-process"
-    return (work.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+    return (work.writeStream.foreachBatch(per_batch).option("checkpointLocation", _durable(checkpoint))
                 .trigger(**(trigger or {"availableNow": True})).start())
 
 
@@ -111,4 +127,4 @@ def encode_csv(text: str) -> str:
     return base64.b64encode(text.encode("utf-8")).decode("ascii")
 
 
-__all__ = ["stream_uploads", "stream_process", "process_batch", "encode_csv", "validate_url_rows"]
+__all__ = ["stream_uploads", "stream_process", "upload_batch", "process_batch", "encode_csv", "validate_url_rows"]
