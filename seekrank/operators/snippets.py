@@ -8,6 +8,8 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,8 @@ from seekrank.functions.text import (blank, norm, phrase_tokens, query_words, st
 
 PARA_SPLIT = r"\n" + WS + r"*\n"
 _STOP = frozenset(STOPWORDS)
+#: Words of a phrase -> weight without and with a query word in it.
+_WEIGHTS = {1: (1, 3), 2: (2, 8)}
 SENTENCE_SPLIT = r"[.!?]" + WS + "+"
 
 
@@ -125,23 +129,26 @@ def _count_phrases(limit: int, with_query: bool):
     return count
 
 
+def _occurrences(tokens):
+    """Every phrase of the text, as a tuple of one or two words, in the order in which they begin."""
+    for here, after in zip_longest(tokens, tokens[1:]):
+        if here not in _STOP:
+            yield (here,)
+            if after is not None and after not in _STOP:
+                yield (here, after)
+
+
 def _top_phrases(tokens, words, limit: int, with_query: bool) -> list[str]:
-    if tokens is None or not len(tokens):
+    if tokens is None:
         return []
-    stop, asked, scores = _STOP, set(words), {}
-    for here, after in zip(tokens, [*tokens[1:], None]):
-        if here in stop:
-            continue
-        of_query = here in asked
-        if of_query or not with_query:
-            scores[here] = scores.get(here, 0) + (3 if of_query else 1)
-        if after is not None and after not in stop:
-            of_query = of_query or after in asked
-            if of_query or not with_query:
-                both = f"{here} {after}"
-                scores[both] = scores.get(both, 0) + (8 if of_query else 2)
-    best = heapq.nsmallest(limit, ((-s, i, p) for i, (p, s) in enumerate(scores.items())))
-    return [" ".join(w[:1].upper() + w[1:] for w in p.split(" ")) for _, _, p in best]
+    asked, counts = set(words), Counter(_occurrences(list(tokens)))
+
+    def score(phrase: tuple[str, ...]) -> int:
+        plain, by_query = _WEIGHTS[len(phrase)]
+        return counts[phrase] * (plain if asked.isdisjoint(phrase) else by_query)
+    kept = (p for p in counts if not (with_query and asked.isdisjoint(p)))
+    best = heapq.nsmallest(limit, kept, key=lambda p: -score(p))  # equal scores stay in order of occurrence
+    return [" ".join(w[:1].upper() + w[1:] for w in p) for p in best]
 
 
 def snippets_and_highlights(page_rows: DataFrame, registry: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:

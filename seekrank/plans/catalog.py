@@ -521,6 +521,99 @@ def i5_pending_work(spark, sf):
     return pending_work(fx.upload_rows_fx(spark, sf), fx.urls_fx(spark, sf))
 
 
+# --------------------------------------------------------------------------- I1, I2, S1, S2
+
+CSV_SQL = """SELECT page_id, CAST(page_id AS VARCHAR) AS id, regexp_extract(url, '/(de|en|es|fr)/[0-9]', 1) AS type, url FROM pages"""
+
+
+@register("i1_csv_files", "WITH csv AS (" + CSV_SQL + """) SELECT id, type, url,
+  CASE WHEN page_id % 2 = 0 THEN 'id, type, url' ELSE 'URL, Note, Type' END AS columns_found
+FROM (SELECT * REPLACE (CASE WHEN page_id % 2 = 0 THEN id END AS id) FROM csv)""")
+def i1_csv_files(spark, sf):
+    """Every page's URL written to CSV files of two header orders, and read back from one folder."""
+    import uuid
+    from seekrank.session import checkpoint_dir
+    from seekrank.sources.csv_urls import read_url_csv
+    from seekrank.sources.tables import load
+    root = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex[:12]}"
+    p = load(spark, sf, "pages").select("page_id", fx.page_type(F.col("url")).alias("type"), "url")
+    p.filter("page_id % 2 = 0").select(F.col("page_id").alias("id"), "type", "url").write.option("header", True).csv(f"{root}/a")
+    p.filter("page_id % 2 = 1").select(F.col("url").alias("URL"), F.lit('a, "b"').alias(" Note "), F.col("type").alias("Type")).write.option("header", True).csv(f"{root}/b")
+    return read_url_csv(spark, f"{root}/*").select("id", "type", "url", "columns_found")
+
+
+def payloads_fx(spark, sf):
+    """Base64 uploads of a hundred pages each; every third one's lines have blanks before quoted fields."""
+    from seekrank.sources.tables import load
+    n = F.floor(F.col("page_id") / 100)
+    gap = F.when(n % 3 == 1, F.lit(' , "')).otherwise(F.lit(',"'))
+    line = F.concat(F.col("page_id").cast("string"), gap, "url", F.lit('",'), fx.page_type(F.col("url")))
+    rows = load(spark, sf, "pages").select("page_id", n.alias("n"), line.alias("line"))
+    text = F.concat(F.lit("ID,URL,Type\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "line"))), lambda r: r["line"]), "\n"))
+    return rows.groupBy("n").agg(text.alias("text")).select(
+        F.concat(F.lit("upload-"), F.col("n").cast("string")).alias("upload_id"), F.base64(F.encode("text", "UTF-8")).alias("csv_content"),
+        F.when(F.col("n") % 2 == 0, F.lit("named.csv")).alias("file_name"))
+
+
+@register("i2_payloads", "WITH csv AS (" + CSV_SQL + """) SELECT concat('upload-', page_id // 100) AS upload_id,
+  CASE WHEN (page_id // 100) % 2 = 0 THEN 'named.csv' ELSE 'upload.csv' END AS file_name,
+  row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) - 1 AS row_no, id, type, url, 'ID, URL, Type' AS columns_found FROM csv""")
+def i2_payloads(spark, sf):
+    from seekrank.operators.ingest import clean_url_rows
+    from seekrank.sources.csv_urls import read_upload_payloads
+    out = clean_url_rows(read_upload_payloads(payloads_fx(spark, sf)).filter("error IS NULL"))
+    return out.select("upload_id", "file_name", "row_no", "id", "type", "url", "columns_found")
+
+
+def _root(spark, name):
+    import uuid
+    from seekrank.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("s1_upload_batch", f"""SELECT row_number() OVER (ORDER BY concat('upload-', page_id // 100), page_id) AS id, url,
+  regexp_extract(url, '/(de|en|es|fr)/[0-9]', 1) AS type, 'pending' AS status, '{fx.NOW}' AS updated_at FROM pages
+WHERE regexp_extract(url, '/(de|en|es|fr)/[0-9]', 1) <> ''""")
+def s1_upload_batch(spark, sf):
+    """The micro-batch function of the upload stream, run twice on the page uploads; the second is a replay."""
+    from seekrank.operators.ingest import empty_registry
+    from seekrank.streaming import snapshots, uploads
+    root, batch = _root(spark, "registry"), payloads_fx(spark, sf)
+    for now in (NOW1, fx.NOW):
+        uploads.upload_batch(spark, batch, 0, root, now)
+    reg = snapshots.read_latest(spark, root, empty_registry(spark), "url")
+    return reg.select("id", "url", "type", "status", ts_text("updated_at").alias("updated_at"))
+
+
+S2_CTES = o.base_ctes() + [
+    ("queued", "SELECT url, CASE WHEN id % 3 = 0 THEN 'later' ELSE type END AS type FROM urls_fx WHERE id % 2 = 0"),
+    ("crawled", "SELECT * FROM pages WHERE page_id % 4 <> 2")]
+
+
+@register("s2_process_batch", o.with_ctes(S2_CTES + [("ex", """SELECT page_id, url, {t} AS title, {x} AS text FROM crawled""".format(
+        t=o.page_title("html", "url"), x=o.page_text("html")))], f"""SELECT u.id, u.url,
+  CASE WHEN q.url IS NULL THEN u.title WHEN e.url IS NULL THEN q.url ELSE substring(e.title, 1, {o.C.max_title}) END AS title,
+  md5(CASE WHEN q.url IS NULL THEN u.full_text_content WHEN e.url IS NULL THEN concat('Content temporarily unavailable for ', q.url) ELSE e.text END) AS text_md5,
+  CASE WHEN q.url IS NULL THEN 'pending' ELSE 'completed' END AS status, q.type AS vector_type, q.url IS NOT NULL AS has_vector
+FROM urls_fx u LEFT JOIN queued q ON q.url = u.url LEFT JOIN ex e ON e.url = u.url"""))
+def s2_process_batch(spark, sf):
+    """The micro-batch function of the processing stream over half of the registry, some URLs queued twice and some not crawled."""
+    from seekrank.operators.ingest import empty_registry, empty_vectors
+    from seekrank.sources.tables import load
+    from seekrank.streaming import snapshots, uploads
+    roots = [_root(spark, n) for n in ("registry", "vectors", "metrics")]
+    registry = fx.urls_fx(spark, sf).withColumn("status", F.lit("pending"))
+    snapshots.commit(spark, roots[0], registry, "url", -1, -1)
+    half = registry.filter("id % 2 = 0")
+    work = (half.select("url", "type", F.col("id").alias("row_no"))
+            .unionByName(half.filter("id % 3 = 0").select("url", F.lit("later").alias("type"), (F.col("id") + F.lit(1)).alias("row_no"))))
+    uploads.process_batch(spark, work, 0, load(spark, sf, "pages").filter("page_id % 4 <> 2"), *roots, fx.NOW)
+    reg = snapshots.read_latest(spark, roots[0], empty_registry(spark), "url")
+    vec = snapshots.read_latest(spark, roots[1], empty_vectors(spark), "id").select("id", F.col("type").alias("vector_type"), F.col("norm").isNotNull().alias("v"))
+    return reg.select("id", "url", "title", F.md5("full_text_content").alias("text_md5"), "status").join(vec, "id", "left").select(
+        "id", "url", "title", "text_md5", "status", "vector_type", F.coalesce("v", F.lit(False)).alias("has_vector"))
+
+
 # --------------------------------------------------------------------------- I6–I10
 
 EX_SQL = f"""SELECT page_id, url, {o.page_title('html', 'url')} AS title, {o.page_text('html')} AS text,
@@ -589,6 +682,42 @@ def i10_hashed_embedding(spark, sf):
                     F.array_join(F.transform("vector", lambda x: x.cast("bigint").cast("string")), ",").alias("counts"))
 
 
+def _first_service(texts):
+    """Stands in for a service: what it answers depends on the length of the text alone."""
+    from seekrank.operators.embed import EmbedError
+    answers = {1: EmbedError("rate limited", 429), 2: EmbedError("bad request", 400), 3: [], 4: 3.5, 5: EmbedError("no credit", 402)}
+    return [answers.get(len(t) % 7, [float(len(t)), 1.0]) for t in texts]
+
+
+def _second_service(texts):
+    from seekrank.operators.embed import EmbedError
+    return [EmbedError("busy", 500) if len(t) % 7 == 5 else [2.0] for t in texts]
+
+
+@register("i10_embedder_routing", _base_sql("""SELECT id, CASE n % 7 WHEN 1 THEN 'second' WHEN 4 THEN 'second' WHEN 0 THEN 'first' WHEN 6 THEN 'first' END AS provider,
+  CASE n % 7 WHEN 2 THEN 'Embedding generation failed: bad request' WHEN 3 THEN 'Embedding generation failed: Generated embedding is empty'
+    WHEN 5 THEN 'Embedding generation failed: first failed (no credit), second fallback also failed (busy)' END AS error,
+  (CASE WHEN n % 7 IN (1, 4) THEN 2.0 WHEN n % 7 IN (0, 6) THEN n END)::DOUBLE AS first_value
+FROM (SELECT id, length(full_text_content) AS n FROM urls_fx)"""))
+def i10_embedder_routing(spark, sf):
+    """Primary and fallback service: errors that are passed on, errors that are not, and answers that are no vector."""
+    from seekrank.operators.embed import BatchEmbedder, embed
+    e = embed(fx.urls_fx(spark, sf).select("id", "full_text_content"), "full_text_content",
+              BatchEmbedder("first", _first_service), BatchEmbedder("second", _second_service))
+    return e.select("id", "provider", "error", F.get("vector", F.lit(0)).cast("double").alias("first_value"))
+
+
+@register("i8_article_pages", """SELECT page_id, true AS has_block, title AS title_of_heading, true AS no_navigation
+FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS t, trim(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&amp;', '&')) AS title FROM pages)""")
+def i8_article_pages(spark, sf):
+    """Article mode: the heading of the main block is the title; navigation and footer stay outside."""
+    from seekrank.operators.ingest import extract_pages
+    from seekrank.sources.tables import load
+    e = extract_pages(load(spark, sf, "pages"), mode="article")
+    return e.select("page_id", (F.length("text") > 0).alias("has_block"), F.col("title").alias("title_of_heading"),
+                    (~F.col("html").contains("<nav") & ~F.col("html").contains("<footer")).alias("no_navigation"))
+
+
 # --------------------------------------------------------------------------- I11, I12
 
 def _applied_sql():
