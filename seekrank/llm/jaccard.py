@@ -105,10 +105,19 @@ class Sets:
         """Two independent 64-bit names of each set."""
         return mix(self.sums(mix(self.h)) + self.size.astype(np.uint64)), mix(self.sums(mix(self.h ^ _M3)) ^ _M1)
 
-    def parity(self) -> np.ndarray:
-        """512 bits per set, each the parity of the shingles that fall on it, as 8 words."""
-        bits = np.bincount(self.of * 512 + (self.h >> np.uint64(55)).astype(np.int64), minlength=512 * len(self.size)) & 1
-        return np.packbits(bits.astype(np.uint8).reshape(-1, 512), axis=1).view("<i8")
+    def parity(self, measure: "Measure") -> list[bytes]:
+        """Per set, bits that each hold the parity of the shingles falling on it.
+
+        Two sets differ in at least as many shingles as bits. There are a power
+        of two of bits, at least four times the difference allowed, so that unlike sets
+        of any size show more differing bits than that.
+        """
+        need = np.maximum(256, 4 * measure.most_apart(2 * self.size))
+        width = np.ceil(np.log2(need)).astype(np.int64)
+        start = np.cumsum(1 << width) - (1 << width)
+        at = start[self.of] + (self.h >> (np.uint64(64) - width[self.of].astype(np.uint64))).astype(np.int64)
+        bits = np.packbits(np.bincount(at, minlength=int((1 << width).sum())).astype(np.uint8) & 1).tobytes()
+        return [bits[o // 8: (o + (1 << w)) // 8] for o, w in zip(start, width)]
 
     def row(self, i: int) -> np.ndarray:
         return self.h[self.start[i]: self.start[i] + self.size[i]]
@@ -195,21 +204,30 @@ def signatures(sets: Sets, bands: list[Band], measure: Measure) -> tuple[np.ndar
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
-_PARITY = [f"p{i}" for i in range(8)]
-_SETS = "doc_id long, n_shingles long, f long, g long, " + ", ".join(f"{p} long" for p in _PARITY)
+_SETS = "doc_id long, n_shingles long, f long, g long, p binary"
 
 
-def _describe(n: int):
+def _describe(measure: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
-            sets = Sets(b.column("text").to_pylist(), n)
+            sets = Sets(b.column("text").to_pylist(), measure.n)
             f, g = sets.names()
-            parity = sets.parity()
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": pa.array(sets.size), "f": pa.array(f.view(np.int64)), "g": pa.array(g.view(np.int64)),
-                                   **{p: pa.array(np.ascontiguousarray(parity[:, i])) for i, p in enumerate(_PARITY)}})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": pa.array(sets.size), "f": pa.array(f.view(np.int64)),
+                                   "g": pa.array(g.view(np.int64)), "p": pa.array(sets.parity(measure), pa.binary())})
     return run
 
 
+def folded(bits: list[bytes]) -> np.ndarray:
+    """Parities of different widths brought to the least one (neighbouring bits meet), as rows of 64-bit words."""
+    least = min(map(len, bits))
+
+    def fold(p: bytes) -> bytes:
+        if len(p) == least:
+            return p
+        return np.packbits(np.unpackbits(np.frombuffer(p, np.uint8)).reshape(8 * least, -1).sum(1) & 1).tobytes()
+    return np.frombuffer(b"".join(map(fold, bits)), np.uint64).reshape(len(bits), -1)
+
+
 def _index(measure: Measure, bands: list[Band]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
@@ -239,8 +257,20 @@ def _verify(measure: Measure):
     return run
 
 
+def _pairs_pass(measure: Measure):
+    """Keeps the pairs (a, b; na, nb, pa, pb) whose differing bits allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, x, y in zip((b.column("na").to_numpy() + b.column("nb").to_numpy()).tolist(), b.column("pa").to_pylist(), b.column("pb").to_pylist()):
+                u, v = folded([x, y])
+                keep.append(int(np.bitwise_count(u ^ v).sum()) <= measure.most_apart(n))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def _compare_blocks(measure: Measure):
-    """Rows hold the nodes of one signature (or of two of its blocks); yields the pairs that both bounds let pass."""
+    """Rows hold the nodes of one signature (or of two of its blocks); yields the pairs that size and parity let pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = [], []
@@ -250,7 +280,7 @@ def _compare_blocks(measure: Measure):
                 label = root.dictionary_encode().indices.to_numpy()
                 size = t.field("n_shingles").to_numpy()
                 side = t.field("side").to_numpy()
-                bits = np.stack([t.field(p).to_numpy() for p in _PARITY], 1)
+                bits = folded(t.field("p").to_pylist())
                 one_block = (side == 0).all()
                 first = np.flatnonzero(side == 0)
                 second = first if one_block else np.flatnonzero(side == 1)
@@ -261,8 +291,11 @@ def _compare_blocks(measure: Measure):
                     if one_block:
                         ok &= i[:, None] < second[None, :]
                     a, c = np.nonzero(ok)
-                    apart = np.bitwise_count(bits[i[a]] ^ bits[second[c]]).sum(1)
-                    fits = apart <= measure.most_apart(total[a, c])
+                    fits = np.zeros(len(a), bool)
+                    for at in range(0, len(a), 65_536):
+                        own = slice(at, at + 65_536)
+                        apart = np.bitwise_count(bits[i[a[own]]] ^ bits[second[c[own]]]).sum(1, dtype=np.int64)
+                        fits[own] = apart <= measure.most_apart(total[a[own], c[own]])
                     left.append(node.take(pa.array(i[a[fits]])))
                     right.append(node.take(pa.array(second[c[fits]])))
             none = pa.array([], pa.binary())
@@ -290,20 +323,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measu
     return full.mapInArrow(_verify(measure), "a binary, b binary")
 
 
-def _bounds_pass(measure: Measure):
-    """Column test on two node structs x and y: size and parity bounds."""
-    total = F.col("x.n_shingles") + F.col("y.n_shingles")
-    apart = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITY), F.lit(0))
-    small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
-    return (small * measure.den >= large * measure.num) & (apart * (measure.den + measure.num) <= total * (measure.den - measure.num))
-
-
 def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id per row: the smallest doc_id reachable over links, itself included."""
     measure = Measure(n, num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = common.staged(docs.mapInArrow(_describe(n), _SETS), "set-names").withColumn("node", _node())
-    nodes = sets.filter("n_shingles > 0").groupBy("node", "f", "n_shingles", *_PARITY).agg(F.min("doc_id").alias("rep"))
+    sets = common.staged(docs.mapInArrow(_describe(measure), _SETS), "set-names").withColumn("node", _node())
+    nodes = sets.filter("n_shingles > 0").groupBy("node", "f", "n_shingles", "p").agg(F.min("doc_id").alias("rep"))
 
     # bands and their cost-based allocation, from the sizes of all sets (one count per band comes back)
     largest = sets.agg(F.max("n_shingles")).first()[0] or 0
@@ -315,15 +340,18 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     index = common.staged(docs.select("text").mapInArrow(_index(measure, bands), "sig long, f long"), "signatures")
     shared = common.staged(index.groupBy("sig").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo < hi").select("sig"), "shared")
     member = common.Marks(shared).filter(index, "sig").join(shared, "sig", "left_semi").distinct()
-    member = common.staged(member.join(nodes, "f").select("sig", "node", "n_shingles", *_PARITY), "members")
+    member = common.staged(member.join(nodes.select("f", "node", "n_shingles"), "f").select("sig", "node", "n_shingles"), "members")
 
     # every node of a signature against the one that shares most signatures
-    info = F.struct("node", "n_shingles", *_PARITY)
     degree = member.groupBy("node").agg(F.count("*").alias("degree"))
-    centre = common.staged(member.join(degree, "node").groupBy("sig")
-                           .agg(F.max(F.struct("degree", "node", "n_shingles", *_PARITY)).alias("y")), "centres")
-    pairs = (member.select("sig", info.alias("x")).join(centre, "sig").filter((F.col("x.node") != F.col("y.node")) & _bounds_pass(measure))
-             .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+    centre = common.staged(member.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node", "n_shingles")).alias("y")), "centres")
+    small, large = F.least("n_shingles", "y.n_shingles"), F.greatest("n_shingles", "y.n_shingles")
+    pairs = (member.join(centre, "sig").filter((F.col("node") != F.col("y.node")) & (small * den >= large * num))
+             .select(F.greatest("node", "y.node").alias("a"), F.least("node", "y.node").alias("b")).distinct())
+    sized = nodes.select("node", "n_shingles", "p")
+    for c in "ab":
+        pairs = pairs.join(sized.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("p").alias(f"p{c}")), c)
+    pairs = pairs.mapInArrow(_pairs_pass(measure), "a binary, b binary")
     links = common.staged(verified(common.staged(pairs, "pairs"), nodes, docs, measure), "links")
     roots = common.staged(components(links), "roots")
 
@@ -333,8 +361,8 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
                  .filter("n > 2 and r0 <> r1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("sig", "blocks"))
     open_sigs = common.staged(open_sigs, "open-signatures")  # as a table, so that a join with a hot signature can be split
     k = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = open_member.join(open_sigs, "sig").withColumn("k", k).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    fields = F.struct("node", "root", "n_shingles", *_PARITY, (F.col("k") > F.least("k", "other")).cast("int").alias("side"))
+    dealt = open_member.join(open_sigs, "sig").join(nodes.select("node", "p"), "node").withColumn("k", k).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    fields = F.struct("node", "root", "n_shingles", "p", (F.col("k") > F.least("k", "other")).cast("int").alias("side"))
     blocks = dealt.groupBy("sig", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).agg(F.collect_list(fields).alias("nodes"))
     passed = blocks.select("nodes").mapInArrow(_compare_blocks(measure), "a binary, b binary")
     passed = common.staged(passed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "passed")
