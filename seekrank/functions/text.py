@@ -73,9 +73,3 @@ def phrase_tokens(c) -> Column:
     """Keyphrase tokens: non [a-zA-Z0-9 whitespace] → space, lower, split, length > 2."""
     cleaned = F.lower(F.regexp_replace(_c(c), r"[^a-zA-Z0-9\t\n\x0B\f\r ]", " "))
     return F.filter(F.split(cleaned, WS_RUN), lambda t: F.length(t) > 2)
-
-
-def title_case_word(c) -> Column:
-    """Upper-case the first character and keep the rest (tokens are lower ASCII)."""
-    col = _c(c)
-    return F.concat(F.upper(F.substring(col, 1, 1)), F.substring(col, 2, 1 << 30))

@@ -1,8 +1,4 @@
-"""Vector expressions (pure Catalyst higher-order functions).
-
-These are the exact, checked path. The NumPy path in
-:mod:`seekrank.operators.retrieval` computes the same formula batch-wise.
-"""
+"""Vector expressions (Catalyst higher-order functions)."""
 
 from __future__ import annotations
 
@@ -10,29 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def as_double(v) -> Column:
-    return F.transform(_c(v), lambda x: x.cast("double"))
-
-
-def dot(a, b, cast: bool = True) -> Column:
-    """Sequential sum of products; ``cast=False`` when both sides already hold doubles."""
-    if cast:
-        a, b = as_double(a), as_double(b)
-    prod = F.zip_with(_c(a), _c(b), lambda x, y: x * y)
-    return F.aggregate(prod, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-
-
 def l2_norm(v) -> Column:
-    return F.sqrt(dot(v, v))
-
-
-def cosine(a, b, norm_a=None, norm_b=None, cast: bool = True) -> Column:
-    """dot / (|a|·|b|); a zero vector, null or NaN scores 0 (V4)."""
-    na = _c(norm_a) if norm_a is not None else l2_norm(a)
-    nb = _c(norm_b) if norm_b is not None else l2_norm(b)
-    raw = F.try_divide(dot(a, b, cast), na * nb)
-    return F.when(raw.isNull() | F.isnan(raw), F.lit(0.0)).otherwise(raw)
+    """Euclidean norm as a double; null for a null vector."""
+    col = F.col(v) if isinstance(v, str) else v
+    return F.sqrt(F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
