@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def partitions(spark: SparkSession) -> int:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows whose texts hold about ``limit`` bytes (one row at least, 4096 at most)."""
     for b in (whole.slice(lo, 4096) for whole in batches for lo in range(0, whole.num_rows, 4096)):
-        size = pa.compute.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         group = np.cumsum(size) // limit
         cuts = np.flatnonzero(np.diff(group)) + 1
         for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, b.num_rows]):
