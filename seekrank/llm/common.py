@@ -24,11 +24,22 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, what: str, batch: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``batch`` bounds the Arrow batches of this one write (``4m``), for rows that
+    hold long lists or arrays; the session's own setting is put back.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path, before = scratch(spark, what), spark.conf.get(key)
+    if batch:
+        spark.conf.set(key, batch)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch:
+            spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -352,7 +352,7 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     for c in "ab":
         pairs = pairs.join(sized.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("p").alias(f"p{c}")), c)
     pairs = pairs.mapInArrow(_pairs_pass(measure), "a binary, b binary")
-    links = common.staged(verified(common.staged(pairs, "pairs"), nodes, docs, measure), "links")
+    links = common.staged(verified(common.staged(pairs, "pairs", batch="8m"), nodes, docs, measure), "links", batch="8m")
     roots = common.staged(components(links), "roots")
 
     # signatures whose nodes still lie in several components, in blocks
@@ -365,9 +365,10 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     fields = F.struct("node", "root", "n_shingles", "p", (F.col("k") > F.least("k", "other")).cast("int").alias("side"))
     blocks = dealt.groupBy("sig", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).agg(F.collect_list(fields).alias("nodes"))
     passed = blocks.select("nodes").mapInArrow(_compare_blocks(measure), "a binary, b binary")
-    passed = common.staged(passed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "passed")
-    more = common.staged(verified(passed, nodes, docs, measure), "links")
-    roots = common.staged(components(links.unionByName(more)), "roots")
+    passed = common.staged(passed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "passed", batch="8m")
+    more = common.staged(verified(passed, nodes, docs, measure), "links", batch="8m")
+    if not more.isEmpty():
+        roots = common.staged(components(links.unionByName(more)), "roots")
 
     named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = common.staged(named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
