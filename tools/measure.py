@@ -51,14 +51,14 @@ def main() -> None:
     print("| measure | median s | rows/s |\n|---|---|---|")
     corpus, queries = catalog.embedding_requests(spark, sf)
     n = corpus.count()
-    for times, asked, k in ((1, 1, 100), (1, 100, 100), (1, n, 10), (50, 1000, 100), (50, 1000, 1000)):
+    for times, asked, k in ((1, 1, 100), (1, 100, 100), (1, n, 10), (50, 100, 100), (50, 1000, 1000)):
         big = with_norm(copies(corpus, times, "id")).checkpoint()
         q = queries.orderBy("query_id").limit(asked).withColumn("k", F.lit(k)).checkpoint()
         timed(f"vector top-k, {n * times} vectors, {min(asked, n)} queries, k {k}", lambda: vector_topk(big, q, with_meta=False), min(asked, n))
     many = copies(queries, -(-50_000 // n), "query_id").limit(50_000).checkpoint()
     timed(f"vector top-k, {n} vectors, 50000 queries, k 10", lambda: vector_topk(corpus, many, with_meta=False), 50_000)
     pages = load(spark, sf, "pages")
-    wide = copies(pages, 40, "page_id").checkpoint()
+    wide = copies(pages, 10, "page_id").checkpoint()
     bow = HashedBow(64)
     timed(f"ingest: extract, shape, embed, {wide.count()} pages",
           lambda: shape_content(extract_pages(wide)).withColumn("vector", bow.column("embed_text")).select("page_id", "preview", "vector"), wide.count())
