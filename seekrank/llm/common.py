@@ -191,7 +191,7 @@ class WordIds:
     ``max_words``; that changes the time, never the ids.
     """
 
-    def __init__(self, path: str, max_words: int = 3_000_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)

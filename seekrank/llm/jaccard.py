@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from seekrank.llm import common
 from seekrank.llm.components import components
 
+#: Text turned into sets at once inside a task.
+SLICE_BYTES = 2 << 20
 #: Nodes of one signature that are compared as one block.
 BLOCK = 2048
 #: Cost model: one verification against one signature row; the share of shingles that unrelated texts have in common.
@@ -209,7 +211,7 @@ _SETS = "doc_id long, n_shingles long, f long, g long, p binary"
 
 def _describe(measure: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
+        for b in common.slices(batches, limit=SLICE_BYTES):
             sets = Sets(b.column("text").to_pylist(), measure.n)
             f, g = sets.names()
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": pa.array(sets.size), "f": pa.array(f.view(np.int64)),
@@ -230,7 +232,7 @@ def folded(bits: list[bytes]) -> np.ndarray:
 
 def _index(measure: Measure, bands: list[Band]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
+        for b in common.slices(batches, limit=SLICE_BYTES):
             sets = Sets(b.column("text").to_pylist(), measure.n)
             sig, of = signatures(sets, bands, measure)
             yield pa.record_batch({"sig": pa.array(sig.view(np.int64)), "f": pa.array(sets.names()[0].view(np.int64)[of])})
@@ -239,7 +241,7 @@ def _index(measure: Measure, bands: list[Band]):
 
 def _elements(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
+        for b in common.slices(batches, limit=SLICE_BYTES):
             sets = Sets(b.column("text").to_pylist(), n)
             f, g = (x.view(np.int64) for x in sets.names())
             yield pa.record_batch({"f": pa.array(f), "g": pa.array(g), "elements": pa.array([sets.row(i).tobytes() for i in range(b.num_rows)], pa.binary())})
