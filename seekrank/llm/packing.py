@@ -7,13 +7,16 @@ and matches them in one descending sweep: a piece takes the smallest gap left
 that holds it, which is the last one passed and not yet taken, so matching is
 bracket matching. Every range matches inside itself; what it leaves over is two
 counts, and the ranges' counts decide which ranges' leftovers meet, by rank.
-Gaps shrink, and the class is swept again while its pieces find gaps. Pieces
-that find none open sequences in the order of size.
+Gaps shrink, and the class is swept again while its pieces find gaps. When none
+does, the largest pieces left open as many sequences as the pieces left need at
+the least, and the rest is swept into their gaps; so on until none is left. The
+last few thousand of a class are packed by plain best fit in one task.
 
 State is narrow (ids and sizes), written to the shared folder every round. A
-gap that could hold several pieces of a class offers several slots, up to its
-share of the pieces, so the number of rounds depends on the capacity and not on
-the number of rows.
+gap that could hold several pieces offers several slots, up to its share of the
+pieces. Every opening with its sweeps places about half of a class's tokens or
+more, so the number of rounds grows with the logarithm of the number of rows at
+worst; pieces of one length take one opening.
 
 Rules for odd input: a null or empty text is the end id alone; repeated rows
 and equal doc_ids are packed each; a null doc_id stays null; an empty table
@@ -22,6 +25,7 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +40,8 @@ from seekrank.llm import common
 CAPACITY = 2048
 #: Rows of one range of a sweep, about; a range is matched in memory as three integer columns.
 RANGE_ROWS = 200_000
+#: Pieces of a class that find no gap are packed in one task when there are no more than these.
+TAIL = 10_000
 _PIECES = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 _SWEPT = "kind int, item long, length long, seq long, slot int, part int, pos long"
 
@@ -119,6 +125,32 @@ def meet(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, i
     return out
 
 
+def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
+    """Sequence (its first piece's place in ``lengths``) and offset of every piece; ``lengths`` fall."""
+    room: list[tuple[int, int]] = []  # gap, sequence
+    seqs, offsets = [], []
+    for i, n in enumerate(lengths):
+        at = bisect.bisect_left(room, (n, -1))
+        gap, seq = room.pop(at) if at < len(room) else (capacity, i)
+        seqs.append(seq)
+        offsets.append(capacity - gap)
+        if gap > n:
+            bisect.insort(room, (gap - n, seq))
+    return seqs, offsets
+
+
+def _tail(capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).sort_by([("length", "descending"), ("rid", "ascending")]).combine_chunks()
+        seqs, offsets = best_fit(t.column("length").to_pylist(), capacity)
+        rid = t.column("rid").to_numpy()
+        yield pa.record_batch({"rid": pa.array(rid), "seq": pa.array(rid[seqs]), "length": pa.array(t.column("length").to_numpy()), "offset": pa.array(offsets, pa.int64())})
+    return run
+
+
 class Packing:
     """The state of one packing job: open gaps and the placements made so far."""
 
@@ -130,11 +162,12 @@ class Packing:
     def _range(self, rows: int) -> int:
         return max(2, -(-rows // RANGE_ROWS))
 
-    def sweep(self, pending: DataFrame, high: int) -> tuple[DataFrame, int]:
+    def sweep(self, pending: DataFrame) -> tuple[DataFrame, int]:
         """Match ``pending`` (rid, length) with the gaps once; returns what is left and how many found a gap."""
-        least = pending.agg(F.min("length"), F.count("*")).first()
+        least = pending.agg(F.min("length"), F.count("*"), F.max("length")).first()
         if not least[1]:
             return pending, 0
+        high = least[2]
         wide = self.gaps.filter(F.col("gap") >= least[0])
         n_wide = wide.count()
         if not n_wide:
@@ -166,11 +199,20 @@ class Packing:
             pending = common.staged(pending.join(placed.select("rid"), "rid", "left_anti"), "pending")
         return pending, n
 
-    def open(self, pending: DataFrame, high: int) -> None:
-        """New sequences for ``pending``, as many pieces each as always fit, by falling size."""
+    def open(self, pending: DataFrame) -> DataFrame:
+        """New sequences, as many as ``pending`` needs at the least, with the largest pieces; returns the other pieces.
+
+        No gap holds a piece of ``pending``. Each new sequence takes as many
+        pieces as always fit, by falling size.
+        """
+        low, high, n, tokens = pending.agg(F.min("length"), F.max("length"), F.count("*"), F.sum("length")).first()
         k = self.capacity // high
-        if k < 2:
+        need = max(-(-tokens // self.capacity), -(-n // (self.capacity // low)))
+        rest = pending.limit(0)
+        if need == n:
             new = pending.select("rid", F.col("rid").alias("seq"), "length", F.lit(0).cast("long").alias("offset"))
+        elif n <= TAIL:
+            new = pending.select("rid", "length").repartition(1).mapInArrow(_tail(self.capacity), "rid long, seq long, length long, offset long")
         else:
             def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part, at = TaskContext.get().partitionId(), 0
@@ -179,20 +221,23 @@ class Packing:
                                                      [*b.schema.names, "part", "at"])
                     at += b.num_rows
             order = [F.col("length").desc(), "rid"]
-            rows = (pending.select("rid", "length").repartitionByRange(self._range(pending.count()), *order).sortWithinPartitions(*order)
+            rows = (pending.select("rid", "length").repartitionByRange(self._range(n), *order).sortWithinPartitions(*order)
                     .mapInArrow(number, "rid long, length long, part int, at long"))
             rows = common.staged(rows, "ranked")
             counts = sorted(tuple(r) for r in rows.groupBy("part").count().collect())
-            starts = np.cumsum([0, *(n for _, n in counts)])
+            starts = np.cumsum([0, *(c for _, c in counts)])
             first = self.spark.createDataFrame([(p, int(s)) for (p, _), s in zip(counts, starts)], "part int, first long")
             ranked = rows.join(F.broadcast(first), "part").withColumn("rank", F.col("first") + F.col("at")).withColumn("group", F.expr(f"rank div {k}"))
             by = Window.partitionBy("group").orderBy("rank")
-            new = ranked.select("rid", F.first("rid").over(by).alias("seq"), "length",
-                                F.coalesce(F.sum("length").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+            new = ranked.filter(F.col("group") < need).select(
+                "rid", F.first("rid").over(by).alias("seq"), "length",
+                F.coalesce(F.sum("length").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+            rest = ranked.filter(F.col("group") >= need).select("rid", "length")
         new = common.staged(new, "opened")
         self.placed.append(new)
         fresh = new.groupBy("seq").agg((self.capacity - F.sum("length")).alias("gap")).filter("gap > 0")
         self.gaps = common.staged(self.gaps.unionByName(fresh), "gaps")
+        return rest
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -202,11 +247,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     while high > 0:
         low = capacity // 2 if high == capacity - 1 else high // 2 if high > 16 else 0
         pending = pieces.filter((F.col("length") > low) & (F.col("length") <= high)).select("rid", "length")
-        found = 1
-        while found and high < capacity - 1:
-            pending, found = state.sweep(pending, high)
-        if not pending.isEmpty():
-            state.open(pending, high)
+        while not pending.isEmpty():
+            found = 1
+            while found and high < capacity - 1:
+                pending, found = state.sweep(pending)
+            if not pending.isEmpty():
+                pending = state.open(pending)
         high = low
     place = pieces.filter(F.col("length") == capacity).select("rid", F.col("rid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for p in state.placed:

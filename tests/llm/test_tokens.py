@@ -154,6 +154,26 @@ def test_packing_odd_rows(odd, empty, library, capacity):
     assert packing.pack_documents(empty, WORD, capacity=capacity).count() == 0
 
 
+@pytest.mark.parametrize("tail", [0, 10_000])
+@pytest.mark.parametrize("lengths", [[600] * 500, [300] * 500, [257] * 500, [129] * 500, [1] * 5000,
+                                     [513 + 37 * i % 512 for i in range(800)], [1 + 7 * i % 16 for i in range(3000)]],
+                         ids=["600", "300", "257", "129", "1", "513-1024", "1-16"])
+def test_lengths_of_one_class(spark, monkeypatch, lengths, tail):
+    """Lengths that gather in one class need no more sequences than best fit, in one task or in rounds."""
+    monkeypatch.setattr(packing, "TAIL", tail)
+    table = spark.createDataFrame([(i, i, 0, n) for i, n in enumerate(lengths)], "rid long, doc_id long, piece int, length long")
+    rows = packing.pack(common.staged(table, "test-pieces")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(lengths)))
+    for own in by.values():
+        ends = np.cumsum([n for _, n in sorted(own)])
+        assert [o for o, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    least = best_fit(lengths, 2048)
+    assert len(by) <= (least if len(set(lengths)) == 1 else least * 1.01 + 1)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 9), max_size=12), st.lists(st.integers(1, 9), max_size=12), st.integers(1, 4))
 def test_sweep_in_ranges_is_one_sweep(slots, items, cut):
