@@ -16,6 +16,8 @@ components form. Only signatures whose nodes still lie in several components go
 on: their nodes are compared in blocks of bounded size by size and parity
 sketch (both exact bounds), never as emitted pairs, and what passes is verified.
 So no link between components is lost, and links inside one need not be listed.
+``join_links`` compares all nodes of every shared signature in such blocks and
+lists every link between different sets; copies are given by membership.
 
 Rules for odd input: null, empty and blank texts have the empty set and link
 with nothing; a text of fewer than n words is one shingle; rows without doc_id
@@ -325,10 +327,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measu
     return full.mapInArrow(_verify(measure), "a binary, b binary")
 
 
-def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id per row: the smallest doc_id reachable over links, itself included."""
-    measure = Measure(n, num, den)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _members(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The named sets of all rows, their nodes (distinct sets that aren't empty), and the nodes of every shared signature."""
     sets = common.staged(docs.mapInArrow(_describe(measure), _SETS), "set-names").withColumn("node", _node())
     nodes = sets.filter("n_shingles > 0").groupBy("node", "f", "n_shingles", "p").agg(F.min("doc_id").alias("rep"))
 
@@ -343,6 +343,43 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     shared = common.staged(index.groupBy("sig").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo < hi").select("sig"), "shared")
     member = common.Marks(shared).filter(index, "sig").join(shared, "sig", "left_semi").distinct()
     member = common.staged(member.join(nodes.select("f", "node", "n_shingles"), "f").select("sig", "node", "n_shingles"), "members")
+    return sets, nodes, member
+
+
+def _passed(dealt_from: DataFrame, open_sigs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """The pairs (a, b) of nodes with different roots in one of the signatures (sig, blocks) that size and parity let pass."""
+    k = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = dealt_from.join(open_sigs, "sig").join(nodes.select("node", "p"), "node").withColumn("k", k).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    fields = F.struct("node", "root", "n_shingles", "p", (F.col("k") > F.least("k", "other")).cast("int").alias("side"))
+    blocks = dealt.groupBy("sig", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).agg(F.collect_list(fields).alias("nodes"))
+    passed = blocks.select("nodes").mapInArrow(_compare_blocks(measure), "a binary, b binary")
+    return common.staged(passed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "passed", batch="8m")
+
+
+def join_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and which rows hold which set.
+
+    links: a, b (set names, a > b), a_doc_id, b_doc_id (smallest doc_id of each).
+    membership: doc_id, n_shingles, node (set name) per row; null for the empty
+    set. Two rows link when their sets are one or linked; a set that only rows
+    without doc_id hold has no links. There are as many rows as linked pairs.
+    """
+    measure = Measure(n, num, den)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets, nodes, member = _members(docs, measure)
+    sigs = member.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("sig", "blocks")
+    passed = _passed(member.withColumn("root", F.col("node")), common.staged(sigs, "link-signatures"), nodes, measure)
+    links = common.staged(verified(passed, nodes, docs, measure), "links", batch="8m")
+    for c in "ab":
+        links = links.join(nodes.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_doc_id")), c)
+    return links.select("a", "b", "a_doc_id", "b_doc_id"), sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+
+
+def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id per row: the smallest doc_id reachable over links, itself included."""
+    measure = Measure(n, num, den)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets, nodes, member = _members(docs, measure)
 
     # every node of a signature against the one that shares most signatures
     degree = member.groupBy("node").agg(F.count("*").alias("degree"))
@@ -362,12 +399,7 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     open_sigs = (open_member.groupBy("sig").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
                  .filter("n > 2 and r0 <> r1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("sig", "blocks"))
     open_sigs = common.staged(open_sigs, "open-signatures")  # as a table, so that a join with a hot signature can be split
-    k = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = open_member.join(open_sigs, "sig").join(nodes.select("node", "p"), "node").withColumn("k", k).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    fields = F.struct("node", "root", "n_shingles", "p", (F.col("k") > F.least("k", "other")).cast("int").alias("side"))
-    blocks = dealt.groupBy("sig", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).agg(F.collect_list(fields).alias("nodes"))
-    passed = blocks.select("nodes").mapInArrow(_compare_blocks(measure), "a binary, b binary")
-    passed = common.staged(passed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "passed", batch="8m")
+    passed = _passed(open_member, open_sigs, nodes, measure)
     more = common.staged(verified(passed, nodes, docs, measure), "links", batch="8m")
     if not more.isEmpty():
         roots = common.staged(components(links.unionByName(more)), "roots")

@@ -151,6 +151,28 @@ def test_join_finds_every_link(spark, monkeypatch, n, num, den):
     assert rows_of(jaccard.join_components(df, n, num, den)) == brute_components(rows, n, num, den)
 
 
+def test_join_lists_every_link(spark, monkeypatch):
+    """Links inside a component too, by brute force over the distinct sets; copies by membership."""
+    texts = near_copies(1, 30, 60, 4) + near_copies(2, 30, 200, 9) + near_copies(3, 15, 14, 2) + [prose(9, k) for k in range(1, 30)] + ["x y", "x  Y", ""]
+    rows = [(1000 - i, t) for i, t in enumerate(texts)] + [(5000 + i, t) for i, t in enumerate(texts[:20])]
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    links, membership = jaccard.join_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 80, 100)
+    sets = {}
+    for d, t in rows:
+        sets.setdefault(frozenset(shingles(t, 3)), []).append(d)
+    empties = sets.pop(frozenset())
+    least = [(min(ids), s) for s, ids in sets.items()]
+    want = sorted(tuple(sorted((i, j))) for k, (i, s) in enumerate(least) for j, t in least[:k] if 100 * len(s & t) >= 80 * len(s | t))
+    got = links.collect()
+    assert sorted(tuple(sorted((r["a_doc_id"], r["b_doc_id"]))) for r in got) == want and len(want) > 2 * len(least)
+    by = {}
+    for r in membership.collect():
+        by.setdefault(r["node"], []).append(r["doc_id"])
+    assert by.pop(None) == empties and sorted(map(sorted, by.values())) == sorted(map(sorted, sets.values()))
+    rep = {n: min(ids) for n, ids in by.items()}
+    assert all((rep[r["a"]], rep[r["b"]]) == (r["a_doc_id"], r["b_doc_id"]) for r in got)
+
+
 def test_join_odd_rows(odd, empty):
     got = jaccard.join_components(odd)
     by = {}
