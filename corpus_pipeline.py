@@ -32,12 +32,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near-duplicates; rows without doc_id stay."""
+    """One row of each group of near-duplicates: of the smallest doc_id, and of its texts the one with the least key.
+
+    Texts are told apart by (doc_id, text key): different texts under one doc_id
+    are documents of their own. Texts without words are no one's near-duplicate;
+    of rows alike in doc_id and text the least by the other columns stays. Rows
+    without doc_id stay.
+    """
     ship_package(spark)
-    groups = jaccard.join_components(docs, SHINGLE, *SIMILAR)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    groups = jaccard.rooted(docs, SHINGLE, *SIMILAR).filter("doc_id is not null")
+    first = groups.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select("row.*")
+    stay = first.unionByName(groups.filter("n_shingles = 0").select("doc_id", "text_key"))
     docs = docs.select(*COLUMNS)
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    kept = docs.withColumn("text_key", jaccard.text_key()).join(stay, ["doc_id", "text_key"], "left_semi")
+    least = F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")
+    return kept.groupBy("doc_id", "text_key").agg(least).select("doc_id", "row.*").select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def signatures(sets: Sets, bands: list[Band], measure: Measure) -> tuple[np.ndar
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
-_SETS = "doc_id long, n_shingles long, f long, g long, p binary"
+_SETS = "doc_id long, text_key binary, n_shingles long, f long, g long, p binary"
 
 
 def _describe(measure: Measure):
@@ -216,7 +216,7 @@ def _describe(measure: Measure):
         for b in common.slices(batches, limit=SLICE_BYTES):
             sets = Sets(b.column("text").to_pylist(), measure.n)
             f, g = sets.names()
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": pa.array(sets.size), "f": pa.array(f.view(np.int64)),
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "n_shingles": pa.array(sets.size), "f": pa.array(f.view(np.int64)),
                                    "g": pa.array(g.view(np.int64)), "p": pa.array(sets.parity(measure), pa.binary())})
     return run
 
@@ -327,9 +327,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measu
     return full.mapInArrow(_verify(measure), "a binary, b binary")
 
 
+def text_key():
+    """The 128-bit name of a row's text; of no bytes for a null text."""
+    return F.coalesce(F.unhex(F.md5("text")), F.unhex(F.lit("")))
+
+
 def _members(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The named sets of all rows, their nodes (distinct sets that aren't empty), and the nodes of every shared signature."""
-    sets = common.staged(docs.mapInArrow(_describe(measure), _SETS), "set-names").withColumn("node", _node())
+    sets = common.staged(docs.withColumn("text_key", text_key()).mapInArrow(_describe(measure), _SETS), "set-names").withColumn("node", _node())
     nodes = sets.filter("n_shingles > 0").groupBy("node", "f", "n_shingles", "p").agg(F.min("doc_id").alias("rep"))
 
     # bands and their cost-based allocation, from the sizes of all sets (one count per band comes back)
@@ -375,8 +380,8 @@ def join_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tu
     return links.select("a", "b", "a_doc_id", "b_doc_id"), sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
 
 
-def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id per row: the smallest doc_id reachable over links, itself included."""
+def rooted(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, text_key, n_shingles, root per row; rows of one component have one root (no meaning for empty sets)."""
     measure = Measure(n, num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets, nodes, member = _members(docs, measure)
@@ -404,7 +409,12 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     if not more.isEmpty():
         roots = common.staged(components(links.unionByName(more)), "roots")
 
-    named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return sets.join(roots, "node", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("root", "node").alias("root"))
+
+
+def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id per row: the smallest doc_id reachable over links, itself included."""
+    named = rooted(docs, n, num, den)
     least = common.staged(named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
     return named.join(least, "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
