@@ -11,9 +11,10 @@ is D(E(x) + 1 mod N), a permutation without fixed points: no value is its own
 pseudonym.
 
 Kinds: card (13 to 19 digits, Luhn), iban (ISO 7064 mod 97), ssn (ddd-dd-dddd),
-phone (international with +, North American with separators), ip (four octets),
-date (ISO, with dots, with slashes; 1900 to 2099), email (letters and digits of
-the part before the @). Values inside longer words or numbers are left alone, as
+phone (international with +, North American with separators, a leading 1 or
+not), ip (four octets), date (ISO, with dots, with slashes, with English month
+names; days and months of one or two digits keep their width; either end of a
+range; 1900 to 2099), email (letters and digits of the part before the @). Values inside longer words or numbers are left alone, as
 are numbers that fail validation.
 
 Rules for odd input: a null text stays null without findings; an empty text
@@ -140,7 +141,7 @@ class Pseudonyms:
         if not 8 <= len(d) <= 15:
             return None
         code = re.match(r"\+(\d{1,3})\D", text)  # a country code set apart stays; one that isn't: its usual length
-        keep = len(code[1]) if code else 0 if text[0] != "+" else 1 if d[0] in "17" else 2
+        keep = len(code[1]) if code else int(len(d) == 11) if text[0] != "+" else 1 if d[0] in "17" else 2
         return refill(text, d[:keep] + self._digits("phone", d[keep:]))
 
     def ip(self, text: str) -> str | None:
@@ -151,26 +152,37 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def date(self, text: str) -> str | None:
-        n = [int(x) for x in re.split(r"\D", text)]
-        if text[4:5] in ("-", "/"):
-            ymd, write = n, lambda y, m, d: f"{y:04d}{text[4]}{m:02d}{text[4]}{d:02d}"
-        elif "/" in text and n[0] <= 12:
-            ymd, write = (n[2], n[0], n[1]), lambda y, m, d: f"{m:02d}/{d:02d}/{y:04d}"
+        parts = re.findall(r"[0-9]+|[A-Za-z]+", text)
+        named = next((i for i, p in enumerate(parts) if p.isalpha()), None)
+        if named is not None:
+            y, m, d = 2, named, 1 - named
+        elif len(parts[0]) == 4:
+            y, m, d = 0, 1, 2
         else:
-            sep = text[2]
-            ymd, write = (n[2], n[1], n[0]), lambda y, m, d: f"{d:02d}{sep}{m:02d}{sep}{y:04d}"
+            y, m, d = (2, 0, 1) if "/" in text and int(parts[0]) <= 12 else (2, 1, 0)
+        month = int(parts[m]) if named is None else 1 + [n[:3] for n in MONTHS].index(parts[m][:3].lower())
         try:
-            x = (datetime.date(*ymd) - _DAY0).days
+            x = (datetime.date(int(parts[y]), month, int(parts[d])) - _DAY0).days
         except ValueError:
             return None
         if not 0 <= x < _DAYS:
             return None
-        late = "/" in text and text[4:5] != "/" and n[0] > 12  # day first with slashes: stay on days that show it
+        late = "/" in text and y and int(parts[0]) > 12  # day first with slashes: stay on days that show it
+
+        def fits(day: datetime.date) -> bool:  # what is written can be read back in the same way
+            return ((not late or day.day > 12) and (len(parts[d]) == 2 or day.day < 10)
+                    and ((day.month == 5) == (month == 5) if named is not None else len(parts[m]) == 2 or day.month < 10))  # May is long and short
         while True:
             x = self._map("date", x, _DAYS)
             day = _DAY0 + datetime.timedelta(x)
-            if not late or day.day > 12:
-                return write(day.year, day.month, day.day)
+            if fits(day):
+                break
+        new = {y: f"{day.year:04d}", d: str(day.day).zfill(len(parts[d])), m: str(day.month).zfill(len(parts[m]))}
+        if named is not None:
+            name = MONTHS[day.month - 1] if len(parts[m]) > 3 or month == 5 else MONTHS[day.month - 1][:3]
+            new[m] = name.upper() if parts[m].isupper() else name if parts[m].islower() else name.capitalize()
+        it = iter([new[i] for i in range(3)])
+        return re.sub(r"[0-9]+|[A-Za-z]+", lambda _: next(it), text)
 
     def email(self, text: str) -> str | None:
         local, domain = text.rsplit("@", 1)
@@ -192,19 +204,24 @@ class Pseudonyms:
         return "".join(reversed(out)) + "@" + domain
 
 
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_NAME = "(?:" + "|".join(f"{c(n)}|{c(n[:3])}" for n in MONTHS for c in (str.capitalize, str.upper, str.lower)) + ")"
+_DATE = (r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+         rf"|{_NAME}\.? [0-9]{{1,2}},? [0-9]{{4}}|[0-9]{{1,2}}\.? {_NAME}\.?,? [0-9]{{4}})(?![0-9])")
 #: In this order at one place; a value that fails its check leaves the place to the later kinds.
 _KINDS: tuple[tuple[str, str], ...] = (
     ("email", r"[A-Za-z0-9._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])"),
     ("phone", r"(?<![A-Za-z0-9+])\+1 ?\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"),
     ("phone", r"(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,4}){2,6}(?![0-9])"),
-    ("phone", r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"),
+    ("phone", r"(?<![A-Za-z0-9+.-])(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"),
     ("ssn", r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|[.-][0-9])"),
-    ("date", r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-SU-Za-z0-9]|[./-][0-9])"),
+    ("date", rf"(?<![A-Za-z0-9./-]){_DATE}(?:[/-]{_DATE})*(?![A-SU-Za-z0-9]|[./-][0-9])"),  # ranges too
     ("ip", r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])"),
     ("card", r"(?<![A-Za-z0-9.])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{1,7}|[0-9]{4}(?P<t>[ -])[0-9]{6}(?P=t)[0-9]{5})(?![A-Za-z0-9]|\.[0-9])"),
 )
 _FIND = [(k, re.compile(p)) for k, p in _KINDS]
+_ONE_DATE = re.compile(_DATE)
 _AT, _DIGIT = re.compile("@"), re.compile("[0-9]")
 
 
@@ -214,7 +231,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
     out = []
     for kind, p in _FIND:
         if (at if kind == "email" else digit):
-            out += [(m.start(), m.end(), kind) for m in p.finditer(text)]
+            for m in p.finditer(text):
+                own = _ONE_DATE.finditer(text, m.start(), m.end()) if kind == "date" else (m,)
+                out += [(x.start(), x.end(), kind) for x in own]
     return out
 
 

@@ -163,6 +163,25 @@ def test_values_change_within_their_format(kind):
             assert again == text and len(where) == len(found)
 
 
+FORMS = ["1-212-555-0100", "1 (212) 555-0100", "(212) 555 0100", "212 555 0100", "1.212.555.0100", "3/7/1985", "12/7/1985", "3/17/1985", "17/3/1985", "5.3.1999", "15.3.1999",
+         "1985-3-7", "1985-11-7", "1985/3/17", "March 7, 1985", "7 March 1985", "Mar. 17 1985", "7 MAY 1985", "may 7, 1985", "September 30, 2001"]
+RANGES = ["2020-01-02-2020-03-04", "2020-01-02/2020-03-04", "5.3.1999-17.11.1999", "1/2/2020-3/4/2020"]
+
+
+@pytest.mark.parametrize("text", FORMS + RANGES)
+def test_common_forms_are_found_and_come_back(text):
+    line = f"on {text}, or {text}."
+    new, places = pseudonyms.replace(line, pseudonyms.Pseudonyms(KEY))
+    assert len(places) == (4 if text in RANGES else 2) and all(line[s:e] not in new for s, e, _ in places)
+    assert new.startswith("on ") and re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "0", new)) == re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "0", line))
+    assert pseudonyms.replace(new, pseudonyms.Pseudonyms(KEY, back=True))[0] == line
+
+
+def test_forms_that_fail_the_calendar_stay():
+    for text in ("2/30/1985", "31.4.1999", "1985-13-7", "February 30, 1985", "2020-01-02-03-04", "0/7/1985", "5.3.1999.7"):
+        assert pseudonyms.replace(text, pseudonyms.Pseudonyms(KEY)) == (text, [])
+
+
 def test_equal_cards_stay_linked_and_plain_text_stays():
     names = pseudonyms.Pseudonyms(KEY)
     a, b = (pseudonyms.replace(t, names)[0] for t in ("4337166598464399", "x 4337-1665-9846-4399 y"))
