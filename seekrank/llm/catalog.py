@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekrank.llm import bpe, common, jaccard, packing, pseudonyms, quality, secrets, shards, sketch, token_files, topk
+from seekrank.llm import bpe, common, divergence, jaccard, packing, pseudonyms, quality, secrets, shards, sketch, token_files, topk
 from seekrank.sources.tables import load
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
 SPARK = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -68,8 +72,10 @@ SPARK = {
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_quality": op9_quality,
     "op10_bpe_codec": op10_bpe_codec,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 SQL: dict[str, str] = {
     "op4_pivot_topk": topk.TOP5_SQL,
+    "op12_source_divergence": divergence.AUDIT_SQL,
 }
