@@ -14,8 +14,10 @@ Kinds: card (13 to 19 digits, Luhn), iban (ISO 7064 mod 97), ssn (ddd-dd-dddd),
 phone (international with +, North American with separators, a leading 1 or
 not), ip (four octets), date (ISO, with dots, with slashes, with English month
 names; days and months of one or two digits keep their width; either end of a
-range; 1900 to 2099), email (letters and digits of the part before the @). Values inside longer words or numbers are left alone, as
-are numbers that fail validation.
+range; 1900 to 2099), email (letters and digits of the part before the @, 64 characters at most: of a
+longer run its last ones are the address). Values inside longer words or numbers
+are left alone, as are numbers that fail validation. Finding and replacing take
+time in proportion to the text, whatever it holds.
 
 Rules for odd input: a null text stays null without findings; an empty text
 stays empty; repeated rows are treated alike; an empty table gives an empty
@@ -208,9 +210,8 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 _NAME = "(?:" + "|".join(f"{c(n)}|{c(n[:3])}" for n in MONTHS for c in (str.capitalize, str.upper, str.lower)) + ")"
 _DATE = (r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
          rf"|{_NAME}\.? [0-9]{{1,2}},? [0-9]{{4}}|[0-9]{{1,2}}\.? {_NAME}\.?,? [0-9]{{4}})(?![0-9])")
-#: In this order at one place; a value that fails its check leaves the place to the later kinds.
+#: After addresses, in this order at one place; a value that fails its check leaves the place to the later kinds.
 _KINDS: tuple[tuple[str, str], ...] = (
-    ("email", r"[A-Za-z0-9._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])"),
     ("phone", r"(?<![A-Za-z0-9+])\+1 ?\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"),
     ("phone", r"(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,4}){2,6}(?![0-9])"),
@@ -222,29 +223,50 @@ _KINDS: tuple[tuple[str, str], ...] = (
 )
 _FIND = [(k, re.compile(p)) for k, p in _KINDS]
 _ONE_DATE = re.compile(_DATE)
-_AT, _DIGIT = re.compile("@"), re.compile("[0-9]")
+_DIGIT = re.compile("[0-9]")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: Characters before the @ that belong to an address at most; of a longer run the last ones count.
+LOCAL_CHARS = 64
+
+
+def find_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of addresses: from every @ to the left over the characters a local part may have, then the domain."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > low and at - start < LOCAL_CHARS and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if any(c.isalnum() for c in text[start:at]) else None
+        if domain:
+            yield start, domain.end()
+            low = domain.end()
+        at = text.find("@", max(low, at + 1))
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """Candidate places (start, end, kind), in order of kind; none for texts without digits and @."""
-    at, digit = _AT.search(text), _DIGIT.search(text)
-    out = []
-    for kind, p in _FIND:
-        if (at if kind == "email" else digit):
-            for m in p.finditer(text):
-                own = _ONE_DATE.finditer(text, m.start(), m.end()) if kind == "date" else (m,)
-                out += [(x.start(), x.end(), kind) for x in own]
+    out = [(start, end, "email") for start, end in find_emails(text)]
+    for kind, p in _FIND if _DIGIT.search(text) else ():
+        for m in p.finditer(text):
+            own = _ONE_DATE.finditer(text, m.start(), m.end()) if kind == "date" else (m,)
+            out += [(x.start(), x.end(), kind) for x in own]
     return out
 
 
 def replace(text: str, names: Pseudonyms) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and the places replaced (start, end, kind) in the original, by start."""
+    found = find(text)
+    if not found:
+        return text, []
     taken: list[tuple[int, int, str, str]] = []
-    for start, end, kind in find(text):
-        if all(end <= s or e <= start for s, e, _, _ in taken):
+    covered = bytearray(len(text))  # the characters of the places taken so far
+    for start, end, kind in found:
+        if covered.find(1, start, end) < 0:
             new = names.value(kind, text[start:end])
             if new is not None:
                 taken.append((start, end, kind, new))
+                covered[start:end] = b"\1" * (end - start)
     taken.sort()
     out, at = [], 0
     for start, end, _, new in taken:

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -199,6 +200,22 @@ def test_dates_come_back(day):
         assert pseudonyms.replace(pseudonyms.replace(text, names)[0], back)[0] == text
 
 
+def test_addresses_in_long_runs():
+    names, back = pseudonyms.Pseudonyms(KEY), pseudonyms.Pseudonyms(KEY, back=True)
+    many = " ".join(f"user{i}@mail{i % 7}.example.com" for i in range(100_000))
+    for text in ("a" * 1_000_000 + "@", "0123456789abcdef" * 60_000 + "@example.com", "x@" * 500_000, "." * 1_000_000 + "@a.bc",
+                 "a@" + "b." * 500_000 + "1", "-" * 500_000 + "joe.b@example.com " + "%+" * 200_000, "1-" * 400_000 + "@", many):
+        began = time.process_time()
+        new, found = pseudonyms.replace(text, names)
+        assert time.process_time() - began < (20 if text is many else 5)
+        assert len(new) == len(text) and pseudonyms.replace(new, back)[0] == text
+        assert len(found) == (100_000 if text is many else int("example.com" in text))
+    new, found = pseudonyms.replace("z" * 100 + "ab@example.com", names)
+    assert found == [(38, 114, "email")] and new[:38] == "z" * 38 and new[38:] != "z" * 62 + "ab@example.com"
+    assert [pseudonyms.replace(t, names)[1] for t in ("a@b.co@d.com", "a@b@c.de", "_@x.com", "@x.com", "a@x.c")] == [
+        [(0, 6, "email")], [(2, 8, "email")], [], [], []]
+
+
 def test_pseudonyms_query(spark, sf, texts):
     got = {r["doc_id"]: r for r in entry.queries()["op8_feistel_pseudonyms"](spark, sf).collect()}
     private = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![0-9a-z])\d{16}(?![0-9a-z])|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}")
