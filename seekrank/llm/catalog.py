@@ -6,13 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekrank.llm import bpe, common, divergence, jaccard, packing, pseudonyms, quality, secrets, shards, sketch, token_files, topk
+from seekrank.llm import bpe, chat, common, divergence, jaccard, packing, pseudonyms, quality, secrets, shards, sketch, token_files, topk, variants
 from seekrank.sources.tables import load
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 #: Key of the registered query; real jobs pass their own secret.
 DEMO_KEY = b"a key for the registered query only"
+#: Both texts of the conversation that op13 adds to the table.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +59,22 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(load(spark, sf_dir, "documents"), vary=31)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(load(spark, sf_dir, "documents"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    path = common.scratch(spark, "chats")
+    chat.write_chats(chat.as_log(rows.unionByName(hard)), path)
+    return chat.digests(chat.read_chats(spark, path))
+
+
 SPARK = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -72,10 +86,14 @@ SPARK = {
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_quality": op9_quality,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_source_divergence": op12_source_divergence,
+    "op13_chat_format": op13_chat_format,
 }
 
 SQL: dict[str, str] = {
     "op4_pivot_topk": topk.TOP5_SQL,
+    "op11_spelling_variants": variants.VARIANTS_SQL,
     "op12_source_divergence": divergence.AUDIT_SQL,
+    "op13_chat_format": chat.CHAT_SQL,
 }

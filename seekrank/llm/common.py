@@ -114,7 +114,7 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (total - lens), lens) + np.arange(int(total[-1]) if len(total) else 0)
 
 
-def _mix(n: int, seed: int) -> np.ndarray:
+def odd_numbers(n: int, seed: int) -> np.ndarray:
     """n fixed pseudo-random odd 64-bit numbers."""
     z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 40)) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -131,7 +131,7 @@ _KIND[list(b"'")] = _QUOTE
 _KIND[list(b" \t\n\r\x0b\f")] = _SPACE
 _PLAIN = np.where(_KIND == _SPACE, _SPACE, _REST).astype(np.uint8)
 #: What a byte adds to the key of its word; ASCII capitals as small letters.
-_BYTE_KEY = _mix(256, 1)
+_BYTE_KEY = odd_numbers(256, 1)
 _BYTE_KEY[65:91] = _BYTE_KEY[97:123]
 
 
@@ -169,7 +169,7 @@ class Words:
             buf[capital] += 0x20
         if len(total):
             place = np.arange(int(total[-1])) - np.repeat(begin, self.lens)
-            self.keys = np.add.reduceat(_BYTE_KEY[buf[inside]] * _mix(int(self.lens.max()), 2)[place], begin)
+            self.keys = np.add.reduceat(_BYTE_KEY[buf[inside]] * odd_numbers(int(self.lens.max()), 2)[place], begin)
             letter = (kind == _ALNUM) & ~((buf >= 48) & (buf <= 57))
             self.letters = np.add.reduceat(letter[inside].astype(np.int64), begin) == self.lens
         else:
