@@ -413,6 +413,36 @@ def l4_text_search_meta(spark, sf):
     return _lex(spark, sf)[1]
 
 
+@register("l1_index_candidates", o.with_ctes(o.index_ctes(), """SELECT query, rarest_n, coalesce(candidates, 0) AS candidates, coalesce(matches, 0) AS matches
+FROM (SELECT query, min(n)::BIGINT AS rarest_n FROM ir GROUP BY 1) LEFT JOIN (SELECT query, count(*) AS candidates FROM ic GROUP BY 1) USING (query)
+LEFT JOIN (SELECT query, count(*) AS matches FROM im GROUP BY 1) USING (query)"""))
+def l1_index_candidates(spark, sf):
+    """What the trigram index reads for each distinct request: rows of the rarest trigram, candidates, matches among them."""
+    from seekrank.operators.lexical import row_matches
+    from seekrank.operators.retrieval import normalise_queries
+    from seekrank.operators.textindex import build_index, candidates, indexable, rarest_grams
+    index = build_index(fx.urls_fx(spark, sf))
+    queries = normalise_queries(fx.queries_fx(spark, sf)).select("query").distinct().filter(indexable(F.lower("query")))
+    pairs = candidates(index, queries)
+    found = pairs.join(index.docs, "id").withColumn("types", F.lit(None).cast("array<string>"))
+    counts = found.groupBy("query").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(row_matches()).alias("matches"))
+    rarest = rarest_grams(index, queries).groupBy("query").agg(F.min("n").alias("rarest_n"))
+    return rarest.join(counts, "query", "left").na.fill(0, ["candidates", "matches"])
+
+
+@register("r2_automaton_flags", o.with_ctes(o.base_ctes() + [("qn", o.normalised_queries_sql()),
+    ("qd", f"SELECT DISTINCT query, {o.norm('query')} AS nq, lower(query) AS ql FROM qn WHERE query <> ''"),
+    ("ud", "SELECT id, " + ", ".join(f"{o.norm(o.blank(c))} AS n_{n}, lower({o.blank(c)}) AS l_{n}" for n, c in (("t", "title"), ("u", "url"), ("s", "content_preview"))) + " FROM urls_fx"),
+    ("fl", "SELECT query, id, " + ", ".join(f"contains(n_{n}, nq) OR contains(l_{n}, ql) AS {name}" for n, name in (("t", "title_m"), ("u", "url_m"), ("s", "snip_m"))) + " FROM qd, ud")],
+    "SELECT * FROM fl WHERE title_m OR url_m OR snip_m"))
+def r2_automaton_flags(spark, sf):
+    """R2's flags of every document and distinct request that match, by one pass over the texts."""
+    from seekrank.operators.automaton import batch_match_flags
+    from seekrank.operators.retrieval import normalise_queries
+    docs = fx.urls_fx(spark, sf).select("id", "url", "title", F.col("content_preview").alias("snippet"))
+    return batch_match_flags(docs, normalise_queries(fx.queries_fx(spark, sf)))
+
+
 # --------------------------------------------------------------------------- A1–A5
 
 def _base_sql(select, extra=()):

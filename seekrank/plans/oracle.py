@@ -468,3 +468,30 @@ def processed_sql() -> str:
 FROM urls_fx u LEFT JOIN vectors_fx v ON v.id = u.id"""
     return f"""WITH r AS ({rows}) SELECT * EXCLUDE (id) FROM r
 UNION ALL SELECT * EXCLUDE (id) REPLACE (concat(url, '#gone') AS url) FROM r WHERE id % 17 = 3"""
+
+
+def index_ctes() -> list[tuple[str, str]]:
+    """Trigram lookup of the distinct requests: rarest trigrams per form, candidates, exact matches."""
+    def pat(x):
+        return f"('%' || replace({x}, '\\', '\\\\') || '%')"
+
+    spaced = "regexp_replace(low, '[-_]', ' ', 'g')"
+    fields = ["coalesce(title, '')", "url", "coalesce(content_preview, '')", "coalesce(type, '')"]
+    hits = [f"u.{c} ILIKE {pat('q.query')} ESCAPE '\\'" if c == "url" else f"{c.replace('(', '(u.', 1)} ILIKE {pat('q.query')} ESCAPE '\\'" for c in fields]
+    spaced_query = "regexp_replace(q.query, '[-_]', ' ', 'g')"
+    hits += [f"{c} ILIKE {pat(spaced_query)} ESCAPE '\\'" for c in ("coalesce(u.title, '')", "u.url")]
+    grams = "unnest(list_transform(range(1, greatest(1, len({0}) - 1)), lambda i: substr({0}, i, 3)))"
+    return base_ctes() + [
+        ("qn", normalised_queries_sql()),
+        ("iq", "SELECT DISTINCT query, lower(query) AS low FROM qn WHERE len(list_filter(regexp_split_to_array(lower(query), '[%_]+'), lambda p: len(p) >= 3)) > 0"),
+        ("ip", f"""SELECT query, 0 AS form, unnest(regexp_split_to_array(low, '[%_]+')) AS piece FROM iq
+UNION ALL SELECT query, 1, unnest(string_split({spaced}, '%')) FROM iq WHERE {spaced} <> low"""),
+        ("ig", f"SELECT DISTINCT query, form, {grams.format('piece')} AS gram FROM ip"),
+        ("it", " UNION ALL ".join(f"SELECT id, lower({c}) AS text FROM urls_fx" for c in fields)),
+        ("idg", f"SELECT DISTINCT id, {grams.format('text')} AS gram FROM it"),
+        ("idf", "SELECT gram, count(*) AS n FROM idg GROUP BY gram"),
+        ("ir", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, form ORDER BY n, gram) AS rn, least(2, count(*) OVER (PARTITION BY query, form)) AS wanted
+  FROM (SELECT query, form, gram, coalesce(n, 0) AS n FROM ig LEFT JOIN idf USING (gram))) WHERE rn <= 2"""),
+        ("ic", "SELECT DISTINCT query, id FROM (SELECT query, form, id FROM ir JOIN idg USING (gram) GROUP BY query, form, id, wanted HAVING count(*) = wanted)"),
+        ("im", f"SELECT q.query, u.id FROM iq q JOIN urls_fx u ON coalesce({' OR '.join(hits)}, false)"),
+    ]

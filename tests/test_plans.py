@@ -22,10 +22,10 @@ def test_no_product_nodes(spark, sf):
 
 
 def test_ranking_of_text_matches_carries_no_texts(spark, sf):
-    """Between the match join and the page rows only ids, numbers and dates are exchanged."""
+    """Between the match join and the page rows only ids, numbers and dates are exchanged, by profile of the requests."""
     from seekrank.operators.lexical import text_search
     page, _ = text_search(fx.urls_fx(spark, sf), fx.queries_fx(spark, sf), fx.NOW)
-    ranked = [b for b in plan(page.select("query_id", "id", "rank", "score")).split("Exchange hashpartitioning(query_id")[1:]]
+    ranked = [b for b in plan(page.select("query_id", "id", "rank", "score")).split("Exchange hashpartitioning(profile")[1:]]
     assert ranked
     for below in ranked:
         row = below.split("\n")[1]
