@@ -21,7 +21,7 @@ The checkpoints, every CHECK_STEPS steps, let readers decode stretches of one
 block at the same time; all stretches of many blocks are decoded in step.
 
 Rules for odd input: a null or empty text holds the end id alone; rows with one
-doc_id are ordered by hash and text; null doc_ids come first; an empty table
+doc_id stand next to each other, inside a range by hash and text; null doc_ids come first; an empty table
 gives empty tables; further columns are ignored.
 """
 
@@ -159,34 +159,63 @@ class Model:
         return got
 
 
-_TOKENS = "part int, doc_id long, pos long, ids binary"
+_TOKENS = "part int, doc_id long, pos long, ids binary, counts binary"
 _BLOCKS = ("part int, pos long, n int, payload binary, "
            "runs array<struct<doc_id:long,doc_pos:long,doc_len:long,run_from:long,run_len:int>>")
 
 
 def _tokenize(path: str, end: int):
+    """A row of ids per document; the last row of a task has no ids, but the number of them and the count of each (ids, then counts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pos, table = TaskContext.get().partitionId(), 0, common.word_ids(path)
+        total = np.zeros(0, np.int64)
         for b in common.slices(batches):
             ids, lens = common.with_end(*table.encode(b.column("text").to_pylist()), end)
+            own = np.bincount(ids)
+            total = np.r_[total, np.zeros(max(0, len(own) - len(total)), np.int64)]
+            total[: len(own)] += own
             ends = np.cumsum(lens)
             raw = ids.astype("<u4").tobytes()
             yield pa.record_batch({
                 "part": pa.array(np.full(len(lens), part, np.int32)), "doc_id": b.column("doc_id"),
                 "pos": pa.array(pos + ends - lens),
-                "ids": pa.array([raw[4 * (e - n): 4 * e] for e, n in zip(ends, lens)], pa.binary())})
+                "ids": pa.array([raw[4 * (e - n): 4 * e] for e, n in zip(ends, lens)], pa.binary()),
+                "counts": pa.nulls(len(lens), pa.binary())})
             pos += int(ends[-1])
+        if pos:
+            used = np.flatnonzero(total)
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "doc_id": pa.nulls(1, pa.int64()), "pos": pa.array([pos]), "ids": pa.nulls(1, pa.binary()),
+                                   "counts": pa.array([used.astype("<i8").tobytes() + total[used].astype("<i8").tobytes()], pa.binary())})
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = np.bincount(np.frombuffer(b"".join(x.as_py() for x in b.column("ids")), "<u4"))
-        total = np.r_[total, np.zeros(max(0, len(got) - len(total)), np.int64)]
-        total[: len(got)] += got
-    used = np.flatnonzero(total)
-    yield pa.record_batch({"token": pa.array(used.astype(np.int64)), "n": pa.array(total[used])})
+        for raw in b.column("counts").to_pylist():
+            token, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+            yield pa.record_batch({"token": pa.array(token), "n": pa.array(n)})
+
+
+def by_doc_id(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` (doc_id, text) in ``n`` ranges of ascending doc_id, sorted; nulls first.
+
+    The bounds come from the doc_id column alone. An id of more rows than two
+    ranges hold is spread over its ranges, so that no task gets them all.
+    """
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    shares = [i / n for i in range(1, n)]
+    found = docs.agg(F.percentile_approx(key, shares, min(1_000_000, max(10_000, 100 * n))).alias("b")).first()["b"] if shares else None
+    if not found:
+        return docs.repartition(1).sortWithinPartitions("doc_id", "text")
+    bounds = F.lit([int(x) for x in found]).cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << k) for k in range((n - 1).bit_length() - 1, -1, -1)))
+
+    def passed(test):  # the number of bounds for which the test holds, by doubling steps downwards
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(test(F.get(bounds, at + step - 1)), at + step).otherwise(at))
+    below, upto = passed(lambda b: b < key), passed(lambda b: b <= key)
+    salt = F.pmod(F.monotonically_increasing_id(), upto - below + 1).cast("int")
+    part = F.when(upto - below > 1, below + salt).otherwise(upto)
+    return docs.withColumn("part", part).repartitionById(n, "part").sortWithinPartitions("doc_id", F.xxhash64("text"), "text").select("doc_id", "text")
 
 
 def _encode(model: Model):
@@ -280,22 +309,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode ``docs`` (doc_id, text) in ascending doc_id order into the folder ``path``.
 
     One shuffle, of the texts by range of doc_id. The ids are written once
-    beside the blocks, for the two passes over them (counts, then blocks).
+    beside the blocks, with the counts that the model needs.
     """
     spark = docs.sparkSession
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-               .withColumn("h", F.xxhash64("text"))
-               .repartitionByRange(common.partitions(spark), "doc_id", "h")
-               .sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text"))
+    ordered = by_doc_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), common.partitions(spark))
     tokens = common.staged(ordered.mapInArrow(_tokenize(tokenizer, end_id), _TOKENS), "token-ids")
-    counts = tokens.select("ids").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    ends = tokens.filter(F.col("counts").isNotNull())  # one row per range
+    counts = ends.select("counts").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     table = counts.orderBy("token").toPandas()  # one row per id of the vocabulary at most
     table["freq"] = scale_counts(table["n"].to_numpy(np.int64))
     spark.createDataFrame(table[["token", "freq"]].astype("int64"), "token long, freq long").coalesce(1).write.parquet(f"{path}/model")
-    (tokens.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n"))
-     .write.parquet(f"{path}/parts"))
+    ends.select("part", F.col("pos").alias("n")).write.parquet(f"{path}/parts")
     model = Model(table["token"].to_numpy(np.int64), table["freq"].to_numpy(np.int64))
-    tokens.mapInArrow(_encode(model), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    rows = tokens.filter(F.col("ids").isNotNull()).select("part", "doc_id", "pos", "ids")
+    rows.mapInArrow(_encode(model), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_model(spark: SparkSession, path: str) -> Model:
