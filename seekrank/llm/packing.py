@@ -9,10 +9,10 @@ bracket matching. Every range matches inside itself; what it leaves over is two
 counts, and the ranges' counts decide which ranges' leftovers meet, by rank.
 Gaps shrink, and the class is swept again while its pieces find gaps. When none
 does, the largest pieces left open as many sequences as the pieces left need at
-the least, and the rest is swept into their gaps; so on until none is left. The
-last few thousand of a class are packed by plain best fit in one task.
+the least, and the rest is swept into their gaps; so on until none is left.
 
-State is narrow (ids and sizes), written to the shared folder every round. A
+State is narrow (ids and sizes), written to the shared folder every round; the
+driver knows how many pieces and gaps of each size there are, a row per size. A
 gap that could hold several pieces offers several slots, up to its share of the
 pieces. Every opening with its sweeps places about half of a class's tokens or
 more, so the number of rounds grows with the logarithm of the number of rows at
@@ -25,9 +25,9 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,6 @@ from seekrank.llm import common
 CAPACITY = 2048
 #: Rows of one range of a sweep, about; a range is matched in memory as three integer columns.
 RANGE_ROWS = 200_000
-#: Pieces of a class that find no gap are packed in one task when there are no more than these.
-TAIL = 10_000
 _PIECES = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 _SWEPT = "kind int, item long, length long, seq long, slot int, part int, pos long"
 
@@ -125,30 +123,16 @@ def meet(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, i
     return out
 
 
-def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
-    """Sequence (its first piece's place in ``lengths``) and offset of every piece; ``lengths`` fall."""
-    room: list[tuple[int, int]] = []  # gap, sequence
-    seqs, offsets = [], []
-    for i, n in enumerate(lengths):
-        at = bisect.bisect_left(room, (n, -1))
-        gap, seq = room.pop(at) if at < len(room) else (capacity, i)
-        seqs.append(seq)
-        offsets.append(capacity - gap)
-        if gap > n:
-            bisect.insort(room, (gap - n, seq))
-    return seqs, offsets
+Sizes = dict[int, int]
 
 
-def _tail(capacity: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).sort_by([("length", "descending"), ("rid", "ascending")]).combine_chunks()
-        seqs, offsets = best_fit(t.column("length").to_pylist(), capacity)
-        rid = t.column("rid").to_numpy()
-        yield pa.record_batch({"rid": pa.array(rid), "seq": pa.array(rid[seqs]), "length": pa.array(t.column("length").to_numpy()), "offset": pa.array(offsets, pa.int64())})
-    return run
+def count_sizes(**frames: DataFrame) -> dict[str, Sizes]:
+    """How many rows of each size (their only column) the frames have, in one job: a row per frame and size comes back."""
+    rows = [df.toDF("size").select(F.lit(name).alias("of"), "size") for name, df in frames.items()]
+    out: dict[str, Sizes] = {name: {} for name in frames}
+    for name, size, n in reduce(DataFrame.unionByName, rows).groupBy("of", "size").count().collect():
+        out[name][size] = n
+    return out
 
 
 class Packing:
@@ -156,103 +140,108 @@ class Packing:
 
     def __init__(self, spark: SparkSession, capacity: int):
         self.spark, self.capacity = spark, capacity
-        self.gaps = spark.createDataFrame([], "seq long, gap long")
+        self.gaps, self.gap_sizes = spark.createDataFrame([], "seq long, gap long"), {}
         self.placed: list[DataFrame] = []
 
     def _range(self, rows: int) -> int:
         return max(2, -(-rows // RANGE_ROWS))
 
-    def sweep(self, pending: DataFrame) -> tuple[DataFrame, int]:
-        """Match ``pending`` (rid, length) with the gaps once; returns what is left and how many found a gap."""
-        least = pending.agg(F.min("length"), F.count("*"), F.max("length")).first()
-        if not least[1]:
-            return pending, 0
-        high = least[2]
-        wide = self.gaps.filter(F.col("gap") >= least[0])
-        n_wide = wide.count()
+    def sweep(self, pending: DataFrame, sizes: Sizes) -> tuple[DataFrame, Sizes]:
+        """Match ``pending`` (rid, length) with the gaps once; returns what is left."""
+        low, high, n = min(sizes), max(sizes), sum(sizes.values())
+        n_wide = sum(c for gap, c in self.gap_sizes.items() if gap >= low)
         if not n_wide:
-            return pending, 0
-        share = -(-least[1] // n_wide)  # no more slots than the pieces can take, a gap's share rounded up
+            return pending, sizes
+        share = -(-n // n_wide)  # no more slots than the pieces can take, a gap's share rounded up
         n_slots = F.greatest(F.lit(1), F.least(F.lit(share), F.floor(F.col("gap") / high))).cast("int")
-        slots = (wide.withColumn("n", n_slots).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        slots = (self.gaps.filter(F.col("gap") >= low).withColumn("n", n_slots).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n"))))
                  .select(F.when(F.col("slot") < F.col("n"), F.lit(high).cast("long")).otherwise(F.col("gap") - (F.col("n") - 1) * high).alias("size"),
                          F.lit(0).alias("kind"), F.col("seq").alias("id"), "slot"))
         events = slots.unionByName(pending.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("rid").alias("id"), F.lit(0).alias("slot")))
-        parts = self._range(2 * least[1] + n_wide)
         order = [F.col("size").desc(), "kind", "id", "slot"]
-        swept = common.staged(events.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "swept")
-        left = (swept.filter("kind > 0").groupBy("part").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("i"), F.count(F.when(F.col("kind") == 2, 1)).alias("s")).collect())
-        pairs = self.spark.createDataFrame(meet(sorted(tuple(r) for r in left)), "part int, lo long, hi long, slot_part int, first long")
-        across = (swept.filter("kind = 1").join(F.broadcast(pairs), "part").filter("pos >= lo and pos < hi")
-                  .select("item", "length", F.col("slot_part").alias("part"), (F.col("first") + F.col("pos") - F.col("lo")).alias("pos"))
-                  .join(swept.filter("kind = 2").select("part", "pos", "seq", "slot"), ["part", "pos"]))
-        matched = swept.filter("kind = 0").select("item", "length", "seq", "slot").unionByName(across.select("item", "length", "seq", "slot"))
-        before = F.sum("length").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-        placed = matched.join(self.gaps, "seq").select(
-            F.col("item").alias("rid"), "seq", "length", (self.capacity - F.col("gap") + F.coalesce(before, F.lit(0))).alias("offset"))
-        placed = common.staged(placed, "placed")
-        n = placed.count()
-        if n:
-            self.placed.append(placed)
-            used = placed.groupBy("seq").agg(F.sum("length").alias("used"))
-            self.gaps = common.staged(self.gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0"), "gaps")
-            pending = common.staged(pending.join(placed.select("rid"), "rid", "left_anti"), "pending")
-        return pending, n
-
-    def open(self, pending: DataFrame) -> DataFrame:
+        swept = common.staged(events.repartitionByRange(self._range(2 * n + n_wide), *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "swept")
+        left = swept.filter("kind > 0").groupBy("part").agg(F.count_if(F.col("kind") == 1), F.count_if(F.col("kind") == 2)).collect()
+        pairs = F.broadcast(self.spark.createDataFrame(meet(sorted(tuple(r) for r in left)), "part int, lo long, hi long, slot_part int, first long"))
+        items, free = swept.filter("kind = 1").alias("i"), swept.filter("kind = 2").select("part", "pos", "seq", "slot")
+        meets = (F.col("i.part") == F.col("p.part")) & (F.col("i.pos") >= F.col("p.lo")) & (F.col("i.pos") < F.col("p.hi"))
+        across = (items.join(pairs.alias("p"), meets)
+                  .select("item", "length", F.col("slot_part").alias("part"), (F.col("first") + F.col("i.pos") - F.col("lo")).alias("pos")).join(free, ["part", "pos"]))
+        cols = ["item", "length", "seq", "slot"]
+        matched = swept.filter("kind = 0").select(*cols).unionByName(across.select(*cols)).withColumn("gap", F.lit(None).cast("long"))
+        known = self.gaps.select(F.lit(None).cast("long").alias("item"), F.lit(0).cast("long").alias("length"), "seq", F.lit(0).alias("slot"), "gap")
+        by = Window.partitionBy("seq")  # one gap and the pieces that it takes
+        before = F.sum("length").over(by.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+        state = common.staged(matched.unionByName(known).select(
+            F.col("item").alias("rid"), "seq", "length", (self.capacity - F.max("gap").over(by) + before).alias("offset"),
+            (F.col("gap") - F.sum("length").over(by)).alias("gap")), "state")
+        self.placed.append(state.filter("rid is not null").drop("gap"))
+        self.gaps = state.filter("rid is null and gap > 0").select("seq", "gap")
+        pending = items.join(pairs.alias("p"), meets, "left_anti").select(F.col("item").alias("rid"), "length")
+        found = count_sizes(gaps=self.gaps.select("gap"), pieces=pending.select("length"))
+        self.gap_sizes = found["gaps"]
+        return pending, found["pieces"]
+
+    def open(self, pending: DataFrame, sizes: Sizes) -> tuple[DataFrame, Sizes]:
         """New sequences, as many as ``pending`` needs at the least, with the largest pieces; returns the other pieces.
 
         No gap holds a piece of ``pending``. Each new sequence takes as many
         pieces as always fit, by falling size.
         """
-        low, high, n, tokens = pending.agg(F.min("length"), F.max("length"), F.count("*"), F.sum("length")).first()
-        k = self.capacity // high
-        need = max(-(-tokens // self.capacity), -(-n // (self.capacity // low)))
-        rest = pending.limit(0)
+        n, tokens = sum(sizes.values()), sum(size * c for size, c in sizes.items())
+        k = self.capacity // max(sizes)
+        need = max(-(-tokens // self.capacity), -(-n // (self.capacity // min(sizes))))
         if need == n:
             new = pending.select("rid", F.col("rid").alias("seq"), "length", F.lit(0).cast("long").alias("offset"))
-        elif n <= TAIL:
-            new = pending.select("rid", "length").repartition(1).mapInArrow(_tail(self.capacity), "rid long, seq long, length long, offset long")
-        else:
-            def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                part, at = TaskContext.get().partitionId(), 0
-                for b in batches:
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows))],
-                                                     [*b.schema.names, "part", "at"])
-                    at += b.num_rows
-            order = [F.col("length").desc(), "rid"]
-            rows = (pending.select("rid", "length").repartitionByRange(self._range(n), *order).sortWithinPartitions(*order)
-                    .mapInArrow(number, "rid long, length long, part int, at long"))
-            rows = common.staged(rows, "ranked")
-            counts = sorted(tuple(r) for r in rows.groupBy("part").count().collect())
-            starts = np.cumsum([0, *(c for _, c in counts)])
-            first = self.spark.createDataFrame([(p, int(s)) for (p, _), s in zip(counts, starts)], "part int, first long")
-            ranked = rows.join(F.broadcast(first), "part").withColumn("rank", F.col("first") + F.col("at")).withColumn("group", F.expr(f"rank div {k}"))
-            by = Window.partitionBy("group").orderBy("rank")
-            new = ranked.filter(F.col("group") < need).select(
-                "rid", F.first("rid").over(by).alias("seq"), "length",
-                F.coalesce(F.sum("length").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-            rest = ranked.filter(F.col("group") >= need).select("rid", "length")
-        new = common.staged(new, "opened")
+            self.placed.append(new)
+            self.gaps = self.gaps.unionByName(new.select("seq", (self.capacity - F.col("length")).alias("gap")))
+            for size, c in sizes.items():
+                self.gap_sizes[self.capacity - size] = self.gap_sizes.get(self.capacity - size, 0) + c
+            return pending.limit(0), {}
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, at = TaskContext.get().partitionId(), 0
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows))],
+                                                 [*b.schema.names, "part", "at"])
+                at += b.num_rows
+        order = [F.col("length").desc(), "rid"]
+        rows = (pending.select("rid", "length").repartitionByRange(self._range(n), *order).sortWithinPartitions(*order)
+                .mapInArrow(number, "rid long, length long, part int, at long"))
+        rows = common.staged(rows, "ranked")
+        counts = sorted(tuple(r) for r in rows.groupBy("part").count().collect())
+        starts = np.cumsum([0, *(c for _, c in counts)])
+        first = self.spark.createDataFrame([(p, int(s)) for (p, _), s in zip(counts, starts)], "part int, first long")
+        ranked = rows.join(F.broadcast(first), "part").withColumn("rank", F.col("first") + F.col("at")).withColumn("group", F.expr(f"rank div {k}"))
+        by = Window.partitionBy("group").orderBy("rank")
+        new = common.staged(ranked.filter(F.col("group") < need).select(
+            "rid", F.first("rid").over(by).alias("seq"), "length",
+            F.coalesce(F.sum("length").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset")), "opened")
         self.placed.append(new)
         fresh = new.groupBy("seq").agg((self.capacity - F.sum("length")).alias("gap")).filter("gap > 0")
-        self.gaps = common.staged(self.gaps.unionByName(fresh), "gaps")
-        return rest
+        rest = ranked.filter(F.col("group") >= need).select("rid", "length")
+        found = count_sizes(gaps=fresh.select("gap"), pieces=rest.select("length"))
+        self.gaps = self.gaps.unionByName(fresh)
+        for size, c in found["gaps"].items():
+            self.gap_sizes[size] = self.gap_sizes.get(size, 0) + c
+        return rest, found["pieces"]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id (the rid of the sequence's first piece) and offset to staged ``pieces`` (rid, length, ...)."""
     state = Packing(pieces.sparkSession, capacity)
+    lengths = count_sizes(pieces=pieces.select("length"))["pieces"]
     high = capacity - 1
     while high > 0:
         low = capacity // 2 if high == capacity - 1 else high // 2 if high > 16 else 0
         pending = pieces.filter((F.col("length") > low) & (F.col("length") <= high)).select("rid", "length")
-        while not pending.isEmpty():
-            found = 1
-            while found and high < capacity - 1:
-                pending, found = state.sweep(pending)
-            if not pending.isEmpty():
-                pending = state.open(pending)
+        sizes = {size: n for size, n in lengths.items() if low < size <= high}
+        while sizes:
+            before = None
+            while sizes and sizes != before and high < capacity - 1:
+                before = sizes
+                pending, sizes = state.sweep(pending, sizes)
+            if sizes:
+                pending, sizes = state.open(pending, sizes)
         high = low
     place = pieces.filter(F.col("length") == capacity).select("rid", F.col("rid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for p in state.placed:

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -107,6 +108,20 @@ def test_crc32_of_joined_strings():
     assert token_files.crc32_join(zlib.crc32(a), zlib.crc32(b""), 0) == zlib.crc32(a)
 
 
+def test_ranges_of_doc_ids(spark):
+    """Ranges follow doc_id, hot ids (one, and none) are spread, and no row is lost."""
+    ids = [None] * 4000 + [7] * 4000 + list(range(-2000, 2000))
+    docs = spark.createDataFrame([(i, str(k)) for k, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    rows = token_files.by_doc_id(docs, 12).withColumn("p", F.spark_partition_id()).collect()
+    assert sorted(int(r["text"]) for r in rows) == list(range(len(ids)))
+    parts = {}
+    for r in rows:
+        parts.setdefault(r["p"], []).append(-1e9 if r["doc_id"] is None else r["doc_id"])
+    assert all(own == sorted(own) for own in parts.values()) and len(parts) == 12 and max(map(len, parts.values())) < 3 * len(ids) / 12
+    assert all(max(parts[p]) <= min(parts[p + 1]) for p in range(11))
+    assert token_files.by_doc_id(docs.limit(0), 12).count() == 0 and token_files.by_doc_id(docs, 1).count() == len(ids)
+
+
 def check_packing(rows, want, capacity):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
     by = {}
@@ -154,13 +169,13 @@ def test_packing_odd_rows(odd, empty, library, capacity):
     assert packing.pack_documents(empty, WORD, capacity=capacity).count() == 0
 
 
-@pytest.mark.parametrize("tail", [0, 10_000])
+@pytest.mark.parametrize("range_rows", [100, 200_000])
 @pytest.mark.parametrize("lengths", [[600] * 500, [300] * 500, [257] * 500, [129] * 500, [1] * 5000,
                                      [513 + 37 * i % 512 for i in range(800)], [1 + 7 * i % 16 for i in range(3000)]],
                          ids=["600", "300", "257", "129", "1", "513-1024", "1-16"])
-def test_lengths_of_one_class(spark, monkeypatch, lengths, tail):
-    """Lengths that gather in one class need no more sequences than best fit, in one task or in rounds."""
-    monkeypatch.setattr(packing, "TAIL", tail)
+def test_lengths_of_one_class(spark, monkeypatch, lengths, range_rows):
+    """Lengths that gather in one class need no more sequences than best fit, in few ranges or many."""
+    monkeypatch.setattr(packing, "RANGE_ROWS", range_rows)
     table = spark.createDataFrame([(i, i, 0, n) for i, n in enumerate(lengths)], "rid long, doc_id long, piece int, length long")
     rows = packing.pack(common.staged(table, "test-pieces")).collect()
     by = {}
