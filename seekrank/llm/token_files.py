@@ -190,10 +190,15 @@ def _tokenize(path: str, end: int):
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of all ranges that a task reads, summed."""
+    total = np.zeros(0, np.int64)
     for b in batches:
         for raw in b.column("counts").to_pylist():
             token, n = np.frombuffer(raw, "<i8").reshape(2, -1)
-            yield pa.record_batch({"token": pa.array(token), "n": pa.array(n)})
+            total = np.r_[total, np.zeros(max(0, int(token[-1]) + 1 - len(total)), np.int64)]
+            total[token] += n
+    used = np.flatnonzero(total)
+    yield pa.record_batch({"token": pa.array(used), "n": pa.array(total[used])})
 
 
 def by_doc_id(docs: DataFrame, n: int) -> DataFrame:
