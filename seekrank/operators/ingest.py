@@ -174,10 +174,13 @@ def fetch_pages(work: DataFrame, pages: DataFrame) -> DataFrame:
     """Look each URL up in the crawled ``pages(url, html)`` table; no page = failed fetch.
 
     A URL crawled more than once gives its last page: largest ``page_id`` where
-    there is one, then largest html.
+    there is one, then largest html. The crawl is reduced to the URLs of the
+    work first, so only their pages are exchanged; where the work is small
+    enough to be sent to all tasks, the crawl itself is not exchanged at all.
     """
     order = F.struct(*([F.col("page_id")] if "page_id" in pages.columns else []), F.col("html"))
-    one = pages.filter(F.col("html").isNotNull()).groupBy("url").agg(F.max(order).alias("_p")).select("url", F.col("_p.html").alias("html"))
+    wanted = pages.filter(F.col("html").isNotNull()).join(work.select("url").distinct(), "url", "left_semi")
+    one = wanted.groupBy("url").agg(F.max(order).alias("_p")).select("url", F.col("_p.html").alias("html"))
     return work.join(one, "url", "left")
 
 

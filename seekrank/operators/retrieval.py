@@ -68,6 +68,30 @@ def filter_types(pairs: DataFrame, types_col: str = "types", type_col: str = "ty
     return pairs.filter(type_allowed(F.col(types_col), F.col(type_col)))
 
 
+def allowed_rows(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """V3 for whole tables: every row (``type`` among its columns) with every query (``query_id, types``) that allows it.
+
+    Queries with a list meet the rows in an equi-join on the type, so a table
+    laid out by type (:func:`write_by_type`) is read only where a list points;
+    the others meet all rows. Rows of a type are dealt to as many groups as
+    there are shuffle partitions, and queries to all groups, so that a frequent
+    type is spread.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_g", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
+    asked = queries.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    some = F.coalesce(F.size("types"), F.lit(0)) > 0
+    listed = asked.filter(some).withColumn("type", F.explode(F.array_distinct("types"))).select("query_id", "type", "_g")
+    unlisted = asked.filter(~some).select("query_id", "_g")
+    cols = ["query_id", *rows.columns]
+    return dealt.join(listed, ["type", "_g"]).select(*cols).unionByName(dealt.join(unlisted, "_g").select(*cols))
+
+
+def write_by_type(vectors: DataFrame, path: str) -> None:
+    """Vector records as one folder per type, in which readers skip the types that no list names."""
+    vectors.repartition("type", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("type").parquet(path)
+
+
 def with_norm(vectors: DataFrame, vec_col: str = "vector") -> DataFrame:
     if "norm" in vectors.columns:
         return vectors

@@ -187,17 +187,24 @@ def v4_vector_topk_numpy(spark, sf):
     return _v4(spark, sf, with_norm)
 
 
-V3_SQL = f"""SELECT q.query_id, u.id, u.type FROM queries_fx q JOIN urls_fx u ON (q.query_id - 1) // 10 = u.id // 10
-WHERE {o.type_ok('q.types', 'u.type')}"""
+V3_SQL = f"SELECT q.query_id, u.id, u.type FROM queries_fx q JOIN urls_fx u ON {o.type_ok('q.types', 'u.type')}"
 
 
 @register("v3_filter_types", o.with_ctes(o.base_ctes(), V3_SQL))
 def v3_filter_types(spark, sf):
-    """Requests against the ten pages of their own decade, filtered by type list (null, empty, one, several)."""
-    from seekrank.operators.retrieval import filter_types
-    q = fx.queries_fx(spark, sf).select("query_id", "types", F.floor((F.col("query_id") - 1) / 10).alias("decade"))
-    u = fx.urls_fx(spark, sf).select("id", "type", F.floor(F.col("id") / 10).alias("decade"))
-    return filter_types(q.join(u, "decade")).select("query_id", "id", "type")
+    """Every request (type lists null, empty, one, several) against every registry row."""
+    from seekrank.operators.retrieval import allowed_rows
+    return allowed_rows(fx.urls_fx(spark, sf).select("id", "type"), fx.queries_fx(spark, sf).select("query_id", "types"))
+
+
+@register("v3_type_layout", o.with_ctes(o.base_ctes(), f"SELECT q.query_id, u.id, u.type FROM queries_fx q JOIN urls_fx u ON len(q.types) > 0 AND {o.type_ok('q.types', 'u.type')}"))
+def v3_type_layout(spark, sf):
+    """The requests with a type list against rows stored by type: only the folders that the lists name are read."""
+    from seekrank.operators.retrieval import allowed_rows, write_by_type
+    path = _root(spark, "by-type")
+    write_by_type(fx.urls_fx(spark, sf).select("id", "type"), path)
+    listed = fx.queries_fx(spark, sf).select("query_id", "types").filter("size(types) > 0")
+    return allowed_rows(spark.read.parquet(path).select("id", "type"), listed)
 
 
 # --------------------------------------------------------------------------- R1, T2
@@ -556,20 +563,36 @@ def i5_pending_work(spark, sf):
 CSV_SQL = """SELECT page_id, CAST(page_id AS VARCHAR) AS id, regexp_extract(url, '/(de|en|es|fr)/[0-9]', 1) AS type, url FROM pages"""
 
 
+def _csv_folder(spark, sf):
+    """Every page's URL in CSV files of two header orders, notes with line breaks, and as many rows again in ragged files."""
+    from seekrank.sources.tables import load
+    root = _root(spark, "csv")
+    p = load(spark, sf, "pages").select("page_id", fx.page_type(F.col("url")).alias("type"), "url")
+    p.filter("page_id % 2 = 0").select(F.col("page_id").alias("id"), "type", "url").write.option("header", True).csv(f"{root}/a")
+    p.filter("page_id % 2 = 1").select(F.col("url").alias("URL"), F.lit('a, "b"\nc').alias(" Note "), F.col("type").alias("Type")).write.option("header", True).option("escape", '"').csv(f"{root}/b")
+    ragged = F.concat(F.col("page_id").cast("string"), F.lit(","), F.col("url"), F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.lit(",en")))
+    p.filter("page_id % 10 = 0").unionByName(p).select(F.floor(F.col("page_id") / 10).alias("n"), ragged.alias("line")).groupBy("n").agg(
+        F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines")).select(F.concat(F.lit("id,url,type\n"), "lines").alias("value")).write.text(f"{root}/c")
+    return root
+
+
 @register("i1_csv_files", "WITH csv AS (" + CSV_SQL + """) SELECT id, type, url,
   CASE WHEN page_id % 2 = 0 THEN 'id, type, url' ELSE 'URL, Note, Type' END AS columns_found
 FROM (SELECT * REPLACE (CASE WHEN page_id % 2 = 0 THEN id END AS id) FROM csv)""")
 def i1_csv_files(spark, sf):
-    """Every page's URL written to CSV files of two header orders, and read back from one folder."""
-    import uuid
-    from seekrank.session import checkpoint_dir
+    """Every page's URL read back from a folder of CSV files; the ragged files among them are rejected alone."""
     from seekrank.sources.csv_urls import read_url_csv
-    from seekrank.sources.tables import load
-    root = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex[:12]}"
-    p = load(spark, sf, "pages").select("page_id", fx.page_type(F.col("url")).alias("type"), "url")
-    p.filter("page_id % 2 = 0").select(F.col("page_id").alias("id"), "type", "url").write.option("header", True).csv(f"{root}/a")
-    p.filter("page_id % 2 = 1").select(F.col("url").alias("URL"), F.lit('a, "b"').alias(" Note "), F.col("type").alias("Type")).write.option("header", True).csv(f"{root}/b")
-    return read_url_csv(spark, f"{root}/*").select("id", "type", "url", "columns_found")
+    return read_url_csv(spark, f"{_csv_folder(spark, sf)}/*").filter("error is null").select("id", "type", "url", "columns_found")
+
+
+@register("i1_csv_report", """SELECT 'good' AS verdict, count(*) AS valid_rows FROM pages WHERE regexp_extract(url, '/(de|en|es|fr)/[0-9]', 1) <> ''
+UNION ALL SELECT 'Invalid Record Length: expected 3, got 2', 0""")
+def i1_csv_report(spark, sf):
+    """The report of the same folder: the valid rows of good files, and why the others were rejected."""
+    from seekrank.operators.ingest import upload_report
+    from seekrank.sources.csv_urls import read_url_csv
+    report = upload_report(read_url_csv(spark, f"{_csv_folder(spark, sf)}/*"))
+    return report.groupBy(F.coalesce("error", F.lit("good")).alias("verdict")).agg(F.sum("url_count").alias("valid_rows"))
 
 
 def payloads_fx(spark, sf):
@@ -616,28 +639,29 @@ def s1_upload_batch(spark, sf):
 
 
 S2_CTES = o.base_ctes() + [
-    ("queued", "SELECT url, CASE WHEN id % 3 = 0 THEN 'later' ELSE type END AS type FROM urls_fx WHERE id % 2 = 0"),
-    ("crawled", "SELECT * FROM pages WHERE page_id % 4 <> 2")]
+    ("known", "SELECT id, url, type, title, full_text_content FROM urls_fx UNION ALL SELECT id + 1000000000, concat(url, '/gone'), type, title, full_text_content FROM urls_fx"),
+    ("queued", "SELECT url, CASE WHEN id % 3 = 0 THEN 'later' ELSE type END AS type FROM known")]
 
 
-@register("s2_process_batch", o.with_ctes(S2_CTES + [("ex", """SELECT page_id, url, {t} AS title, {x} AS text FROM crawled""".format(
+@register("s2_process_batch", o.with_ctes(S2_CTES + [("ex", """SELECT page_id, url, {t} AS title, {x} AS text FROM pages""".format(
         t=o.page_title("html", "url"), x=o.page_text("html")))], f"""SELECT u.id, u.url,
   CASE WHEN q.url IS NULL THEN u.title WHEN e.url IS NULL THEN q.url ELSE substring(e.title, 1, {o.C.max_title}) END AS title,
   md5(CASE WHEN q.url IS NULL THEN u.full_text_content WHEN e.url IS NULL THEN concat('Content temporarily unavailable for ', q.url) ELSE e.text END) AS text_md5,
   CASE WHEN q.url IS NULL THEN 'pending' ELSE 'completed' END AS status, q.type AS vector_type, q.url IS NOT NULL AS has_vector
-FROM urls_fx u LEFT JOIN queued q ON q.url = u.url LEFT JOIN ex e ON e.url = u.url"""))
+FROM known u LEFT JOIN queued q ON q.url = u.url LEFT JOIN ex e ON e.url = u.url"""))
 def s2_process_batch(spark, sf):
-    """The micro-batch function of the processing stream over half of the registry, some URLs queued twice and some not crawled."""
+    """The micro-batch function of the processing stream: all URLs queued, some twice, and as many that were never crawled."""
     from seekrank.operators.ingest import empty_registry, empty_vectors
     from seekrank.sources.tables import load
     from seekrank.streaming import snapshots, uploads
     roots = [_root(spark, n) for n in ("registry", "vectors", "metrics")]
-    registry = fx.urls_fx(spark, sf).withColumn("status", F.lit("pending"))
-    snapshots.commit(spark, roots[0], registry, "url", -1, -1)
-    half = registry.filter("id % 2 = 0")
-    work = (half.select("url", "type", F.col("id").alias("row_no"))
-            .unionByName(half.filter("id % 3 = 0").select("url", F.lit("later").alias("type"), (F.col("id") + F.lit(1)).alias("row_no"))))
-    uploads.process_batch(spark, work, 0, load(spark, sf, "pages").filter("page_id % 4 <> 2"), *roots, fx.NOW)
+    crawled = fx.urls_fx(spark, sf).withColumn("status", F.lit("pending"))
+    gone = crawled.withColumns({"id": F.col("id") + 1_000_000_000, "url": F.concat("url", F.lit("/gone"))})
+    snapshots.commit(spark, roots[0], crawled.unionByName(gone), "url", -1, -1)
+    registry = snapshots.read_latest(spark, roots[0], empty_registry(spark), "url")
+    work = (registry.select("url", "type", F.col("id").alias("row_no"))
+            .unionByName(registry.filter("id % 3 = 0").select("url", F.lit("later").alias("type"), (F.col("id") + F.lit(1)).alias("row_no"))))
+    uploads.process_batch(spark, work, 0, load(spark, sf, "pages"), *roots, fx.NOW)
     reg = snapshots.read_latest(spark, roots[0], empty_registry(spark), "url")
     vec = snapshots.read_latest(spark, roots[1], empty_vectors(spark), "id").select("id", F.col("type").alias("vector_type"), F.col("norm").isNotNull().alias("v"))
     return reg.select("id", "url", "title", F.md5("full_text_content").alias("text_md5"), "status").join(vec, "id", "left").select(
@@ -651,18 +675,19 @@ EX_SQL = f"""SELECT page_id, url, {o.page_title('html', 'url')} AS title, {o.pag
 
 WORK_CTES = o.base_ctes() + o.upload_ctes() + [
     ("work", "SELECT l.url, l.type FROM (SELECT url, arg_max(type, row_no) AS type FROM valid GROUP BY url) l "
-             "JOIN urls_fx u ON u.url = l.url WHERE u.status = 'pending'")]
+             "JOIN urls_fx u ON u.url = l.url WHERE u.status = 'pending'"),
+    ("asked", "SELECT * FROM work UNION ALL SELECT concat(url, '/gone'), type FROM work")]
 
 
 def _fetched(spark, sf):
-    """Pending work against a crawl in which every fourth page is missing."""
+    """Pending work, and as many URLs that were never crawled, against the whole crawl."""
     from seekrank.operators.ingest import fetch_pages, pending_work
     from seekrank.sources.tables import load
     work = pending_work(fx.upload_rows_fx(spark, sf), fx.urls_fx(spark, sf)).select("url", "type")
-    return fetch_pages(work, load(spark, sf, "pages").filter(F.col("page_id") % 4 != 1))
+    return fetch_pages(work.unionByName(work.withColumn("url", F.concat("url", F.lit("/gone")))), load(spark, sf, "pages"))
 
 
-FETCHED = "work w LEFT JOIN (SELECT * FROM pages WHERE page_id % 4 <> 1) p ON p.url = w.url"
+FETCHED = "asked w LEFT JOIN pages p ON p.url = w.url"
 
 
 @register("i6_fetch_pages", o.with_ctes(WORK_CTES,

@@ -1,9 +1,9 @@
 """S1 upload stream and S2 processing stream (Structured Streaming).
 
-S1: CSV files dropped into a folder are read whole (``wholetext``), parsed
-with the I2 payload parser (any header order, BOM, quoted newlines), validated
-(I3) and upserted into the versioned registry (I4) in ``foreachBatch``. The
-report of every file, bad ones included, is written per batch.
+S1: CSV files dropped into a folder are read as byte ranges (I1: any header
+order, BOM, quoted newlines), validated (I3) and upserted into the versioned
+registry (I4) in ``foreachBatch``. The report of every file, rejected ones
+included, is written per batch.
 
 S2: work items (I5 output) arriving as Parquet files go through page lookup,
 placeholder, extraction, shaping and embedding (I6–I10), then the vector store
@@ -28,15 +28,12 @@ from seekrank.operators.embed import HashedBow, embed
 from seekrank.operators.ingest import (apply_results, empty_registry, empty_vectors, extract_fetched, fetch_pages,
                                        shape_content, upload_report, upsert_urls_changes, validate_url_rows,
                                        vector_changes, vector_records)
-from seekrank.sources.csv_urls import read_upload_payloads
+from seekrank.sources.csv_urls import read_upload_payloads, read_url_csv
 from seekrank.streaming import snapshots
 
 WORK_SCHEMA = T.StructType([T.StructField("url", T.StringType()), T.StructField("type", T.StringType()),
                             T.StructField("row_no", T.LongType())])
-
-
-def _b64(col):
-    return F.base64(F.encode(col, "UTF-8"))
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _durable(checkpoint: str | None) -> str:
@@ -45,10 +42,9 @@ def _durable(checkpoint: str | None) -> str:
     return checkpoint
 
 
-def upload_batch(spark: SparkSession, payloads: DataFrame, batch_id: int, registry_root: str, now,
-                 report_path: str | None = None) -> None:
-    """One S1 micro-batch: payloads (I2) → report (I3) → registry (I4), committed as version ``batch_id``."""
-    rows = read_upload_payloads(payloads).persist()
+def store_rows(spark: SparkSession, rows: DataFrame, batch_id: int, registry_root: str, now, report_path: str | None = None) -> None:
+    """Rows of a batch of uploads (I1 or I2) → report (I3) → registry (I4), committed as version ``batch_id``."""
+    rows = rows.persist()
     current = snapshots.read_latest(spark, registry_root, empty_registry(spark), "url", before=batch_id)
     changed = upsert_urls_changes(current, order_rows(rows.filter(F.col("error").isNull())), now)
     snapshots.commit(spark, registry_root, changed, "url", batch_id, batch_id)
@@ -57,18 +53,28 @@ def upload_batch(spark: SparkSession, payloads: DataFrame, batch_id: int, regist
     rows.unpersist()
 
 
+def upload_batch(spark: SparkSession, payloads: DataFrame, batch_id: int, registry_root: str, now,
+                 report_path: str | None = None) -> None:
+    """One S1 micro-batch of payloads."""
+    store_rows(spark, read_upload_payloads(payloads), batch_id, registry_root, now, report_path)
+
+
 def stream_uploads(spark: SparkSession, in_dir: str, registry_root: str, clock, checkpoint: str | None = None,
                    trigger: dict | None = None, report_path: str | None = None):
-    """Start the upload stream; ``clock(batch_id)`` gives the batch's timestamp."""
-    files = spark.readStream.format("text").option("wholetext", True).load(in_dir)
-    payloads = files.select(F.col("_metadata.file_path").alias("upload_id"), _b64(F.col("value")).alias("csv_content"),
-                            F.col("_metadata.file_name").alias("file_name"))
+    """Start the upload stream; ``clock(batch_id)`` gives the batch's timestamp.
+
+    The stream carries the names of new files; a batch reads its files as byte
+    ranges (I1), so one large file is read by many tasks.
+    """
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(in_dir).select("path")
 
     def per_batch(batch: DataFrame, batch_id: int):
-        upload_batch(spark, batch, batch_id, registry_root, clock(batch_id), report_path)
+        paths = [r["path"] for r in batch.collect()]  # the batch's file list, which the driver has made
+        if paths:
+            store_rows(spark, read_url_csv(spark, paths), batch_id, registry_root, clock(batch_id), report_path)
 
-    return (payloads.writeStream.foreachBatch(per_batch).option("checkpointLocation", _durable(checkpoint))
-                    .trigger(**(trigger or {"availableNow": True})).start())
+    return (files.writeStream.foreachBatch(per_batch).option("checkpointLocation", _durable(checkpoint))
+                 .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def order_rows(rows: DataFrame) -> DataFrame:

@@ -31,9 +31,48 @@ def test_read_url_csv_header_bom_blank_quoted(spark, scratch):
 
 
 def test_read_url_csv_ragged_rejected(spark, scratch):
-    p = _write(scratch, "bad.csv", "type,url\nblog,https://a.example.com,extra\n")
-    with pytest.raises(Exception):
-        read_url_csv(spark, p).collect()
+    """A ragged file rejects itself, with a report, and the files beside it are read."""
+    files = {"bad.csv": "type,url\nblog,https://a.example.com,extra\n", "good.csv": "url,type\nhttps://g/,blog\n", "short.csv": "id,type,url\n1,blog,https://s/\n2,blog\n",
+             "open.csv": 'type,url\nblog,"https://o/\nnews,https://p/\n', "head.csv": "type,url\n", "blank.csv": "\n \n"}
+    for name, text in files.items():
+        _write(scratch, name, text)
+    got = read_url_csv(spark, scratch)
+    assert [(r["file_name"], r["type"], r["url"]) for r in got.filter("error is null").collect()] == [("good.csv", "blog", "https://g/")]
+    errors = {r["file_name"]: r["error"] for r in got.filter("error is not null").collect()}
+    assert errors.pop("open.csv").startswith("Quote Not Closed")
+    empty = "CSV file is empty or contains no data rows"
+    assert errors == {"bad.csv": "Invalid Record Length: expected 2, got 3", "short.csv": "Invalid Record Length: expected 3, got 2",
+                      "head.csv": empty, "blank.csv": empty}
+    report = {r["upload_id"].rsplit("/", 1)[1]: (r["row_count"], r["url_count"]) for r in upload_report(got).collect()}
+    assert report["good.csv"] == (1, 1) and report["bad.csv"] == (0, 0) and len(report) == len(files)
+    lax = read_url_csv(spark, os.path.join(scratch, "short.csv"), strict=False).collect()
+    assert sorted((r["id"], r["url"]) for r in lax) == [("1", "https://s/"), ("2", None)]
+
+
+def test_one_file_is_read_by_many_tasks(spark, scratch):
+    """Fields with line breaks, commas and quotes in a file of many byte ranges, some wholly inside one field."""
+    import csv
+    import io
+    import random
+    r, rows = random.Random(7), []
+    for i in range(3000):
+        note = "".join(r.choices(["a", "\n", ",", '"', " x", "\r\n", "\u00e9"], k=r.randrange(30)))
+        rows.append((str(i), "blog" + "\n" * (i % 3), f"https://x/{i}", note if i != 1500 else "line\n" * 20_000))
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator="\n").writerows([("Id", "TYPE", "url", "note"), *rows])
+    with open(os.path.join(scratch, "large.csv"), "w", encoding="utf-8", newline="") as f:
+        f.write(out.getvalue())
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(scratch).rdd.getNumPartitions() > 20
+        got = read_url_csv(spark, scratch).orderBy("row_no").collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert [(g["id"], g["type"], g["url"]) for g in got] == [row[:3] for row in rows]
+    assert {g["columns_found"] for g in got} == {"Id, TYPE, url, note"} and {g["error"] for g in got} == {None}
 
 
 def test_payloads(spark):
