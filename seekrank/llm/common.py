@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekrank.session import checkpoint_dir
@@ -274,29 +274,30 @@ def with_end(ids: np.ndarray, lens: np.ndarray, end: int) -> tuple[np.ndarray, n
 class Marks:
     """A fixed-size set of 64-bit keys that may hold more than was put in, never less.
 
-    ``BITS`` bits whatever the number of keys: small enough to send to every
-    task, as a filter in front of an exact join.
+    ``BITS`` bits whatever the number of keys, as lines of ``WORDS`` 64-bit
+    words: small enough to send to every task, as a filter in front of an exact
+    join. Lines are made and tested by column functions; a key meets its line in
+    an equi-join.
     """
 
-    BITS = 1 << 25
+    BITS, WORDS = 1 << 25, 16
 
     def __init__(self, keys: DataFrame):
-        """``keys``: one long column. At most BITS / 64 rows come back to the driver."""
-        bit = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(self.BITS))
-        rows = (keys.select(bit.alias("b")).select((F.col("b") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m"))
-                .groupBy("w").agg(F.bit_or("m").alias("m")).toArrow())
-        words = np.zeros(self.BITS // 64, np.int64)
-        words[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
-        self.shared = keys.sparkSession.sparkContext.broadcast(words)
+        """``keys``: one long column."""
+        line, word, mask = self._place(F.col(keys.columns[0]))
+        parts = [F.coalesce(F.bit_or(F.when(F.col("__word") == k, F.col("__mask"))), F.lit(0).cast("long")) for k in range(self.WORDS)]
+        rows = keys.select(line.alias("__line"), word.alias("__word"), mask.alias("__mask")).groupBy("__line").agg(F.array(*parts).alias("__marks"))
+        self.lines = staged(rows, "marks")  # at most BITS / 64 / WORDS rows of WORDS numbers
+
+    def _place(self, key: Column) -> tuple[Column, Column, Column]:
+        """The line of a key, its word there and the bit in the word."""
+        bit = F.pmod(F.xxhash64(key), F.lit(self.BITS).cast("long"))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64).cast("long")).cast("int"))
+        word = F.shiftright(bit, 6)
+        return F.call_function("div", word, F.lit(self.WORDS).cast("long")), F.pmod(word, F.lit(self.WORDS).cast("long")).cast("int"), one
 
     def filter(self, df: DataFrame, key: str) -> DataFrame:
         """The rows of ``df`` whose long column ``key`` may be in the set."""
-        shared = self.shared
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = b.column("__bit").to_numpy()
-                keep = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
-                yield b.drop_columns(["__bit"]).filter(pa.array(keep))
-        marked = df.filter(F.col(key).isNotNull()).withColumn("__bit", F.pmod(F.xxhash64(F.col(key)), F.lit(self.BITS)).cast("long"))
-        return marked.mapInArrow(run, df.schema)
+        line, word, mask = self._place(F.col(key))
+        found = F.get("__marks", word).bitwiseAND(mask) != 0
+        return df.withColumn("__line", line).join(F.broadcast(self.lines), "__line").filter(F.col(key).isNotNull() & found).select(*df.columns)

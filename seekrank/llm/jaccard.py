@@ -18,11 +18,13 @@ sketch (both exact bounds), never as emitted pairs, and what passes is verified.
 So no link between components is lost, and links inside one need not be listed.
 ``join_links`` compares all nodes of every shared signature in such blocks and
 lists every link between different sets; copies are given by membership.
+``join_counts`` gives the class and the number of links per row instead.
 
 Rules for odd input: null, empty and blank texts have the empty set and link
 with nothing; a text of fewer than n words is one shingle; rows without doc_id
-take part as copies only; rows with one doc_id and different texts are nodes of
-their own; an empty table gives an empty result; further columns are ignored.
+link like others (a component none of whose rows has one has no component_id);
+rows with one doc_id and different texts are nodes of their own; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekrank.llm import common
@@ -41,8 +43,8 @@ from seekrank.llm.components import components
 
 #: Text turned into sets at once inside a task.
 SLICE_BYTES = 2 << 20
-#: Nodes of one signature that are compared as one block.
-BLOCK = 2048
+#: Nodes of one signature that are compared as one block, and bytes of their parity sketches, at most.
+BLOCK, BLOCK_BYTES = 2048, 2 << 20
 #: Cost model: one verification against one signature row; the share of shingles that unrelated texts have in common.
 VERIFY_COST, COMMON_SHARE = 20.0, 1e-3
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -316,11 +318,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measu
     """The linked pairs (a, b) among ``pairs``, by the sets themselves.
 
     The sets are built again for the texts needed: a fixed-size mark set skips
-    the others before the exact join on the representative's doc_id.
+    the others before the exact join on the representative row.
     """
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node").select("rep").distinct()
-    texts = common.Marks(need).filter(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").join(need, "rep", "left_semi")
-    sets = texts.select("text").mapInArrow(_elements(measure.n), "f long, g long, elements binary")
+    rows = common.Marks(need).filter(docs.select("doc_id", representative(text_key()).alias("rep"), "text"), "rep").join(need, "rep", "left_semi")
+    texts = rows.filter("doc_id is not null").select("text").unionByName(rows.filter("doc_id is null").select("text").distinct())
+    sets = texts.mapInArrow(_elements(measure.n), "f long, g long, elements binary")
     sets = common.staged(sets.select(_node().alias("node"), "elements").dropDuplicates(["node"]), "sets")
     full = (pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y"))
@@ -332,10 +335,23 @@ def text_key():
     return F.coalesce(F.unhex(F.md5("text")), F.unhex(F.lit("")))
 
 
+def representative(key: Column) -> Column:
+    """Which rows can stand for a set: those of a doc_id, else those of a text (by its key)."""
+    return F.coalesce(F.col("doc_id"), F.xxhash64(key))
+
+
+def blocks_needed(measure: Measure) -> Column:
+    """Into how many blocks the nodes of a group (n_shingles) are dealt, so that none holds more than BLOCK nodes or BLOCK_BYTES."""
+    apart = F.floor(2 * F.col("n_shingles") * (measure.den - measure.num) / (measure.den + measure.num))
+    width = F.greatest(F.lit(256), 4 * apart) / 4  # bytes of a parity sketch: its bits are less than twice as many as needed
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(width) / BLOCK_BYTES)).cast("int")
+
+
 def _members(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The named sets of all rows, their nodes (distinct sets that aren't empty), and the nodes of every shared signature."""
     sets = common.staged(docs.withColumn("text_key", text_key()).mapInArrow(_describe(measure), _SETS), "set-names").withColumn("node", _node())
-    nodes = sets.filter("n_shingles > 0").groupBy("node", "f", "n_shingles", "p").agg(F.min("doc_id").alias("rep"))
+    nodes = sets.filter("n_shingles > 0").groupBy("node", "f", "n_shingles", "p").agg(
+        F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min(representative(F.col("text_key")))).alias("rep"))
 
     # bands and their cost-based allocation, from the sizes of all sets (one count per band comes back)
     largest = sets.agg(F.max("n_shingles")).first()[0] or 0
@@ -366,20 +382,34 @@ def join_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tu
 
     links: a, b (set names, a > b), a_doc_id, b_doc_id (smallest doc_id of each).
     membership: doc_id, n_shingles, node (set name) per row; null for the empty
-    set. Two rows link when their sets are one or linked; a set that only rows
-    without doc_id hold has no links. There are as many rows as linked pairs.
+    set. Two rows link when their sets are one or linked. There are as many rows
+    as linked pairs.
     """
     measure = Measure(n, num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets, nodes, member = _members(docs, measure)
-    sigs = member.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("sig", "blocks")
+    sigs = member.groupBy("sig").agg(F.count("*").alias("n"), blocks_needed(measure).alias("blocks")).filter("n > 1").select("sig", "blocks")
     passed = _passed(member.withColumn("root", F.col("node")), common.staged(sigs, "link-signatures"), nodes, measure)
     links = common.staged(verified(passed, nodes, docs, measure), "links", batch="8m")
     for c in "ab":
-        links = links.join(nodes.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_doc_id")), c)
+        links = links.join(nodes.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_doc_id")), c)
     return links.select("a", "b", "a_doc_id", "b_doc_id"), sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
 
 
+def join_counts(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, class_id, n_links per row: the class, and with how many different sets the row's set links.
+
+    Copies have one set, so a row's links to other texts are counted once per
+    text; class_id is the name of a set of the class, null for the empty set.
+    """
+    links, membership = join_links(docs, n, num, den)
+    links = common.staged(links.select("a", "b"), "all-links", batch="8m")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    classes = degree.join(components(links), "node")
+    return membership.join(classes, "node", "left").select(
+        "doc_id", "n_shingles", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def rooted(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, text_key, n_shingles, root per row; rows of one component have one root (no meaning for empty sets)."""
     measure = Measure(n, num, den)
@@ -401,8 +431,8 @@ def rooted(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
 
     # signatures whose nodes still lie in several components, in blocks
     open_member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_sigs = (open_member.groupBy("sig").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-                 .filter("n > 2 and r0 <> r1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("sig", "blocks"))
+    open_sigs = (open_member.groupBy("sig").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), blocks_needed(measure).alias("blocks"))
+                 .filter("n > 2 and r0 <> r1").select("sig", "blocks"))
     open_sigs = common.staged(open_sigs, "open-signatures")  # as a table, so that a join with a hot signature can be split
     passed = _passed(open_member, open_sigs, nodes, measure)
     more = common.staged(verified(passed, nodes, docs, measure), "links", batch="8m")

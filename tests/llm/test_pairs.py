@@ -116,11 +116,11 @@ def brute_components(rows, n, num, den):
     for i, (d, s) in enumerate(sets):
         if s and d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return sorted(((d is None, d or 0), len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(sets))
+    return sorted((((d is None, d or 0), len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(sets)), key=str)
 
 
 def rows_of(df):
-    return sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in df.collect())
+    return sorted((((r["doc_id"] is None, r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in df.collect()), key=str)
 
 
 def test_join_query(spark, sf, texts):
@@ -173,6 +173,30 @@ def test_join_lists_every_link(spark, monkeypatch):
     assert all((rep[r["a"]], rep[r["b"]]) == (r["a_doc_id"], r["b_doc_id"]) for r in got)
 
 
+def test_rows_without_ids_link(spark, monkeypatch):
+    """Texts that only rows without doc_id hold link like others, also as a bridge between others."""
+    base = prose(20, 100).split()
+    one = lambda k: base[:k] + [f"new{k}"] + base[k + 1:]
+    bridge = [(1, " ".join(one(5))), (None, " ".join(base)), (None, " ".join(base)), (2, " ".join(one(50))), (None, " ".join(one(60)[:60] + one(90)[60:]))]
+    texts = near_copies(5, 30, 80, 4) + near_copies(6, 20, 300, 12)
+    rows = bridge + [(None if i % 3 else 10 + i, t) for i, t in enumerate(texts)] + [(None, t) for t in near_copies(7, 6, 50, 2)] + [(None, None), (None, "")]
+    first, middle, last = (shingles(bridge[k][1], 3) for k in (0, 1, 3))
+    measure = jaccard.Measure(3, 93, 100)
+    assert [measure.links(len(x & y), len(x), len(y)) for x, y in ((first, middle), (middle, last), (first, last))] == [True, True, False]
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 300)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = rows_of(jaccard.join_components(df, 3, 93, 100))
+    assert got == brute_components(rows, 3, 93, 100)
+    assert ((False, 2), 98, 1) in got and ((True, 0), 98, 1) in got
+    sets = [frozenset(shingles(t, 3)) for _, t in rows]
+    distinct = {s for s in sets if s}
+    links = {s: sum(100 * len(s & t) >= 93 * len(s | t) for t in distinct) - 1 for s in distinct}
+    counts = jaccard.join_counts(df, 3, 93, 100).collect()
+    assert sorted((r["n_shingles"], r["n_links"]) for r in counts) == sorted((len(s), links.get(s, 0)) for s in sets)
+    classes = {r["class_id"] for r in counts if r["class_id"]}
+    assert None not in classes and len({c for _, n, c in got if n and c is not None}) <= len(classes) < len(distinct)
+
+
 def test_join_odd_rows(odd, empty):
     got = jaccard.join_components(odd)
     by = {}
