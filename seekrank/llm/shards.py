@@ -1,7 +1,7 @@
 """Shards along a Hilbert curve over several metadata dimensions.
 
-Every dimension is quantised to 2**BITS cells of about equal row counts, a row
-gets the Hilbert index of its cell, and the rows sorted by that index are cut
+Every dimension is quantised to 2**BITS cells of about equal row counts, strings
+by their rank among the distinct values; a row gets the Hilbert index of its cell, and the rows sorted by that index are cut
 into runs. Rows that are near each other in all dimensions share files, so a
 filter on any of the dimensions skips most files.
 
@@ -71,32 +71,62 @@ def _curve(cells: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(points, BITS))
 
 
-def text_key(c: Column) -> Column:
-    """The first seven bytes as a number, in the order of the strings."""
-    raw = F.substring(F.rpad(F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), 14, "0"), 1, 14)
-    return F.conv(raw, 16, 10).cast("long")
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (value, n) of a sorted part, with the rows counted before each."""
+    part, before = TaskContext.get().partitionId(), 0
+    for b in batches:
+        n = b.column("n").to_numpy()
+        total = before + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total - n), pa.array(np.full(b.num_rows, part, np.int32))], ["value", "n", "before", "part"])
+        before = int(total[-1]) if len(total) else before
 
 
-def assign_shards(rows: DataFrame, dims: list[Column], shards: int, *keep: str) -> DataFrame:
-    """``keep`` columns, shard and slot of every row; ``dims`` are numeric expressions over ``rows``.
+def string_bounds(rows: DataFrame, column: str, cells: int) -> list[str]:
+    """First values of the cells but the lowest, when the column's distinct values, in order, are cut into cells of about equal row counts.
 
-    The last sort keys are the ``keep`` columns. One pass finds the cell bounds
-    (approximate percentiles, a fixed number per dimension), one shuffle sorts
-    the narrow rows by range; ranks are part offsets plus places in the part,
-    taken from the written order, so no part is read twice with other bounds.
+    Whole strings count, however long a beginning they share: the distinct
+    values are counted, sorted by range, and a value's cell comes from the rows
+    of the values before it. One value per cell comes back.
     """
     spark = rows.sparkSession
-    base = rows.select(*keep, *(d.cast("long").alias(f"__d{i}") for i, d in enumerate(dims)))
+    counts = rows.groupBy(F.coalesce(column, F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+    ordered = counts.repartitionByRange(common.partitions(spark), "value").sortWithinPartitions("value")
+    placed = common.staged(ordered.mapInArrow(_running, "value string, n long, before long, part int"), "values")
+    parts = sorted(tuple(r) for r in placed.groupBy("part").agg(F.sum("n")).collect())  # a row per part
+    total = sum(n for _, n in parts)
+    offsets = np.cumsum([0, *(n for _, n in parts)])
+    starts = spark.createDataFrame([(p, int(o)) for (p, _), o in zip(parts, offsets)], "part int, start long")
+    cell = F.expr(f"((start + before) * {cells}) div {max(total, 1)}")
+    firsts = placed.join(F.broadcast(starts), "part").groupBy(cell.alias("cell")).agg(F.min("value").alias("value")).orderBy("cell").collect()
+    return [r["value"] for r in firsts][1:]
+
+
+def string_cell(column: str, bounds: list[str]) -> Column:
+    """The cell of a string (null: the lowest)."""
+    return sum(((F.coalesce(F.col(column), F.lit("")) >= F.lit(b)).cast("long") for b in bounds), F.lit(0).cast("long"))
+
+
+def number_cells(rows: DataFrame, columns: list[str]) -> list[Column]:
+    """The cell of each numeric column (null: the lowest): bounds are approximate percentiles, a fixed number per column, from one pass."""
     steps = [i / (1 << BITS) for i in range(1, 1 << BITS)]
-    found = base.agg(*(F.percentile_approx(f"__d{i}", steps, 1000).alias(f"b{i}") for i in range(len(dims)))).first()
-    bounds = [sorted(set(found[f"b{i}"] or [])) for i in range(len(dims))]
+    found = rows.agg(*(F.percentile_approx(c, steps, 1000).alias(f"b{i}") for i, c in enumerate(columns))).first()
 
-    def cell(i: int) -> Column:
-        c = F.coalesce(F.col(f"__d{i}"), F.lit(-(1 << 63)).cast("long"))
-        return sum(((c >= F.lit(v)).cast("int") for v in bounds[i]), F.lit(0)) if bounds[i] else F.lit(0)
+    def cell(i: int, column: str) -> Column:
+        c = F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)).cast("long"))
+        return sum(((c >= F.lit(v)).cast("long") for v in sorted(set(found[f"b{i}"] or []))), F.lit(0).cast("long"))
+    return [cell(i, c) for i, c in enumerate(columns)]
 
+
+def assign_shards(rows: DataFrame, cells: list[Column], shards: int, *keep: str) -> DataFrame:
+    """``keep`` columns, shard and slot of every row; ``cells`` (below 2**BITS) are expressions over ``rows``.
+
+    The last sort keys are the ``keep`` columns. One shuffle sorts the narrow
+    rows by range; ranks are part offsets plus places in the part, taken from
+    the written order, so no part is read twice with other bounds.
+    """
+    spark = rows.sparkSession
     n_parts = common.partitions(spark)
-    placed = (base.select(*keep, _curve(F.array(*(cell(i).cast("long") for i in range(len(dims))))).alias("__h"))
+    placed = (rows.select(*keep, _curve(F.array(*cells)).alias("__h"))
               .repartitionByRange(n_parts, "__h", *keep).sortWithinPartitions("__h", *keep))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
 
@@ -126,8 +156,8 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
                        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), "lang", "source")
-    dims = [text_key(F.col("source")), text_key(F.col("lang")), F.col("size"), F.col("doc_id")]
-    placed = assign_shards(rows, dims, shards, "text_crc32", "doc_id", "size")
+    cells = [string_cell(c, string_bounds(rows, c, 1 << BITS)) for c in ("source", "lang")] + number_cells(rows, ["size", "doc_id"])
+    placed = assign_shards(rows, cells, shards, "text_crc32", "doc_id", "size")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
 

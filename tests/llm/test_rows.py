@@ -5,6 +5,7 @@ import hashlib
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -57,6 +58,49 @@ def test_shards_odd_rows(spark, odd, empty, scratch):
     assert spark.read.parquet(f"{scratch}/files").count() == len(ODD)
 
 
+def brute_cells(values, cells):
+    """Cells of equal row counts over the sorted distinct values."""
+    order, before, cell = Counter(v or "" for v in values), 0, {}
+    for v in sorted(order):
+        cell[v] = before * cells // len(values)
+        before += order[v]
+    return [sorted(set(cell.values())).index(cell[v or ""]) for v in values]
+
+
+def test_strings_of_one_beginning_have_cells_of_their_own(spark, monkeypatch):
+    """Cells follow the rank of whole strings; rows stand in the order of the curve through the cells."""
+    monkeypatch.setattr(shards, "BITS", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, "x" * int(rng.integers(0, 50)), f"https://host.example.com/crawl_{rng.integers(0, 7)}", rng.choice(["en", "en-GB", None])) for i in range(300)]
+    df = spark.createDataFrame([(i, t, s, None if k is None else str(k)) for i, t, s, k in rows], "doc_id long, text string, source string, lang string").repartition(3)
+    bounds = shards.string_bounds(df, "source", 4)
+    assert len(bounds) == 3 and all(b.startswith("https://host.example.com/crawl_") for b in bounds)
+    want = {c: brute_cells([r[k] for r in rows], 4) for c, k in (("source", 2), ("lang", 3))}
+    for c in want:
+        got = {r["doc_id"]: r["cell"] for r in df.select("doc_id", shards.string_cell(c, shards.string_bounds(df, c, 4)).alias("cell")).collect()}
+        assert [got[r[0]] for r in rows] == want[c]
+    place = {r["doc_id"]: (r["shard"], r["slot"]) for r in shards.shard_documents(df, 8).collect()}
+    sized = df.withColumn("size", F.length("text") + 1)
+    cells = {r["doc_id"]: (r["a"], r["b"]) for r in sized.select("doc_id", *(c.alias(n) for c, n in zip(shards.number_cells(sized, ["size", "doc_id"]), "ab"))).collect()}
+    for k in (0, 1):
+        assert set(Counter(c[k] for c in cells.values())) == {0, 1, 2, 3} and max(Counter(c[k] for c in cells.values()).values()) < 100
+    index = shards.hilbert_index(np.array([(want["source"][i], want["lang"][i], *cells[r[0]]) for i, r in enumerate(rows)]), 2)
+    order = sorted(range(len(rows)), key=lambda i: (index[i], zlib.crc32(rows[i][1].encode()), rows[i][0]))
+    assert [place[rows[i][0]] for i in order] == sorted(place.values())
+
+
+def test_files_are_skipped_by_every_dimension(spark, sf, docs, scratch):
+    """A filter on one source, on one doc_id range or on long texts meets a part of the files only, by their least and largest values."""
+    rows = docs.withColumn("size", F.length("text"))
+    shards.write_shards(rows, f"{scratch}/files", 32)
+    spans = spark.read.parquet(f"{scratch}/files").groupBy("shard").agg(*(f(c).alias(f"{n}_{c}") for c in ("source", "doc_id", "size") for n, f in (("lo", F.min), ("hi", F.max)))).collect()
+    top = max(r["hi_doc_id"] for r in spans)
+    sources = {r["source"] for r in docs.select("source").distinct().collect()}
+    met = [sum(r["lo_source"] <= s <= r["hi_source"] for r in spans) for s in sources]
+    assert np.mean(met) < 0.7 * len(spans)
+    assert sum(r["hi_doc_id"] > 0.9 * top for r in spans) < 0.8 * len(spans)
+
+
 RULES = [
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
