@@ -21,6 +21,7 @@ from seekrank.config import (DEFAULT, DEFAULT_FILE_NAME, PLACEHOLDER_PREFIX, STA
                              STATUS_FAILED, STATUS_PENDING, SearchConfig)
 from seekrank.functions.text import blank, collapse_ws, ws_trim
 from seekrank.operators.numbering import dense_ids
+from seekrank.session import staged
 
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -122,23 +123,29 @@ def upload_report(rows: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- I4
 
-def upsert_urls_changes(registry: DataFrame, rows: DataFrame, now) -> DataFrame:
+def upsert_urls_changes(registry: DataFrame, rows: DataFrame, now, largest: int | None = None) -> DataFrame:
     """I4, the registry rows that change: known URLs back to pending, new ones pending.
 
     Existing rows keep type, title and content (only status/updated_at change).
     Duplicate URLs in ``rows`` collapse; the lowest ``row_no`` gives the type.
-    New ids go on from the largest one (from 1 in an empty registry) in the
-    order of first ``row_no``, then URL.
+    New ids go on from the largest one (``largest``, where the table keeps it;
+    from 1 in an empty registry) in the order of first ``row_no``, then URL.
+
+    The registry is read once: the known rows, at most as many as the upload
+    has, are written, and the new URLs are those that aren't among them.
     """
     ts = ts_lit(now)
     valid = validate_url_rows(rows)
-    incoming = valid.groupBy("url").agg(
-        F.min_by("type", F.struct("row_no", "type")).alias("type"), F.min("row_no").alias("first_row_no"))
-    known = (registry.join(incoming.select("url"), "url", "left_semi").select(*registry.columns)
-                     .withColumns({"status": F.lit(STATUS_PENDING), "updated_at": ts}))
-    new = incoming.join(registry.select("url"), "url", "left_anti")
-    base = registry.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))  # one row
-    new = dense_ids(new, ["first_row_no", "url"], F.lit(0)).crossJoin(F.broadcast(base)).withColumn("id", F.col("_base") + F.col("id"))
+    incoming = staged(valid.groupBy("url").agg(
+        F.min_by("type", F.struct("row_no", "type")).alias("type"), F.min("row_no").alias("first_row_no")), "incoming")
+    met = staged(registry.join(incoming.select("url"), "url", "left_semi").select(*registry.columns), "known")
+    known = met.withColumns({"status": F.lit(STATUS_PENDING), "updated_at": ts})
+    new = dense_ids(incoming.join(met.select("url"), "url", "left_anti"), ["first_row_no", "url"], F.lit(0))
+    if largest is None:
+        base = registry.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))  # one row
+        new = new.crossJoin(F.broadcast(base)).withColumn("id", F.col("_base") + F.col("id"))
+    else:
+        new = new.withColumn("id", F.lit(largest).cast("long") + F.col("id"))
     null = F.lit(None).cast("string")
     new_rows = new.select(
         "id", "url", "type", null.alias("title"), null.alias("content_preview"),

@@ -78,7 +78,7 @@ def allowed_rows(rows: DataFrame, queries: DataFrame) -> DataFrame:
     type is spread.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("_g", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
+    dealt = rows.withColumn("_g", F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int"))
     asked = queries.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     some = F.coalesce(F.size("types"), F.lit(0)) > 0
     listed = asked.filter(some).withColumn("type", F.explode(F.array_distinct("types"))).select("query_id", "type", "_g")

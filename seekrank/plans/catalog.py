@@ -187,6 +187,17 @@ def v4_vector_topk_numpy(spark, sf):
     return _v4(spark, sf, with_norm)
 
 
+@register("v4_cell_topk", V4_SQL)
+def v4_cell_topk(spark, sf):
+    """The same search by the cell index: cells are visited by upper bound until none reaches the k-th score."""
+    from pyspark.sql import Window
+    from seekrank.operators.cells import build_cells, cell_topk
+    base, queries = embedding_requests(spark, sf)
+    top, _ = cell_topk(build_cells(base), queries)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+    return top.select("query_id", "id", r6("score").alias("score"), F.row_number().over(w).alias("rank"))
+
+
 V3_SQL = f"SELECT q.query_id, u.id, u.type FROM queries_fx q JOIN urls_fx u ON {o.type_ok('q.types', 'u.type')}"
 
 

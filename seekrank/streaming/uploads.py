@@ -46,7 +46,7 @@ def store_rows(spark: SparkSession, rows: DataFrame, batch_id: int, registry_roo
     """Rows of a batch of uploads (I1 or I2) → report (I3) → registry (I4), committed as version ``batch_id``."""
     rows = rows.persist()
     current = snapshots.read_latest(spark, registry_root, empty_registry(spark), "url", before=batch_id)
-    changed = upsert_urls_changes(current, order_rows(rows.filter(F.col("error").isNull())), now)
+    changed = upsert_urls_changes(current, order_rows(rows.filter(F.col("error").isNull())), now, snapshots.largest_id(spark, registry_root, before=batch_id))
     snapshots.commit(spark, registry_root, changed, "url", batch_id, batch_id)
     if report_path:
         upload_report(rows).write.mode("overwrite").parquet(f"{report_path.rstrip('/')}/batch_id={batch_id}")
