@@ -3,13 +3,16 @@
 The sketch of a text is the set of its shingle hashes below a fixed fraction of
 the hash range. Sketches of unequal texts stay comparable: the sketch of a union
 is the union of the sketches, and shares of common hashes estimate Jaccard
-likeness and containment. A text none of whose hashes lies below the threshold
-keeps its least hash; merging takes the union and drops hashes above the
-threshold when some lie below, so that rule merges too.
+likeness and containment. The least hash of all is kept beside them, as a name
+for short texts none of whose hashes lies below the threshold; it takes no part
+in estimates: a sketch that holds no hash says nothing about containment, and
+``likeness`` and ``containment`` are null there. ``exact_likeness`` and
+``exact_containment`` answer from the texts' full hashes; the query asks them
+for those rows only.
 
 Words are runs between white space, lower-cased; a text of fewer words than a
 shingle is one shingle; a text without words has the empty sketch. Likeness of
-two empty sketches is 1, of an empty and another 0.
+two texts without words is 1, of one without and another 0.
 
 Rules for odd input: a null text is the empty text; the next document of equal
 doc_ids goes by hash, then text; null doc_ids count as the smallest; a table of
@@ -19,6 +22,8 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,44 +48,65 @@ def shingle_hashes(words: Column, n: int = WORDS) -> Column:
 
 
 def with_sketch(rows: DataFrame, text: str, name: str, n: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """Adds ``name``: the sorted distinct kept hashes of the column ``text``."""
+    """Adds ``name``: ``kept``, the sorted distinct hashes of the column ``text`` below the threshold, and ``least``, the least of all (null without words)."""
     top = F.lit(_LOWEST + (1 << 64) // scale).cast("long")
-    all_hashes, kept = F.col("__hashes"), F.col("__kept")
+    all_hashes = F.col("__hashes")
     return (rows.withColumn("__words", words_of(F.col(text)))
             .withColumn("__hashes", shingle_hashes(F.col("__words"), n)).drop("__words")
-            .withColumn("__kept", F.array_sort(F.array_distinct(F.filter(all_hashes, lambda h: h < top))))
-            .withColumn(name, F.when((F.size(kept) > 0) | (F.size(all_hashes) == 0), kept).otherwise(F.array(F.array_min(all_hashes))))
-            .drop("__hashes", "__kept"))
+            .withColumn(name, F.struct(F.array_sort(F.array_distinct(F.filter(all_hashes, lambda h: h < top))).alias("kept"), F.array_min(all_hashes).alias("least")))
+            .drop("__hashes"))
 
 
-def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+def merged(a: Column, b: Column) -> Column:
     """The sketch of both texts' shingles together."""
-    top = F.lit(_LOWEST + (1 << 64) // scale).cast("long")
-    both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda h: h < top)
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+    return F.struct(F.array_sort(F.array_union(a["kept"], b["kept"])).alias("kept"), F.least(a["least"], b["least"]).alias("least"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity."""
+def _known(sketch: Column) -> Column:
+    """Whether a sketch can be compared: it holds hashes, or its text has no words."""
+    return (F.size(sketch["kept"]) > 0) | sketch["least"].isNull()
+
+
+def _jaccard(a: Column, b: Column) -> Column:
     common_n = F.size(F.array_intersect(a, b))
     return F.coalesce(F.try_divide(common_n.cast("double"), F.size(a) + F.size(b) - common_n), F.lit(1.0))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b holds; 1 for an empty a."""
+def _share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(a)), F.lit(1.0))
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated Jaccard similarity of two sketches; null where one of them holds no hash though its text has words."""
+    return F.when(_known(a) & _known(b), _jaccard(a["kept"], b["kept"]))
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of a's shingles that b holds; 1 for a text without words, null where a's sketch holds no hash."""
+    return F.when(_known(a), _share(a["kept"], b["kept"]))
+
+
+def exact_likeness(a: Column, b: Column, n: int = WORDS) -> Column:
+    """Jaccard similarity of two texts by all their hashes."""
+    return _jaccard(*(F.array_distinct(shingle_hashes(words_of(t), n)) for t in (a, b)))
+
+
+def exact_containment(a: Column, b: Column, n: int = WORDS) -> Column:
+    return _share(*(F.array_distinct(shingle_hashes(words_of(t), n)) for t in (a, b)))
+
+
 def written(sketch: Column) -> Column:
-    """The sketch as text: 16 hexadecimal digits a hash."""
-    return F.array_join(F.transform(sketch, F.hex), "")
+    """The sketch as text: 16 hexadecimal digits a hash; the least hash after a dash for a text with words and no hash kept."""
+    kept = F.array_join(F.transform(sketch["kept"], F.hex), "")
+    return F.when(_known(sketch), kept).otherwise(F.concat(F.lit("-"), F.lpad(F.hex(sketch["least"]), 16, "0")))
 
 
 def _buckets(rows: DataFrame, n: int) -> Column:
-    """A number that rises with the column ``key``: about ``n`` values of about equal row counts.
+    """A number that rises with the columns ``key`` and ``h``: about ``n`` values of about equal row counts.
 
-    At most 256 bounds from approximate percentiles, each range cut into equal widths.
+    At most 256 bounds from approximate percentiles of the key, each range cut
+    into equal widths. A key that several percentiles fall on is a range of its
+    own, cut by ``h`` into as many parts as its rows are worth.
     """
     outer = min(n, 256)
     inner = -(-n // outer)
@@ -88,23 +114,29 @@ def _buckets(rows: DataFrame, n: int) -> Column:
                      F.min("key").alias("lo"), F.max("key").alias("hi")).first()
     if found["lo"] is None:
         return F.lit(0).cast("long")
-    edges = sorted({found["lo"], *(found["b"] or []), found["hi"] + 1 if found["hi"] < (1 << 63) - 1 else found["hi"]})
+    times, top = Counter(found["b"] or []), (1 << 63) - 1
+    hot = {v: n for v, n in times.items() if n > 1}
+    edges = sorted({found["lo"], *times, *(min(v + 1, top) for v in hot), min(found["hi"] + 1, top)})
     bounds = F.array(*(F.lit(e).cast("long") for e in edges))
+    cuts = F.array(*(F.lit(inner * hot.get(e, 1)) for e in edges))
     at = F.greatest(F.size(F.filter(bounds, lambda e: e <= F.col("key"))), F.lit(1))
     lo, hi = F.element_at(bounds, at).cast("double"), F.element_at(bounds, F.least(at + 1, F.lit(len(edges)))).cast("double")
-    part = F.floor(F.coalesce(F.try_divide(F.col("key").cast("double") - lo, hi - lo), F.lit(0.0)) * inner)
-    return at.cast("long") * inner + F.greatest(F.lit(0), F.least(part, F.lit(inner - 1)))
+    by_key = F.coalesce(F.try_divide(F.col("key").cast("double") - lo, hi - lo), F.lit(0.0))
+    by_hash = F.col("h").cast("double") / float(1 << 64) + 0.5
+    part = F.floor(F.when(F.element_at(bounds, at).isin(list(hot)), by_hash).otherwise(by_key) * F.element_at(cuts, at))
+    return at.cast("long") * (inner * outer + 1) + F.greatest(F.lit(0), F.least(part, F.element_at(cuts, at) - 1))
 
 
 def with_next(rows: DataFrame, *carried: str) -> DataFrame:
     """Adds next_<column> for each carried column: its value in the next row by descending doc_id; the last row's next is the first.
 
-    Rows are dealt into many ranges of doc_id. The first row of each range goes
+    Rows are dealt into many ranges of doc_id, those of a frequent one into
+    ranges of the text's hash. The first row of each range goes
     into the range above it as well (the first of all into the last range), so
     one shuffle and one window per range see every pair of neighbours.
     """
     keyed = rows.withColumn("key", F.coalesce(F.col("doc_id"), F.lit(_LOWEST).cast("long"))).withColumn("h", F.xxhash64("text"))
-    bucket = _buckets(keyed.select("key"), 8 * common.partitions(rows.sparkSession))
+    bucket = _buckets(keyed.select("key"), 24 * common.partitions(rows.sparkSession))
     keyed = keyed.withColumn("bucket", bucket)
     heads = sorted((r["bucket"], r["m"]["key"], r["m"]["h"]) for r in
                    keyed.groupBy("bucket").agg(F.max(F.struct("key", "h")).alias("m")).collect())  # one per range
@@ -131,11 +163,12 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = (rows.withColumn("n_chars", F.length("text").cast("long"))
             .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next.text", F.lit(1), half)))
-            .select("doc_id", "n_chars", "sketch", F.col("next.sketch").alias("next_sketch"), "edited"))
+            .select("doc_id", "n_chars", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"), "edited"))
     rows = with_sketch(rows, "edited", "edited_sketch")
+    own, edited, following = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        written(F.col("sketch")).alias("fingerprint"), written(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("share_in_edited"))
+        written(own).alias("fingerprint"), written(edited).alias("edited_fingerprint"),
+        F.coalesce(likeness(own, edited), exact_likeness(F.col("text"), F.col("edited"))).alias("near_edited"),
+        F.coalesce(likeness(own, following), exact_likeness(F.col("text"), F.col("next_text"))).alias("near_next"),
+        F.coalesce(containment(own, edited), exact_containment(F.col("text"), F.col("edited"))).alias("share_in_edited"))

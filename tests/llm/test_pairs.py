@@ -63,12 +63,45 @@ def test_sketch_of_a_single_row(spark):
     assert r["near_next"] == 1.0
 
 
+def test_next_of_a_frequent_id(spark):
+    """An id of a third of the rows, and as many rows without one, are spread over ranges, and the chain of neighbours is kept."""
+    ids = [None] * 300 + [7] * 300 + list(range(-150, 150))
+    rows = [(d, prose(i, 3)) for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("t", F.col("text"))
+    got = sketch.with_next(df, "t").collect()
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashes[r[1]]))
+    follows = {a: b[1] for a, b in zip(order, order[1:] + order[:1])}
+    assert len(got) == len(rows) and all(r["next"]["t"] == follows[r["doc_id"], r["text"]] for r in got)
+    keyed = df.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
+    sizes = [r["count"] for r in keyed.groupBy(sketch._buckets(keyed, 90)).count().collect()]
+    assert max(sizes) < 60
+
+
 def test_sketches_merge(spark):
-    pairs = spark.createDataFrame([(prose(i, 4 + i % 30), prose(i + 50, 3 + i % 17)) for i in range(60)], "a string, b string")
+    pairs = spark.createDataFrame([(prose(i, 4 + i % 30), prose(i + 50, 3 + i % 17)) for i in range(60)] + [("", ""), ("", "one"), (" ", None)], "a string, b string")
     pairs = pairs.withColumn("c", F.concat_ws(" ", "a", "b"))
-    rows = sketch.with_sketch(sketch.with_sketch(pairs, "a", "sa", n=1), "b", "sb", n=1)
+    rows = sketch.with_sketch(sketch.with_sketch(pairs.fillna(""), "a", "sa", n=1), "b", "sb", n=1)
     rows = sketch.with_sketch(rows, "c", "sc", n=1).withColumn("m", sketch.merged(F.col("sa"), F.col("sb")))
-    assert rows.filter("m <> sc").count() == 0
+    assert rows.filter(~F.col("m").eqNullSafe(F.col("sc"))).count() == 0
+
+
+def test_short_texts_inside_long_ones(spark):
+    """Containment is an estimate or unknown, never a wrong 0; exact answers fill the gaps; fingerprints are recomputed."""
+    rows = [(i, " ".join(prose(i, 300).split()[20:20 + k]), prose(i, 300)) for i, k in enumerate([5 + j % 30 for j in range(200)])]
+    df = spark.createDataFrame(rows, "id long, short string, long string")
+    df = sketch.with_sketch(sketch.with_sketch(df, "short", "a"), "long", "b")
+    got = df.select("id", sketch.containment(F.col("a"), F.col("b")).alias("c"), sketch.likeness(F.col("a"), F.col("b")).alias("j"), F.size("a.kept").alias("n"), sketch.written(F.col("a")).alias("w"),
+                    sketch.exact_containment(F.col("short"), F.col("long")).alias("ec"), sketch.exact_likeness(F.col("short"), F.col("long")).alias("ej"), F.col("a.kept").alias("kept"),
+                    F.col("b.kept").alias("long_kept"), sketch.shingle_hashes(sketch.words_of(F.col("long"))).alias("all")).collect()
+    top = -(1 << 63) + (1 << 64) // sketch.SCALE
+    for r, (_, short, long) in zip(sorted(got), rows):
+        own, whole = shingles(short, 5), shingles(long, 5)
+        assert (r["c"], r["j"] is None) == ((None, True) if r["n"] == 0 else (1.0, False)) and r["ec"] == 1.0
+        assert r["ej"] == len(own) / len(whole) and r["w"] == ("".join(f"{h & (1 << 64) - 1:X}" if h < 0 else f"{h:X}" for h in r["kept"]) or r["w"])
+        assert r["long_kept"] == sorted({h for h in r["all"] if h < top}) and len(set(r["all"])) == len(whole)
+        assert r["w"].startswith("-") == (r["n"] == 0)
+    assert 5 < sum(r["n"] == 0 for r in got) < 100
 
 
 def test_topk_query(spark, sf):
