@@ -323,7 +323,7 @@ def test_changed_keys_and_compaction(spark, scratch, monkeypatch):
         snapshots.commit(spark, root, spark.createDataFrame(list(part.items()), "id long, v string"), "id", v, v)
         assert dict(map(tuple, snapshots.read_latest(spark, root, empty, "id").collect())) == want
     assert [f for _, f in snapshots.versions(spark, root)][0] and len(snapshots.versions(spark, root)) <= 3
-    assert spark.read.parquet(root + "/version=4").count() < 12  # changed keys only
+    assert spark.read.parquet(root + "/data/_table_version=4").count() < 12  # changed keys only
 
 
 def test_unreadable_manifest_is_an_error(spark, scratch):
