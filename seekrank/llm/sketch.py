@@ -6,9 +6,9 @@ is the union of the sketches, and shares of common hashes estimate Jaccard
 likeness and containment. The least hash of all is kept beside them, as a name
 for short texts none of whose hashes lies below the threshold; it takes no part
 in estimates: a sketch that holds no hash says nothing about containment, and
-``likeness`` and ``containment`` are null there. ``exact_likeness`` and
-``exact_containment`` answer from the texts' full hashes; the query asks them
-for those rows only.
+``likeness`` and ``containment`` are null there. ``jaccard`` and ``share`` answer
+from the texts' full hashes (``with_hashes``); the query makes them for those
+rows only.
 
 Words are runs between white space, lower-cased; a text of fewer words than a
 shingle is one shingle; a text without words has the empty sketch. Likeness of
@@ -23,6 +23,7 @@ empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,58 +48,73 @@ def shingle_hashes(words: Column, n: int = WORDS) -> Column:
             .otherwise(F.array().cast("array<bigint>")))
 
 
+class Sketch(NamedTuple):
+    """The two columns of a sketch: ``kept``, the sorted distinct hashes below the threshold, and ``least`` of all hashes (null without words)."""
+
+    kept: Column
+    least: Column
+
+
+def of(name: str) -> Sketch:
+    """The sketch that ``with_sketch`` has added under this name."""
+    return Sketch(F.col(name), F.col(f"{name}_least"))
+
+
 def with_sketch(rows: DataFrame, text: str, name: str, n: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """Adds ``name``: ``kept``, the sorted distinct hashes of the column ``text`` below the threshold, and ``least``, the least of all (null without words)."""
+    """Adds the sketch of the column ``text``: the columns ``name`` and ``name_least``."""
     top = F.lit(_LOWEST + (1 << 64) // scale).cast("long")
     all_hashes = F.col("__hashes")
     return (rows.withColumn("__words", words_of(F.col(text)))
             .withColumn("__hashes", shingle_hashes(F.col("__words"), n)).drop("__words")
-            .withColumn(name, F.struct(F.array_sort(F.array_distinct(F.filter(all_hashes, lambda h: h < top))).alias("kept"), F.array_min(all_hashes).alias("least")))
+            .withColumns({name: F.array_sort(F.array_distinct(F.filter(all_hashes, lambda h: h < top))), f"{name}_least": F.array_min(all_hashes)})
             .drop("__hashes"))
 
 
-def merged(a: Column, b: Column) -> Column:
+def with_hashes(rows: DataFrame, text: str, name: str, where: Column | None = None, n: int = WORDS) -> DataFrame:
+    """Adds ``name``: all distinct hashes of the column ``text``, of the rows for which ``where`` holds (else none).
+
+    The words are a column of their own, so that they are made once per row.
+    """
+    words = words_of(F.col(text))
+    return (rows.withColumn("__words", words if where is None else F.when(where, words).otherwise(F.array().cast("array<string>")))
+            .withColumn(name, F.array_distinct(shingle_hashes(F.col("__words"), n))).drop("__words"))
+
+
+def merged(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of both texts' shingles together."""
-    return F.struct(F.array_sort(F.array_union(a["kept"], b["kept"])).alias("kept"), F.least(a["least"], b["least"]).alias("least"))
+    return Sketch(F.array_sort(F.array_union(a.kept, b.kept)), F.least(a.least, b.least))
 
 
-def _known(sketch: Column) -> Column:
+def _known(sketch: Sketch) -> Column:
     """Whether a sketch can be compared: it holds hashes, or its text has no words."""
-    return (F.size(sketch["kept"]) > 0) | sketch["least"].isNull()
+    return (F.size(sketch.kept) > 0) | sketch.least.isNull()
 
 
-def _jaccard(a: Column, b: Column) -> Column:
+def jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays of distinct hashes; 1 of two empty ones."""
     common_n = F.size(F.array_intersect(a, b))
     return F.coalesce(F.try_divide(common_n.cast("double"), F.size(a) + F.size(b) - common_n), F.lit(1.0))
 
 
-def _share(a: Column, b: Column) -> Column:
+def share(a: Column, b: Column) -> Column:
+    """Share of a's hashes that b holds; 1 for an empty a."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(a)), F.lit(1.0))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Sketch, b: Sketch) -> Column:
     """Estimated Jaccard similarity of two sketches; null where one of them holds no hash though its text has words."""
-    return F.when(_known(a) & _known(b), _jaccard(a["kept"], b["kept"]))
+    return F.when(_known(a) & _known(b), jaccard(a.kept, b.kept))
 
 
-def containment(a: Column, b: Column) -> Column:
+def containment(a: Sketch, b: Sketch) -> Column:
     """Estimated share of a's shingles that b holds; 1 for a text without words, null where a's sketch holds no hash."""
-    return F.when(_known(a), _share(a["kept"], b["kept"]))
-
-
-def exact_likeness(a: Column, b: Column, n: int = WORDS) -> Column:
-    """Jaccard similarity of two texts by all their hashes."""
-    return _jaccard(*(F.array_distinct(shingle_hashes(words_of(t), n)) for t in (a, b)))
-
-
-def exact_containment(a: Column, b: Column, n: int = WORDS) -> Column:
-    return _share(*(F.array_distinct(shingle_hashes(words_of(t), n)) for t in (a, b)))
+    return F.when(_known(a), share(a.kept, b.kept))
 
 
-def written(sketch: Column) -> Column:
+def written(sketch: Sketch) -> Column:
     """The sketch as text: 16 hexadecimal digits a hash; the least hash after a dash for a text with words and no hash kept."""
-    kept = F.array_join(F.transform(sketch["kept"], F.hex), "")
-    return F.when(_known(sketch), kept).otherwise(F.concat(F.lit("-"), F.lpad(F.hex(sketch["least"]), 16, "0")))
+    kept = F.array_join(F.transform(sketch.kept, F.hex), "")
+    return F.when(_known(sketch), kept).otherwise(F.concat(F.lit("-"), F.lpad(F.hex(sketch.least), 16, "0")))
 
 
 def _buckets(rows: DataFrame, n: int) -> Column:
@@ -159,16 +175,21 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     Edited text: the last half of the code points (floor) replaced by the first as many, or all, of the next document.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_sketch(rows, "text", "sketch"), "text", "sketch")
+    rows = with_next(with_sketch(rows, "text", "sketch"), "text", "sketch", "sketch_least")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = (rows.withColumn("n_chars", F.length("text").cast("long"))
             .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next.text", F.lit(1), half)))
-            .select("doc_id", "n_chars", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"), "edited"))
+            .select("doc_id", "n_chars", "text", "sketch", "sketch_least", F.col("next.text").alias("next_text"),
+                    F.col("next.sketch").alias("next_sketch"), F.col("next.sketch_least").alias("next_sketch_least"), "edited"))
     rows = with_sketch(rows, "edited", "edited_sketch")
-    own, edited, following = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
+    own, edited, following = (of(c) for c in ("sketch", "edited_sketch", "next_sketch"))
+    rows = rows.withColumns({"ask_edited": ~(_known(own) & _known(edited)), "ask_next": ~(_known(own) & _known(following))})
+    rows = with_hashes(rows, "text", "all_own", F.col("ask_edited") | F.col("ask_next"))
+    rows = with_hashes(rows, "edited", "all_edited", F.col("ask_edited"))
+    rows = with_hashes(rows, "next_text", "all_next", F.col("ask_next"))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         written(own).alias("fingerprint"), written(edited).alias("edited_fingerprint"),
-        F.coalesce(likeness(own, edited), exact_likeness(F.col("text"), F.col("edited"))).alias("near_edited"),
-        F.coalesce(likeness(own, following), exact_likeness(F.col("text"), F.col("next_text"))).alias("near_next"),
-        F.coalesce(containment(own, edited), exact_containment(F.col("text"), F.col("edited"))).alias("share_in_edited"))
+        F.coalesce(likeness(own, edited), jaccard(F.col("all_own"), F.col("all_edited"))).alias("near_edited"),
+        F.coalesce(likeness(own, following), jaccard(F.col("all_own"), F.col("all_next"))).alias("near_next"),
+        F.coalesce(containment(own, edited), share(F.col("all_own"), F.col("all_edited"))).alias("share_in_edited"))

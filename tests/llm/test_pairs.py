@@ -82,8 +82,8 @@ def test_sketches_merge(spark):
     pairs = spark.createDataFrame([(prose(i, 4 + i % 30), prose(i + 50, 3 + i % 17)) for i in range(60)] + [("", ""), ("", "one"), (" ", None)], "a string, b string")
     pairs = pairs.withColumn("c", F.concat_ws(" ", "a", "b"))
     rows = sketch.with_sketch(sketch.with_sketch(pairs.fillna(""), "a", "sa", n=1), "b", "sb", n=1)
-    rows = sketch.with_sketch(rows, "c", "sc", n=1).withColumn("m", sketch.merged(F.col("sa"), F.col("sb")))
-    assert rows.filter(~F.col("m").eqNullSafe(F.col("sc"))).count() == 0
+    rows = sketch.with_sketch(rows, "c", "sc", n=1).withColumn("m", F.struct(*sketch.merged(sketch.of("sa"), sketch.of("sb"))))
+    assert rows.filter(~F.col("m").eqNullSafe(F.struct(*sketch.of("sc")))).count() == 0
 
 
 def test_short_texts_inside_long_ones(spark):
@@ -91,9 +91,10 @@ def test_short_texts_inside_long_ones(spark):
     rows = [(i, " ".join(prose(i, 300).split()[20:20 + k]), prose(i, 300)) for i, k in enumerate([5 + j % 30 for j in range(200)])]
     df = spark.createDataFrame(rows, "id long, short string, long string")
     df = sketch.with_sketch(sketch.with_sketch(df, "short", "a"), "long", "b")
-    got = df.select("id", sketch.containment(F.col("a"), F.col("b")).alias("c"), sketch.likeness(F.col("a"), F.col("b")).alias("j"), F.size("a.kept").alias("n"), sketch.written(F.col("a")).alias("w"),
-                    sketch.exact_containment(F.col("short"), F.col("long")).alias("ec"), sketch.exact_likeness(F.col("short"), F.col("long")).alias("ej"), F.col("a.kept").alias("kept"),
-                    F.col("b.kept").alias("long_kept"), sketch.shingle_hashes(sketch.words_of(F.col("long"))).alias("all")).collect()
+    df = sketch.with_hashes(sketch.with_hashes(df, "short", "ha"), "long", "hb")
+    got = df.select("id", sketch.containment(sketch.of("a"), sketch.of("b")).alias("c"), sketch.likeness(sketch.of("a"), sketch.of("b")).alias("j"), F.size("a").alias("n"), sketch.written(sketch.of("a")).alias("w"),
+                    sketch.share(F.col("ha"), F.col("hb")).alias("ec"), sketch.jaccard(F.col("ha"), F.col("hb")).alias("ej"), F.col("a").alias("kept"),
+                    F.col("b").alias("long_kept"), F.col("hb").alias("all")).collect()
     top = -(1 << 63) + (1 << 64) // sketch.SCALE
     for r, (_, short, long) in zip(sorted(got), rows):
         own, whole = shingles(short, 5), shingles(long, 5)
