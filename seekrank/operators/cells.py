@@ -175,6 +175,11 @@ def _visits(index: Cells, first: int, last: int):
     return run
 
 
+def dealt_tiles(tiles: DataFrame, groups: int) -> DataFrame:
+    """Tiles of queries with each group ``g`` of the cells they visit: a tile goes to a group once, however many of its cells it visits."""
+    return tiles.withColumn("g", F.explode(F.array_distinct(F.transform("cells", lambda c: F.pmod(c, F.lit(groups))))))
+
+
 def cell_topk(index: CellIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """V4 from the index: (query_id, id, score), and the report (round, tiles of queries, cells read for them, cells in all).
 
@@ -193,13 +198,14 @@ def cell_topk(index: CellIndex, queries: DataFrame) -> tuple[DataFrame, DataFram
     q = staged(q.select(*names).mapInArrow(nearest, ", ".join(f"{c} {t}" for c, t in names.items()) + ", near int"), "cell-queries")
     best = spark.createDataFrame([], f"query_id {query_type}, k int, id {id_type}, score double")
     report, first = [], 0
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     for number, last in enumerate(ROUNDS):
         kth = best.groupBy("query_id").agg(F.when(F.count("*") >= F.first("k"), F.min("score")).alias("kth"))
         dealt = q.join(kth, "query_id", "left").repartitionByRange("near", "query_id").sortWithinPartitions("near", "query_id")
         tiles = staged(dealt.mapInArrow(_visits(known, first, last), f"query_id array<{query_type}>, qvec binary, qnorm array<double>, k array<int>, types array<array<string>>, cells array<int>"), "visits")
         report.append(tiles.agg(F.lit(number).alias("round"), F.count("*").alias("query_tiles"), F.coalesce(F.sum(F.size("cells")), F.lit(0)).alias("cells_read")))
-        pairs = tiles.withColumn("cell", F.explode("cells")).drop("cells").join(index.tiles.drop("low"), "cell")
+        pairs = dealt_tiles(tiles, groups).join(index.tiles.drop("low").withColumn("g", F.pmod("cell", F.lit(groups))), "g").filter(F.array_contains("cells", F.col("cell")))
         scored = pairs.select("id", "vector", "norm", "type", "query_id", "qvec", "qnorm", "k", "types").mapInArrow(_best_of_tiles, f"query_id {query_type}, k int, id {id_type}, score double")
         both = best.unionByName(scored).dropDuplicates(["query_id", "id"])  # queries of a tile may meet a cell before their turn
         best = staged(both.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= F.col("k")).drop("rn"), "cell-best")
