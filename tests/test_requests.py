@@ -1,4 +1,4 @@
-"""Searches over the requests whose id 50 divides: the request set, and what travels for them."""
+"""Searches over the requests whose id 50 divides: the request set, and what travels for them; an upload is read once."""
 
 import duckdb
 import numpy as np
@@ -105,3 +105,15 @@ def test_query_tiles_go_to_groups_of_cells(spark, monkeypatch):
     assert sum(r["cells_read"] for r in told) > 4 * sum(r["query_tiles"] for r in told)  # more cells than groups
     want = {(r["query_id"], r["id"]) for r in retrieval.vector_topk(rows, q, with_meta=False).collect()}
     assert {(r["query_id"], r["id"]) for r in top.collect()} == want
+
+
+def test_an_upsert_reads_its_upload_once(spark, scratch):
+    """I4: the next registry is made from the written URLs of the upload, not from its rows again."""
+    from seekrank.operators.ingest import empty_registry, upsert_urls
+    rows = [(i, "blog", f"https://a.example.com/{i % 7}") for i in range(20)] + [(20, " ", "https://b.example.com/"), (21, "x", None)]
+    spark.createDataFrame(rows, "row_no long, type string, url string").write.parquet(f"{scratch}/upload")
+    upload = spark.read.parquet(f"{scratch}/upload")
+    first = upsert_urls(empty_registry(spark), upload.filter("row_no < 5"), "2024-01-01 00:00:00")
+    second = upsert_urls(first, upload, "2024-01-02 00:00:00")
+    assert f"{scratch}/upload" not in second._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["url"]) for r in second.collect()) == [(i + 1, f"https://a.example.com/{i}") for i in range(7)]
