@@ -171,7 +171,7 @@ class Words:
             place = np.arange(int(total[-1])) - np.repeat(begin, self.lens)
             self.keys = np.add.reduceat(_BYTE_KEY[buf[inside]] * odd_numbers(int(self.lens.max()), 2)[place], begin)
             letter = (kind == _ALNUM) & ~((buf >= 48) & (buf <= 57))
-            self.letters = np.add.reduceat(letter[inside].astype(np.int64), begin) == self.lens
+            self.letters = np.logical_and.reduceat(letter[inside], begin)
         else:
             self.keys, self.letters = np.zeros(0, np.uint64), np.zeros(0, bool)
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -187,11 +187,12 @@ class WordIds:
     For tokenizers that drop white space, ignore case and split between letters
     and punctuation, and whose words end in ids marked ``</w>``. Texts that hold
     ``<|`` (a special token may stand there, and those are matched as written)
-    are encoded whole. The table of words (sorted keys) is emptied when it holds
-    ``max_words``; that changes the time, never the ids.
+    are encoded whole. The table of words (sorted keys, about 32 bytes a word) is
+    emptied when new ones would make it larger than ``max_words``; that changes
+    the time, never the ids.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -226,11 +227,12 @@ class WordIds:
         special = [i for i, t in enumerate(texts) if t and "<|" in t]
         words = Words([b"" if not t or "<|" in t else t.encode() for t in texts])
         codes, uniq = pd.factorize(words.keys)
-        if len(self.keys) + len(uniq) > self.max_words:
-            self._clear()
         place = np.minimum(np.searchsorted(self.keys, uniq), max(0, len(self.keys) - 1))
         missing = self.keys[place] != uniq if len(self.keys) else np.ones(len(uniq), bool)
         if missing.any():
+            if len(self.keys) + int(missing.sum()) > self.max_words:
+                self._clear()
+                missing[:] = True
             seen = np.empty(len(uniq), np.int64)
             seen[codes[::-1]] = np.arange(len(codes))[::-1]
             which = seen[missing]

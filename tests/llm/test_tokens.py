@@ -228,3 +228,17 @@ def test_bpe_odd_rows(odd, empty, library):
     assert back == sorted((d is None, d or 0, t or "") for d, t in ODD)
     assert bpe.round_trip_digests(empty, BYTE).count() == bpe.encode_documents(empty, BYTE).count() == 0
     assert bpe.load(BYTE).decode(np.array([10 ** 6, 220, 162]), np.array([2, 1, 0])) == [" ", "�", ""]
+
+
+def test_known_words_are_not_asked_again(monkeypatch):
+    """A text whose words are all known doesn't empty the table, and new words do only where they don't fit."""
+    table = common.WordIds(WORD, max_words=15)
+    ids, lens = table.encode(["alpha beta gamma delta epsilon zeta eta theta iota kappa"])
+    asked = []
+    ask = table._ask
+    monkeypatch.setattr(table, "_ask", lambda texts: asked.extend(texts) or ask(texts))
+    again, _ = table.encode(["alpha beta gamma delta epsilon zeta eta theta iota kappa"])
+    assert not asked and again.tolist() == ids.tolist()
+    other = "lambda mu nu xi omicron pi rho sigma 1 tau"
+    got, _ = table.encode([other, "alpha"])
+    assert len(table.keys) == 11 and got.tolist() == ids_of(Tokenizer.from_file(WORD), other) + ids_of(Tokenizer.from_file(WORD), "alpha")
