@@ -65,10 +65,12 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.LongType())
-def _curve(cells: pd.Series) -> pd.Series:
-    points = np.stack(cells.to_numpy()) if len(cells) else np.zeros((0, 1), np.int64)
-    return pd.Series(hilbert_index(points, BITS))
+def _curve(bits: int):
+    @F.pandas_udf(T.LongType())
+    def curve(cells: pd.Series) -> pd.Series:
+        points = np.stack(cells.to_numpy()) if len(cells) else np.zeros((0, 1), np.int64)
+        return pd.Series(hilbert_index(points, bits))
+    return curve
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +128,7 @@ def assign_shards(rows: DataFrame, cells: list[Column], shards: int, *keep: str)
     """
     spark = rows.sparkSession
     n_parts = common.partitions(spark)
-    placed = (rows.select(*keep, _curve(F.array(*cells)).alias("__h"))
+    placed = (rows.select(*keep, _curve(BITS)(F.array(*cells)).alias("__h"))
               .repartitionByRange(n_parts, "__h", *keep).sortWithinPartitions("__h", *keep))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
 
