@@ -36,6 +36,17 @@ def test_searches_take_every_fiftieth_row(spark, sf):
     assert {r[0] for r in fx.queries_fx(spark, sf, fx.SEARCHED).select("query_id").collect()} == {r[0] for r in pages if (r[0] - 1) % 50 == 0}
 
 
+def test_pages_without_a_number(spark, scratch):
+    """They stay requests where every page is one, and are none of those that 50 divides."""
+    rows = [(i, f"https://a.example.com/en/{i}", "<title>a b</title>") for i in (0, 1, 50, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{scratch}/pages.parquet")
+    key = lambda df: sorted((r["query_id"] for r in df.select("query_id").collect()), key=lambda x: x or 0)
+    assert key(fx.queries_fx(spark, scratch)) == [None, 1, 2, 51] and key(fx.queries_fx(spark, scratch, fx.SEARCHED)) == [1, 51]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{scratch}/pages.parquet/*.parquet'")
+    assert len(con.sql(entry.oracle_sql()["v1_normalise_queries"]).df()) == 4
+
+
 def test_requests_travel_as_lists(spark):
     """V3: a type's requests meet its rows as one list, and rows and requests may repeat or lack an id."""
     rows = [(1, "a"), (1, "a"), (2, "b"), (3, None), (None, "a")]
