@@ -299,7 +299,11 @@ class Marks:
         return F.call_function("div", word, F.lit(self.WORDS).cast("long")), F.pmod(word, F.lit(self.WORDS).cast("long")).cast("int"), one
 
     def filter(self, df: DataFrame, key: str) -> DataFrame:
-        """The rows of ``df`` whose long column ``key`` may be in the set."""
+        """The rows of ``df`` whose long column ``key`` may be in the set.
+
+        The exact join that follows must be an inner one (on distinct keys): Spark
+        moves a semi join below this one, and then all of ``df`` is exchanged.
+        """
         line, word, mask = self._place(F.col(key))
         found = F.get("__marks", word).bitwiseAND(mask) != 0
         return df.withColumn("__line", line).join(F.broadcast(self.lines), "__line").filter(F.col(key).isNotNull() & found).select(*df.columns)

@@ -321,7 +321,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measu
     the others before the exact join on the representative row.
     """
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node").select("rep").distinct()
-    rows = common.Marks(need).filter(docs.select("doc_id", representative(text_key()).alias("rep"), "text"), "rep").join(need, "rep", "left_semi")
+    rows = common.Marks(need).filter(docs.select("doc_id", representative(text_key()).alias("rep"), "text"), "rep").join(need, "rep")
     texts = rows.filter("doc_id is not null").select("text").unionByName(rows.filter("doc_id is null").select("text").distinct())
     sets = texts.mapInArrow(_elements(measure.n), "f long, g long, elements binary")
     sets = common.staged(sets.select(_node().alias("node"), "elements").dropDuplicates(["node"]), "sets")
@@ -362,7 +362,7 @@ def _members(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, D
 
     index = common.staged(docs.select("text").mapInArrow(_index(measure, bands), "sig long, f long"), "signatures")
     shared = common.staged(index.groupBy("sig").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo < hi").select("sig"), "shared")
-    member = common.Marks(shared).filter(index, "sig").join(shared, "sig", "left_semi").distinct()
+    member = common.Marks(shared).filter(index, "sig").join(shared, "sig").distinct()
     member = common.staged(member.join(nodes.select("f", "node", "n_shingles"), "f").select("sig", "node", "n_shingles"), "members")
     return sets, nodes, member
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from seekrank.llm import components, jaccard, sketch, topk
+from seekrank.llm import common, components, jaccard, sketch, topk
 from tests.llm.conftest import ODD, prose
 from tools.compare import canon
 
@@ -285,3 +285,13 @@ def test_components(spark):
     df = spark.createDataFrame([(f"{a:04}", f"{b:04}") for a, b in edges], "a string, b string")
     got = {r["node"]: r["root"] for r in components.components(df).collect()}
     assert got == {**{f"{i:04}": "0000" for i in range(31)}, **{f"{i:04}": "0100" for i in range(100, 130)}, "0200": "0200", "0201": "0200"}
+
+
+def test_marks_are_asked_before_rows_are_exchanged(spark, monkeypatch):
+    """Spark would move a semi join below the join with the marks, and exchange every text and signature."""
+    plans, staged = {}, common.staged
+    monkeypatch.setattr(common, "staged", lambda df, what, batch=None: (plans.setdefault(what, df._jdf.queryExecution().optimizedPlan().toString()), staged(df, what, batch))[1])
+    rows = [(i, prose(i // 2, 60) + (" end" if i % 2 else "")) for i in range(12)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(12)}
+    assert all("__marks" in plans[what] and "LeftSemi" not in plans[what] for what in ("members", "sets"))
