@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekrank.config import DEFAULT, SearchConfig
-from seekrank.operators.ranking import (dedup_urls, filter_text, rank_pipeline, rescore,
+from seekrank.operators.ranking import (FEATURES, dedup_urls, filter_text, query_forms, rank_pipeline, rescore,
                                         search_status)
-from seekrank.operators.retrieval import normalise_queries, vector_topk
+from seekrank.operators.retrieval import normalise_queries, vector_topk, with_metadata
 from seekrank.operators.snippets import snippets_and_highlights
 from seekrank.session import checkpoint_dir
 
@@ -38,12 +38,21 @@ def prepare_queries(queries: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFram
     return q.withColumn("has_vector", has_vec)
 
 
-def candidates(q: DataFrame, corpus: DataFrame, now, cfg: SearchConfig = DEFAULT) -> DataFrame:
-    """V3+V4 then R2–R8: scored candidates of every usable query."""
+def winners(q: DataFrame, corpus: DataFrame, cfg: SearchConfig = DEFAULT) -> DataFrame:
+    """V3+V4: the best ids of every usable query, with the query's columns and forms; narrow rows, by query_id."""
     ok = q.filter(F.col("error").isNull() & F.col("has_vector"))
-    top = vector_topk(corpus, ok.select("query_id", "qvec", "k", "types"), cfg)
-    attrs = ok.select("query_id", "query", "per_page", "page", "type_filter_text")
-    return rescore(top.join(attrs, "query_id"), now, cfg)
+    top = vector_topk(corpus, ok.select("query_id", "qvec", "k", "types"), cfg, with_meta=False)
+    return top.join(query_forms(ok.select("query_id", "query", "per_page", "page", "type_filter_text")), "query_id")
+
+
+def candidates(q: DataFrame, corpus: DataFrame, now, cfg: SearchConfig = DEFAULT) -> DataFrame:
+    """V3+V4 then R2–R8: scored candidates of every usable query.
+
+    Queries join the winners before the documents do, so that the documents'
+    texts are exchanged once and are gone when the candidates are ranked.
+    """
+    scored = rescore(with_metadata(winners(q, corpus, cfg), corpus), now, cfg)
+    return scored.drop(*FEATURES, "_nq", "_ql")
 
 
 def search(queries: DataFrame, corpus: DataFrame, registry: DataFrame, now,

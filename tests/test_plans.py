@@ -32,6 +32,16 @@ def test_ranking_of_text_matches_carries_no_texts(spark, sf):
         assert "title" not in row and "content_preview" not in row and "snippet" not in row
 
 
+def test_ranking_of_matches_carries_no_match_inputs(spark, sf):
+    """Match inputs are not made per pair, copies come without a second top-k, and no text of a match is exchanged for ranking."""
+    shown = plan(catalog.SPARK["r11_filter_text"](spark, sf))
+    assert "Union" not in shown
+    after = shown.split("WindowGroupLimit")[-1]
+    assert "f_ns" in after and "regexp_replace(lower(coalesce(snippet" not in after
+    for below in shown.split("Exchange hashpartitioning(query_id")[1:]:
+        assert "f_n" not in below.split("\n")[1] and "snippet" not in below.split("\n")[1]
+
+
 def test_a_request_that_matches_everything(spark, sf):
     """A blank query over copies of the registry: the total counts every row, the page is right."""
     from seekrank.operators.lexical import text_search

@@ -128,3 +128,39 @@ def test_an_upsert_reads_its_upload_once(spark, scratch):
     second = upsert_urls(first, upload, "2024-01-02 00:00:00")
     assert f"{scratch}/upload" not in second._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["id"], r["url"]) for r in second.collect()) == [(i + 1, f"https://a.example.com/{i}") for i in range(7)]
+
+
+def test_rows_passed_on_do_not_grow_with_the_tiles(spark, monkeypatch):
+    """V4: a query passes on about FIRST times k rows, not k of every tile; the best rows are those of brute force, with repeated and missing ids."""
+    rng = np.random.default_rng(5)
+    vectors, asked = rng.normal(size=(6000, 8)), rng.normal(size=(12, 8))
+    vectors[7] = vectors[8] = 0
+    types, lists = ["ab"[i % 2] for i in range(6000)], [[], None, ["a"], ["none"]]
+    rows = spark.createDataFrame([(i, vectors[i].tolist(), types[i]) for i in range(6000)], "id long, vector array<double>, type string").repartition(3)
+    q = spark.createDataFrame([(i, asked[i].tolist(), 10, lists[i % 4]) for i in range(12)] + [(None, asked[0].tolist(), 3, None), (1, asked[1].tolist(), 10, None)],
+                              "query_id long, qvec array<double>, k int, types array<string>")
+    cfg = retrieval.SearchConfig(tile_bytes=8 * 8 * 20)  # 300 tiles
+    top = {}
+    for r in retrieval.vector_topk(rows, q, cfg, with_meta=False).collect():
+        top.setdefault(r["query_id"], []).append(r["id"])
+    s = (asked @ vectors.T) / np.maximum(np.outer(np.linalg.norm(asked, axis=1), np.linalg.norm(vectors, axis=1)), 1e-300)
+    for i in range(12):
+        best = [j for j in np.argsort(-s[i], kind="stable").tolist() if not lists[i % 4] or types[j] in lists[i % 4]][:10]
+        assert sorted(top.get(i, [])) == sorted(best if i != 1 else best[:5] * 2)
+    assert len(top[None]) == 3
+    stored, known = retrieval.with_norm(rows), q.withColumn("qnorm", retrieval.l2_norm("qvec"))
+    least = retrieval._least_scores(retrieval._best_of_groups(stored.filter(F.pmod(F.xxhash64("id"), F.lit(retrieval.FIRST)) == 0), known, 2, 2, cfg))
+    assert least.filter("query_id = 3").count() == 0  # no k rows: no bound
+    monkeypatch.setattr(retrieval, "_best_of_task", retrieval._best_of_tiles)
+    passed = retrieval._best_of_groups(stored, known.join(least, "query_id", "left").filter("query_id is not null"), 300, 1, cfg).count()
+    every = retrieval._best_of_groups(stored, known.filter("query_id is not null"), 300, 1, cfg).count()
+    assert passed < 10 * 10 * 3 * retrieval.FIRST < every / 3
+
+
+def test_match_inputs_of_copies(spark, sf):
+    """Stored match inputs stay those of the row's own texts, also for a copy with another URL."""
+    from seekrank.operators.ranking import FEATURES, doc_features
+    got = catalog._attributed_matches(spark, sf)
+    made = doc_features(got.drop(*FEATURES))
+    assert got.filter("id like '%-copy'").count() and got.count() == got.select("query_id", "id").distinct().count()
+    assert got.select("query_id", "id", *FEATURES).exceptAll(made.select("query_id", "id", *FEATURES)).count() == 0
