@@ -157,6 +157,29 @@ def test_rows_passed_on_do_not_grow_with_the_tiles(spark, monkeypatch):
     assert passed < 10 * 10 * 3 * retrieval.FIRST < every / 3
 
 
+def test_tiles_travel_by_cores_not_by_shuffle_partitions(spark, monkeypatch):
+    """V4: many shuffle partitions don't send the tiles of queries and of the first rows more often, and the best rows stay the same."""
+    sent, deal = [], retrieval._best_of_groups
+    monkeypatch.setattr(retrieval, "_best_of_groups", lambda rows, asked, r, q, cfg: (sent.append((r, q)), deal(rows, asked, r, q, cfg))[1])
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-2, 3, (400, 3)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(vectors)], "id long, vector array<double>, type string").repartition(6)
+    q = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"), F.lit(7).alias("k"))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.nan_to_num((vectors @ vectors.T) / np.outer(np.linalg.norm(vectors, axis=1), np.linalg.norm(vectors, axis=1)))
+    want = {(i, j) for i in range(0, 400, 50) for j in np.lexsort((np.arange(400), -s[i].round(9)))[:7].tolist()}
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (2, 40 * cores):
+            sent.clear()
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = retrieval.vector_topk(rows, q, with_meta=False).select("query_id", "id").collect()
+            assert {tuple(r) for r in got} == want and len(got) == len(want)
+            assert all(r * q <= max(retrieval.FIRST_GROUPS, min(partitions, retrieval.GROUPS * cores)) for r, q in sent) and len(sent) == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_match_inputs_of_copies(spark, sf):
     """Stored match inputs stay those of the row's own texts, also for a copy with another URL."""
     from seekrank.operators.ranking import FEATURES, doc_features
