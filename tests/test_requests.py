@@ -1,4 +1,4 @@
-"""Searches over the requests whose id 50 divides: the request set, and what travels for them; an upload is read once."""
+"""Searches over every row as a request: the request set, and what travels for them; an upload is read once."""
 
 import duckdb
 import numpy as np
@@ -15,15 +15,13 @@ from tools.compare import canon
 
 
 @pytest.mark.parametrize("name", ["r12_paginate", "r14_search_meta", "v3_filter_types", "v4_cell_topk", "l3_text_score", "l4_text_search"])
-def test_requests_of_all_rows_equal_the_sql(spark, sf, monkeypatch, name):
-    """The rules hold for every form of request, not only for those of the registered set."""
+def test_requests_of_all_rows_equal_the_sql(spark, sf, name):
+    """The rules hold for every form of request, and the SQL has no part of the rows as its requests."""
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     sql = entry.oracle_sql()[name]
-    for key in ("page_id", "vec_id"):
-        sql = sql.replace(f"{key} % 50 = 0", f"{key} % 1 = 0").replace(f"{key} // 50", f"{key} // 1")
-    monkeypatch.setattr(fx, "SEARCHED", 1)
+    assert "% 50 = 0" not in sql and "// 50" not in sql
     got = entry.queries()[name](spark, sf).toPandas()
     assert len(got) and canon(got) == canon(duckdb.sql(sql, connection=con).df())
 
@@ -40,17 +38,19 @@ def test_every_embedding_is_a_request(spark, scratch):
         assert {0, 1, 50, 51} <= set(con.sql(entry.oracle_sql()[name]).df()["query_id"].dropna())
 
 
-def test_searches_take_every_fiftieth_row(spark, sf):
-    pages = fx.queries_fx(spark, sf).select("query_id").collect()
-    assert {r[0] for r in fx.queries_fx(spark, sf, fx.SEARCHED).select("query_id").collect()} == {r[0] for r in pages if (r[0] - 1) % 50 == 0}
+def test_searches_take_every_page(spark, sf):
+    """Registered searches answer pages that 50 does not divide: as many requests as there are pages."""
+    pages = {r[0] for r in fx.urls_fx(spark, sf).select("id").collect()}
+    assert {r[0] - 1 for r in entry.queries()["r14_search_meta"](spark, sf).select("query_id").collect()} == pages
+    assert {r[0] - 1 for r in entry.queries()["l4_text_search_meta"](spark, sf).select("query_id").collect()} == pages
 
 
 def test_pages_without_a_number(spark, scratch):
-    """They stay requests where every page is one, and are none of those that 50 divides."""
+    """They are requests like any other page."""
     rows = [(i, f"https://a.example.com/en/{i}", "<title>a b</title>") for i in (0, 1, 50, None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{scratch}/pages.parquet")
     key = lambda df: sorted((r["query_id"] for r in df.select("query_id").collect()), key=lambda x: x or 0)
-    assert key(fx.queries_fx(spark, scratch)) == [None, 1, 2, 51] and key(fx.queries_fx(spark, scratch, fx.SEARCHED)) == [1, 51]
+    assert key(fx.queries_fx(spark, scratch)) == [None, 1, 2, 51]
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{scratch}/pages.parquet/*.parquet'")
     assert len(con.sql(entry.oracle_sql()["v1_normalise_queries"]).df()) == 4
