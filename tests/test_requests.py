@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seekrank.operators import cells, lexical, retrieval
+from seekrank.operators.automaton import batch_match_flags
 from seekrank.plans import catalog
 from seekrank.plans import fixtures as fx
 from seekrank.sources.tables import TABLES
@@ -127,6 +128,20 @@ def test_query_tiles_go_to_groups_of_cells(spark, monkeypatch):
     assert {(r["query_id"], r["id"]) for r in top.collect()} == want
 
 
+def test_dealt_query_strings_are_not_broadcast(spark):
+    """R2 by automaton: few query strings, dealt to every group, don't go through the driver; the flags are those of brute force."""
+    words = ("alpha", "beta", "gamma")
+    docs = spark.createDataFrame([(i, f"https://x/{words[i % 3]}", words[i % 2], None if i % 5 == 0 else words[i % 3]) for i in range(60)] + [(None, None, "Alpha", "x")],
+                                 "id long, url string, title string, snippet string")
+    asked = spark.createDataFrame([("Alpha",), ("beta",), ("alpha",), (" ",), (None,)], "query string")
+    got = batch_match_flags(docs, asked)
+    want = {(q, r["id"], *(q.lower() in (r[c] or "").lower() for c in ("title", "url", "snippet"))) for q in ("Alpha", "beta", "alpha") for r in docs.collect()}
+    rows = [tuple(r) for r in got.filter("trim(query) <> ''").collect()]
+    assert set(rows) == {w for w in want if any(w[2:])} and len(rows) == len(set(rows))
+    got.collect()
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_an_upsert_reads_its_upload_once(spark, scratch):
     """I4: the next registry is made from the written URLs of the upload, not from its rows again."""
     from seekrank.operators.ingest import empty_registry, upsert_urls
