@@ -10,7 +10,8 @@ then all others. After every round the k-th score so far is shared over all
 queries' tasks, and a cell whose bound lies below it is never read for that
 query. Every cell that could hold a better row is visited, so the result equals
 the exhaustive one, whatever the vectors look like; how much is skipped depends
-on them. Queries of one nearest cell travel together, so that their cells agree.
+on them. Queries of one nearest cell travel together, so that their cells agree;
+a cell scores those of them that want it, and passes on what reaches their k-th score.
 
 Centres are fitted on a bounded sample (``SAMPLE`` rows, at most ``MAX_CELLS``
 centres); every vector is indexed. Vectors without direction (norm zero or not
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from seekrank.config import DEFAULT, SearchConfig
 from seekrank.functions.vectors import l2_norm
-from seekrank.operators.retrieval import _best_of_tiles, with_norm
+from seekrank.operators.retrieval import SURE, _best_of_tiles, _groups, with_norm
 from seekrank.session import scratch, staged
 
 #: Rows that the centres are fitted on, centres at most, steps of the fit.
@@ -170,8 +171,11 @@ def _visits(index: Cells, first: int, last: int):
                     continue
                 own, q = own.take(pa.array(some)), q[some]
                 cols = {c: pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), own.column(c)) for c in ("query_id", "qnorm", "k", "types")}
-                yield pa.record_batch({"query_id": cols["query_id"], "qvec": pa.array([q.tobytes()], pa.binary()), "qnorm": cols["qnorm"], "k": cols["k"], "types": cols["types"],
-                                       "cells": pa.array([index.cells[wanted[some].any(0)].tolist()], pa.list_(pa.int32()))})
+                least = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.array(reach[some] - SURE))
+                visited = np.flatnonzero(wanted.any(0))
+                who = np.packbits(wanted[np.ix_(some, visited)].T, axis=1)  # of each visited cell the queries that want it
+                yield pa.record_batch({"query_id": cols["query_id"], "qvec": pa.array([q.tobytes()], pa.binary()), "qnorm": cols["qnorm"], "k": cols["k"], "types": cols["types"], "least": least,
+                                       "cells": pa.array([index.cells[visited].tolist()], pa.list_(pa.int32())), "wanted": pa.array([who.tobytes()], pa.binary())})
     return run
 
 
@@ -198,16 +202,19 @@ def cell_topk(index: CellIndex, queries: DataFrame) -> tuple[DataFrame, DataFram
     q = staged(q.select(*names).mapInArrow(nearest, ", ".join(f"{c} {t}" for c, t in names.items()) + ", near int"), "cell-queries")
     best = spark.createDataFrame([], f"query_id {query_type}, k int, id {id_type}, score double")
     report, first = [], 0
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = _groups(spark)
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     for number, last in enumerate(ROUNDS):
         kth = best.groupBy("query_id").agg(F.when(F.count("*") >= F.first("k"), F.min("score")).alias("kth"))
         dealt = q.join(kth, "query_id", "left").repartitionByRange("near", "query_id").sortWithinPartitions("near", "query_id")
-        tiles = staged(dealt.mapInArrow(_visits(known, first, last), f"query_id array<{query_type}>, qvec binary, qnorm array<double>, k array<int>, types array<array<string>>, cells array<int>"), "visits")
+        tiles = staged(dealt.mapInArrow(_visits(known, first, last), f"query_id array<{query_type}>, qvec binary, qnorm array<double>, k array<int>, types array<array<string>>, least array<double>, cells array<int>, wanted binary"), "visits")
         report.append(tiles.agg(F.lit(number).alias("round"), F.count("*").alias("query_tiles"), F.coalesce(F.sum(F.size("cells")), F.lit(0)).alias("cells_read")))
-        pairs = dealt_tiles(tiles, groups).join(index.tiles.drop("low").withColumn("g", F.pmod("cell", F.lit(groups))), "g").filter(F.array_contains("cells", F.col("cell")))
-        scored = pairs.select("id", "vector", "norm", "type", "query_id", "qvec", "qnorm", "k", "types").mapInArrow(_best_of_tiles, f"query_id {query_type}, k int, id {id_type}, score double")
-        both = best.unionByName(scored).dropDuplicates(["query_id", "id"])  # queries of a tile may meet a cell before their turn
+        # merged, as the size that Spark sees of dealt tiles is that of one copy: all copies would go through the driver
+        pairs = dealt_tiles(tiles, groups).hint("merge").join(index.tiles.drop("low").withColumn("g", F.pmod("cell", F.lit(groups))), "g").withColumn("at", F.array_position("cells", F.col("cell"))).filter("at > 0")
+        wide = F.expr("cast(length(wanted) div size(cells) as int)")
+        own = F.substring("wanted", (F.col("at").cast("int") - 1) * wide + 1, wide).alias("wanted")
+        scored = pairs.select("id", "vector", "norm", "type", "query_id", "qvec", "qnorm", "k", "types", "least", own).mapInArrow(_best_of_tiles, f"query_id {query_type}, k int, id {id_type}, score double")
+        both = best.unionByName(scored).dropDuplicates(["query_id", "id"])
         best = staged(both.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= F.col("k")).drop("rn"), "cell-best")
         first = last
     told = report[0]

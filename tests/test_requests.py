@@ -142,6 +142,24 @@ def test_dealt_query_strings_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_dealt_query_tiles_are_not_broadcast(spark, monkeypatch):
+    """V4: tiles of queries, dealt to every group, don't go through the driver, and later rounds send the k-th scores with them."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist(), "ab"[i % 2]) for i in range(300)] + [(None, [1.0] * 4, "a")], "id long, vector array<double>, type string")
+    q = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"), F.lit(5).alias("k"), F.array("type").alias("types"))
+    written, keep = {}, cells.staged
+    monkeypatch.setattr(cells, "ROUNDS", (1, 6, 25))
+    monkeypatch.setattr(cells, "staged", lambda df, what: written.setdefault(what, []).append((df, keep(df, what))) or written[what][-1][1])
+    top, _ = cells.cell_topk(cells.build_cells(rows, cells=24), q)
+    by_tiles = retrieval.vector_topk(rows, q, with_meta=False)
+    key = lambda df: sorted(((r["query_id"], r["id"]) for r in df.collect()), key=str)
+    assert key(top) == key(by_tiles)
+    for shown in [df._jdf.queryExecution().executedPlan().toString() for df, _ in written["cell-best"]] + [by_tiles._jdf.queryExecution().executedPlan().toString()]:
+        assert "SortMergeJoin [g" in shown and not any("BroadcastHashJoin [g" in line for line in shown.splitlines())
+    first, later, _ = ([x for r in kept.select("least").collect() for x in r["least"]] for _, kept in written["visits"])
+    assert set(first) == {float("-inf")} and np.isfinite(later).mean() > 0.5
+
+
 def test_an_upsert_reads_its_upload_once(spark, scratch):
     """I4: the next registry is made from the written URLs of the upload, not from its rows again."""
     from seekrank.operators.ingest import empty_registry, upsert_urls
