@@ -70,6 +70,18 @@ def test_requests_travel_as_lists(spark):
     assert "collect_list" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_dealt_lists_are_not_broadcast(spark):
+    """V3: few lists, dealt to every group, don't go through the driver, and the groups of pairs are not put together into one task."""
+    rows = spark.createDataFrame([(i, "ab"[i % 2] if i % 7 else None) for i in range(90)], "id long, type string")
+    asked = spark.createDataFrame([(i, (None, [], ["a"], ["b", "c", "b"])[i % 4]) for i in range(20)], "query_id long, types array<string>")
+    got = retrieval.allowed_rows(rows, asked)
+    want = sorted((i, r["id"]) for i, types in asked.collect() for r in rows.collect() if not types or (r["type"] is not None and r["type"] in types))
+    assert sorted((r["query_id"], r["id"]) for r in got.collect()) == want
+    shown = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not any("BroadcastHashJoin" in line and "_g" in line for line in shown.splitlines())
+    assert got.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_first_rows_are_found_once_per_profile(spark):
     """L2: equal requests share one profile's first rows, which are each request's own."""
     rows = [(i, f"https://a.example.com/{i}", "en" if i % 2 else "fr", "alpha", "text", ("completed", "pending", "failed")[i % 3], None) for i in range(40)]
